@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, token_counts
+from . import bpe, fingerprints, langid, minhash, packing, token_counts, toxicity, url_filter
 from ._shared import read, remainder
 
 
@@ -19,6 +19,16 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), num=85, den=100)
+
+
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    chain = toxicity.train(toxicity.training_rows(docs, read(spark, sf_dir, "labels")))
+    return toxicity.score(docs, chain)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
@@ -33,5 +43,25 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_language_id, op5_best_fit_packing, op6_token_counts)}
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(read(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe_round_trip,
+        op2_minhash_near_dedup,
+        op3_toxicity_chain,
+        op4_language_id,
+        op5_best_fit_packing,
+        op6_token_counts,
+        op8_fingerprints,
+        op9_url_filter,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
