@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from ._shared import starts
-
 NONE = np.iinfo(np.int64).max
 _SHIFT = 21
 
@@ -101,7 +99,3 @@ def _apart(place, word, plain):
     first = np.r_[True, word[place[1:]] != word[place[:-1]]]
     return place[((index - run) % 2 == 0) & (plain | first)]
 
-
-def pieces(symbols: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    at = starts(counts)
-    return [symbols[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]

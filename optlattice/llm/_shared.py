@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -93,6 +93,34 @@ def run_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+class Remembered:
+    """Ragged results of distinct words, computed once; all are forgotten when there are more than `limit`.
+
+    compute(words) returns the results one after the other, and the length of each.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int):
+        self.compute, self.limit = compute, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.size = self.compute([])
+
+    def get(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, begin, length): word i's result is flat[begin[i] : begin[i] + length[i]]."""
+        if len(self.place) > self.limit:
+            self._clear()
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            flat, size = self.compute(words[new].tolist())
+            at[new] = len(self.size) + np.arange(len(new))
+            self.place.update(zip(words[new], at[new].tolist(), strict=True))
+            self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        return self.flat, starts(self.size)[at], self.size[at]
+
+
 def words_of(text: str) -> list[bytes]:
     """Lower-cases A-Z only and takes the runs without the white space of ASCII."""
     return text.encode("utf-8", "surrogatepass").lower().split()

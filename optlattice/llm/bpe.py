@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import _merge
-from ._shared import WHITE_SPACE, chunks, coded, finder, ragged_take, run_sums, starts
+from ._shared import WHITE_SPACE, Remembered, chunks, coded, finder, ragged_take, run_sums, starts
 
 #: The pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -49,9 +49,9 @@ class Bpe:
         self.split = regex.compile(PATTERN).findall
         self.segments = finder(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.known: dict[str, np.ndarray] = {}
+        self.known = Remembered(self._encode_segments, KNOWN_WORDS)
 
-    def _encode_segments(self, segments: list[str]) -> list[np.ndarray]:
+    def _encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each segment: its parts between special tokens are split by the pattern and merged."""
         parts, special, owner = [], [], []
         for i, s in enumerate(segments):
@@ -73,7 +73,7 @@ class Bpe:
         if alone.any():
             flat = np.insert(flat, starts(counts)[:-1][alone], special[alone])
             counts = counts + alone
-        return _merge.pieces(flat, np.bincount(owner, weights=counts, minlength=len(segments)).astype(np.int64))
+        return flat, np.bincount(owner, weights=counts, minlength=len(segments)).astype(np.int64)
 
     def _segments_of(self, text: str) -> list[str]:
         found = self.segments(text)
@@ -85,14 +85,8 @@ class Bpe:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of each text's ids."""
         codes, distinct, counts = coded([self._segments_of(t) for t in texts])
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = [s for s in distinct if s not in self.known]
-        self.known.update(zip(new, self._encode_segments(new), strict=True))
-        each = [self.known[s] for s in distinct]
-        size = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-        flat = np.concatenate(each) if each else np.zeros(0, dtype=np.int64)
-        return ragged_take(flat, starts(size)[:-1][codes], size[codes]), run_sums(size[codes], counts)
+        flat, begin, size = self.known.get(distinct)
+        return ragged_take(flat, begin[codes], size[codes]), run_sums(size[codes], counts)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The text of each run of ids; bytes that aren't UTF-8 become U+FFFD, unknown ids become nothing."""

@@ -2,63 +2,89 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from ._shared import WHITE_SPACE, chunks, coded, finder, ragged_take, run_sums, save, starts
+from .bpe import byte_alphabet
+from ._shared import WHITE_SPACE, Remembered, chunks, coded, finder, ragged_take, run_sums, save, starts
 
 KNOWN_WORDS = 250_000
-#: Words that go to the tokenizer as one text, a special token between them.
-BATCH_WORDS = 4000
+#: The pattern of a word's parts.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Rows that are ranked together at most, about.
 ROWS_PER_BUCKET = 200_000
 
 
 class WordTokens:
-    """Token ids of whole texts, where white space only separates words: each distinct word is encoded once."""
+    """Token ids of whole texts under a vocabulary with word ends, where white space only separates words.
+
+    Each distinct word is encoded once: put into its normal form, split by the pattern, and merged by the tiktoken library, to
+    which a line end stands for the end of a word. Words with a special token are left to the tokenizers library.
+    """
 
     def __init__(self, path: str):
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items()}
-        self.divider, self.divider_id = next(iter(self.special.items()))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.path, self.model = path, None
+        to_byte = {c: b for b, c in enumerate(byte_alphabet())}
+        raw = lambda s: bytes(to_byte[c] for c in s.removesuffix(suffix)) + b"\n" * s.endswith(suffix)
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+        made = [c + end for end in ("", suffix) for c in byte_alphabet()] + [x + y for x, y in merges]
+        ranks: dict[bytes, int] = {}
+        for token in made:
+            ranks.setdefault(raw(token), len(ranks))
+        self.ids = np.array([vocab[t] for t in dict.fromkeys(made)], dtype=np.uint32)
+        self.ends = np.array([t.endswith(suffix) for t in dict.fromkeys(made)])
+        self.fast = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
+        self.split = regex.compile(PATTERN).findall
         self.words = finder(f"[^{WHITE_SPACE}]+")
-        self.known: dict[str, np.ndarray] = {}
-
-    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if not any(s in w for s in self.special)]
-        groups = [plain[i : i + BATCH_WORDS] for i in range(0, len(plain), BATCH_WORDS)]
-        for group, e in zip(groups, self.model.encode_batch([self.divider.join(words[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype=np.uint32)
-            at = np.flatnonzero(ids == self.divider_id)
-            for i, a, b in zip(group, np.r_[0, at + 1], np.r_[at, len(ids)], strict=True):
-                out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.model.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, dtype=np.uint32)
-        return out
+        self.known = Remembered(self._encode_words, KNOWN_WORDS)
+
+    def _parts(self, word: str) -> list[str]:
+        if not word.isascii():
+            word = unicodedata.normalize("NFC", word)
+        word = word.lower() if "Σ" not in word else "".join(map(str.lower, word))  # no letter depends on its neighbours
+        if word.isalpha():
+            return [word]
+        return [word[:-1], word[-1]] if word[-1] in ".,;:!?" and word[:-1].isalpha() else self.split(word)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._parts(w) for w in words]
+        flat = list(chain.from_iterable(parts))
+        rank = np.array(self.fast.encode_ordinary("\n".join(flat) + "\n"), dtype=np.int64) if flat else np.zeros(0, dtype=np.int64)
+        ids = self.ids[rank]
+        at = np.r_[0, np.flatnonzero(self.ends[rank]) + 1][starts(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))]
+        size = np.diff(at)
+        special = [i for i, w in enumerate(words) if "<" in w and any(x in w for x in self.special)]
+        if special:
+            self.model = self.model or Tokenizer.from_file(self.path)
+            each = np.split(ids, at[1:-1])
+            for i in special:
+                each[i] = np.array(self.model.encode(words[i], add_special_tokens=False).ids, dtype=np.uint32)
+                size[i] = len(each[i])
+            ids = np.concatenate(each)
+        return ids, size
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of each text's ids."""
         codes, distinct, counts = coded([self.words(t) for t in texts])
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        self.known.update(zip(new, self._encode_words(new), strict=True))
-        each = [self.known[w] for w in distinct]
-        size = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-        flat = np.concatenate(each) if each else np.zeros(0, dtype=np.uint32)
-        return ragged_take(flat, starts(size)[:-1][codes], size[codes]), run_sums(size[codes], counts)
+        flat, begin, size = self.known.get(distinct)
+        return ragged_take(flat, begin[codes], size[codes]), run_sums(size[codes], counts)
 
 
 @lru_cache(maxsize=2)
