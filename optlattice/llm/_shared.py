@@ -33,11 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Whether Spark deletes a query's shuffle files when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: what was computed survives lost executors."""
+    """Writes df to the shared folder and reads it again: what was computed survives lost executors.
+
+    The shuffle files of the written query are no longer needed then and are deleted.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, minhash, packing, token_counts, toxicity, url_filter
+from . import bpe, fingerprints, langid, lm, minhash, packing, token_counts, toxicity, url_filter
 from ._shared import read, remainder
 
 
@@ -43,6 +43,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 7) == 2
+    scored = lm.scores(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(read(spark, sf_dir, "documents"))
 
@@ -60,6 +67,7 @@ QUERIES = {
         op4_language_id,
         op5_best_fit_packing,
         op6_token_counts,
+        op7_lm_scores,
         op8_fingerprints,
         op9_url_filter,
     )
