@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, lm, minhash, packing, token_counts, toxicity, url_filter
+from . import bpe, embeddings, fingerprints, langid, lm, minhash, packing, token_counts, toxicity, url_filter
 from ._shared import read, remainder
 
 
@@ -58,6 +58,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +74,7 @@ QUERIES = {
         op7_lm_scores,
         op8_fingerprints,
         op9_url_filter,
+        op10_embedding_near_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
