@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,17 +93,24 @@ def bands(reps: DataFrame, rows: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             sig = _matrix(batch.column("sig"))
-            n = HASHES // rows
-            with np.errstate(over="ignore"):
-                key = np.broadcast_to(np.arange(n, dtype=np.uint64), (len(sig), n)).copy()
-                for k in range(rows):
-                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::rows].astype(np.uint64) + np.uint64(1))
+            key = _band_keys(sig, rows)
+            n = key.shape[1]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.repeat(np.arange(len(sig)), n))), pa.array(key.reshape(-1).view(np.int64))], ["id", "bucket"])
 
     kind = reps.schema["id"].dataType.simpleString()
     return reps.select("id", "sig").mapInArrow(run, f"id {kind}, bucket long")
 
 
+def _band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of each signature."""
+    n = HASHES // rows
+    with np.errstate(over="ignore"):
+        key = np.broadcast_to(np.arange(n, dtype=np.uint64), (len(sig), n)).copy()
+        for k in range(rows):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::rows].astype(np.uint64) + np.uint64(1))
+    return key
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(len(column), HASHES)
 
@@ -149,55 +157,86 @@ def _prune(pairs: DataFrame, reps: DataFrame, bounds: list[tuple[int, int]]) ->
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """The pairs whose full shingle sets have den * intersection >= num * union. Only their texts are read again."""
+def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, s): the full shingle sets of the documents with these ids. Only their texts are read again.
 
-    def sets(batches):
+    The ids grow with the input, so both sides are shuffled, whatever their sizes.
+    """
+
+    def run(batches):
         for batch in batches:
             for part, texts in chunks(batch, text_col):
                 flat, counts = shingle_sets(texts, words)
                 raw, at = memoryview(flat.tobytes()), starts(counts) * 8
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array([bytes(raw[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "s"])
 
-    def linked(batches):
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(id_col, text_col).join(ids.select(F.col("id").alias(id_col)).distinct().hint("shuffle_hash"), id_col, "left_semi")
+    return save(texts.mapInArrow(run, f"id {kind}, s binary"), "minhash-sets")
+
+
+def is_link(x: bytes, y: bytes, num: int, den: int) -> bool:
+    """Whether two sets have den * intersection >= num * union."""
+    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    common = int((both[1:] == both[:-1]).sum())
+    return den * common >= num * (len(both) - common)
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are linked."""
+
+    def run(batches):
         for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                if den * common >= num * (len(x) + len(y) - common):
-                    keep.append(k)
-            keep = pa.array(keep, pa.int64())
+            keep = pa.array([k for k, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)) if is_link(x, y, num, den)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    ends = pairs.select(F.col("a").alias(id_col)).unionByName(pairs.select(F.col("b").alias(id_col))).distinct()
-    texts = docs.select(id_col, text_col).join(ends, id_col, "left_semi")
-    full = save(texts.mapInArrow(sets, f"id {kind}, s binary"), "minhash-sets")
-    joined = pairs.join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(linked, f"a {kind}, b {kind}")
+    kind = pairs.schema["a"].dataType.simpleString()
+    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _mixed_pairs(rows: DataFrame, leads: DataFrame, labels: DataFrame, reps: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
-    """Surviving pairs of a bucket's members, its leader aside, that the first links left in different components.
+def _leaders(rows: DataFrame) -> DataFrame:
+    """(bucket, size, leader) of every bucket with two members or more.
 
-    Most buckets are a pair, or lie in one component, and need nothing. Members of the others are dealt to blocks
-    of bounded size; each task compares the signatures of two blocks and returns only what survives.
+    The leader is the member with the most company in all its buckets: the text that most copies come from, if it
+    is there. Ties: the smallest id.
     """
-    kind = reps.schema["id"].dataType.simpleString()
+    size = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    company = rows.join(size, "bucket").groupBy("id").agg(F.sum("size").alias("company"))
+    ranked = rows.join(company, "id")
+    return ranked.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("m"))).alias("top"), F.count("*").alias("size")).where("size > 1").select("bucket", "size", (-F.col("top.m")).alias("leader"))
+
+
+def _mixed_members(rows: DataFrame, leads: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, id, size, part): members, the leader aside, of buckets that the first links leave in several components."""
     members = rows.join(leads.where("size > 2"), "bucket").where("id <> leader").select("bucket", "id", "size")
     members = members.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("part"))
     mixed = members.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-    members = members.join(mixed, "bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = members.withColumn("n_blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("n_blocks") - 1)
-    dealt = members.withColumn("other", F.explode(others)).select("bucket", "id", "part", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    dealt = dealt.join(reps.select("id", "sig"), "id")
+    return members.join(mixed, "bucket")
+
+
+def _mixed_links(members: DataFrame, reps: DataFrame, sets: DataFrame, rows_per_band: int, bounds: list[tuple[int, int]], num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what links between members of a bucket connect.
+
+    Members are dealt to blocks of bounded size, and each pair of blocks is a task's group: signatures are
+    compared in batches, survivors on their full sets, and pairs that are connected already are passed over. A
+    pair is looked at only in the first band that it shares. No pairs leave the task but the links that join
+    two of its components.
+    """
+    kind = reps.schema["id"].dataType.simpleString()
+    members = members.withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("bucket", "id", "part", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    dealt = dealt.join(reps.select("id", "sig").join(sets, "id"), "id")
 
     def compare(key, group):
         sig = np.frombuffer(b"".join(group["sig"]), dtype="<u4").reshape(len(group), HASHES)
-        part, own, ids = group["part"].to_numpy(), group["own"].to_numpy(), group["id"].to_numpy()
+        part, own, ids, full = group["part"].to_numpy(), group["own"].to_numpy(), group["id"].to_numpy(), group["s"].tolist()
+        bands = _band_keys(sig, rows_per_band)
+        here = int(np.flatnonzero((bands == np.int64(key[0]).view(np.uint64)).all(axis=0))[0])
+        _, part = np.unique(part, return_inverse=True)
         found = []
         step = max(1, _ROWS_AT_A_TIME // max(1, len(ids)))
         for begin in range(0, len(ids), step):
@@ -205,12 +244,15 @@ def _mixed_pairs(rows: DataFrame, leads: DataFrame, labels: DataFrame, reps: Dat
             fits = (ids[i] < ids[j]) & (part[i] != part[j]) & ((own[i] != own[j]) | (key[1] == key[2]))
             i, j = i[fits], j[fits]
             keep = likely(sig, i, sig, j, bounds)
-            found.append(np.c_[ids[i[keep]], ids[j[keep]]])
-        import pandas as pd
-
-        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+            i, j = i[keep], j[keep]
+            first = ~(bands[i, :here] == bands[j, :here]).any(axis=1)
+            for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                if part[a] != part[b] and is_link(full[a], full[b], num, den):
+                    found.append((ids[a], ids[b]))
+                    part[part == part[b]] = part[a]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("bucket", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    return dealt.groupBy("bucket", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, words: int = WORDS, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,18 +270,18 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, words: int =
     same = sketch.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
     same = save(same, "minhash-representatives")
     reps = save(sketch.join(same.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").where("n > 0").dropDuplicates(["id"]).select("id", "sig"), "minhash-signatures")
-    bounds = least_matches(num / den, miss)
-    rows = save(bands(reps, band_rows(num, den)), "minhash-bands")
-    leads = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    leads = save(leads, "minhash-leaders")
+    bounds, per_band = least_matches(num / den, miss), band_rows(num, den)
+    rows = save(bands(reps, per_band), "minhash-bands")
+    leads = save(_leaders(rows), "minhash-leaders")
     pairs = rows.join(leads, "bucket").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     survivors = save(_prune(pairs, reps, bounds), "minhash-survivors")
-    links = save(_verify(survivors, docs, id_col, text_col, words, num, den), "minhash-links")
+    ends = survivors.select(F.col("a").alias("id")).unionByName(survivors.select(F.col("b").alias("id")))
+    links = save(_verify(survivors, _sets(docs, ends, id_col, text_col, words), num, den), "minhash-links")
     labels = save(components(links), "minhash-labels")
-    more = save(_mixed_pairs(rows, leads, labels, reps, bounds), "minhash-more")
-    if not more.isEmpty():
-        links = links.unionByName(_verify(more, docs, id_col, text_col, words, num, den))
-        labels = save(components(links), "minhash-labels")
+    members = save(_mixed_members(rows, leads, labels), "minhash-mixed")
+    sets = _sets(docs, members, id_col, text_col, words)
+    more = save(_mixed_links(members, reps, sets, per_band, bounds, num, den), "minhash-more")
+    labels = save(components(links.unionByName(more)), "minhash-labels")
     rep_label = same.join(labels, same["rep"] == labels["id"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("id", "n", "k1", "k2").join(rep_label, ["k1", "k2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
