@@ -1 +1 @@
-
+"""Column functions: clocks, rounding, conditions, option prices."""

@@ -1 +1 @@
-
+"""Operators on market data and results: DataFrames in, DataFrames out."""
