@@ -37,19 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def save(df: DataFrame, name: str, batch_rows: int = 2000) -> DataFrame:
     """Writes df to the shared folder and reads it again: what was computed survives lost executors.
 
-    The shuffle files of the written query are no longer needed then and are deleted.
+    The shuffle files of the written query are no longer needed then and are deleted. batch_rows bounds what
+    Python workers get at a time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
+    before = {_CLEANUP: spark.conf.get(_CLEANUP, "false"), _BATCH: spark.conf.get(_BATCH)}
     spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_BATCH, str(batch_rows))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

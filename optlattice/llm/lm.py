@@ -12,7 +12,7 @@ from ._shared import CHUNK_CHARS, coded, hashed, run_sums, save, starts, words_o
 #: Bytes of the longest context.
 DEPTH = 5
 #: Documents of a group, whose distinct words and contexts are looked up together.
-GROUP_DOCS = 12_000
+GROUP_DOCS = 8_000
 WORD, GRAM = 0, 1
 _HALF = np.log(0.5)
 

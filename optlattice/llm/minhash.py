@@ -175,8 +175,8 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: in
     return save(texts.mapInArrow(run, f"id {kind}, s binary"), "minhash-sets")
 
 
-def is_link(x: bytes, y: bytes, num: int, den: int) -> bool:
-    """Whether two sets have den * intersection >= num * union."""
+def is_link(x, y, num: int, den: int) -> bool:
+    """Whether two sets, given as buffers of sorted hashes, have den * intersection >= num * union."""
     x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
     if den * min(len(x), len(y)) < num * max(len(x), len(y)):
         return False
@@ -190,7 +190,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = pa.array([k for k, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)) if is_link(x, y, num, den)], pa.int64())
+            pairs = zip(batch.column("sa"), batch.column("sb"), strict=True)
+            keep = pa.array([k for k, (x, y) in enumerate(pairs) if is_link(x.as_buffer(), y.as_buffer(), num, den)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
@@ -276,7 +277,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, words: int =
     pairs = rows.join(leads, "bucket").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     survivors = save(_prune(pairs, reps, bounds), "minhash-survivors")
     ends = survivors.select(F.col("a").alias("id")).unionByName(survivors.select(F.col("b").alias("id")))
-    links = save(_verify(survivors, _sets(docs, ends, id_col, text_col, words), num, den), "minhash-links")
+    links = save(_verify(survivors, _sets(docs, ends, id_col, text_col, words), num, den), "minhash-links", batch_rows=500)
     labels = save(components(links), "minhash-labels")
     members = save(_mixed_members(rows, leads, labels), "minhash-mixed")
     sets = _sets(docs, members, id_col, text_col, words)
