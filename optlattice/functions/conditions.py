@@ -33,11 +33,41 @@ def compile_condition(text: str, resolve: Callable[[str], Column] | None = None)
     implied = re.fullmatch(r"\s*if\s+(.+?)\s+then\s+(.+)", text, re.S)
     if implied:
         return ~compile_condition(implied[1], resolve) | compile_condition(implied[2], resolve)
+    return _build(_parsed(text), resolve or (lambda n: F.col(column_name(n))))
+
+
+def check_condition(text: str) -> None:
+    """Raises ConditionError for what compile_condition() doesn't take; needs no session."""
+    implied = re.fullmatch(r"\s*if\s+(.+?)\s+then\s+(.+)", text, re.S)
+    for part in implied.groups() if implied else [text]:
+        _allowed(_parsed(part))
+
+
+def _parsed(text: str) -> ast.AST:
     try:
-        root = ast.parse(text.strip(), mode="eval").body
+        return ast.parse(text.strip(), mode="eval").body
     except SyntaxError as e:
         raise ConditionError(f"not a condition: {text!r}") from e
-    return _build(root, resolve or (lambda n: F.col(column_name(n))))
+
+
+def _allowed(node: ast.AST) -> None:
+    match node:
+        case ast.Constant(value=bool() | int() | float() | str()) | ast.Name() | ast.Attribute(value=ast.Name()):
+            parts = []
+        case ast.Compare(left=a, ops=[op], comparators=[b]) if type(op) in _COMPARE:
+            parts = [a, b]
+        case ast.BoolOp(values=parts):
+            pass
+        case ast.UnaryOp(op=ast.Not(), operand=x) | ast.Call(func=ast.Name(id="abs"), args=[x], keywords=[]):
+            parts = [x]
+        case ast.UnaryOp(op=ast.USub(), operand=ast.Constant(value=int() | float() as v)) if not isinstance(v, bool):
+            parts = []
+        case ast.BinOp(left=a, op=ast.Add() | ast.Sub() | ast.Mult() | ast.Div(), right=b):
+            parts = [a, b]
+        case _:
+            raise ConditionError(f"not allowed in a condition: {ast.unparse(node)}")
+    for part in parts:
+        _allowed(part)
 
 
 def _build(node: ast.AST, resolve: Callable[[str], Column]) -> Column:

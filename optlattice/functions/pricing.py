@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: The rate of the stored greeks.
 RATE = 0.01
@@ -25,8 +26,17 @@ def _horner(x, coefficients):
     return out
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row: the expressions would grow with every use."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normal_cdf(x: Column) -> Column:
     """The standard normal distribution, within 1e-15."""
+    return _once(x, _normal_cdf)
+
+
+def _normal_cdf(x: Column) -> Column:
     a = F.abs(x)
     e = F.exp(-a * a / 2)
     near = e * _horner(a, [F.lit(c) for c in _TOP]) / _horner(a, [F.lit(c) for c in _BOTTOM])
@@ -104,7 +114,7 @@ def bisect_iv(p: np.ndarray, f: np.ndarray, k: np.ndarray, t: np.ndarray, call:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _implied_vol(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for p, f, k, t, right in parts:
         yield pd.Series(bisect_iv(p, f, k, t, (right == "C").to_numpy()))

@@ -1 +1 @@
-
+"""Where data come from and go to."""
