@@ -6,8 +6,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import chain, count, repeat
 
 import numpy as np
 import pandas as pd
@@ -81,9 +82,10 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_CHARS)
 def coded(lists: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of all items in order, the distinct items, and the items in each list."""
     counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    flat = np.empty(int(counts.sum()), dtype=object)
-    flat[:] = list(chain.from_iterable(lists))
-    codes, distinct = pd.factorize(flat)
+    number: defaultdict = defaultdict(count().__next__)
+    codes = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=int(counts.sum()))
+    distinct = np.empty(len(number), dtype=object)
+    distinct[:] = list(number)
     return codes, distinct, counts
 
 

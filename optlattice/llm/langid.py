@@ -50,12 +50,12 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     A run of other characters counts as one boundary, and so do the ends of a text; n-grams with a boundary in
     the middle are left out.
     """
-    joined = "\n".join(texts)
+    joined = "".join(t + "\n" for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     classes = letter_classes()[np.minimum(points, 0xFFFF)]
     for p in np.unique(points[points > 0xFFFF]):
         classes[points == p] = _class(chr(p))
-    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)[: len(points)]
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
     letters = np.bincount(owner[classes > 0], minlength=len(texts))
     first = np.r_[True, classes[1:] != 0] | np.r_[True, classes[:-1] != 0]
     classes, owner = np.r_[0, classes[first], 0], np.r_[-1, owner[first], -1]

@@ -136,57 +136,78 @@ def _word_keys(distinct: np.ndarray) -> np.ndarray:
 END = int(_word_keys(np.array([b"\n"], dtype=object))[0])
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, back = np.unique(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), return_inverse=True)
-    return key, np.bincount(back, weights=np.concatenate(counts) if counts else None, minlength=len(key)).astype(np.int64)
+class Counts:
+    """Counts of keys, summed up whenever many are waiting."""
+
+    def __init__(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+        self.keys.append(keys[first])
+        self.counts.append(np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.zeros(0, dtype=np.int64))
+        self.waiting += len(first)
+        if self.waiting > 1_000_000 and len(self.keys) > 1:
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) != 1:
+            keys, counts = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (self.keys, self.counts))
+            self.keys, self.counts, self.waiting = [], [], -len(keys)
+            self.add(keys, counts)
+            self.waiting = 0
+        return self.keys[0], self.counts[0]
 
 
 def gather(rows: pd.DataFrame) -> pd.DataFrame:
     """The distinct word keys and grams of a group's documents, with their counts in its training documents."""
     texts, training = [t or "" for t in rows["_text"]], rows["_train"].to_numpy(dtype=bool)
-    words, grams = ([], []), ([], [])
+    words, grams = Counts(), Counts()
     for part in _parts(texts):
         lists = [words_of(t) for t in texts[part]]
         codes, distinct, counts = coded(lists)
         learn = np.repeat(training[part], counts)
-        words[0].append(np.r_[_word_keys(distinct), END])
-        words[1].append(np.r_[np.bincount(codes[learn], minlength=len(distinct)), training[part].sum()])
+        words.add(np.r_[_word_keys(distinct), END], np.r_[np.bincount(codes[learn], minlength=len(distinct)), training[part].sum()])
         gram, size = _grams([line_of(x) for x in lists])
-        learn = np.repeat(training[part], size)
-        grams[0].append(gram)
-        grams[1].append(learn.astype(np.int64))
-        grams[0][-1], grams[1][-1] = _summed([grams[0][-1]], [grams[1][-1]])
+        grams.add(gram, np.repeat(training[part], size))
     out = []
-    for kind, (keys, counts) in ((WORD, words), (GRAM, grams)):
-        key, n = _summed(keys, counts)
+    for kind, counts in ((WORD, words), (GRAM, grams)):
+        key, n = counts.total()
         out.append(pd.DataFrame({"kind": np.int32(kind), "key": key, "n": n}))
     return pd.concat(out, ignore_index=True)
 
 
 class Lookup:
-    """Values of grams, found byte by byte: level after level, a table leads from a number and a byte to the next number."""
-
-    def __init__(self, gram: np.ndarray, value: np.ndarray, depth: int = DEPTH):
-        used = np.unique(np.concatenate([gram >> 8 * k & 255 for k in range(depth + 1)])) if len(gram) else np.zeros(1, dtype=np.int64)
-        self.depth, self.width = depth, len(used) + 1
-        self.class_of = np.full(256, len(used), dtype=np.int64)
-        self.class_of[used] = np.arange(len(used))
-        self.steps = []
-        number = np.zeros(len(gram), dtype=np.int64)
-        for k in range(depth, -1, -1):
-            edge = number * self.width + self.class_of[gram >> 8 * k & 255]
-            distinct, number = np.unique(edge, return_inverse=True)
-            step = np.zeros((int(distinct.max(initial=0)) // self.width + 1) * self.width, dtype=np.int32)
-            step[distinct] = np.arange(len(distinct))
-            self.steps.append(step)
-        self.value = np.zeros(len(gram))
-        self.value[number] = value
+    """Values of grams in a table with at least two slots for each; a taken slot leads to the next one."""
+
+    def __init__(self, gram: np.ndarray, value: np.ndarray):
+        self.bits = max(4, int(len(gram)).bit_length() + 1)
+        self.gram = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.value = np.zeros(1 << self.bits)
+        left, at = np.arange(len(gram)), self._slot(gram)
+        while len(left):
+            free = self.gram[at] < 0
+            self.gram[at[free]] = gram[left[free]]  # of several the last one stays
+            here = self.gram[at] == gram[left]
+            self.value[at[here]] = value[left[here]]
+            left, at = left[~here], (at[~here] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, gram: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, gram: np.ndarray) -> np.ndarray:
-        number = np.zeros(len(gram), dtype=np.int64)
-        for k, step in zip(range(self.depth, -1, -1), self.steps, strict=True):
-            number = step[number * self.width + self.class_of[gram >> 8 * k & 255]].astype(np.int64)
-        return self.value[number]
+        """The value of each gram; every gram must be there."""
+        at = self._slot(gram)
+        miss = np.flatnonzero(self.gram[at] != gram)
+        while len(miss):
+            at[miss] = (at[miss] + 1) & ((1 << self.bits) - 1)
+            miss = miss[self.gram[at[miss]] != gram[miss]]
+        return self.value[at]
 
 
 def score_group(rows: pd.DataFrame, known: pd.DataFrame, total: int, distinct_words: int) -> pd.DataFrame:
