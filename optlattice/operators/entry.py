@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.conditions import compile_condition
-from ..functions.expr import signed, tick_round
+from ..functions.expr import signed, stop_loss_price, take_profit_price, tick_round
+from .pnl import with_ids
 
 
 def roll_schedule(days: DataFrame, contracts: DataFrame, roll_days: int = 7) -> DataFrame:
@@ -83,8 +84,6 @@ def entries(legs: DataFrame, actions: Mapping[str, tuple[str, int]], tick: float
 
     open_mark is the signed sum of the closes, credits positive, rounded to the tick.
     """
-    from ..functions.expr import stop_loss_price, take_profit_price
-
     table = F.create_map(*(F.lit(x) for n, (a, q) in actions.items() for x in (n, q if a in ("sell_to_open", "STO") else -q)))
     rows = legs.withColumn("signed_qty", F.element_at(table, F.col("leg_name")))
     leg = F.struct("leg_name", "instrument_id", "signed_qty", "strike_price", "right", "expiration", "close")
@@ -94,8 +93,8 @@ def entries(legs: DataFrame, actions: Mapping[str, tuple[str, int]], tick: float
     if max_debit is not None:
         marks = marks.where(F.col("open_mark") >= -abs(max_debit))
     mark = F.col("open_mark")
-    order = Window.orderBy("ts_event")
-    return marks.withColumns({"tp_price": take_profit_price(mark, take_profit_pct), "sl_price": stop_loss_price(mark, stop_loss)}).withColumn("entry_id", F.row_number().over(order) - 1 + first_id).withColumnRenamed("ts_event", "entry_time")
+    marks = marks.withColumns({"tp_price": take_profit_price(mark, take_profit_pct), "sl_price": stop_loss_price(mark, stop_loss), "_day": F.to_date("ts_event")})
+    return with_ids(marks, ["ts_event"], first_id, "entry_id", "_day").drop("_day").withColumnRenamed("ts_event", "entry_time")
 
 
 def where_all(rows: DataFrame, conditions: Sequence[str]) -> DataFrame:

@@ -102,8 +102,11 @@ def exit_rules(strategy: Strategy, trade: Trade) -> exit.ExitRules:
 
 
 def run_trade(strategy: Strategy, trade: Trade, market: dict[str, DataFrame], multiplier: float = 50.0) -> DataFrame:
-    """Closed positions of one trade with costs and profit, after enforcement."""
-    entries = find_entries(strategy, trade, market)
+    """Closed positions of one trade with costs and profit, after enforcement.
+
+    Entries and exits are used several times and are kept; what a lost executor held is computed again.
+    """
+    entries = find_entries(strategy, trade, market).persist()
     rules = exit_rules(strategy, trade)
     legs = entries.select("entry_id", F.explode("legs").alias("l")).select("entry_id", "l.instrument_id", "l.signed_qty")
     held = market["option_bars"].join(legs.select("instrument_id").distinct(), "instrument_id", "left_semi")
@@ -116,6 +119,7 @@ def run_trade(strategy: Strategy, trade: Trade, market: dict[str, DataFrame], mu
     if trade.exit.leg_out:
         fills = exit.leg_out_fills(exits.where(F.col("exit_reason") != "expiry"), legs, held).withColumnRenamed("exit_mark", "_fill")
         exits = exits.join(fills, "entry_id", "left").withColumn("exit_mark", F.coalesce("_fill", "exit_mark")).drop("_fill")
+    exits = exits.persist()
     both = entries.select("entry_id", "entry_time").join(exits.select("entry_id", "exit_time", "exit_reason"), "entry_id", "left")
     both = both.withColumns({"gate_time": F.col("exit_time"), "day": F.to_date(clock.local(F.col("entry_time"), rules.zone)), "trade_name": F.lit(trade.name)})
     kept = enforce.greedy_walk(both, ["trade_name"], trade.entry.max_entries_per_day)

@@ -17,9 +17,13 @@ def without_repeats(bars: DataFrame, delay: str = "1 hour") -> DataFrame:
     return bars.withWatermark("ts_event", delay).dropDuplicatesWithinWatermark(["instrument_id", "ts_event"])
 
 
-def buckets(bars: DataFrame, size: str = "5 minutes", delay: str = "1 hour") -> DataFrame:
-    """Open, high, low, close and volume per instrument and bucket of up to a day; bars later than the delay are left out."""
-    grouped = bars.withWatermark("ts_event", delay).groupBy("instrument_id", F.window("ts_event", size).alias("w"))
+def buckets(bars: DataFrame, size: str = "5 minutes", delay: str | None = "1 hour") -> DataFrame:
+    """Open, high, low, close and volume per instrument and bucket of up to a day; bars later than the delay are left out.
+
+    Without a delay the one that an earlier step has set holds.
+    """
+    bars = bars.withWatermark("ts_event", delay) if delay else bars
+    grouped = bars.groupBy("instrument_id", F.window("ts_event", size).alias("w"))
     out = grouped.agg(F.min_by("open", "ts_event").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts_event").alias("close"), F.sum("volume").alias("volume"))
     return out.select("instrument_id", F.col("w.start").alias("bucket"), "open", "high", "low", "close", "volume")
 

@@ -50,9 +50,18 @@ def test_sweeps():
     assert [c["trades"][0]["exit"]["stop_loss"] for _, _, c in strategy.expand(explicit)] == [1.0, 9.0]
 
 
-def test_a_whole_backtest(spark, sf_dir):
+@pytest.fixture(scope="module")
+def market(spark, sf_dir, tmp_path_factory):
+    """Stored market tables."""
+    root = tmp_path_factory.mktemp("market")
+    tables = {"underlying_bars": fixtures.underlying_bars(spark, sf_dir), "option_bars": fixtures.option_bars(spark, sf_dir), "option_greeks": fixtures.option_greeks(spark, sf_dir).where("T > 0")}
+    for name, table in tables.items():
+        table.coalesce(1).write.parquet(f"{root}/{name}")
+    return {name: spark.read.parquet(f"{root}/{name}") for name in tables}
+
+
+def test_a_whole_backtest(market):
     s = strategy.parse_strategy(strategy.load_strategy(SPREAD))
-    market = {"underlying_bars": fixtures.underlying_bars(spark, sf_dir), "option_bars": fixtures.option_bars(spark, sf_dir), "option_greeks": fixtures.option_greeks(spark, sf_dir).where("T > 0")}
     rows = backtest.run(s, market).orderBy("entry_time").collect()
     assert rows
     end = None
@@ -64,8 +73,7 @@ def test_a_whole_backtest(spark, sf_dir):
     assert max(sum(1 for r in rows if r.entry_time.date() == d) for d in {r.entry_time.date() for r in rows}) == 1
 
 
-def test_a_single_step_equals_a_flat_delta(spark, sf_dir):
-    market = {"underlying_bars": fixtures.underlying_bars(spark, sf_dir), "option_bars": fixtures.option_bars(spark, sf_dir), "option_greeks": fixtures.option_greeks(spark, sf_dir).where("T > 0")}
+def test_a_single_step_equals_a_flat_delta(market):
     flat, stepped = strategy.load_strategy(SPREAD), strategy.load_strategy(SPREAD)
     leg = stepped["trades"][0]["legs"][0]
     stepped["trades"][0]["legs"][0] = {k: v for k, v in leg.items() if k not in ("delta", "dte", "dte_tolerance")} | {"stepped": {"source": "close", "steps": [{"delta": -0.3, "delta_tolerance": 0.15, "dte": 10, "dte_tolerance": 8}]}}

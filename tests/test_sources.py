@@ -46,6 +46,6 @@ def test_streams(spark, tmp_path):
     stream = bars.source(spark, f"{tmp_path}/in", schema)
     bars.append_available(bars.without_repeats(stream), f"{tmp_path}/out", f"{tmp_path}/c1").awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
-    bars.append_available(bars.buckets(bars.without_repeats(stream)), f"{tmp_path}/agg", f"{tmp_path}/c2").awaitTermination(60)
+    bars.append_available(bars.buckets(bars.without_repeats(stream), delay=None), f"{tmp_path}/agg", f"{tmp_path}/c2").awaitTermination(60)
     got = [(r.open, r.high, r.low, r.close, r.volume) for r in spark.read.parquet(f"{tmp_path}/agg").collect()]
     assert got == [(1.0, 5.0, 1.0, 4.0, 3)]
