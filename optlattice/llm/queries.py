@@ -26,7 +26,8 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     chain = toxicity.train(toxicity.training_rows(docs, read(spark, sf_dir, "labels")))
-    return toxicity.score(docs, chain)
+    scored = toxicity.score(docs, chain)
+    return scored.select("doc_id", F.col("is_toxic").alias("toxic"), F.col("p_toxic").alias("score"), "p_low_quality")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +78,20 @@ QUERIES = {
         op10_embedding_near_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Brute force in SQL: all pairs of documents that share a shingle, all pairs of vectors.
+ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(ws[i : i + 4], ' ')) AS sh FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM r GROUP BY 1) m ON m.id = d.doc_id""",
+    "op10_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1),
+r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id)
+SELECT x.vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, x.vec_id = m.c AS kept FROM embeddings x LEFT JOIN n ON n.a = x.vec_id JOIN (SELECT id, min(c) AS c FROM r GROUP BY 1) m ON m.id = x.vec_id""",
+}

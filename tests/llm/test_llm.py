@@ -418,7 +418,7 @@ def test_queries_carry_their_contracts(spark, sf_dir):
     want = {
         "op1": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         "op2": ["doc_id", "n_shingles", "component_id", "kept"],
-        "op3": ["doc_id", "is_toxic"],
+        "op3": ["doc_id", "toxic", "score"],
         "op4": ["doc_id", "held_out", "lang_pred", "score"],
         "op5": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
         "op6": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
