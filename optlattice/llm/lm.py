@@ -7,13 +7,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import CHUNK_CHARS, coded, hashed, run_sums, save, starts, words_of
+from ._shared import coded, hashed, run_sums, save, starts, words_of
 
 #: Bytes of the longest context.
 DEPTH = 5
 #: Documents of a group, whose distinct words and contexts are looked up together.
-GROUP_DOCS = 8_000
+GROUP_DOCS = 4_000
 WORD, GRAM = 0, 1
+#: Characters of a group that are worked on at a time, and distinct keys that wait to be summed up.
+PART_CHARS, WAITING = 600_000, 400_000
 _HALF = np.log(0.5)
 
 
@@ -116,7 +118,7 @@ def _parts(texts: list[str]):
     begin = 0
     while begin < len(texts):
         total, end = 0, begin
-        while end < len(texts) and (end == begin or total + len(texts[end]) <= CHUNK_CHARS):
+        while end < len(texts) and (end == begin or total + len(texts[end]) <= PART_CHARS):
             total += len(texts[end])
             end += 1
         yield slice(begin, end)
@@ -151,7 +153,7 @@ class Counts:
         self.keys.append(keys[first])
         self.counts.append(np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.zeros(0, dtype=np.int64))
         self.waiting += len(first)
-        if self.waiting > 1_000_000 and len(self.keys) > 1:
+        if self.waiting > WAITING and len(self.keys) > 1:
             self.total()
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
