@@ -12,6 +12,8 @@ from pyspark.sql.types import DoubleType
 
 #: The rate of the stored greeks.
 RATE = 0.01
+#: The fields of greeks().
+GREEKS = ("delta", "gamma", "theta", "vega")
 #: Bisection: bounds, accepted price error, steps at most.
 IV_LOW, IV_HIGH, IV_ERROR, IV_STEPS = 1e-4, 10.0, 1e-6, 100
 #: The coefficients of Hart's rational approximation of the normal distribution, highest power first.
@@ -62,21 +64,32 @@ def usable(f: Column, k: Column, t: Column, sigma: Column) -> Column:
 def price(f: Column, k: Column, t: Column, sigma: Column, right: Column, r: float = RATE) -> Column:
     """Black-76 price of a call (C) or put; 0 where F, K, T or sigma isn't positive."""
     d1, d2 = d1_d2(f, k, t, sigma)
-    call = f * normal_cdf(d1) - k * normal_cdf(d2)
-    put = k * normal_cdf(-d2) - f * normal_cdf(-d1)
-    return F.when(usable(f, k, t, sigma), F.exp(-r * t) * F.when(right == "C", call).otherwise(put)).otherwise(0.0)
-
-
-def greeks(f: Column, k: Column, t: Column, sigma: Column, right: Column, r: float = RATE) -> dict[str, Column]:
-    """delta, gamma, theta (a day) and vega (a unit of volatility); NaN where they can't be computed."""
-    d1, _ = d1_d2(f, k, t, sigma)
-    discount, density = F.exp(-r * t), normal_pdf(d1)
-    delta = discount * F.when(right == "C", normal_cdf(d1)).otherwise(normal_cdf(d1) - 1)
-    gamma = discount * density / (f * sigma * F.sqrt(t))
-    vega = f * discount * density * F.sqrt(t)
-    theta = (-f * discount * density * sigma / (2 * F.sqrt(t)) + r * price(f, k, t, sigma, right, r)) / 365
-    good = usable(f, k, t, sigma)
-    return {n: F.when(good, c).otherwise(F.lit(float("nan"))) for n, c in (("delta", delta), ("gamma", gamma), ("theta", theta), ("vega", vega))}
+
+    def value(d: Column) -> Column:
+        call = f * _once(d["d1"], _normal_cdf) - k * _once(d["d2"], _normal_cdf)
+        return F.exp(-r * t) * F.when(right == "C", call).otherwise(call - f + k)
+
+    return F.when(usable(f, k, t, sigma), _once(F.struct(d1.alias("d1"), d2.alias("d2")), value)).otherwise(0.0)
+
+
+def greeks(f: Column, k: Column, t: Column, sigma: Column, right: Column, r: float = RATE) -> Column:
+    """A struct of delta, gamma, theta (a day) and vega (a unit of volatility); NaN where they can't be computed."""
+    d1, d2 = d1_d2(f, k, t, sigma)
+    parts = F.struct(d1.alias("d1"), normal_cdf(d1).alias("n1"), normal_cdf(d2).alias("n2"), F.sqrt(t).alias("root"), F.exp(-r * t).alias("discount"))
+
+    def value(p: Column) -> Column:
+        density = normal_pdf(p["d1"])
+        call = f * p["n1"] - k * p["n2"]
+        worth = p["discount"] * F.when(right == "C", call).otherwise(call - f + k)
+        return F.struct(
+            (p["discount"] * F.when(right == "C", p["n1"]).otherwise(p["n1"] - 1)).alias("delta"),
+            (p["discount"] * density / (f * sigma * p["root"])).alias("gamma"),
+            ((-f * p["discount"] * density * sigma / (2 * p["root"]) + r * worth) / 365).alias("theta"),
+            (f * p["discount"] * density * p["root"]).alias("vega"),
+        )
+
+    missing = F.struct(*(F.lit(float("nan")).alias(n) for n in GREEKS))
+    return F.when(usable(f, k, t, sigma), _once(parts, value)).otherwise(missing)
 
 
 def _cdf(x: np.ndarray) -> np.ndarray:

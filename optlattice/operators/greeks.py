@@ -24,4 +24,4 @@ def compute(option_bars: DataFrame, underlying_bars: DataFrame, stored: DataFram
     rows = rows.withColumns({"dte": clock.dte(ts, expiration), "T": clock.years_to_expiry(ts, expiration)})
     rows = rows.withColumn("iv", pricing.implied_vol(F.col("close"), F.col("spot"), F.col("strike_price"), F.col("T"), F.col("right")))
     found = pricing.greeks(F.col("spot"), F.col("strike_price"), F.col("T"), F.col("iv"), F.col("right"))
-    return rows.withColumns(found).select("ts_event", "instrument_id", "underlying_id", "dte", "T", "iv", *found, "underlying_lag_s")
+    return rows.withColumn("_g", found).select("ts_event", "instrument_id", "underlying_id", "dte", "T", "iv", *(f"_g.{n}" for n in pricing.GREEKS), "underlying_lag_s")

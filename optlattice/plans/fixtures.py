@@ -103,4 +103,4 @@ def option_greeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greeks at the known volatility."""
     b = option_bars(spark, sf_dir)
     found = pricing.greeks(F.col("spot"), F.col("strike_price"), F.col("t"), F.lit(0.2), F.col("right"))
-    return b.withColumns(found).select("ts_event", "instrument_id", "underlying_id", clock.dte(F.col("ts_event"), F.col("expiration")).alias("dte"), F.col("t").alias("T"), F.lit(0.2).alias("iv"), *found)
+    return b.withColumn("_g", found).select("ts_event", "instrument_id", "underlying_id", clock.dte(F.col("ts_event"), F.col("expiration")).alias("dte"), F.col("t").alias("T"), F.lit(0.2).alias("iv"), *(f"_g.{n}" for n in pricing.GREEKS))

@@ -24,16 +24,16 @@ def test_normal_cdf_matches_erfc(spark):
 @pytest.mark.parametrize("f,k,t,s", [(4000.0, 4000.0, 0.1, 0.2), (4000.0, 4200.0, 0.5, 0.35), (3900.0, 3500.0, 0.02, 0.15)])
 def test_prices_and_greeks(spark, f, k, t, s):
     args = [F.lit(x) for x in (f, k, t, s)]
-    row = one(spark, c=pricing.price(*args, F.lit("C")), p=pricing.price(*args, F.lit("P")), up=pricing.price(F.lit(f + 0.01), *args[1:], F.lit("C")), down=pricing.price(F.lit(f - 0.01), *args[1:], F.lit("C")), v=pricing.price(*args[:3], F.lit(s + 1e-4), F.lit("C")), **pricing.greeks(*args, F.lit("C")))
+    row = one(spark, c=pricing.price(*args, F.lit("C")), p=pricing.price(*args, F.lit("P")), up=pricing.price(F.lit(f + 0.01), *args[1:], F.lit("C")), down=pricing.price(F.lit(f - 0.01), *args[1:], F.lit("C")), v=pricing.price(*args[:3], F.lit(s + 1e-4), F.lit("C")), g=pricing.greeks(*args, F.lit("C")))
     assert row.c - row.p == pytest.approx(math.exp(-0.01 * t) * (f - k), abs=1e-9)  # put-call parity
-    assert row.delta == pytest.approx((row.up - row.down) / 0.02, abs=1e-5)
-    assert row.gamma == pytest.approx((row.up - 2 * row.c + row.down) / 1e-4, abs=1e-4)
-    assert row.vega == pytest.approx((row.v - row.c) / 1e-4, rel=1e-2)
+    assert row.g.delta == pytest.approx((row.up - row.down) / 0.02, abs=1e-5)
+    assert row.g.gamma == pytest.approx((row.up - 2 * row.c + row.down) / 1e-4, abs=1e-4)
+    assert row.g.vega == pytest.approx((row.v - row.c) / 1e-4, rel=1e-2)
 
 
 def test_prices_without_time_are_zero_and_greeks_nan(spark):
-    row = one(spark, p=pricing.price(F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0.2), F.lit("C")), **pricing.greeks(F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0.2), F.lit("C")))
-    assert row.p == 0 and math.isnan(row.delta) and math.isnan(row.vega)
+    row = one(spark, p=pricing.price(F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0.2), F.lit("C")), g=pricing.greeks(F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0.2), F.lit("C")))
+    assert row.p == 0 and math.isnan(row.g.delta) and math.isnan(row.g.vega)
 
 
 def test_implied_volatility_round_trip():
