@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import clock
 from ..functions.conditions import compile_condition
 from ..functions.expr import signed, stop_loss_price, take_profit_price, tick_round
-from .pnl import with_ids
 
 
 def roll_schedule(days: DataFrame, contracts: DataFrame, roll_days: int = 7) -> DataFrame:
@@ -74,27 +73,24 @@ def _nearest(joined: DataFrame, distance: Column, leg: str) -> DataFrame:
     return best.select("ts_event", F.lit(leg).alias("leg_name"), "b.*").withColumnRenamed("search_id", "underlying_id")
 
 
-def complete(legs: DataFrame, n_legs: int) -> DataFrame:
-    """Legs of the times at which every leg was found."""
-    return legs.join(legs.groupBy("ts_event").agg(F.countDistinct("leg_name").alias("_n")).where(F.col("_n") == n_legs).select("ts_event"), "ts_event", "left_semi")
-
-
 def entries(legs: DataFrame, actions: Mapping[str, tuple[str, int]], tick: float = 0.0, take_profit_pct: float | None = None, stop_loss: float | None = None, min_credit: float | None = None, max_debit: float | None = None, first_id: int = 0) -> DataFrame:
-    """One row per complete set of legs: entry_id by time, open_mark, tp_price, sl_price, and the legs as an array.
+    """One row per time at which every leg of `actions` was found: entry_id by time, open_mark, tp_price, sl_price, and the legs as an array.
 
-    open_mark is the signed sum of the closes, credits positive, rounded to the tick.
+    open_mark is the signed sum of the closes, credits positive, rounded to the tick. Ids come from one window:
+    a trade has one entry per bar at most, however many options there are.
     """
     table = F.create_map(*(F.lit(x) for n, (a, q) in actions.items() for x in (n, q if a in ("sell_to_open", "STO") else -q)))
     rows = legs.withColumn("signed_qty", F.element_at(table, F.col("leg_name")))
     leg = F.struct("leg_name", "instrument_id", "signed_qty", "strike_price", "right", "expiration", "close")
-    marks = rows.groupBy("ts_event").agg(tick_round(F.sum(F.col("signed_qty") * F.col("close")), tick).alias("open_mark"), F.array_sort(F.collect_list(leg)).alias("legs"), F.min("expiration").alias("trade_expiration"), F.first("underlying_id").alias("underlying_id"))
+    marks = rows.groupBy("ts_event").agg(tick_round(F.sum(F.col("signed_qty") * F.col("close")), tick).alias("open_mark"), F.array_sort(F.collect_list(leg)).alias("legs"), F.min("expiration").alias("trade_expiration"), F.min("underlying_id").alias("underlying_id"))
+    marks = marks.where(F.size("legs") == len(actions))
     if min_credit is not None:
         marks = marks.where(F.col("open_mark") >= min_credit)
     if max_debit is not None:
         marks = marks.where(F.col("open_mark") >= -abs(max_debit))
     mark = F.col("open_mark")
-    marks = marks.withColumns({"tp_price": take_profit_price(mark, take_profit_pct), "sl_price": stop_loss_price(mark, stop_loss), "_day": F.to_date("ts_event")})
-    return with_ids(marks, ["ts_event"], first_id, "entry_id", "_day").drop("_day").withColumnRenamed("ts_event", "entry_time")
+    levels = {"tp_price": take_profit_price(mark, take_profit_pct), "sl_price": stop_loss_price(mark, stop_loss)}
+    return marks.withColumns(levels).withColumn("entry_id", F.row_number().over(Window.orderBy("ts_event")) - 1 + first_id).withColumnRenamed("ts_event", "entry_time")
 
 
 def where_all(rows: DataFrame, conditions: Sequence[str]) -> DataFrame:

@@ -57,7 +57,7 @@ def find_entries(strategy: Strategy, trade: Trade, market: dict[str, DataFrame])
     searched = entry.contracts_to_search(rows, int(largest))
     offered = market["option_greeks"].drop("underlying_id").join(market["option_bars"].select("instrument_id", "ts_event", "underlying_id", "expiration", "strike_price", "right", "multiplier", "close"), ["instrument_id", "ts_event"])
     offered = audit.drop_flagged(offered, market.get("flags"), strategy.universe.audit_filter)
-    legs = entry.complete(_leg_frames(trade, searched, offered), len(trade.legs))
+    legs = _leg_frames(trade, searched, offered)
     actions = {x.name: (x.action, x.quantity) for x in trade.legs}
     found = entry.entries(legs, actions, spec.tick_size, trade.exit.take_profit_pct, _level(trade.exit.stop_loss), trade.entry.min_credit, trade.entry.max_debit)
     if trade.entry.conditions:

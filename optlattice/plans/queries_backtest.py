@@ -56,7 +56,7 @@ def _entries(spark, sf_dir):
     times = fx.hours(spark, sf_dir).where(F.hour("ts_event").between(15, 19)).select("ts_event", F.col("underlying_id").alias("search_id"))
     sold = entry.legs_by_delta(times, options, F.lit(-0.3), F.lit(0.1), F.lit(10), F.lit(6), "P", "short")
     bought = entry.legs_by_offset(sold, options, -25.0, "P", "long")
-    legs = entry.complete(sold.unionByName(bought), 2)
+    legs = sold.unionByName(bought)
     return entry.entries(legs, {"short": ("sell_to_open", 1), "long": ("buy_to_open", 1)}, tick=0.05, take_profit_pct=0.5, stop_loss=2.0, min_credit=0.5)
 
 
