@@ -94,7 +94,7 @@ def settlement_marks(entries: DataFrame, closes: DataFrame) -> DataFrame:
     legs = entries.select("entry_id", "underlying_id", "trade_expiration", F.explode("legs").alias("l"))
     on = (legs["underlying_id"] == closes["underlying_id"]) & (legs["trade_expiration"] == closes["date"])
     value = F.col("l.signed_qty") * intrinsic(F.col("l.right"), F.col("settlement"), F.col("l.strike_price"))
-    return legs.join(F.broadcast(closes), on).groupBy("entry_id").agg(F.sum(value).alias("settlement_mark"))
+    return legs.join(closes, on).groupBy("entry_id").agg(F.sum(value).alias("settlement_mark"))
 
 
 def flagged(position_marks: DataFrame, entries: DataFrame, rules: ExitRules, indicators: DataFrame | None = None, vega: DataFrame | None = None, settlement: DataFrame | None = None) -> DataFrame:

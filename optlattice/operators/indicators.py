@@ -61,7 +61,7 @@ def stale(values: DataFrame, definitions: DataFrame, bars: DataFrame) -> DataFra
 
 def wide(values: DataFrame, definitions: DataFrame, names: Sequence[str]) -> DataFrame:
     """One column per stated name, one row per contract and time, over all contracts."""
-    named = values.join(F.broadcast(definitions), values["indicator_id"] == definitions["id"]).select("ts_event", "underlying_id", "name", "value")
+    named = values.join(definitions, values["indicator_id"] == definitions["id"]).select("ts_event", "underlying_id", "name", "value")
     return named.groupBy("underlying_id", "ts_event").pivot("name", list(names)).agg(F.first("value"))
 
 

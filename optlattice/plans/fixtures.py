@@ -99,6 +99,13 @@ def option_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.withColumns({"t": t, "close": close}).select("ts_event", "instrument_id", "underlying_id", "expiration", "strike_price", "right", F.lit(50).alias("multiplier"), *(F.col("close").alias(c) for c in ("open", "high", "low", "close")), F.lit(1).alias("volume"), "spot", "t")
 
 
+def options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars and greeks of live options in one table."""
+    b = option_bars(spark, sf_dir).where("t > 0")
+    found = pricing.greeks(F.col("spot"), F.col("strike_price"), F.col("t"), F.lit(0.2), F.col("right"))
+    return b.withColumn("_g", found).select("ts_event", "instrument_id", "underlying_id", "expiration", "strike_price", "right", "multiplier", "close", clock.dte(F.col("ts_event"), F.col("expiration")).alias("dte"), *(f"_g.{n}" for n in pricing.GREEKS))
+
+
 def option_greeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greeks at the known volatility."""
     b = option_bars(spark, sf_dir)

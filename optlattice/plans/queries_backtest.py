@@ -52,7 +52,7 @@ ent AS (SELECT s.ts_event, s.underlying_id, s.expiration, s.instrument_id AS sol
 
 
 def _entries(spark, sf_dir):
-    options = fx.option_greeks(spark, sf_dir).where("T > 0").drop("underlying_id").join(fx.option_bars(spark, sf_dir).select("instrument_id", "ts_event", "underlying_id", "expiration", "strike_price", "right", "multiplier", "close"), ["instrument_id", "ts_event"])
+    options = fx.options(spark, sf_dir)
     times = fx.hours(spark, sf_dir).where(F.hour("ts_event").between(15, 19)).select("ts_event", F.col("underlying_id").alias("search_id"))
     sold = entry.legs_by_delta(times, options, F.lit(-0.3), F.lit(0.1), F.lit(10), F.lit(6), "P", "short")
     bought = entry.legs_by_offset(sold, options, -25.0, "P", "long")
@@ -62,7 +62,7 @@ def _entries(spark, sf_dir):
 
 @R.add(f"WITH {_LEGS} SELECT entry_id, {T('ts_event')} AS entry_time, open_mark, round(open_mark * 0.5, 4) AS tp_price, round(open_mark + 2, 4) AS sl_price, sold_id, sold_k, bought_id, bought_k FROM ent")
 def entries_by_delta_and_offset(spark, sf_dir):
-    """J4, J6, J31, T1, T2, P12, P19-P21, W12"""
+    """J6, J31, T1, T2, P12, P19-P21, W12"""
     e = _entries(spark, sf_dir)
     leg = lambda name, f: F.filter("legs", lambda x: x["leg_name"] == name)[0][f]
     return e.select(F.col("entry_id").cast("long").alias("entry_id"), fx.text("entry_time").alias("entry_time"), F.round("open_mark", 4).alias("open_mark"), F.round("tp_price", 4).alias("tp_price"), F.round("sl_price", 4).alias("sl_price"), leg("short", "instrument_id").alias("sold_id"), leg("short", "strike_price").alias("sold_k"), leg("long", "instrument_id").alias("bought_id"), leg("long", "strike_price").alias("bought_k"))

@@ -189,13 +189,13 @@ def missing_definitions(spark, sf_dir):
     return ingest.missing_definitions(b, fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("instrument_id")))
 
 
-@R.add(f"""WITH {fx.CHAIN} SELECT instrument_id, {T('ts_event')} AS ts_event, round(close, 6) AS price, round(delta, 6) AS delta, round(exp(-0.01 * t) * exp(-d1 * d1 / 2) / sqrt(2 * pi()) / (spot * 0.2 * sqrt(t)), 8) AS gamma,
-round(spot * exp(-0.01 * t) * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * sqrt(t), 4) AS vega, round((-spot * exp(-0.01 * t) * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * 0.2 / (2 * sqrt(t)) + 0.01 * close) / 365, 5) AS theta, dte FROM chain WHERE t > 0""")
+@R.add(f"""WITH {fx.CHAIN} SELECT instrument_id, {T('ts_event')} AS ts_event, round(close, 6) + 0.0 AS price, round(delta, 6) + 0.0 AS delta, round(exp(-0.01 * t) * exp(-d1 * d1 / 2) / sqrt(2 * pi()) / (spot * 0.2 * sqrt(t)), 8) AS gamma,
+round(spot * exp(-0.01 * t) * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * sqrt(t), 4) AS vega, round((-spot * exp(-0.01 * t) * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * 0.2 / (2 * sqrt(t)) + 0.01 * close) / 365, 5) + 0.0 AS theta, dte FROM chain WHERE t > 0""")
 def black76_greeks(spark, sf_dir):
     """K1, K3, K4"""
     g, b = fx.option_greeks(spark, sf_dir), fx.option_bars(spark, sf_dir)
     rows = g.join(b.select("instrument_id", "ts_event", "close"), ["instrument_id", "ts_event"]).where("T > 0")
-    return rows.select("instrument_id", fx.text("ts_event").alias("ts_event"), F.round("close", 6).alias("price"), F.round("delta", 6).alias("delta"), F.round("gamma", 8).alias("gamma"), F.round("vega", 4).alias("vega"), F.round("theta", 5).alias("theta"), F.col("dte").cast("long").alias("dte"))
+    return rows.select("instrument_id", fx.text("ts_event").alias("ts_event"), (F.round("close", 6) + 0.0).alias("price"), (F.round("delta", 6) + 0.0).alias("delta"), F.round("gamma", 8).alias("gamma"), F.round("vega", 4).alias("vega"), (F.round("theta", 5) + 0.0).alias("theta"), F.col("dte").cast("long").alias("dte"))
 
 
 @R.add(f"""WITH {fx.CHAIN} SELECT instrument_id, {T('ts_event')} AS ts_event, 0.2 AS iv, 0 AS underlying_lag_s FROM chain WHERE t > 0.004 AND close > 2""")

@@ -62,7 +62,7 @@ def merge_tags(parts: list[DataFrame]) -> DataFrame:
 
 def with_tags(backtests: DataFrame, links: DataFrame, tags: DataFrame) -> DataFrame:
     """Adds the sorted names of each backtest's tags; none: an empty array."""
-    named = links.join(F.broadcast(tags), "tag_id").groupBy("backtest_id").agg(F.sort_array(F.collect_set("name")).alias("tags"))
+    named = links.join(tags, "tag_id").groupBy("backtest_id").agg(F.sort_array(F.collect_set("name")).alias("tags"))
     return backtests.join(named, "backtest_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 

@@ -21,7 +21,7 @@ def duck(sf_dir):
 def plain(frame):
     rows = []
     for row in frame[sorted(frame.columns)].itertuples(index=False, name=None):
-        rows.append(tuple("null" if v is None or v != v else f"{float(v):.9g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v) for v in row))
+        rows.append(tuple("null" if v is None or v != v else f"{float(v) + 0.0:.9g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v) for v in row))
     return sorted(rows)
 
 
