@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, words: int =
 
     component_id is the smallest id reachable by links, kept tells if it is the document's own. Whole texts are
     used. Texts without words (or null) are linked with nothing; rows with a null id, too, and they get a null
-    component and kept = false. Ids are integers; rows that share one share its component. An empty table
+    component and kept = false. Ids are integers; rows that share one share its component, and the
+    smallest of its sets proposes links. An empty table
     gives no rows.
 
     Equal sets are one representative. Band buckets propose (leader, member) pairs, never all pairs; pairs
@@ -270,7 +271,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, words: int =
     sketch = save(sketches(docs, id_col, text_col, words), "minhash-sketches")
     same = sketch.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
     same = save(same, "minhash-representatives")
-    reps = save(sketch.join(same.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").where("n > 0").dropDuplicates(["id"]).select("id", "sig"), "minhash-signatures")
+    reps = save(sketch.join(same.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").where("n > 0").groupBy("id").agg(F.min_by("sig", F.struct("n", "k1", "k2")).alias("sig")), "minhash-signatures")
     bounds, per_band = least_matches(num / den, miss), band_rows(num, den)
     rows = save(bands(reps, per_band), "minhash-bands")
     leads = save(_leaders(rows), "minhash-leaders")
