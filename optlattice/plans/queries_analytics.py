@@ -270,3 +270,33 @@ def compared_dumps(spark, sf_dir):
     s = fx.table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal") if "s_acctbal" in fx.table(spark, sf_dir, "supplier").columns else fx.table(spark, sf_dir, "supplier").select("s_suppkey").withColumn("s_acctbal", F.lit(1.0))
     changed = s.withColumn("s_acctbal", F.when(F.col("s_suppkey") % 9 == 0, F.coalesce("s_acctbal", F.lit(0.0)) + 1).otherwise(F.col("s_acctbal")))
     return files.compare_dumps(s, changed).groupBy("side").agg(F.count("*").alias("n"))
+
+
+@R.add("""WITH b AS (SELECT c_custkey AS id, c_custkey % 7 AS s, CASE c_custkey % 3 WHEN 0 THEN 'failed' ELSE 'complete' END AS st, 'strategy ' || c_custkey % 2 AS n FROM customer), m AS (SELECT o_custkey AS id, count(*) AS n, round(max(o_totalprice), 2) AS sharpe FROM orders GROUP BY 1)
+SELECT s AS study_id, count(*) AS n_backtests, count(*) FILTER (st = 'complete') AS n_complete, count(*) FILTER (st = 'failed') AS n_failed, max(sharpe) AS best_sharpe, CAST(sum(m.n) AS BIGINT) AS n_trades, string_agg(DISTINCT b.n, ',' ORDER BY b.n) AS strategies,
+CASE WHEN bool_or(b.id % 2 = 0) THEN 'even' ELSE '' END AS tags FROM b LEFT JOIN m ON m.id = b.id GROUP BY 1""")
+def study_overview(spark, sf_dir):
+    """A16, A18, J29"""
+    k = F.col("c_custkey")
+    c = fx.table(spark, sf_dir, "customer").select(k.alias("backtest_id"), (k % 7).alias("study_id"), F.when(k % 3 == 0, "failed").otherwise("complete").alias("status"), F.concat(F.lit("strategy "), (k % 2).cast("string")).alias("strategy_name"))
+    links = c.where("backtest_id % 2 = 0").select("backtest_id", F.lit(1).alias("tag_id"))
+    tagged = results.with_tags(c, links, spark.createDataFrame([(1, "even")], "tag_id int, name string"))
+    m = fx.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("backtest_id")).agg(F.count("*").alias("n_trades"), F.round(F.max("o_totalprice"), 2).alias("sharpe"))
+    out = results.study_overview(tagged, m)
+    return out.withColumns({"strategies": F.array_join("strategies", ","), "tags": F.array_join("tags", ",")})
+
+
+@R.add(f"""WITH {_TR}, a AS (SELECT count(*) AS n, round(sum(net_pnl), 4) AS total FROM trades), b AS (SELECT max(o_orderkey) AS top FROM orders) SELECT n, total, top FROM a, b""")
+def dashboard_totals(spark, sf_dir):
+    """Two one-row aggregates side by side"""
+    a = fx.trades(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.sum("net_pnl"), 4).alias("total"))
+    return a.join(F.broadcast(fx.table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("top"))))
+
+
+@R.add(f"""SELECT event_id, CASE WHEN value > 100 THEN NULL ELSE value END AS shown FROM events WHERE value IS NOT NULL""")
+def nan_to_null(spark, sf_dir):
+    """P39"""
+    from ..functions.expr import nan_to_null as shown
+
+    e = fx.table(spark, sf_dir, "events").where("value is not null")
+    return e.select("event_id", shown(F.when(F.col("value") > 100, F.lit(float("nan"))).otherwise(F.col("value"))).alias("shown"))

@@ -265,3 +265,12 @@ def stitched_indicators(spark, sf_dir):
 
     rows = _tall(spark, sf_dir).withColumnRenamed("instrument_id", "underlying_id")
     return stitch(rows, _schedule(spark, sf_dir)).groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@R.add(f"WITH {_LEGS} SELECT entry_id, round(sold_k - open_mark, 4) AS breakeven FROM ent")
+def breakevens(spark, sf_dir):
+    """K21"""
+    from ..operators.explore import breakevens as found
+
+    out = found(_entries(spark, sf_dir))
+    return out.select(F.col("entry_id").cast("long").alias("entry_id"), F.round("breakeven", 4).alias("breakeven"))

@@ -8,6 +8,7 @@ from ..functions import clock, pricing
 from ..functions.conditions import compile_condition, steps, targets
 from ..functions.expr import clip_to_bound, contract_root, intrinsic, no_arbitrage, stop_loss_price, sum_horizontal, take_profit_price, tick_round, title_case
 from ..operators import asof, audit, explore, greeks, indicators, ingest
+from ..sources import scans
 from . import fixtures as fx
 from .registry import Registry
 
@@ -329,3 +330,46 @@ def names_and_titles(spark, sf_dir):
     """P36, P38, U5"""
     e = fx.table(spark, sf_dir, "events").select("event_type").distinct()
     return e.select("event_type", title_case(F.concat("event_type", F.lit("_event"))).alias("title"), contract_root(F.lit("ESM6")).alias("root"))
+
+
+@R.add(f"WITH {fx.BARS} SELECT {T('ts_event')} AS ts_event, open, high, low, close, volume FROM bars WHERE instrument_id = 3 AND ts_event BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12 12:00:00'")
+def scan_one(spark, sf_dir):
+    """One instrument's bars"""
+    return scans.one(fx.bars(spark, sf_dir), 3, "2024-01-05 00:00:00", "2024-01-12 12:00:00").withColumn("ts_event", fx.text("ts_event"))
+
+
+@R.add(f"WITH {fx.BARS} SELECT instrument_id, {T('ts_event')} AS ts_event, close, volume FROM bars WHERE instrument_id IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 1)")
+def scan_many(spark, sf_dir):
+    """The bars of a table of ids"""
+    ids = fx.table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 1").select(F.col("s_suppkey").alias("instrument_id"))
+    return scans.many(fx.bars(spark, sf_dir), ids, ("ts_event", "close", "volume")).withColumn("ts_event", fx.text("ts_event"))
+
+
+@R.add(f"WITH {fx.CHAIN} SELECT DISTINCT CAST(instrument_id AS BIGINT) AS instrument_id, underlying_id FROM chain")
+def option_underlyings(spark, sf_dir):
+    """S15"""
+    return scans.underlying_of(fx.option_bars(spark, sf_dir))
+
+
+@R.add(f"WITH {fx.CHAIN} SELECT underlying_id AS instrument_id, count(*) AS n FROM hours WHERE underlying_id = 1 GROUP BY 1")
+def scan_root(spark, sf_dir):
+    """S16"""
+    return scans.by_root(fx.underlying_bars(spark, sf_dir), "ESG").groupBy("instrument_id").agg(F.count("*").alias("n"))
+
+
+@R.add(f"SELECT event_id, {T('ts')} AS ts_event, value AS close, CAST(NULL AS BIGINT) IS NULL AS no_volume FROM events WHERE value IS NOT NULL")
+def decoded_bars(spark, sf_dir):
+    """Fixed-point prices and nanoseconds, a column that older files lack"""
+    e = fx.table(spark, sf_dir, "events").where("value is not null")
+    coded = F.round(F.col("value") * 1e9).cast("long")
+    raw = e.select("event_id", (clock.epoch_micros(fx.ntz("ts")) * 1000).alias("ts_event"), *(coded.alias(c) for c in ("open", "high", "low", "close")))
+    out = ingest.heal(ingest.decode_bars(raw), {"volume": "long"})
+    return out.select("event_id", fx.text("ts_event").alias("ts_event"), "close", F.col("volume").isNull().alias("no_volume"))
+
+
+@R.add(f"""WITH {fx.CHAIN}, b AS (SELECT * FROM chain WHERE t > 0) SELECT c.instrument_id, {T('c.ts_event')} AS ts_event, c.dte, round(c.delta, 6) + 0.0 AS delta, round(b.close, 6) + 0.0 AS close FROM chain c JOIN b USING (instrument_id, ts_event) WHERE c.right_ = 'C' AND c.delta BETWEEN 0.4 AND 0.6""")
+def greeks_with_bars(spark, sf_dir):
+    """J4, J22"""
+    b = fx.option_bars(spark, sf_dir).where("t > 0").select("instrument_id", "ts_event", "right", "close")
+    g = fx.option_greeks(spark, sf_dir).join(b, ["instrument_id", "ts_event"]).where("right = 'C' and delta between 0.4 and 0.6")
+    return g.select("instrument_id", fx.text("ts_event").alias("ts_event"), F.col("dte").cast("long").alias("dte"), (F.round("delta", 6) + 0.0).alias("delta"), (F.round("close", 6) + 0.0).alias("close"))
