@@ -19,6 +19,9 @@ ORDER = 3
 CLASSES = 64
 #: Documents, and characters, whose vectors are computed together.
 BLOCK_DOCS = 256
+CHUNK_CHARS = 500_000
+#: N-gram vectors that a task remembers.
+REMEMBERED = 16_000
 UNKNOWN = "und"
 
 
@@ -81,7 +84,7 @@ class Memory:
         self.known = np.zeros((0, DIMENSIONS), dtype=np.float32)
 
     def get(self, codes: np.ndarray) -> np.ndarray:
-        if len(self.known) > 40_000:
+        if len(self.known) > REMEMBERED:
             self.__init__()
         new = codes[self.row[codes] < 0]
         if len(new):
@@ -107,7 +110,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
     def count(batches):
         for batch in batches:
-            for part, texts in chunks(batch, text_col):
+            for part, texts in chunks(batch, text_col, CHUNK_CHARS):
                 langs = pd.factorize(np.array(part.column(lang_col).to_pylist(), dtype=object))
                 owner, code, _ = ngrams(texts)
                 key, n = np.unique(langs[0][owner] * CLASSES**ORDER + code, return_counts=True)
@@ -142,7 +145,7 @@ def predict(docs: DataFrame, prototypes: list[tuple[str, list[float]]], id_col:
     def run(batches):
         memory = Memory()
         for batch in batches:
-            for part, texts in chunks(batch, text_col):
+            for part, texts in chunks(batch, text_col, CHUNK_CHARS):
                 best, score, letters = [], [], []
                 for i in range(0, len(texts), BLOCK_DOCS):
                     vectors, n = bundle(texts[i : i + BLOCK_DOCS], memory)

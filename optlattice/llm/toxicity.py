@@ -19,6 +19,7 @@ FOLDS = 3
 #: The chain: a category's model also gets the probabilities of the categories before it.
 CATEGORIES = ("low_quality", "toxic")
 PREFIXES = (4, 5, 6)
+CHUNK_CHARS = 500_000
 #: Learning rate, L1 and L2 of the linear models, their passes over the sample and rows a step.
 RATE, L1, L2, PASSES, STEP_ROWS = 0.5, 5.0, 0.1, 15, 100
 
@@ -126,7 +127,7 @@ def train(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, id_col:
 
     def sparse(batches):
         for batch in batches:
-            for part, texts in chunks(batch, text_col):
+            for part, texts in chunks(batch, text_col, CHUNK_CHARS):
                 index, counts = features(texts)
                 lists = pa.ListArray.from_arrays(pa.array(starts(counts), pa.int32()), pa.array(index, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("_fold"), lists, *(part.column(c) for c in categories)], ["_fold", "index", *categories])
@@ -175,7 +176,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.4, id_col: str = "
     def run(batches):
         models = chain.models()
         for batch in batches:
-            for part, texts in chunks(batch, text_col):
+            for part, texts in chunks(batch, text_col, CHUNK_CHARS):
                 index, counts = features(texts)
                 dense, out = np.zeros((len(texts), 0)), []
                 for model in models:
