@@ -448,3 +448,26 @@ def test_pipeline(spark, sf_dir):
     assert rows.columns == d.columns and rows.count() == len(set(group))
     packed = corpus_pipeline.run(spark, sf_dir)
     assert packed.count() > 0 and packed.select(remainder("doc_id", 2)).distinct().count() == 2
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(500)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = [" ".join(rng.choice(words) if rng.random() < 0.03 else w for w in base) for _ in range(40)]
+    _, group = brute_groups(texts, 85, 100)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == group and len(set(group)) > 1
+
+
+def test_large_slabs_are_compared_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    monkeypatch.setattr(embeddings, "STRIP", 5)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4, 32))[rng.integers(0, 4, 150)] + 0.25 * rng.normal(size=(150, 32))
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(d).collect()}
+    assert [got[i] for i in range(150)] == want.tolist() and want.sum() > 100
