@@ -9,6 +9,7 @@ from ..sources import files, results
 from . import fixtures as fx
 from .queries_market import T
 from .registry import Registry
+from .strategy import expand
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -300,3 +301,13 @@ def nan_to_null(spark, sf_dir):
 
     e = fx.table(spark, sf_dir, "events").where("value is not null")
     return e.select("event_id", shown(F.when(F.col("value") > 100, F.lit(float("nan"))).otherwise(F.col("value"))).alias("shown"))
+
+
+_SWEEP = {"name": "sweep", "universe": {}, "trades": [{"name": "t", "instrument": {"root_symbol": "ES"}, "legs": [{"name": "s", "right": "P", "action": "sell_to_open", "delta": {"target": [-0.2, -0.3]}, "dte": 10}], "entry": {"window": {"start": "10:00", "end": "14:00"}, "min_credit": {"start": 0.5, "stop": 2.0, "step": 0.5}}, "exit": {"stop_loss": [1.0, 2.0, 4.0]}}]}
+
+
+@R.add("""SELECT CAST(row_number() OVER (ORDER BY c, s, d DESC) AS BIGINT) AS combination_id, c AS min_credit, s AS stop_loss, d AS delta FROM (VALUES (0.5::DOUBLE), (1.0), (1.5), (2.0)) a(c) CROSS JOIN (VALUES (1.0::DOUBLE), (2.0), (4.0)) b(s) CROSS JOIN (VALUES (-0.2::DOUBLE), (-0.3)) e(d)""")
+def sweep_combinations(spark, sf_dir):
+    """V1-V5: the grid of a study, the last axis fastest"""
+    rows = [(k, p["trades.0.entry.min_credit"], p["trades.0.exit.stop_loss"], p["trades.0.legs.0.delta.target"]) for k, p, _ in expand(_SWEEP)]
+    return spark.createDataFrame(rows, "combination_id long, min_credit double, stop_loss double, delta double")
