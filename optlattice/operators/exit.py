@@ -44,8 +44,8 @@ class ExitRules:
 
 
 def leg_bars(entries: DataFrame, bars: DataFrame) -> DataFrame:
-    """Every bar of every leg after its entry and up to the position's expiration (local date by `date`)."""
-    legs = entries.select("entry_id", "entry_time", "trade_expiration", F.explode("legs").alias("l")).select("entry_id", "entry_time", "trade_expiration", "l.leg_name", "l.instrument_id", "l.signed_qty")
+    """Every bar of every leg after its entry, with all legs of the position."""
+    legs = entries.select("entry_id", "entry_time", "legs", F.explode("legs").alias("l")).select("entry_id", "entry_time", "legs", "l.leg_name", "l.instrument_id")
     priced = bars.select("instrument_id", "ts_event", "open", "high", "low", "close", "volume")
     return legs.join(priced, "instrument_id").where(F.col("ts_event") > F.col("entry_time"))
 
@@ -54,13 +54,15 @@ def marks(entries: DataFrame, bars: DataFrame) -> DataFrame:
     """(entry_id, ts_event, position_mark, spread_open_mark, min_leg_volume, total_slippage, max_leg_stale_minutes).
 
     Legs that have no bar at a time keep their last price; a position is marked once each of its legs has traded
-    since the entry. The bars of a position's legs are rows of one window, whatever the number of legs.
+    since the entry. Bars are shuffled once, by position: grouping by time, the fill per leg and the sum over
+    legs all keep that partitioning, whatever the number of legs.
     """
-    rows = leg_bars(entries, bars)
-    count = entries.select("entry_id", F.size("legs").alias("n_legs"))
-    times = rows.select("entry_id", "ts_event").distinct()
-    names = rows.select("entry_id", "leg_name", "signed_qty").distinct()
-    grid = times.join(names, "entry_id").join(rows.select("entry_id", "ts_event", "leg_name", "open", "high", "low", "close", "volume"), ["entry_id", "ts_event", "leg_name"], "left")
+    rows = leg_bars(entries, bars).repartition("entry_id")
+    bar = F.struct("leg_name", "open", "high", "low", "close", "volume")
+    times = rows.groupBy("entry_id", "ts_event").agg(F.collect_list(bar).alias("bars"), F.first("legs").alias("legs"))
+    grid = times.select("entry_id", "ts_event", "bars", F.size("legs").alias("n_legs"), F.explode("legs").alias("l"))
+    grid = grid.select("entry_id", "ts_event", "n_legs", "l.leg_name", "l.signed_qty", F.get(F.filter("bars", lambda x: x["leg_name"] == F.col("l.leg_name")), 0).alias("b"))
+    grid = grid.select("entry_id", "ts_event", "n_legs", "leg_name", "signed_qty", "b.open", "b.high", "b.low", "b.close", "b.volume")
     past = Window.partitionBy("entry_id", "leg_name").orderBy("ts_event").rowsBetween(Window.unboundedPreceding, 0)
     filled = grid.withColumns({"_c": F.last("close", True).over(past), "_o": F.last("open", True).over(past), "_seen": F.last(F.when(F.col("close").isNotNull(), F.col("ts_event")), True).over(past)})
     stale = clock.minute_number(F.col("ts_event")) - clock.minute_number(F.col("_seen"))
@@ -72,8 +74,9 @@ def marks(entries: DataFrame, bars: DataFrame) -> DataFrame:
         F.sum(half).alias("total_slippage"),
         F.max(stale).alias("max_leg_stale_minutes"),
         F.count("_c").alias("_priced"),
+        F.max("n_legs").alias("_n"),
     )
-    return out.join(count, "entry_id").where("_priced = n_legs").drop("_priced", "n_legs")
+    return out.where("_priced = _n").drop("_priced", "_n")
 
 
 def spread_vega(entries: DataFrame, greeks: DataFrame) -> DataFrame:

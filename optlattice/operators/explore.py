@@ -59,8 +59,11 @@ def overlay(positions: DataFrame, legs: DataFrame, instruments: DataFrame, root:
 
 def running_pnl(bars: DataFrame, legs: DataFrame, multiplier: float) -> DataFrame:
     """(position_id, ts_event, pnl) once all legs of a position have a price; legs keep their last price between bars."""
-    rows = legs.join(bars.select("instrument_id", "ts_event", "close"), "instrument_id")
-    grid = rows.select("position_id", "ts_event").distinct().join(legs, "position_id").join(rows.select("position_id", "instrument_id", "ts_event", "close"), ["position_id", "instrument_id", "ts_event"], "left")
+    every = legs.groupBy("position_id").agg(F.collect_list(F.struct("instrument_id", "signed_qty", "entry_price")).alias("legs"))
+    rows = legs.select("position_id", "instrument_id").join(bars.select("instrument_id", "ts_event", "close"), "instrument_id").repartition("position_id")
+    times = rows.groupBy("position_id", "ts_event").agg(F.collect_list(F.struct("instrument_id", "close")).alias("bars"))
+    grid = times.join(every, "position_id").select("position_id", "ts_event", "bars", F.explode("legs").alias("l"))
+    grid = grid.select("position_id", "ts_event", "l.*", F.get(F.filter("bars", lambda x: x["instrument_id"] == F.col("l.instrument_id")), 0)["close"].alias("close"))
     past = Window.partitionBy("position_id", "instrument_id").orderBy("ts_event").rowsBetween(Window.unboundedPreceding, 0)
     filled = grid.withColumn("_c", F.last("close", True).over(past))
     out = filled.groupBy("position_id", "ts_event").agg(F.sum(F.col("signed_qty") * (F.col("entry_price") - F.col("_c")) * multiplier).alias("pnl"), F.count("_c").alias("_n"), F.count("*").alias("_m"))
@@ -139,6 +142,7 @@ def strategy_summary(strategies: DataFrame) -> DataFrame:
     """The first trade's short leg (delta, dte) and exits out of a strategy's JSON."""
     leg = "struct<name:string,action:string,delta:struct<target:double>,dte:struct<target:int>>"
     trade = f"struct<legs:array<{leg}>,entry:struct<min_credit:double>,exit:struct<stop_loss:double,take_profit_pct:double>>"
-    first = F.from_json("strategy_params", f"struct<trades:array<{trade}>>")["trades"][0]
-    short = F.filter(first["legs"], lambda x: x["action"] == "sell_to_open")[0]
+    first = F.from_json("strategy_params", f"struct<trades:array<{trade}>>")["trades"]
+    first = F.get(first, 0)
+    short = F.get(F.filter(first["legs"], lambda x: x["action"] == "sell_to_open"), 0)
     return strategies.select("backtest_id", short["delta"]["target"].alias("delta"), short["dte"]["target"].alias("dte"), first["exit"]["take_profit_pct"].alias("take_profit_pct"), first["exit"]["stop_loss"].alias("stop_loss"), first["entry"]["min_credit"].alias("min_credit"))
