@@ -118,11 +118,16 @@ class Chain:
             out.append(model)
         return out
 
+    def learned(self) -> bool:
+        """Whether the last model has any weight. Without one all its probabilities are 0.5, which tells nothing of a text."""
+        return len(self.sparse[-1][0]) > 0
+
 
 def train(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> Chain:
     """Fits the chain in one task on the bounded rows given: an id, a text and a 0/1 column per category.
 
-    Rows with a null label are left out. Without rows all weights are 0 and all probabilities 0.5.
+    Rows with a null label are left out. Without rows all weights are 0 and all probabilities 0.5; score() then
+    calls nothing toxic.
     """
 
     def sparse(batches):
@@ -167,11 +172,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.4, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, columns of `keep`, p_<category> ..., is_toxic): is_toxic where the last probability reaches the threshold.
 
+    A chain whose last model learned nothing, as without usable labels, rejects nothing: is_toxic is false for all.
     A null or empty text has no features: its probabilities come from the constants alone. Repeated rows give
     repeated rows, and whole texts are used.
     """
     columns = list(dict.fromkeys([id_col, *keep]))
     names = [f"p_{c}" for c in chain.categories]
+    learned = chain.learned()
 
     def run(batches):
         models = chain.models()
@@ -182,7 +189,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.4, id_col: str = "
                 for model in models:
                     out.append(model.probability(index, counts, dense))
                     dense = np.c_[dense, logit(out[-1])]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *map(pa.array, out), pa.array(out[-1] >= threshold)], [*columns, *names, "is_toxic"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *map(pa.array, out), pa.array((out[-1] >= threshold) & learned)], [*columns, *names, "is_toxic"])
 
     kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), *(f"`{n}` double" for n in names), "is_toxic boolean"])
     return docs.select(*dict.fromkeys([*columns, text_col])).mapInArrow(run, kinds)

@@ -159,6 +159,18 @@ def test_toxic_documents_are_found(spark, odd, empty):
     assert {r.p_toxic for r in toxicity.score(odd, nothing).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("usable", ["empty", "null", "unmatched"])
+def test_without_usable_labels_nothing_is_toxic(spark, tmp_path, usable):
+    import corpus_pipeline
+
+    rows = {"empty": [], "null": [(i, None, None) for i in range(20)], "unmatched": [(i, 1, i % 2) for i in range(1000, 1020)]}[usable]
+    docs(spark, [f"some words of text number {i}" for i in range(20)]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.toxic, r.score) for r in queries.op3_toxicity_chain(spark, str(tmp_path)).collect()} == {(False, 0.5)}
+    assert sorted(r.doc_id for r in corpus_pipeline.toxic(spark, d, str(tmp_path)).collect()) == list(range(20))
+
+
 def test_features_by_brute_force():
     index, counts = toxicity.features(["One one oneself", "", "12 ! _"])
     want = {"one", "oneself", "^ones", "^onese", "^onesel"}
