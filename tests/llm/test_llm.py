@@ -402,6 +402,17 @@ def test_mined_rules_match_brute_force(spark):
         assert judged[i].verdict == (label or (max(fits)[3] if fits else "allow"))
 
 
+def test_mined_rules_decide_undecided_urls(spark, tmp_path):
+    known = [f"http://bad.example.com/de/{i}" for i in range(12)] + [f"http://good.example.org/fr/{i}" for i in range(12)]
+    urls = known + [f"http://bad.example.com/en/{i}" for i in range(30)] + [f"http://good.example.org/en/{i}" for i in range(30)] + ["http://new.example.com/en/1"]
+    pages(spark, urls).drop("rule").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.op9_url_filter(spark, str(tmp_path)).collect()}
+    assert all(got[i].rule is None and (got[i].verdict, got[i].mined) == ("block", "host2=bad") for i in range(24, 54))
+    assert all(got[i].rule is None and (got[i].verdict, got[i].mined) == ("allow", "host2=good") for i in range(54, 84))
+    assert got[84].mined is None and got[84].verdict == "allow"  # its com and en only restate stated rules
+    assert set(url_filter.restated()) == {"host0=net", "host0=com", "host0=org", "host1=example", "path0=en", "path0=de", "path0=fr"}
+
+
 def test_embeddings_by_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(120, 20))
