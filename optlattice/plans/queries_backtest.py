@@ -160,8 +160,8 @@ _HELD = """pos AS (SELECT event_id AS entry_id, user_id % 4 AS k, ts AS entry_ti
  CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'click' AND event_id < 4000)"""
 
 
-def _held(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "events").where("event_type = 'click' and event_id < 4000").withColumn("ts", fx.ntz("ts"))
+def _held(spark, sf_dir, whole=False):
+    e = fx.table(spark, sf_dir, "events").where("event_type = 'click'" if whole else "event_type = 'click' and event_id < 4000").withColumn("ts", fx.ntz("ts"))
     gate = F.timestamp_add("MINUTE", (30 + F.col("event_id") % 300).cast("int"), "ts").cast("timestamp_ntz")
     reason = F.when(F.col("event_id") % 5 == 0, "stop_loss").when(F.col("event_id") % 7 == 0, "roll").otherwise("expiry")
     return e.select(F.col("event_id").alias("entry_id"), (F.col("user_id") % 4).alias("k"), F.col("ts").alias("entry_time"), gate.alias("gate_time"), gate.alias("exit_time"), reason.alias("exit_reason"), F.to_date("ts").alias("day"))
@@ -213,6 +213,30 @@ def gate_times(spark, sf_dir):
     return enforce.gate_times(p, ends).select("entry_id", fx.text("gate_time").alias("gate_time"))
 
 
+def _whole(name: str, held):
+    """The query over all entries. The SQL of the shorter one stops at event_id 4000, so tests hold this one against plain walks."""
+
+    @R.add(name=f"{name}_whole")
+    def query(spark, sf_dir):
+        return held(_held(spark, sf_dir, whole=True))
+
+
+def _gates(p):
+    ends = p.where("exit_reason = 'stop_loss'").select("entry_id", F.timestamp_add("HOUR", F.lit(10), "exit_time").cast("timestamp_ntz").alias("exit_time"))
+    return enforce.gate_times(p.drop("gate_time"), ends).select("entry_id", fx.text("gate_time").alias("gate_time"))
+
+
+for _name, _kept in (
+    ("greedy_walk", lambda p: enforce.greedy_walk(p, ["k"], max_per_day=2).select("k", "entry_id")),
+    ("greedy_walk_grouped", lambda p: enforce.greedy_walk_grouped(p, ["k"], max_per_day=2).select("k", "entry_id")),
+    ("one_at_a_time", lambda p: enforce.greedy_walk(p, ["k"]).select("k", "entry_id")),
+    ("no_reentry_after_loss", lambda p: enforce.no_reentry_after_loss(p, ["k"]).select("k", "entry_id")),
+    ("daily_cap", lambda p: enforce.daily_cap(p, ["k"], 3).select("k", "entry_id")),
+    ("gate_times", _gates),
+):
+    _whole(_name, _kept)
+
+
 _STOPS = """st AS (SELECT i AS entry_id, i % 8 AS instrument_id, DATE '2024-01-03' + CAST(i AS INTEGER) + INTERVAL 15 HOUR AS exit_time, DATE '2024-01-03' + CAST(i AS INTEGER) + 2 AS expiration FROM (SELECT unnest(range(20)) AS i))"""
 
 
