@@ -57,20 +57,24 @@ def route(bars: DataFrame, segments: DataFrame, date: str = "date") -> DataFrame
     """Joins each bar with one segment of its recycled instrument id.
 
     Of the segments of the id, that with the date within [activation, expiration] or else the fewest days away
-    wins; ties go to the narrower and then the earlier one. Every bar whose id is known stays exactly once.
+    wins; ties go to the narrower and then the earlier one. Every bar whose id is known stays exactly once. Segments
+    meet the distinct dates of an id, not its bars, so many segments don't multiply the bars.
     """
     width = F.datediff("seg_expiration", "seg_activation")
     away = F.greatest(F.lit(0), F.datediff("seg_activation", date), F.datediff(date, "seg_expiration"))
-    joined = bars.join(segments, "instrument_id").withColumns({"seg_distance": away, "_w": width})
-    best = Window.partitionBy("instrument_id", "ts_event").orderBy("seg_distance", "_w", "seg_activation", "seg_expiration")
-    return joined.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_w")
+    days = bars.select("instrument_id", date).distinct().join(segments, "instrument_id").withColumns({"seg_distance": away, "_w": width})
+    found = F.struct(*(c for c in segments.columns if c != "instrument_id"), "seg_distance")
+    best = days.groupBy(F.col("instrument_id").alias("_i"), F.col(date).alias("_d")).agg(F.min_by(found, F.struct("seg_distance", "_w", "seg_activation", "seg_expiration")).alias("_s"))
+    return bars.join(best, (bars["instrument_id"] == best["_i"]) & bars[date].eqNullSafe(best["_d"])).select(*bars.columns, "_s.*")
 
 
 def overlaps(bars: DataFrame, segments: DataFrame, date: str = "date") -> DataFrame:
     """(instrument_id, bars): bars that lie in more than one segment."""
-    inside = bars.join(segments, "instrument_id").where(F.col(date).between(F.col("seg_activation"), F.col("seg_expiration")))
-    twice = inside.groupBy("instrument_id", "ts_event").count().where("count > 1")
-    return twice.groupBy("instrument_id").agg(F.count("*").alias("bars"))
+    days = bars.select("instrument_id", date).distinct().join(segments, "instrument_id")
+    inside = days.where(F.col(date).between(F.col("seg_activation"), F.col("seg_expiration")))
+    twice = inside.groupBy("instrument_id", date).count().where("count > 1")
+    rows = bars.select("instrument_id", "ts_event", date).distinct().join(twice, ["instrument_id", date], "left_semi")
+    return rows.groupBy("instrument_id").agg(F.count("*").alias("bars"))
 
 
 def new_rows(incoming: DataFrame, stored: DataFrame, keys: Sequence[str] = ("ts_event", "instrument_id")) -> DataFrame:

@@ -130,10 +130,10 @@ def entry_window(spark, sf_dir):
 _SEGMENTS = """segs AS (SELECT s_suppkey % 8 AS instrument_id, s_suppkey AS seg_id, DATE '2024-01-01' + CAST(s_suppkey % 20 AS INTEGER) AS seg_activation, DATE '2024-01-01' + CAST(s_suppkey % 20 + 3 + s_suppkey % 5 AS INTEGER) AS seg_expiration FROM supplier WHERE s_suppkey < 40)"""
 
 
-def _segments(spark, sf_dir):
+def _segments(spark, sf_dir, whole=False):
     k = F.col("s_suppkey")
     start = F.date_add(F.lit("2024-01-01").cast("date"), (k % 20).cast("int"))
-    return fx.table(spark, sf_dir, "supplier").where(k < 40).select((k % 8).alias("instrument_id"), k.alias("seg_id"), start.alias("seg_activation"), F.date_add(start, (3 + k % 5).cast("int")).alias("seg_expiration"))
+    return fx.table(spark, sf_dir, "supplier").where(F.lit(True) if whole else k < 40).select((k % 8).alias("instrument_id"), k.alias("seg_id"), start.alias("seg_activation"), F.date_add(start, (3 + k % 5).cast("int")).alias("seg_expiration"))
 
 
 @R.add(f"""WITH {fx.BARS}, {_SEGMENTS}, j AS (SELECT b.instrument_id, b.ts_event, seg_id, greatest(0, seg_activation - CAST(ts_event AS DATE), CAST(ts_event AS DATE) - seg_expiration) AS d, seg_expiration - seg_activation AS w, seg_activation AS a, seg_expiration AS z
@@ -153,6 +153,20 @@ def segment_overlaps(spark, sf_dir):
     return ingest.overlaps(fx.bars(spark, sf_dir).withColumn("date", F.to_date("ts_event")), _segments(spark, sf_dir))
 
 
+@R.add()
+def route_recycled_ids_whole(spark, sf_dir):
+    """J7 with the segments of all suppliers, which the SQL of route_recycled_ids leaves out from 40 on; tests hold it against brute force"""
+    b = fx.bars(spark, sf_dir).withColumn("date", F.to_date("ts_event"))
+    out = ingest.route(b, _segments(spark, sf_dir, whole=True))
+    return out.groupBy("instrument_id").agg(F.count("*").alias("n_bars"), F.sum("seg_distance").alias("off_days"), F.countDistinct("seg_activation").alias("n_starts"))
+
+
+@R.add()
+def segment_overlaps_whole(spark, sf_dir):
+    """A5 with the segments of all suppliers"""
+    return ingest.overlaps(fx.bars(spark, sf_dir).withColumn("date", F.to_date("ts_event")), _segments(spark, sf_dir, whole=True))
+
+
 @R.add("""WITH x AS (SELECT CAST(p_partkey % 50 AS BIGINT) AS instrument_id, CASE p_partkey % 4 WHEN 0 THEN 'F' WHEN 1 THEN 'C' WHEN 2 THEN 'P' ELSE 'X' END AS c, p_partkey FROM part),
 d AS (SELECT instrument_id, CASE WHEN p_partkey % 3 > 0 THEN DATE '2024-01-01' + CAST(p_partkey % 30 AS INTEGER) END AS activation FROM x WHERE c <> 'X' GROUP BY ALL)
 SELECT instrument_id, count(*) AS n, CAST(min(activation) AS VARCHAR) AS first_activation FROM d GROUP BY 1""")
