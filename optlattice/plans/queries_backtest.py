@@ -282,6 +282,13 @@ def spread_vega(spark, sf_dir):
     return out.select(F.col("entry_id").cast("long").alias("entry_id"), fx.text("ts_event").alias("ts_event"), F.round("spread_vega", 4).alias("spread_vega"))
 
 
+@R.add()
+def spread_vega_whole(spark, sf_dir):
+    """A1, J15 of all entries, of which the SQL of spread_vega has every tenth; tests hold it against brute force"""
+    out = exit.spread_vega(_entries(spark, sf_dir), fx.option_greeks(spark, sf_dir).where("T > 0"))
+    return out.select(F.col("entry_id").cast("long").alias("entry_id"), fx.text("ts_event").alias("ts_event"), F.round("spread_vega", 4).alias("spread_vega"))
+
+
 @R.add(f"""WITH {_SMA}, {_CONTRACTS} SELECT name, count(*) AS n, round(sum(value), 4) AS total FROM tall JOIN schedule ON schedule.date = CAST(ts_event AS DATE) AND schedule.underlying_id = instrument_id GROUP BY 1""")
 def stitched_indicators(spark, sf_dir):
     """J27"""
