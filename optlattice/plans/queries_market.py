@@ -259,6 +259,21 @@ def audit_delta(spark, sf_dir):
     return found.groupBy("instrument_id").agg(F.count("*").alias("n"), F.round(F.max("flag_value"), 4).alias("largest"))
 
 
+@R.add()
+def audit_flag_counts_whole(spark, sf_dir):
+    """All twelve flags; the SQL of audit_flag_counts has no DELTA_INCONSISTENT"""
+    b, g = _bad(spark, sf_dir)
+    return audit.flag_counts(audit.run(b, g, fx.underlying_bars(spark, sf_dir)))
+
+
+@R.add()
+def audit_delta_whole(spark, sf_dir):
+    """J22, K5, DELTA_INCONSISTENT of all instruments, also where a spoilt volatility contradicts the delta"""
+    b, g = _bad(spark, sf_dir)
+    found = audit.delta_flags(g, b, fx.underlying_bars(spark, sf_dir))
+    return found.groupBy("instrument_id").agg(F.count("*").alias("n"), F.round(F.max("flag_value"), 4).alias("largest"))
+
+
 @R.add(f"""WITH {_BAD}, bad AS (SELECT DISTINCT instrument_id FROM ob WHERE close < 0 UNION SELECT instrument_id FROM og WHERE abs(delta) > 1)
 SELECT instrument_id, count(*) AS n FROM ob WHERE instrument_id NOT IN (SELECT instrument_id FROM bad) GROUP BY 1""")
 def audit_filter(spark, sf_dir):
