@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -27,37 +28,73 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
+    """The folder that all executors see: spark.checkpoint.dir. Only a local master may leave it unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "optlattice-checkpoints")
     return found.rstrip("/")
 
 
-#: Whether Spark deletes a query's shuffle files when the query has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a session while a table is written: Spark deletes the query's shuffle files when it has ended, and Python workers get few rows at a time.
+_CLEANUP, _BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+_LOCK, _WRITERS, _BEFORE = threading.Lock(), [], {}
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _begin(spark: SparkSession, batch_rows: int) -> None:
+    """The first of several writers at a time remembers the settings; the least number of rows holds for all."""
+    with _LOCK:
+        if not _WRITERS:
+            _BEFORE.update({_CLEANUP: spark.conf.get(_CLEANUP, "false"), _BATCH: spark.conf.get(_BATCH)})
+        _WRITERS.append(batch_rows)
+        spark.conf.set(_CLEANUP, "true")
+        spark.conf.set(_BATCH, str(min(_WRITERS)))
+
+
+def _end(spark: SparkSession, batch_rows: int) -> None:
+    """The last writer sets them back."""
+    with _LOCK:
+        _WRITERS.remove(batch_rows)
+        for key, value in ({_BATCH: str(min(_WRITERS))} if _WRITERS else _BEFORE).items():
+            spark.conf.set(key, value)
 
 
 def save(df: DataFrame, name: str, batch_rows: int = 2000) -> DataFrame:
     """Writes df to the shared folder and reads it again: what was computed survives lost executors.
 
-    The shuffle files of the written query are no longer needed then and are deleted. batch_rows bounds what
-    Python workers get at a time.
+    The table is deleted when the application ends, or by forget(). batch_rows bounds what Python workers get at a time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = {_CLEANUP: spark.conf.get(_CLEANUP, "false"), _BATCH: spark.conf.get(_BATCH)}
-    spark.conf.set(_CLEANUP, "true")
-    spark.conf.set(_BATCH, str(batch_rows))
+    _begin(spark, batch_rows)
     try:
         df.write.parquet(path)
     finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path)
+        _end(spark, batch_rows)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def forget(*saved: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more."""
+    for df in saved:
+        place, files = _place(df.sparkSession, df.saved_at)
+        files.delete(place, True)
+
+
+def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with numbered column names, which clash with nothing, and the numbered name of each column."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
 def remainder(column: str, n: int) -> Column:
@@ -114,7 +151,7 @@ def run_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Remembered:
-    """Ragged results of distinct words, computed once; all are forgotten when there are more than `limit`.
+    """Ragged results of distinct words, computed once; all are forgotten when there are more than `limit` of them, or 20 values for each.
 
     compute(words) returns the results one after the other, and the length of each.
     """
@@ -129,7 +166,7 @@ class Remembered:
 
     def get(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat, begin, length): word i's result is flat[begin[i] : begin[i] + length[i]]."""
-        if len(self.place) > self.limit:
+        if len(self.place) > self.limit or len(self.flat) > 20 * self.limit:
             self._clear()
         at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         new = np.flatnonzero(at < 0)

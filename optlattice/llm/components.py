@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import save
+from ._shared import forget, save
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         first = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(first, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = save(small.unionByName(first.select("hi", F.col("m").alias("lo"))).distinct(), "components-round")
+        used, edges = edges, save(small.unionByName(first.select("hi", F.col("m").alias("lo"))).distinct(), "components-round")
+        forget(used)
         before, mark = mark, _mark(edges)
         if before == mark:
             break

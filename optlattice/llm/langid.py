@@ -130,7 +130,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
 
 def predict(docs: DataFrame, prototypes: list[tuple[str, list[float]]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang_pred, score, columns of `keep`): the language whose prototype has the largest cosine with the text's vector.
+    """(id, lang_pred, score, has_letters, columns of `keep`): the language whose prototype has the largest cosine with the text's vector.
 
     The score is that cosine (negative ones: 0). A text that is null, empty or without a letter, or any text when no
     prototype was learned, is `und` with score 0. Equal cosines: the first language by name. Whole texts are
@@ -158,10 +158,10 @@ def predict(docs: DataFrame, prototypes: list[tuple[str, list[float]]], id_col:
                 known = (letters > 0) & bool(names)
                 lang = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 score = np.where(known, np.clip(score, 0, 1), 0.0).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(lang, pa.string()), pa.array(score)], [*columns, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(lang, pa.string()), pa.array(score), pa.array(letters > 0)], [*columns, "lang_pred", "score", "has_letters"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*dict.fromkeys([*columns, text_col])).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*columns, text_col])).mapInArrow(run, f"{kinds}, lang_pred string, score double, has_letters boolean")
 
 
 def identify(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, coded, hashed, mix64, save, starts, words_of
+from ._shared import chunks, coded, forget, hashed, mix64, save, starts, words_of
 from .components import components
 
 #: Words per shingle.
@@ -67,24 +67,38 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype("<u4")
 
 
+def _set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of each set's hashes, which tell sets apart."""
+    with np.errstate(over="ignore"):
+        k1 = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
+        k2 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
+    return k1, k2
+
+
+#: What identifies a shingle set: its two sums and its size.
+KEY = ["k1", "k2", "n"]
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """(id, n, k1, k2, sig) of every whole text: its set's size, two sums that tell sets apart, and its signature (null if empty)."""
+    """(id, h, n, k1, k2, sig) of every whole text: a hash of it, its set's size, sums and signature (null if empty)."""
 
     def run(batches):
         a, b = _multipliers()
         for batch in batches:
-            for part, texts in chunks(batch, text_col):
+            for part, texts in chunks(batch, "text"):
                 flat, counts = shingle_sets(texts, words)
                 at = starts(counts)
                 sets = [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-                with np.errstate(over="ignore"):
-                    k1 = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
-                    k2 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
                 sig = [signature(s, a, b).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(counts), pa.array(k1), pa.array(k2), pa.array(sig, pa.binary())], ["id", "n", "k1", "k2", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(counts), *map(pa.array, _set_keys(sets)), pa.array(sig, pa.binary())], ["id", "h", "n", "k1", "k2", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, k1 long, k2 long, sig binary")
+    return _numbered(docs, id_col, text_col).mapInArrow(run, f"id {kind}, h long, n long, k1 long, k2 long, sig binary")
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text): a row with its text's hash, which tells rows of one id apart."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
 
 
 def bands(reps: DataFrame, rows: int) -> DataFrame:
@@ -97,8 +111,7 @@ def bands(reps: DataFrame, rows: int) -> DataFrame:
             n = key.shape[1]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.repeat(np.arange(len(sig)), n))), pa.array(key.reshape(-1).view(np.int64))], ["id", "bucket"])
 
-    kind = reps.schema["id"].dataType.simpleString()
-    return reps.select("id", "sig").mapInArrow(run, f"id {kind}, bucket long")
+    return reps.select("id", "sig").mapInArrow(run, "id long, bucket long")
 
 
 def _band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
@@ -152,27 +165,29 @@ def _prune(pairs: DataFrame, reps: DataFrame, bounds: list[tuple[int, int]]) ->
             keep = pa.array(likely(x, at, y, at, bounds))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
     joined = pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, s): the full shingle sets of the documents with these ids. Only their texts are read again.
+def _sets(docs: DataFrame, wanted: DataFrame, same: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, s): the full shingle sets with these numbers. Only the texts of their representatives are read again.
 
-    The ids grow with the input, so both sides are shuffled, whatever their sizes.
+    The numbers grow with the input, so both sides are shuffled, whatever their sizes.
     """
 
     def run(batches):
         for batch in batches:
-            for part, texts in chunks(batch, text_col):
+            for _, texts in chunks(batch, "text"):
                 flat, counts = shingle_sets(texts, words)
-                raw, at = memoryview(flat.tobytes()), starts(counts) * 8
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array([bytes(raw[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "s"])
+                at = starts(counts)
+                sets = [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _set_keys(sets)), pa.array(counts), pa.array([x.tobytes() for x in sets], pa.binary())], [*KEY, "s"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(id_col, text_col).join(ids.select(F.col("id").alias(id_col)).distinct().hint("shuffle_hash"), id_col, "left_semi")
-    return save(texts.mapInArrow(run, f"id {kind}, s binary"), "minhash-sets")
+    chosen = same.join(wanted.select("id").distinct(), "id", "left_semi")
+    places = chosen.select("first.id", "first.h").hint("shuffle_hash")
+    texts = _numbered(docs, id_col, text_col).join(places, ["id", "h"], "left_semi")
+    found = texts.mapInArrow(run, "k1 long, k2 long, n long, s binary").join(chosen.select("id", *KEY), KEY)
+    return save(found.groupBy("id").agg(F.min("s").alias("s")), "minhash-sets")
 
 
 def is_link(x, y, num: int, den: int) -> bool:
@@ -194,9 +209,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             keep = pa.array([k for k, (x, y) in enumerate(pairs) if is_link(x.as_buffer(), y.as_buffer(), num, den)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _leaders(rows: DataFrame) -> DataFrame:
@@ -227,7 +241,6 @@ def _mixed_links(members: DataFrame, reps: DataFrame, sets: DataFrame, rows_per_
     pair is looked at only in the first band that it shares. No pairs leave the task but the links that join
     two of its components.
     """
-    kind = reps.schema["id"].dataType.simpleString()
     members = members.withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("bucket", "id", "part", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     dealt = dealt.join(reps.select("id", "sig").join(sets, "id"), "id")
@@ -253,38 +266,52 @@ def _mixed_links(members: DataFrame, reps: DataFrame, sets: DataFrame, rows_per_
                     part[part == part[b]] = part[a]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("bucket", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}")
+    return dealt.groupBy("bucket", "x", "y").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, words: int = WORDS, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept): documents linked where den * intersection >= num * union of their shingle sets.
+def groups(docs: DataFrame, num: int = 85, den: int = 100, words: int = WORDS, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, n, group, first) of every row: its text's hash, its set's size, the number of its group of linked sets, and
+    the smallest id in that group. Rows without a set or an id have no group.
 
-    component_id is the smallest id reachable by links, kept tells if it is the document's own. Whole texts are
-    used. Texts without words (or null) are linked with nothing; rows with a null id, too, and they get a null
-    component and kept = false. Ids are integers; rows that share one share its component, and the
-    smallest of its sets proposes links. An empty table
-    gives no rows.
-
-    Equal sets are one representative. Band buckets propose (leader, member) pairs, never all pairs; pairs
-    between members are compared only in buckets that the first links leave in several components.
+    Distinct sets, not ids, are compared: equal sets are one numbered representative, and rows that share an id are
+    told apart by their texts. Band buckets propose (leader, member) pairs, never all pairs; pairs between members are
+    compared only in buckets that the first links leave in several components.
     """
     sketch = save(sketches(docs, id_col, text_col, words), "minhash-sketches")
-    same = sketch.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
-    same = save(same, "minhash-representatives")
-    reps = save(sketch.join(same.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").where("n > 0").groupBy("id").agg(F.min_by("sig", F.struct("n", "k1", "k2")).alias("sig")), "minhash-signatures")
+    same = sketch.where("n > 0 and id is not null").groupBy(*KEY).agg(F.min(F.struct("id", "h")).alias("first"), F.min("sig").alias("sig"))
+    same = save(same.withColumn("id", F.monotonically_increasing_id()), "minhash-representatives")  # numbers hold once they are written
+    reps = same.select("id", "sig")
     bounds, per_band = least_matches(num / den, miss), band_rows(num, den)
     rows = save(bands(reps, per_band), "minhash-bands")
     leads = save(_leaders(rows), "minhash-leaders")
     pairs = rows.join(leads, "bucket").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     survivors = save(_prune(pairs, reps, bounds), "minhash-survivors")
     ends = survivors.select(F.col("a").alias("id")).unionByName(survivors.select(F.col("b").alias("id")))
-    links = save(_verify(survivors, _sets(docs, ends, id_col, text_col, words), num, den), "minhash-links", batch_rows=500)
+    sets = _sets(docs, ends, same, id_col, text_col, words)
+    links = save(_verify(survivors, sets, num, den), "minhash-links", batch_rows=500)
+    forget(survivors, sets)
     labels = save(components(links), "minhash-labels")
     members = save(_mixed_members(rows, leads, labels), "minhash-mixed")
-    sets = _sets(docs, members, id_col, text_col, words)
+    forget(rows, leads, labels)
+    sets = _sets(docs, members, same, id_col, text_col, words)
     more = save(_mixed_links(members, reps, sets, per_band, bounds, num, den), "minhash-more")
+    forget(members, sets)
     labels = save(components(links.unionByName(more)), "minhash-labels")
-    rep_label = same.join(labels, same["rep"] == labels["id"], "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("id", "n", "k1", "k2").join(rep_label, ["k1", "k2", "n"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    per_set = same.select(*KEY, "id", F.col("first.id").alias("first")).join(labels, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    least = per_set.groupBy("group").agg(F.min("first").alias("least"))
+    per_set = per_set.join(least, "group").select(*KEY, "group", F.col("least").alias("first"))
+    out = sketch.select("id", "h", *KEY).join(per_set, KEY, "left")
+    named = F.col("id").isNotNull()
+    return out.select("id", "h", "n", F.when(named, F.col("group")).alias("group"), F.when(named, F.coalesce("first", "id")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, words: int = WORDS, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept): documents linked where den * intersection >= num * union of their shingle sets.
+
+    component_id is the smallest id reachable by links, kept tells if it is the document's own. Whole texts are
+    used. Texts without words (or null) are linked with nothing; rows with a null id, too, and they get a null
+    component and kept = false. Ids are integers. Every row is a document of its own: rows that share an id are linked
+    only where their sets are, so each has the component of its own text. An empty table gives no rows.
+    """
+    found = groups(docs, num, den, words, miss, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first").alias("component_id"), F.coalesce(F.col("id") == F.col("first"), F.lit(False)).alias("kept"))

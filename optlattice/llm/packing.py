@@ -235,4 +235,4 @@ def _ranges(ranked: DataFrame, planned: DataFrame) -> DataFrame:
 def packed(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece with its sequence_id and offset. No documents: no rows. See pieces() and plan()."""
     cut = save(pieces(docs, path, capacity, end_id, id_col, text_col), "packing-pieces")
-    return pack(cut, capacity, (id_col, "piece"))
+    return pack(cut, capacity, (id_col, "piece", "ids_crc32"))

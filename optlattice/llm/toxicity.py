@@ -158,15 +158,16 @@ def train(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, id_col:
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, low_quality, toxic) of about `bound` labelled documents at most, picked by a hash of the id.
 
-    An id that is labelled more than once takes its largest toxic and smallest quality. The picked labels are
-    broadcast: their number is bounded.
+    An id that is labelled more than once takes its largest toxic and smallest quality, an id with several documents its
+    smallest text: repeated rows don't enlarge the sample. The picked labels are broadcast: their number is bounded.
     """
     one = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("_q"), F.max("toxic").alias("_t")).where(F.col("_q").isNotNull() & F.col("_t").isNotNull())
     n = one.count()
     share = min(1.0, bound / n) if n else 1.0
     picked = one.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)))
     picked = picked.select(id_col, (F.col("_q") == 0).cast("int").alias("low_quality"), F.col("_t").cast("int").alias("toxic"))
-    return docs.select(id_col, text_col).join(F.broadcast(picked), id_col)
+    found = docs.select(id_col, text_col).join(F.broadcast(picked), id_col)
+    return found.groupBy(id_col, "low_quality", "toxic").agg(F.min(text_col).alias(text_col)).select(id_col, text_col, "low_quality", "toxic")
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.4, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

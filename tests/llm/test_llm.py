@@ -230,6 +230,60 @@ def test_near_duplicates_with_awkward_rows(spark, odd, empty):
     assert [r.component_id for r in minhash.near_duplicates(twice).collect()] == [7, 7]
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    rng = random.Random(12)
+    a, b = ([f"{x}{rng.randint(0, 999)}" for _ in range(80)] for x in "ab")
+    near = [*b[:40], "other", *b[41:]]
+    texts = {"A": " ".join(a), "B": " ".join(b), "N": " ".join(near)}
+    for rows in ([(7, "A"), (7, "B"), (9, "B"), (10, "N")], [(7, "A"), (8, "B"), (9, "B"), (10, "N")], [(7, "A"), (7, "A"), (7, "B"), (6, "N"), (7, None), (7, "N")], [(1, "B"), (2, "A"), (2, "N"), (2, "B"), (0, "A")]):
+        d = spark.createDataFrame([(i, texts.get(t)) for i, t in rows], "doc_id long, text string")
+        group = {"A": min(i for i, t in rows if t == "A"), "B": min((i for i, t in rows if t in ("B", "N")), default=None)}
+        group["N"] = group["B"]
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(d).collect())
+        assert got == sorted((i, 76 if t else 0, group.get(t, i), group.get(t, i) == i) for i, t in rows)
+
+
+CLASHES = ("score", "lang_pred", "has_letters", "p_toxic", "p_low_quality", "is_toxic", "_n", "n", "h", "id", "group", "k", "c0", "c1", "piece", "length", "_text", "_b")
+
+
+def test_pipeline_stages_with_clashing_columns(spark, sf_dir):
+    import corpus_pipeline
+
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, words, "en"), (2, words, "en"), (3, words + " more", None), (3, "Another text with the same id", "en"), (4, None, "en"), (5, "", None), (6, "123 !!", "en"), (None, words, "en"), (None, "x", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "n_chars": F.lit(1).cast("long"), **{c: F.lit("clash") for c in CLASHES}})
+    _, language = corpus_pipeline.STAGES[0]
+    kept = language(spark, d, sf_dir)
+    assert kept.columns == d.columns and sorted(r.text for r in kept.collect()) == sorted(t for _, t, _ in rows if t and any(map(str.isalpha, t)))
+    unlabelled = language(spark, d.withColumn("lang", F.lit(None).cast("string")), sf_dir)
+    assert unlabelled.count() == kept.count() == 6
+    assert corpus_pipeline.toxic(spark, d, sf_dir).columns == d.columns
+    alone = corpus_pipeline.near_duplicates(spark, d, sf_dir)
+    assert alone.columns == d.columns and sorted((r.doc_id or 0, r.text or "") for r in alone.collect()) == sorted([(1, words), (3, rows[3][1]), (4, ""), (5, ""), (6, "123 !!"), (0, words), (0, "x")])
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, d, sf_dir).collect()} == {1, 2, 3, 4, 5, 6, None}
+
+
+def test_tables_are_saved_to_the_shared_folder_alone(spark):
+    from optlattice.llm import _shared
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        _shared.shared_dir(Cluster)
+    settings = (_shared._CLEANUP, _shared._BATCH)
+    before = [spark.conf.get(c) for c in settings]
+    saved = _shared.save(spark.range(5), "test-saved")
+    assert saved.count() == 5 and saved.saved_at.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert [spark.conf.get(c) for c in settings] == before
+    import os
+
+    assert os.path.exists(saved.saved_at.removeprefix("file:"))
+    _shared.forget(saved)
+    assert not os.path.exists(saved.saved_at.removeprefix("file:"))
+
+
 def test_posterior_bounds():
     for n, m in minhash.least_matches(0.85):
         tail = lambda k: sum(math.comb(n + 1, i) * 0.85**i * 0.15 ** (n + 1 - i) for i in range(k + 1))
