@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 NONE = np.iinfo(np.int64).max
 _SHIFT = 21
+#: Symbols beyond which a word is merged rank by rank: a round then costs as much as it merges, not as much as the word is long.
+LONG = 256
 
 
 class PairTable:
@@ -42,8 +46,12 @@ def merge(symbols: np.ndarray, counts: np.ndarray, table: PairTable) -> tuple[np
     """Applies each word's lowest-ranked pair in all words at once, round after round, until no word has a pair.
 
     symbols holds the words one after the other and counts the symbols of each. Returns the same two for the
-    results. A negative symbol joins no pair. Words without a pair leave the arrays at the end of a round.
+    results. A negative symbol joins no pair. Words without a pair leave the arrays at the end of a round; long words
+    are merged by merge_long().
     """
+    long = np.asarray(counts) > LONG
+    if long.any():
+        return _merge_both(symbols, np.asarray(counts, dtype=np.int64), table, long)
     n_words = len(counts)
     final = np.array(counts, dtype=np.int64)
     done_word, done_symbols = [], []
@@ -81,6 +89,92 @@ def merge(symbols: np.ndarray, counts: np.ndarray, table: PairTable) -> tuple[np
     return symbols[np.argsort(word, kind="stable")], final
 
 
+def _merge_both(symbols, counts, table, long):
+    """merge() of the short words and merge_long() of the others, in the words' order."""
+    of_long = np.repeat(long, counts)
+    flat_long, n_long = merge_long(symbols[of_long], counts[long], table)
+    flat, n = merge(symbols[~of_long], counts[~long], table)
+    final = np.zeros(len(counts), dtype=np.int64)
+    final[long], final[~long] = n_long, n
+    where, out = np.repeat(long, final), np.empty(int(final.sum()), dtype=np.int64)
+    out[where], out[~where] = flat_long, flat
+    return out, final
+
+
+def merge_long(symbols: np.ndarray, counts: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """merge() for long words: the lowest rank of all words at a time, at all its places.
+
+    Places of pairs wait by rank, and symbols are linked with those beside them, so a round touches only the places
+    that it merges and the pairs around them: no round is as long as the words. Where a merged symbol isn't plain,
+    its places are merged one by one, from the left.
+    """
+    word = np.repeat(np.arange(len(counts)), counts)
+    n = len(word)
+    symbol = np.r_[symbols.astype(np.int64), -1]  # the last one stands for what is beyond a word
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    last = np.flatnonzero(np.r_[word[1:] != word[:-1], True]) if n else np.zeros(0, dtype=np.int64)
+    after[last] = n
+    before[np.r_[0, last[:-1] + 1][: len(last)]] = n
+    rank, at, alive = np.full(n, NONE), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    waiting: dict[int, list] = {}
+    order: list[int] = []
+
+    def find(places: np.ndarray) -> None:
+        """Ranks the pairs that begin at the places, and lets them wait."""
+        left, right = symbol[places], symbol[after[places]]
+        found, where = table.find(np.maximum(left, 0), np.maximum(right, 0))
+        found[(left < 0) | (right < 0)] = NONE
+        rank[places], at[places] = found, where
+        some = np.flatnonzero(found != NONE)
+        some = some[np.argsort(found[some], kind="stable")]
+        cut = np.flatnonzero(np.diff(found[some])) + 1
+        for part in np.split(some, cut) if len(some) else []:
+            r = int(found[part[0]])
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(order, r)
+            if table.plain[table.merged[where[part[0]]]]:
+                waiting[r].append(places[part])
+            else:
+                for p in places[part].tolist():
+                    heapq.heappush(waiting[r], p)
+
+    find(np.arange(n))
+    while order:
+        r = order[0]
+        here = waiting[r]
+        if here and isinstance(here[0], int):
+            place = np.array([heapq.heappop(here)])
+            place = place[rank[place] == r]
+        else:
+            place = np.unique(np.concatenate(here)) if here else np.zeros(0, dtype=np.int64)
+            here.clear()
+            place = place[rank[place] == r]
+            place = _alternate(place, after)
+        if not here:
+            heapq.heappop(order)
+            del waiting[r]
+        if not len(place):
+            continue
+        gone = after[place]
+        symbol[place] = table.merged[at[place]]
+        rank[gone], alive[gone] = NONE, False
+        beyond = after[gone]
+        after[place], before[beyond] = beyond, place
+        before[n] = n
+        left = before[place]
+        find(np.unique(np.r_[place, left[left < n]]))
+    return symbol[:n][alive], np.bincount(word[alive], minlength=len(counts))
+
+
+def _alternate(place: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Leaves out places whose pair begins with the second symbol of the one before them: every second one of a run."""
+    linked = np.r_[False, after[place[:-1]] == place[1:]] if len(place) else np.zeros(0, dtype=bool)
+    index = np.arange(len(place))
+    run = np.maximum.accumulate(np.where(linked, 0, index)) if len(place) else index
+    return place[(index - run) % 2 == 0]
+
+
 def _pair_ranks(symbols, word, table, places=None):
     """Rank and table place of the pair that begins at each place; NONE at a word's end."""
     places = np.arange(len(symbols)) if places is None else places

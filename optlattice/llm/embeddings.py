@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mix64, save
+from ._shared import forget, mix64, save
 from .components import components
 
 #: Dimensions of a block, and vectors of a tile at most, about.
@@ -42,7 +42,7 @@ def budgets(dim: int, threshold: float) -> list[float]:
 
 
 def _unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, dim, vec) of every row with a usable vector: rotated, of length 1, as the bytes of doubles."""
+    """(id, dim, vec) of every row: its vector rotated, of length 1, as the bytes of doubles; null where it can't be used."""
 
     def run(batches):
         for batch in batches:
@@ -50,6 +50,7 @@ def _unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
             size = np.asarray(pa.compute.list_value_length(lists).fill_null(0), dtype=np.int64)
             flat = np.asarray(lists.flatten().cast(pa.float64()).fill_null(np.nan), dtype=np.float64)
             begin = np.r_[0, np.cumsum(size)][:-1]
+            unused = size == 0
             for dim in np.unique(size[size > 0]):
                 rows = np.flatnonzero(size == dim)
                 x = flat[begin[rows][:, None] + np.arange(dim)]
@@ -58,12 +59,14 @@ def _unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
                     x = x / top[:, None]  # neither overflows nor vanishes when squared
                     x = x / np.linalg.norm(x, axis=1)[:, None]
                 good = np.isfinite(top) & (top > 0) & np.isfinite(x).all(axis=1)
+                unused[rows[~good]] = True
                 out = x[good] @ rotation(int(dim))
                 out /= np.linalg.norm(out, axis=1)[:, None]
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows[good])), pa.array(np.full(good.sum(), dim), pa.int32()), pa.array([v.tobytes() for v in out], pa.binary())], ["id", "dim", "vec"])
+            left = batch.column("id").take(pa.array(np.flatnonzero(unused)))
+            yield pa.RecordBatch.from_arrays([left, pa.nulls(len(left), pa.int32()), pa.nulls(len(left), pa.binary())], ["id", "dim", "vec"])
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    return rows.where("id is not null and v is not null").mapInArrow(run, "id long, dim int, vec binary")
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, "id long, dim int, vec binary")
 
 
 def _slab(lead: np.ndarray, budget: float) -> np.ndarray:
@@ -166,14 +169,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
 
     n_links counts the other vectors that are linked directly, component_id is the smallest id reachable by
     links, kept tells if it is the vector's own. A vector that is null, empty, zero or holds a null or
-    non-finite component is linked with nothing, as are vectors of different dimensions. Ids are integers; a row
-    with a null id has a null component and kept = false. An empty table gives no rows.
+    non-finite component is linked with nothing, as are vectors of different dimensions. Ids are integers. Rows that share
+    an id are vectors of their own where they differ, and one vector where they are equal: a repeat isn't another vector,
+    and has the same figures. A row with a null id is linked with nothing and has a null component and kept = false. An
+    empty table gives no rows.
 
-    Equal vectors are one representative with a weight. Pairs are never emitted, only their numbers and
-    enough edges to connect them.
+    Distinct vectors are numbered representatives with a weight, the number of their ids. Pairs are never emitted, only
+    their numbers and enough edges to connect them.
     """
     units = save(_unit_vectors(vectors, id_col, vector_col), "embeddings-units")
-    same = save(units.groupBy("dim", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "embeddings-distinct")
+    usable = units.where("id is not null and vec is not null")
+    same = usable.distinct().groupBy("dim", "vec").agg(F.min("id").alias("first"), F.count("*").alias("w"))
+    same = save(same.withColumn("rep", F.monotonically_increasing_id()), "embeddings-distinct")  # numbers hold once they are written
     reps = same.select(F.col("rep").alias("id"), "w", "dim", "vec")
     sizes = _slab_sizes(reps, threshold)
 
@@ -183,11 +190,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         return pd.DataFrame({"a": np.r_[rows["id"].to_numpy()[some], a], "b": np.r_[np.full(some.sum(), -1), b], "n": np.r_[linked[some], np.zeros(len(a), dtype=np.int64)]})
 
     found = save(_dealt(reps, sizes, threshold).groupBy("unit").applyInPandas(compared, "a long, b long, n long"), "embeddings-links")
-    links = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    links = save(found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n")), "embeddings-counts")
     labels = save(components(found.where("n = 0")), "embeddings-labels")
-    per_rep = same.select("dim", "vec", "rep", "w").join(links, "rep", "left").join(labels, F.col("rep") == labels["id"], "left")
-    per_rep = per_rep.select("dim", "vec", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    per_id = units.join(per_rep, ["dim", "vec"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
-    rows = vectors.select(F.col(id_col).alias("_id")).join(per_id, F.col("_id") == per_id["id"], "left")
-    component = F.coalesce("component", "_id").cast("long")
-    return rows.select(F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(False)).alias("kept"))
+    forget(found)
+    per_rep = same.select("dim", "vec", "rep", "w", "first").join(links, "rep", "left").join(labels, F.col("rep") == labels["id"], "left").withColumn("group", F.coalesce("component", "rep"))
+    least = per_rep.groupBy("group").agg(F.min("first").alias("least"))
+    per_rep = per_rep.join(least, "group").select("dim", "vec", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), "least")
+    rows = units.join(per_rep, ["dim", "vec"], "left")
+    named = F.col("id").isNotNull()
+    component = F.when(named, F.coalesce("least", "id"))
+    return rows.select(F.col("id").alias(id_col), F.when(named, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))

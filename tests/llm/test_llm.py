@@ -71,6 +71,53 @@ def test_token_counts_are_the_library_s(spark, odd, empty):
     assert got[6].n_bytes == len(ODD[6].encode()) and token_counts.token_counts(empty, path("piece_bpe_32k.model")).count() == 0
 
 
+def long_words():
+    rng = random.Random(6)
+    syllables = ["".join(rng.choice("abcdefghijklmnoprstuvwy") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    sizes = [257, 300, 999, 5000]
+    mixed = ["".join(rng.choice(syllables) for _ in range(n)) for n in sizes] + ["".join(rng.choice("ab") for _ in range(n)) for n in sizes]
+    return [*mixed, "a" * 4001, "ab" * 3000, "the" * 2000, "é中" * 900, "word " + mixed[2] + " and\n" + mixed[1], "x" * 256, "=-" * 1500, "▁" * 700]
+
+
+def test_long_words_are_the_libraries(spark):
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    ids, counts = bpe.load(path("byte_bpe_50k.json")).encode(long_words())
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids for e in t.encode_batch(long_words(), add_special_tokens=False)]
+    model = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    assert token_counts.load(path("piece_bpe_32k.model")).count(long_words()).tolist() == [len(x) for x in model.encode(long_words(), num_threads=1)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merges_of_long_and_short_words_agree(seed, monkeypatch):
+    from optlattice.llm import _merge
+
+    rng = np.random.default_rng(seed)
+    pairs = list({(int(a), int(b)) for a, b in rng.integers(0, 12, (40, 2))})
+    table = _merge.PairTable([a for a, _ in pairs], [b for _, b in pairs], rng.permutation(len(pairs)), [4 + i % 8 for i in range(len(pairs))] if seed < 2 else [12 + i for i in range(len(pairs))])
+    counts = rng.integers(0, 60, 80)
+    symbols = rng.integers(-1, 5, int(counts.sum()))
+    monkeypatch.setattr(_merge, "LONG", 10**9)
+    want = _merge.merge(symbols, counts, table)
+    got = _merge.merge_long(symbols, counts, table)
+    monkeypatch.setattr(_merge, "LONG", 30)
+    both = _merge.merge(symbols, counts, table)
+    for x in (got, both):
+        assert x[0].tolist() == want[0].tolist() and x[1].tolist() == want[1].tolist()
+
+
+def test_a_megabyte_without_spaces_takes_seconds():
+    import time
+
+    rng = random.Random(7)
+    text = "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(1_000_000))
+    began = time.perf_counter()
+    ids, counts = bpe.load(path("byte_bpe_50k.json")).encode([text])
+    n = token_counts.load(path("piece_bpe_32k.model")).count([text])
+    assert time.perf_counter() - began < 60
+    assert ids.tolist() == Tokenizer.from_file(path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert n.tolist() == [len(sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model")).encode(text))]
+
+
 def test_word_tokens_and_packing(spark, odd, empty):
     t = Tokenizer.from_file(path("word_bpe_49k.json"))
     texts = fuzz() + [x or "" for x in ODD]
@@ -491,6 +538,15 @@ def test_embeddings_by_brute_force(spark):
     assert embeddings.near_duplicates(d.select(F.lit(None).cast("long").alias("vec_id"), "embedding").limit(2)).where("kept").count() == 0
 
 
+def test_embeddings_with_repeated_ids(spark):
+    x, y, z = [1.0, 0.0], [0.0, 1.0], [1.0, 0.1]
+    rows = [(7, x), (7, y), (7, x), (9, y), (8, z), (5, None), (5, x), (None, x), (None, None), (6, [0.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, -1 if r.component_id is None else r.component_id, r.kept) for r in embeddings.near_duplicates(d).collect())
+    # the vectors x of 5 and 7 and z of 8 are one group, y of 7 and 9 another
+    assert got == [(-1, 0, -1, False), (-1, 0, -1, False), (5, 0, 5, True), (5, 2, 5, True), (6, 0, 6, True), (7, 1, 7, True), (7, 2, 5, False), (7, 2, 5, False), (8, 2, 5, False), (9, 1, 7, False)]
+
+
 def test_queries_carry_their_contracts(spark, sf_dir):
     want = {
         "op1": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
