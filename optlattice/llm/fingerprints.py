@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Share of all hash values that a sketch keeps, and words per shingle.
-FRACTION = 0.25
+FRACTION = 1 / 16
 WORDS = 5
+#: Texts of up to so many shingles keep all of them.
+WHOLE = 32
 #: Bits of an id within a bucket of neighbours, and of a bucket's number within each level above.
 LEVELS = (8, 12, 16, 16)
 _LOWEST = -(1 << 63)
@@ -20,19 +22,23 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     return _let(found, runs)
 
 
+def _limit(fraction: float) -> int:
+    return _LOWEST + int(fraction * (1 << 64))
+
+
 def sketch(text: Column, fraction: float = FRACTION, words: int = WORDS) -> Column:
-    """The sorted distinct shingle hashes of a text below the fraction; if there are none, its smallest hash alone.
+    """A struct of `h`, the sorted distinct shingle hashes of a text below the fraction, and `whole`.
 
-    Two sketches merge by union. A text without words has the empty sketch.
+    A text with few shingles, or with none below the fraction, keeps all of them; `whole` tells so. Its hashes below the
+    fraction are what it has in common with larger texts. A text without words has an empty, whole sketch.
     """
-    limit = _LOWEST + int(fraction * (1 << 64))
 
     def keep(hashes: Column) -> Column:
-        low = F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(limit))))
-        least = F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(F.array().cast("array<bigint>"))
-        return _let(low, lambda a: F.when(F.size(a) > 0, a).otherwise(least))
+        low = F.filter(hashes, lambda h: h < F.lit(_limit(fraction)))
+        whole = (F.size(hashes) <= WHOLE) | (F.size(low) == 0)
+        return F.struct(whole.alias("whole"), F.when(whole, hashes).otherwise(low).alias("h"))
 
-    return _let(shingle_hashes(text, words), keep)
+    return _let(F.array_sort(F.array_distinct(shingle_hashes(text, words))), keep)
 
 
 def _let(value: Column, use) -> Column:
@@ -40,20 +46,37 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has too; for an empty a 1 if b is empty as well, else 0."""
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.when(F.size(b) == 0, 1.0).otherwise(0.0))
+def _at(a: Column, whole: Column, fraction: float) -> Column:
+    """A sketch's hashes at a threshold: all of them, or those below the fraction."""
+    return F.when(whole, a["h"]).otherwise(F.filter(a["h"], lambda h: h < F.lit(_limit(fraction))))
+
+
+def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of the union of two shingle sets, at the threshold that both have."""
+    whole = a["whole"] & b["whole"]
+    return F.struct(whole.alias("whole"), F.array_sort(F.array_union(_at(a, whole, fraction), _at(b, whole, fraction))).alias("h"))
+
+
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated share of a's shingles that b has too, at the threshold that both have; exact where both are whole.
+
+    For an empty a 1 if b is empty as well, else 0. A short a without a hash below the fraction has nothing that a larger
+    b could show: 0.
+    """
+    whole = a["whole"] & b["whole"]
+    share = lambda p: F.when(F.size(p["a"]) > 0, F.size(F.array_intersect(p["a"], p["b"])) / F.size(p["a"])).otherwise(F.when(F.size(a["h"]) + F.size(b["h"]) == 0, 1.0).otherwise(0.0))
+    return _let(F.struct(_at(a, whole, fraction).alias("a"), _at(b, whole, fraction).alias("b")), share)
 
 
 def shown(a: Column) -> Column:
-    """A sketch as text: hashes in hexadecimal, joined by commas."""
-    return F.array_join(F.transform(a, lambda h: F.lower(F.hex(h))), ",")
+    """A sketch as text: hashes in hexadecimal, joined by commas, behind `all:` if it is whole."""
+    return F.concat(F.when(a["whole"], "all:").otherwise(""), F.array_join(F.transform(a["h"], lambda h: F.lower(F.hex(h))), ","))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = FRACTION, words: int = WORDS) -> DataFrame:
-    """(id, fingerprint, shingles kept) of every whole text; null counts as empty. No shuffle."""
+    """(id, fingerprint, shingles kept) of every whole text; null counts as empty. No shuffle. Equal texts have equal fingerprints."""
     rows = docs.select(id_col, sketch(F.coalesce(text_col, F.lit("")), fraction, words).alias("_s"))
-    return rows.select(id_col, shown(F.col("_s")).alias("fingerprint"), F.size("_s").alias("n_kept"))
+    return rows.select(id_col, shown(F.col("_s")).alias("fingerprint"), F.size("_s.h").alias("n_kept"))
 
 
 def _before(keys: DataFrame, levels: tuple[int, ...]) -> DataFrame:
@@ -75,11 +98,14 @@ def _before(keys: DataFrame, levels: tuple[int, ...]) -> DataFrame:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = FRACTION, words: int = WORDS) -> DataFrame:
     """(id, _text, _sketch, _next_text, _next_sketch): each document with the next one by descending id; after the last comes the first.
 
-    Ids are integers; rows that share an id follow each other by text, and a null id comes last. Texts are
-    shuffled once, to buckets of 256 ids; only a bucket's largest document travels to the bucket above it.
+    Ids are integers; rows that share an id follow each other by text. Rows with a null id come last, by the hash of
+    their texts, which also spreads them over buckets. Texts are shuffled once, to buckets of 256 ids; only a bucket's
+    largest document travels to the bucket above it.
     """
-    rows = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("_k"))
-    rows = rows.withColumn("_b", F.shiftright("_k", LEVELS[0]))
+    rows = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("_text"))
+    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64("_text"))
+    below = F.when(F.col(id_col).isNull(), F.shiftright(F.xxhash64("_text"), LEVELS[0] + 1) - F.lit(1 << 56))  # under all ids
+    rows = rows.withColumns({"_k": key, "_b": F.coalesce(below, F.shiftright(key, LEVELS[0]))})
     spread = rows.repartition("_b").withColumn("_sketch", sketch(F.col("_text"), fraction, words))
     here = Window.partitionBy("_b").orderBy("_k", "_text")
     inner = spread.withColumns({"_next_text": F.lag("_text").over(here), "_next_sketch": F.lag("_sketch").over(here)})
@@ -113,6 +139,6 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frac
         F.sha2("_edited", 256).alias("edited_sha256"),
         shown(F.col("_sketch")).alias("fingerprint"),
         shown(F.col("_edited_sketch")).alias("edited_fingerprint"),
-        containment(F.col("_sketch"), F.col("_edited_sketch")).alias("near_edited"),
-        containment(F.col("_sketch"), F.col("_next_sketch")).alias("near_next"),
+        containment(F.col("_sketch"), F.col("_edited_sketch"), fraction).alias("near_edited"),
+        containment(F.col("_sketch"), F.col("_next_sketch"), fraction).alias("near_next"),
     )

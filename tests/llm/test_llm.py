@@ -431,21 +431,56 @@ def test_log_gamma():
     assert lm.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-11)
 
 
+def shingles_of(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def hash_table(spark, texts):
+    """The hash of every shingle of the texts."""
+    every = sorted({s for t in texts for s in shingles_of(t)})
+    rows = spark.createDataFrame([(list(s),) for s in every], "w array<string>").select("w", F.xxhash64("w").alias("h")).collect()
+    return {tuple(r.w): r.h for r in rows}
+
+
+LIMIT = -(1 << 63) + (1 << 64) // 16
+
+
+def brute_sketch(table, text):
+    """(whole, hashes) as the definition says."""
+    every = {table[s] for s in shingles_of(text)}
+    low = {h for h in every if h < LIMIT}
+    return (True, every) if len(every) <= 32 or not low else (False, low)
+
+
+def brute_containment(a, b):
+    if not a[1]:
+        return float(not b[1])
+    x, y = (a[1], b[1]) if a[0] and b[0] else ({h for h in s if h < LIMIT} for s in (a[1], b[1]))
+    return len(x & y) / len(x) if x else 0.0
+
+
+def brute_shown(s):
+    return "all:" * s[0] + ",".join(f"{h & (1 << 64) - 1:x}" for h in sorted(s[1]))
+
+
 def test_fingerprints(spark, odd, empty):
     texts = near_texts()
-    for d, ids in ((docs(spark, texts), list(range(len(texts)))), (docs(spark, texts).withColumn("doc_id", F.col("doc_id") * 1_000_003 - 50), None)):
+    for d in (docs(spark, texts), docs(spark, texts).withColumn("doc_id", F.col("doc_id") * 1_000_003 - 50)):
         rows = sorted(fingerprints.edited(d).collect(), key=lambda r: -r.doc_id)
         source = {r.doc_id: r.text or "" for r in d.select("doc_id", "text").collect()}
-        prints = {r.doc_id: r.fingerprint for r in rows}
+        edited, following = {}, {}
         for k, r in enumerate(rows):
-            following = rows[(k + 1) % len(rows)].doc_id
-            own, after = source[r.doc_id], source[following]
-            cut = len(own) // 3
-            edited = own[: len(own) - cut] + after[:cut]
-            assert r.n_chars == len(own) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-            a, b = (set(filter(None, prints[i].split(","))) for i in (r.doc_id, following))
-            assert r.near_next == pytest.approx(len(a & b) / len(a) if a else float(not b))
-            assert 0 <= r.near_edited <= 1
+            following[r.doc_id] = rows[(k + 1) % len(rows)].doc_id
+            own, after = source[r.doc_id], source[following[r.doc_id]]
+            edited[r.doc_id] = own[: len(own) - len(own) // 3] + after[: len(own) // 3]
+        table = hash_table(spark, [*source.values(), *edited.values()])
+        sketches = {i: brute_sketch(table, t) for i, t in source.items()}
+        for r in rows:
+            own, changed = sketches[r.doc_id], brute_sketch(table, edited[r.doc_id])
+            assert r.n_chars == len(source[r.doc_id]) and r.edited_sha256 == hashlib.sha256(edited[r.doc_id].encode()).hexdigest()
+            assert (r.fingerprint, r.edited_fingerprint) == (brute_shown(own), brute_shown(changed))
+            assert r.near_edited == pytest.approx(brute_containment(own, changed)) and r.near_next == pytest.approx(brute_containment(own, sketches[following[r.doc_id]]))
     plain = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs(spark, texts)).collect()}
     same = defaultdict(set)
     for i, t in enumerate(texts):
@@ -456,10 +491,34 @@ def test_fingerprints(spark, odd, empty):
     assert fingerprints.edited(odd).count() == 16 and fingerprints.edited(empty).count() == 0
 
 
+def test_short_texts_contained_in_the_next(spark):
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(900)]
+    long = [[rng.choice(words) for _ in range(30)] for _ in range(40)]
+    texts = [t for w in long for t in (" ".join(w), " ".join(w[10:15]))]  # by descending id each short text comes before its long one
+    got = {r.doc_id: r for r in fingerprints.edited(docs(spark, texts)).collect()}
+    assert all(got[i].near_next == 1 for i in range(1, 80, 2)) and all(got[i].near_next < 0.1 for i in range(2, 80, 2))
+
+
+def test_rows_without_ids_have_a_next_text(spark):
+    d = spark.createDataFrame([(None, "b c"), (None, "a b"), (None, "b c"), (4, "x y"), (-9, "p q")], "doc_id long, text string")
+    rows = fingerprints.with_next(d).collect()
+    assert len(rows) == 5 and sorted(r._next_text for r in rows) == sorted(r._text for r in rows)  # every text follows one other
+    assert {r.doc_id: r._next_text for r in rows}[4] == "p q"
+
+
 def test_sketches_merge_by_union(spark):
-    row = docs(spark, ["a b c d e f g h i j k l m n o p"]).select(fingerprints.shingle_hashes(F.col("text")).alias("h"), fingerprints.sketch(F.col("text")).alias("s")).first()
-    low = sorted(h for h in set(row.h) if h < -(1 << 63) + (1 << 62))
-    assert len(row.h) == 12 and row.s == (low or [min(row.h)])
+    texts = ["a b c d e f g h i j k l m n o p", " ".join(f"x{i}" for i in range(200)), " ".join(f"x{i}" for i in range(150, 400)), ""]
+    table = hash_table(spark, texts)
+    d = docs(spark, texts)
+    s = {r.doc_id: r.s for r in d.select("doc_id", fingerprints.sketch(F.col("text")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        whole, hashes = brute_sketch(table, t)
+        assert (s[i].whole, s[i].h) == (whole, sorted(hashes))
+    pairs = d.alias("a").crossJoin(d.alias("b")).select(F.col("a.doc_id").alias("i"), F.col("b.doc_id").alias("j"), fingerprints.merge(fingerprints.sketch(F.col("a.text")), fingerprints.sketch(F.col("b.text"))).alias("m"))
+    for r in pairs.collect():
+        every = {table[x] for k in (r.i, r.j) for x in shingles_of(texts[k])}
+        assert r.m.h == sorted(every if r.m.whole else {h for h in every if h < LIMIT}) and r.m.whole == (s[r.i].whole and s[r.j].whole)
 
 
 def pages(spark, urls):
