@@ -573,6 +573,26 @@ def test_mined_rules_decide_undecided_urls(spark, tmp_path):
     assert set(url_filter.restated()) == {"host0=net", "host0=com", "host0=org", "host1=example", "path0=en", "path0=de", "path0=fr"}
 
 
+def test_long_urls_do_not_multiply_item_sets(spark):
+    rng = random.Random(3)
+    names = "&".join(f"utm{i}=1" for i in range(40))
+    loose = lambda: "&".join(f"opt{i}=1" for i in range(30) if rng.random() < 0.97)
+    urls = [f"http://h{i}.bad.example.com/de/x?{names}&{loose()}" for i in range(150)] + [f"http://h{i}.good.example.org/fr/y?{loose()}" for i in range(150)]
+    urls += ["http://new.bad.other.info/?utm7=3", "http://new.good.other.info/"]
+    got = {r.page_id: r for r in url_filter.judge(pages(spark, urls), labelled_only=True).collect()}
+    assert got[300].verdict == "block" and got[301].verdict == "allow" and got[0].rule == "example.com/de/"
+    host, path_ = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    baskets = pages(spark, urls[:150]).select(url_filter.tokens(F.col("url"), host, path_).alias("_tokens"), F.lit("block").alias("_label"))
+    constant = [r for r in url_filter.items_of(baskets, 5).collect() if "query=utm0" in r.tokens]
+    assert len(constant) == 1 and {f"query=utm{i}" for i in range(40)} <= set(constant[0].tokens) and constant[0].freq == 150
+
+
+def test_tiny_tables_have_no_mined_rules(spark):
+    long = "http://a.example.com/de/?" + "&".join(f"q{i}=1" for i in range(40))
+    got = url_filter.judge(pages(spark, [long, long + "&z=1", "http://a.example.com/en/?q1=1"]), labelled_only=True).collect()
+    assert [(r.verdict, r.mined) for r in sorted(got, key=lambda r: r.page_id)] == [("block", None), ("block", None), ("allow", None)]
+
+
 def test_embeddings_by_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(120, 20))
