@@ -6,13 +6,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import coded, hashed, run_sums, save, starts, words_of
 
 #: Bytes of the longest context.
 DEPTH = 5
-#: Documents of a group, whose distinct words and contexts are looked up together.
-GROUP_DOCS = 4_000
+#: Bytes of text, and documents, of a group, whose distinct words and contexts are looked up together.
+GROUP_BYTES, GROUP_DOCS = 8_000_000, 50_000
+#: Groups in one list of those that have a word or context; beyond it there are several lists.
+LISTED = 4_096
+#: Grams of a subtree that one task works on; a larger one is split by the next byte of its contexts.
+GROUP_GRAMS = 100_000
+#: Split subtrees that are broadcast; more are joined.
+BROADCAST_ROWS = 500_000
 WORD, GRAM = 0, 1
 #: Characters of a group that are worked on at a time, and distinct keys that wait to be summed up.
 PART_CHARS, WAITING = 600_000, 400_000
@@ -165,7 +172,7 @@ class Counts:
         return self.keys[0], self.counts[0]
 
 
-def gather(rows: pd.DataFrame) -> pd.DataFrame:
+def gather(rows: pd.DataFrame, depth: int = DEPTH) -> pd.DataFrame:
     """The distinct word keys and grams of a group's documents, with their counts in its training documents."""
     texts, training = [t or "" for t in rows["_text"]], rows["_train"].to_numpy(dtype=bool)
     words, grams = Counts(), Counts()
@@ -174,7 +181,7 @@ def gather(rows: pd.DataFrame) -> pd.DataFrame:
         codes, distinct, counts = coded(lists)
         learn = np.repeat(training[part], counts)
         words.add(np.r_[_word_keys(distinct), END], np.r_[np.bincount(codes[learn], minlength=len(distinct)), training[part].sum()])
-        gram, size = _grams([line_of(x) for x in lists])
+        gram, size = _grams([line_of(x) for x in lists], depth)
         grams.add(gram, np.repeat(training[part], size))
     out = []
     for kind, counts in ((WORD, words), (GRAM, grams)):
@@ -212,7 +219,7 @@ class Lookup:
         return self.value[at]
 
 
-def score_group(rows: pd.DataFrame, known: pd.DataFrame, total: int, distinct_words: int) -> pd.DataFrame:
+def score_group(rows: pd.DataFrame, known: pd.DataFrame, total: int, distinct_words: int, depth: int = DEPTH) -> pd.DataFrame:
     """Scores a group's documents with the values of its words (training counts) and grams (log10 probabilities)."""
     kind, key, value = known["kind"].to_numpy(), known["key"].to_numpy(), known["value"].to_numpy()
     word_key, word_count = key[kind == WORD], value[kind == WORD]
@@ -229,7 +236,7 @@ def score_group(rows: pd.DataFrame, known: pd.DataFrame, total: int, distinct_wo
         ends = word_count[np.searchsorted(word_key, END)]
         base = run_sums(np.log10(count + 1)[codes], counts) + np.log10(ends + 1) - (counts + 1) * scale
         seen = run_sums((count > 0).astype(np.int64)[codes], counts) + int(ends > 0)
-        gram, size = _grams([line_of(x) for x in lists])
+        gram, size = _grams([line_of(x) for x in lists], depth)
         out.append(pd.DataFrame({"n_tokens": counts + 1, "n_known": seen, "base_score": base, "score": run_sums(find.get(gram), size), "n_bytes": size}))
     result = pd.concat(out, ignore_index=True)
     result.insert(0, "train_tokens", total)
@@ -237,36 +244,86 @@ def score_group(rows: pd.DataFrame, known: pd.DataFrame, total: int, distinct_wo
     return result
 
 
+def _ending(n: int) -> Column:
+    """The last n bytes of a gram's context."""
+    return F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * n) - 1))
+
+
+def _subtrees(grams: DataFrame) -> DataFrame:
+    """(key, n, s, root): each gram with the subtree that a task works on, that of the last s bytes of its context.
+
+    s is 2, or 3 where more than GROUP_GRAMS grams share two bytes, or 4 where more share three; four bytes leave room for
+    65,536 grams. At most 65,536 pairs of bytes are broadcast; split triples only if they are few.
+    """
+    three = grams.groupBy(_ending(3).alias("e3")).agg(F.count("*").alias("c"))
+    two = three.groupBy(F.col("e3").bitwiseAND(F.lit(0xFFFF)).alias("e2")).agg(F.sum("c").alias("c"))
+    wide2 = two.where(F.col("c") > GROUP_GRAMS).select("e2", F.lit(True).alias("w2"))
+    wide3 = three.where(F.col("c") > GROUP_GRAMS).select("e3", F.lit(True).alias("w3"))
+    few = wide3.count() <= BROADCAST_ROWS
+    rows = grams.select("key", "n", _ending(2).alias("e2"), _ending(3).alias("e3")).join(F.broadcast(wide2), "e2", "left").join(F.broadcast(wide3) if few else wide3, "e3", "left")
+    s = F.when(F.col("w3"), 4).when(F.col("w2"), 3).otherwise(2)
+    root = F.when(F.col("w3"), _ending(4)).when(F.col("w2"), F.col("e3")).otherwise(F.col("e2"))
+    return rows.select("key", "n", s.alias("s"), root.alias("root"))
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("total", "share")]))
+def _weighed(n0: pd.Series, n1: pd.Series, below: pd.Series) -> pd.DataFrame:
+    """A node's weighted ln probability and the weight of its own estimate, from its counts and its children's sum."""
+    own, below = log_kt(n0.to_numpy(dtype=float), n1.to_numpy(dtype=float)), below.to_numpy(dtype=float)
+    return pd.DataFrame({"total": np.logaddexp(own + _HALF, below + _HALF), "share": share(own, below)})
+
+
+def _lifted(nodes: DataFrame, d: int) -> DataFrame:
+    """The nodes (node, n0, n1, total, share) of depth d from all their children."""
+    parent = F.shiftleft(F.shiftright("node", 8).bitwiseAND(F.lit((1 << 8 * d) - 1)), 8).bitwiseOR(F.col("node").bitwiseAND(F.lit(255)))
+    sums = nodes.groupBy(parent.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("total").alias("below"))
+    return sums.withColumn("_w", _weighed("n0", "n1", "below")).select("node", "n0", "n1", "_w.total", "_w.share")
+
+
 def gram_values(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(key, value): the log10 probability of each gram's last byte after its context, from the grams' training counts n.
 
-    Groups of grams that share the last two bytes of their contexts are subtrees of the context tree. Their roots'
-    sums make the two levels above: 65,792 nodes at most, which go to the driver and to every task.
+    Groups of grams that share the ends of their contexts are subtrees of the context tree; see _subtrees(). Their roots'
+    sums make the nodes above them, level by level, up to depth 2; split subtrees get these nodes by a join. The two
+    levels above, 65,792 nodes at most, go to the driver and to every task.
     """
-    rows = grams.select("key", "n", F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("root"))
+    rows = save(_subtrees(grams), "lm-subtrees")
 
     def roots(key, group):
-        levels, _, _ = tree(group["key"].to_numpy(), group["n"].to_numpy(), 2, depth)
+        levels, _, _ = tree(group["key"].to_numpy(), group["n"].to_numpy(), int(key[0]), depth)
         low = levels[0]
-        node = low.key & 0xFFFF
-        return pd.DataFrame({"node": node, "n0": low.n0, "n1": low.n1, "below": low.total})
-
-    sums = rows.groupBy("root").applyInPandas(roots, "node long, n0 double, n1 double, below double")
-    top = sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toPandas().sort_values("node")
+        return pd.DataFrame({"s": np.int32(key[0]), "node": low.key, "n0": low.n0, "n1": low.n1, "total": low.total})
+
+    sums = save(rows.groupBy("s", "root").applyInPandas(roots, "s int, node long, n0 double, n1 double, total double"), "lm-roots")
+    columns = ("node", "n0", "n1", "total")
+    three = _lifted(sums.where("s = 4"), 3)
+    two = _lifted(sums.where("s = 3").select(*columns).unionByName(three.select(*columns)), 2)
+    one = sums.where("s = 2").select(*columns).unionByName(two.select(*columns))
+    parent = F.col("node").bitwiseAND(F.lit(0xFFFF)).alias("node")
+    top = one.groupBy(parent).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("total").alias("below")).toPandas().sort_values("node")
     tables = _top_tables(top)
+    split = rows.where("s > 2").select(F.col("s").alias("under"), F.col("root").alias("end")).distinct()
+    at = lambda nodes, d: nodes.select(F.lit(d).alias("d"), F.shiftright("node", 8).alias("e"), "node", "n0", "n1", "share")
+    above = split.withColumn("e", F.col("end").bitwiseAND(F.lit(0xFFFF))).join(at(two, 2), "e").unionByName(split.where("under = 4").withColumn("e", F.col("end").bitwiseAND(F.lit(0xFFFFFF))).join(at(three, 3), "e"))
 
-    def values(key, group):
+    def values(key, group, upper):
         gram = group["key"].to_numpy()
-        levels, bit, prefix = tree(gram, group["n"].to_numpy(), 2, depth)
+        levels, bit, prefix = tree(gram, group["n"].to_numpy(), int(key[0]), depth)
         p, seen = mixed(levels, bit)
-        for share_of, n0, n1, place in ((*tables[1], np.repeat(gram >> 8 & 255, 8) << 8 | prefix), (*tables[0], prefix)):
+        over = []
+        for d in range(int(key[0]) - 1, 1, -1):
+            known = upper[upper["d"] == d].sort_values("node")
+            place = np.searchsorted(known["node"].to_numpy(), np.repeat(gram >> 8 & ((1 << 8 * d) - 1), 8) << 8 | prefix)
+            over.append((known["share"].to_numpy(), known["n0"].to_numpy(), known["n1"].to_numpy(), place))
+        over += [(*tables[1], np.repeat(gram >> 8 & 255, 8) << 8 | prefix), (*tables[0], prefix)]
+        for share_of, n0, n1, place in over:
             a, b = n0[place], n1[place]
             own = (np.where(bit == 1, b, a) + 0.5) / (a + b + 1)
             s = share_of[place]
             p, seen = np.where(seen, s * own + (1 - s) * p, own), a + b > 0
         return pd.DataFrame({"key": gram, "value": np.log10(p).reshape(-1, 8).sum(axis=1)})
 
-    return rows.groupBy("root").applyInPandas(values, "key long, value double")
+    return rows.groupBy("s", "root").cogroup(above.groupBy("under", "end")).applyInPandas(values, "key long, value double")
 
 
 def _top_tables(top: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -281,7 +338,7 @@ def _top_tables(top: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndar
     return [(share(log_kt(n0, n1), below), n0, n1), one]
 
 
-def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), depth: int = DEPTH) -> DataFrame:
     """(id, `keep`, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of all whole texts.
 
     Learns from the rows that fulfil `training`. A text is read as its words (A-Z in lower case) with single spaces
@@ -289,27 +346,30 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     their training counts plus one. Words are told apart by 64-bit hashes. Without training rows every bit has
     probability 1/2. Repeated rows give repeated rows; an empty table none.
 
-    Documents are dealt to groups; a group's distinct words and contexts are joined with their corpus values and
-    come back to the group, so no table of the corpus is broadcast.
+    Documents are dealt to groups of about as many bytes; a group's distinct words and contexts are joined with their
+    corpus values and come back to the group, so no table of the corpus is broadcast. The groups that have a word or
+    context are listed, at most LISTED in a list.
     """
     rows = docs.select(F.struct(id_col, *keep).alias("_row"), F.col(text_col).alias("_text"), F.coalesce(training, F.lit(False)).alias("_train"))
-    groups = max(1, -(-docs.count() // GROUP_DOCS))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("_row", F.length("_text")), F.lit(groups)).cast("int"))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("bytes")).first()
+    groups = max(1, -(-size["n"] // GROUP_DOCS), -(-size["bytes"] // GROUP_BYTES))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("_row", F.length("_text"), F.xxhash64("_text")), F.lit(groups)).cast("int"))
 
     def gathered(key, group):
-        return gather(group).assign(g=np.int32(key[0]))
+        return gather(group, depth).assign(g=np.int32(key[0]))
 
     found = rows.select("g", "_text", "_train").groupBy("g").applyInPandas(gathered, "kind int, key long, n long, g int")
-    corpus = save(found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_list("g").alias("gs")), "lm-corpus")
+    listed = save(found.groupBy("kind", "key", F.floor(F.col("g") / LISTED).alias("part")).agg(F.sum("n").alias("n"), F.collect_list("g").alias("gs")), "lm-corpus")
+    corpus = listed if groups <= LISTED else save(listed.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     words = corpus.where(F.col("kind") == WORD)
     size = words.agg(F.sum("n").alias("total"), F.sum((F.col("n") > 0).cast("long")).alias("distinct")).first()
     total, distinct = int(size["total"] or 0), int(size["distinct"] or 0)
-    grams = corpus.where(F.col("kind") == GRAM)
-    valued = grams.select("key", "gs").join(gram_values(grams.select("key", "n")), "key")
-    every = words.select("kind", "key", F.col("n").cast("double").alias("value"), F.explode("gs").alias("g")).unionByName(valued.select(F.lit(GRAM).alias("kind"), "key", "value", F.explode("gs").alias("g")))
+    grams = gram_values(corpus.where(F.col("kind") == GRAM).select("key", "n"), depth)
+    known = words.select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(grams.select(F.lit(GRAM).alias("kind"), "key", "value"))
+    every = listed.select("kind", "key", "gs").join(known, ["kind", "key"]).select("kind", "key", "value", F.explode("gs").alias("g"))
 
     def scored(group, known):
-        return score_group(group, known, total, distinct)
+        return score_group(group, known, total, distinct, depth)
 
     kind = rows.schema["_row"].dataType.simpleString()
     numbers = "n_tokens long, n_known long, base_score double, score double, n_bytes long"

@@ -363,6 +363,21 @@ def test_lm_by_brute_force(spark, empty):
     assert untrained.score == pytest.approx(3 * 8 * math.log10(0.5)) and untrained.train_tokens == 0
 
 
+def test_lm_with_split_subtrees(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(40)) for _ in range(30)]
+    d = docs(spark, texts)
+    want = {r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.scores(d, F.col("doc_id") < 20).collect()}
+    for name, value in (("GROUP_GRAMS", 30), ("LISTED", 2), ("GROUP_BYTES", 900), ("BROADCAST_ROWS", 3)):
+        monkeypatch.setattr(lm, name, value)
+    grams = spark.createDataFrame([(int(g), 1) for g in lm._grams([lm.line_of(t.encode().split()) for t in texts])[0]], "key long, n long").groupBy("key").sum("n").toDF("key", "n")
+    assert {r.s for r in lm._subtrees(grams).collect()} == {2, 3, 4}
+    got = {r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.scores(d, F.col("doc_id") < 20).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+    model = BruteTree([lm.line_of(t.encode().lower().split()) for t in texts[:20]])
+    assert got[25][0] == pytest.approx(model.score(lm.line_of(texts[25].encode().lower().split())), rel=1e-9)
+
+
 class BruteTree:
     """Context-tree weighting node by node with dictionaries."""
 
