@@ -135,12 +135,13 @@ def train(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, id_col:
             for part, texts in chunks(batch, text_col, CHUNK_CHARS):
                 index, counts = features(texts)
                 lists = pa.ListArray.from_arrays(pa.array(starts(counts), pa.int32()), pa.array(index, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("_fold"), lists, *(part.column(c) for c in categories)], ["_fold", "index", *categories])
+                yield pa.RecordBatch.from_arrays([part.column("_order"), part.column("_fold"), lists, *(part.column(c) for c in categories)], ["_order", "_fold", "index", *categories])
 
     def fit(batches):
         rows = pd.concat(list(batches), ignore_index=True) if (batches := list(batches)) else None
         models = [Linear(k) for k in range(len(categories))]
         if rows is not None and len(rows):
+            rows = rows.sort_values("_order", kind="stable")  # the steps don't depend on where rows were written
             index = np.concatenate([np.asarray(x, dtype=np.int64) for x in rows["index"]])
             models = fit_chain(index, rows["index"].map(len).to_numpy(), rows[list(categories)].to_numpy(dtype=float), rows["_fold"].to_numpy(), folds)
         for k, model in enumerate(models):
@@ -149,8 +150,8 @@ def train(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, id_col:
 
     rows = labelled.dropna(subset=list(categories))
     fold = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("fold")), F.lit(folds)).cast("int")
-    rows = rows.select(fold.alias("_fold"), text_col, *(F.col(c).cast("int").alias(c) for c in categories))
-    rows = save(rows.mapInArrow(sparse, "_fold int, index array<int>, " + ", ".join(f"`{c}` int" for c in categories)), "toxicity-sample")
+    rows = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("_order"), fold.alias("_fold"), text_col, *(F.col(c).cast("int").alias(c) for c in categories))
+    rows = save(rows.mapInArrow(sparse, "_order long, _fold int, index array<int>, " + ", ".join(f"`{c}` int" for c in categories)), "toxicity-sample")
     found = rows.coalesce(1).mapInPandas(fit, "category int, at long, value double").toPandas()
     return Chain(tuple(categories), [(g["at"].to_numpy(), g["value"].to_numpy()) for k in range(len(categories)) for g in [found[found["category"] == k]]])
 
