@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,23 +28,60 @@ SEVERITY = {
 IV_LIMIT, IV_TOP, DELTA_GAP, TRUNCATED_SHARE, SPARSE_BARS = 2.0, 10.0, 0.10, 0.15, 10.0
 
 
-def _flag(rows: DataFrame, code: str, when: Column, value: Column, threshold: float | None, phase: int) -> DataFrame:
+def _rule(code: str, when: Column, value: Column, threshold: float | None, phase: int) -> Column:
+    """A flag where the rule holds, else null."""
+    return F.when(when, F.struct(F.lit(code).alias("flag_code"), F.lit(SEVERITY[code]).alias("flag_severity"), value.cast("double").alias("flag_value"), F.lit(threshold).cast("double").alias("threshold"), F.lit(phase).alias("phase")))
+
+
+def _emit(rows: DataFrame, rules: Sequence[Column]) -> DataFrame:
+    """One row per flag: all rules are checked in one pass over the rows."""
     stamp = F.col("ts_event") if "ts_event" in rows.columns else F.lit(None).cast("timestamp_ntz")
-    return rows.where(when).select("instrument_id", stamp.alias("ts_event"), F.lit(code).alias("flag_code"), F.lit(SEVERITY[code]).alias("flag_severity"), value.cast("double").alias("flag_value"), F.lit(threshold).cast("double").alias("threshold"), F.lit(phase).alias("phase"))
+    return rows.select("instrument_id", stamp.alias("ts_event"), F.explode(F.array_compact(F.array(*rules))).alias("_f")).select("instrument_id", "ts_event", "_f.*")
 
 
-def iv_flags(greeks: DataFrame) -> DataFrame:
+def _iv_rules() -> list[Column]:
     iv = F.col("iv")
-    return _union(_flag(greeks, "IV_NAN", F.isnan(iv), iv, None, 1), _flag(greeks, "IV_SENTINEL", iv == IV_TOP, iv, IV_TOP, 1), _flag(greeks, "IV_HIGH", (iv > IV_LIMIT) & ~F.isnan(iv) & (iv != IV_TOP), iv, IV_LIMIT, 1))
+    return [_rule("IV_NAN", F.isnan(iv), iv, None, 1), _rule("IV_SENTINEL", iv == IV_TOP, iv, IV_TOP, 1), _rule("IV_HIGH", (iv > IV_LIMIT) & ~F.isnan(iv) & (iv != IV_TOP), iv, IV_LIMIT, 1)]
+
+
+def _greek_rules() -> list[Column]:
+    delta = F.col("delta")
+    return [_rule("NEGATIVE_DTE", F.col("dte") < 0, F.col("dte"), 0.0, 4), _rule("DELTA_MAGNITUDE_ERROR", (F.abs(delta) > 1) & ~F.isnan(delta), delta, 1.0, 4)]
+
+
+def _sign_rules() -> list[Column]:
+    delta = F.col("delta")
+    wrong = ((F.col("right") == "P") & (delta > 0)) | ((F.col("right") == "C") & (delta < 0))
+    return [_rule("DELTA_SIGN_ERROR", wrong & ~F.isnan(delta), delta, 0.0, 4)]
+
+
+def _gap_rules() -> list[Column]:
+    theory = pricing.greeks(F.col("spot"), F.col("strike_price"), F.col("T"), F.col("iv"), F.col("right"))["delta"]
+    gap = F.abs(F.col("delta") - theory)
+    return [F.transform(F.array(gap), lambda g: _rule("DELTA_INCONSISTENT", (g > DELTA_GAP) & ~F.isnan(g), g, DELTA_GAP, 2))[0]]
+
+
+def _bar_rules() -> list[Column]:
+    late = F.datediff("expiration", F.to_date("ts_event"))
+    return [_rule("NEGATIVE_CLOSE", F.col("close") < 0, F.col("close"), 0.0, 4), _rule("ZOMBIE_BAR", late < 0, late, 0.0, 4)]
+
+
+def _with_bars(greeks: DataFrame, option_bars: DataFrame, underlying_bars: DataFrame | None = None) -> DataFrame:
+    """Greeks with their option bar's strike and right and their underlying's close, null where there is none."""
+    rows = greeks.join(option_bars.select("instrument_id", "ts_event", "strike_price", "right"), ["instrument_id", "ts_event"], "left")
+    if underlying_bars is None:
+        return rows
+    spot = underlying_bars.select(F.col("instrument_id").alias("underlying_id"), "ts_event", F.col("close").alias("spot"))
+    return rows.join(spot, ["underlying_id", "ts_event"], "left")
+
+
+def iv_flags(greeks: DataFrame) -> DataFrame:
+    return _emit(greeks, _iv_rules())
 
 
 def delta_flags(greeks: DataFrame, option_bars: DataFrame, underlying_bars: DataFrame) -> DataFrame:
     """Deltas that a recomputation from the underlying's bar of the same time contradicts."""
-    spot = underlying_bars.select(F.col("instrument_id").alias("underlying_id"), "ts_event", F.col("close").alias("spot"))
-    rows = greeks.join(option_bars.select("instrument_id", "ts_event", "strike_price", "right"), ["instrument_id", "ts_event"]).join(spot, ["underlying_id", "ts_event"])
-    theory = pricing.greeks(F.col("spot"), F.col("strike_price"), F.col("T"), F.col("iv"), F.col("right"))["delta"]
-    rows = rows.withColumn("gap", F.abs(F.col("delta") - theory))
-    return _flag(rows, "DELTA_INCONSISTENT", (F.col("gap") > DELTA_GAP) & ~F.isnan("gap"), F.col("gap"), DELTA_GAP, 2)
+    return _emit(_with_bars(greeks, option_bars, underlying_bars), _gap_rules())
 
 
 def coverage_flags(option_bars: DataFrame) -> DataFrame:
@@ -54,31 +90,19 @@ def coverage_flags(option_bars: DataFrame) -> DataFrame:
     per = option_bars.groupBy("instrument_id", "expiration").agg(F.min(day).alias("a"), F.max(day).alias("b"), F.count("*").alias("n"), F.countDistinct(day).alias("days"), F.count_if(day == F.col("expiration")).alias("last_day"))
     share = F.datediff("expiration", "b") / F.nullif(F.datediff("expiration", "a"), F.lit(0))
     rate = F.col("n") / F.col("days")
-    return _union(_flag(per, "BARS_TRUNCATED", share > TRUNCATED_SHARE, share, TRUNCATED_SHARE, 3), _flag(per, "BARS_SPARSE", rate < SPARSE_BARS, rate, SPARSE_BARS, 3), _flag(per, "NO_EXPIRY_BARS", F.col("last_day") == 0, F.col("last_day"), None, 3))
+    return _emit(per, [_rule("BARS_TRUNCATED", share > TRUNCATED_SHARE, share, TRUNCATED_SHARE, 3), _rule("BARS_SPARSE", rate < SPARSE_BARS, rate, SPARSE_BARS, 3), _rule("NO_EXPIRY_BARS", F.col("last_day") == 0, F.col("last_day"), None, 3)])
 
 
 def integrity_flags(option_bars: DataFrame, greeks: DataFrame) -> DataFrame:
-    with_right = greeks.join(option_bars.select("instrument_id", "ts_event", "right"), ["instrument_id", "ts_event"])
-    delta = F.col("delta")
-    wrong = ((F.col("right") == "P") & (delta > 0)) | ((F.col("right") == "C") & (delta < 0))
-    return _union(
-        _flag(option_bars, "NEGATIVE_CLOSE", F.col("close") < 0, F.col("close"), 0.0, 4),
-        _flag(greeks, "NEGATIVE_DTE", F.col("dte") < 0, F.col("dte"), 0.0, 4),
-        _flag(option_bars, "ZOMBIE_BAR", F.col("expiration") < F.to_date("ts_event"), F.datediff("expiration", F.to_date("ts_event")), 0.0, 4),
-        _flag(with_right, "DELTA_SIGN_ERROR", wrong & ~F.isnan(delta), delta, 0.0, 4),
-        _flag(greeks, "DELTA_MAGNITUDE_ERROR", (F.abs(delta) > 1) & ~F.isnan(delta), delta, 1.0, 4),
-    )
-
-
-def _union(*parts: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    return _emit(option_bars, _bar_rules()).unionByName(_emit(_with_bars(greeks, option_bars), _greek_rules() + _sign_rules()))
 
 
 def run(option_bars: DataFrame, greeks: DataFrame, underlying_bars: DataFrame) -> DataFrame:
-    """All flags; of equal instrument, time and code the earlier phase stays."""
-    flags = _union(iv_flags(greeks), delta_flags(greeks, option_bars, underlying_bars), coverage_flags(option_bars), integrity_flags(option_bars, greeks))
-    first = Window.partitionBy("instrument_id", "ts_event", "flag_code").orderBy("phase", "flag_value")
-    return flags.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "phase")
+    """All flags, in one pass over the greeks with their bars, one over the bars and one over the contracts; of equal instrument, time and code the earlier phase stays."""
+    rows = _with_bars(greeks, option_bars, underlying_bars)
+    flags = _emit(rows, _iv_rules() + _gap_rules() + _greek_rules() + _sign_rules()).unionByName(coverage_flags(option_bars)).unionByName(_emit(option_bars, _bar_rules()))
+    first = F.min(F.struct("phase", "flag_value", "flag_severity", "threshold")).alias("f")
+    return flags.groupBy("instrument_id", "ts_event", "flag_code").agg(first).select("instrument_id", "ts_event", "flag_code", "f.flag_severity", "f.flag_value", "f.threshold")
 
 
 def flag_counts(flags: DataFrame) -> DataFrame:

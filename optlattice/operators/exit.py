@@ -43,21 +43,25 @@ class ExitRules:
     tick: float = 0.0
 
 
-def leg_bars(entries: DataFrame, bars: DataFrame) -> DataFrame:
-    """Every bar of every leg after its entry, with all legs of the position."""
-    legs = entries.select("entry_id", "entry_time", "legs", F.explode("legs").alias("l")).select("entry_id", "entry_time", "legs", "l.leg_name", "l.instrument_id")
+def leg_bars(entries: DataFrame, bars: DataFrame, zone: str = clock.NEW_YORK) -> DataFrame:
+    """Every bar of every leg after its entry and up to the position's expiration on the zone's clock, with all legs of the position.
+
+    The end is an instant of each entry, so the join drops later bars, also those of another contract with the same id.
+    """
+    end = F.convert_timezone(F.lit(zone), F.lit("UTC"), F.date_add("trade_expiration", 1).cast("timestamp_ntz"))
+    legs = entries.select("entry_id", "entry_time", end.alias("_end"), "legs", F.explode("legs").alias("l")).select("entry_id", "entry_time", "_end", "legs", "l.leg_name", "l.instrument_id")
     priced = bars.select("instrument_id", "ts_event", "open", "high", "low", "close", "volume")
-    return legs.join(priced, "instrument_id").where(F.col("ts_event") > F.col("entry_time"))
+    return legs.join(priced, "instrument_id").where((F.col("ts_event") > F.col("entry_time")) & (F.col("ts_event") < F.col("_end")))
 
 
-def marks(entries: DataFrame, bars: DataFrame) -> DataFrame:
+def marks(entries: DataFrame, bars: DataFrame, zone: str = clock.NEW_YORK) -> DataFrame:
     """(entry_id, ts_event, position_mark, spread_open_mark, min_leg_volume, total_slippage, max_leg_stale_minutes).
 
     Legs that have no bar at a time keep their last price; a position is marked once each of its legs has traded
-    since the entry. Bars are shuffled once, by position: grouping by time, the fill per leg and the sum over
+    since the entry. Bars after the expiration don't count. Bars are shuffled once, by position: grouping by time, the fill per leg and the sum over
     legs all keep that partitioning, whatever the number of legs.
     """
-    rows = leg_bars(entries, bars).repartition("entry_id")
+    rows = leg_bars(entries, bars, zone).repartition("entry_id")
     bar = F.struct("leg_name", "open", "high", "low", "close", "volume")
     times = rows.groupBy("entry_id", "ts_event").agg(F.collect_list(bar).alias("bars"), F.first("legs").alias("legs"))
     grid = times.select("entry_id", "ts_event", "bars", F.size("legs").alias("n_legs"), F.explode("legs").alias("l"))
@@ -101,14 +105,18 @@ def settlement_marks(entries: DataFrame, closes: DataFrame) -> DataFrame:
 
 
 def flagged(position_marks: DataFrame, entries: DataFrame, rules: ExitRules, indicators: DataFrame | None = None, vega: DataFrame | None = None, settlement: DataFrame | None = None) -> DataFrame:
-    """Marks with running_worst, every trigger, and the priority (1 to 9, null if nothing fires) of each bar."""
-    meta = entries.select("entry_id", "entry_time", "open_mark", "tp_price", "sl_price", "trade_expiration")
+    """Marks with running_worst, every trigger, and the priority (1 to 9, null if nothing fires) of each bar.
+
+    Indicators have one row per ts_event, or per ts_event and underlying_id: a position reads those of its own underlying.
+    """
+    known = [c for c in ("underlying_id",) if indicators is not None and c in indicators.columns]
+    meta = entries.select("entry_id", "entry_time", "open_mark", "tp_price", "sl_price", "trade_expiration", *known)
     meta = meta.join(settlement, "entry_id", "left") if settlement is not None else meta.withColumn("settlement_mark", F.lit(None).cast("double"))
     local = clock.local(F.col("ts_event"), rules.zone)
     m = position_marks.join(meta, "entry_id").withColumn("local_ts", local).where(F.to_date("local_ts") <= F.col("trade_expiration"))
     past = Window.partitionBy("entry_id").orderBy("ts_event")
     m = m.withColumn("running_worst", F.max("position_mark").over(past.rowsBetween(Window.unboundedPreceding, 0)))
-    m = m.join(indicators, "ts_event", "left") if indicators is not None else m
+    m = m.join(indicators, ["ts_event", *known], "left") if indicators is not None else m
     m = m.join(vega, ["entry_id", "ts_event"], "left") if vega is not None else m.withColumn("spread_vega", F.lit(None).cast("double"))
     m = m.withColumns({"dte_now": F.datediff("trade_expiration", F.to_date("local_ts")), "local_sec": clock.seconds_of_day(F.col("local_ts"))})
     slip = F.col("total_slippage") if rules.spread_slippage else F.lit(0.0)
@@ -187,17 +195,25 @@ def leg_out_fills(exits: DataFrame, legs: DataFrame, bars: DataFrame) -> DataFra
     return per_leg.groupBy("entry_id").agg(F.sum(F.col("signed_qty") * fill).alias("exit_mark"))
 
 
-def continuations(stopped: DataFrame, bars: DataFrame, trailing_pct: float = 0.5) -> DataFrame:
+def continuations(stopped: DataFrame, bars: DataFrame, trailing_pct: float = 0.5, settlement: DataFrame | None = None, zone: str = clock.NEW_YORK) -> DataFrame:
     """Long legs that live on after a stop loss: (entry_id, instrument_id, entry_price, exit_time, exit_price, exit_reason).
 
     stopped has (entry_id, instrument_id, exit_time, expiration). From the first bar after the exit a leg runs until its close falls to
-    (1 - trailing_pct) of its running peak, or to its last bar.
+    (1 - trailing_pct) of its running peak, or to its last bar up to the expiration on the zone's clock; then it is worth its
+    intrinsic value at the settlement, if settlement (underlying_id, date, settlement) has one for the underlying_id,
+    right and strike_price of stopped, else its last close.
     """
-    rows = stopped.join(bars.select("instrument_id", "ts_event", "close"), "instrument_id").where((F.col("ts_event") > F.col("exit_time")) & (F.to_date("ts_event") <= F.col("expiration")))
+    end = F.convert_timezone(F.lit(zone), F.lit("UTC"), F.date_add("expiration", 1).cast("timestamp_ntz"))
+    rows = stopped.select("entry_id", "instrument_id", "exit_time", end.alias("_end")).join(bars.select("instrument_id", "ts_event", "close"), "instrument_id").where((F.col("ts_event") > F.col("exit_time")) & (F.col("ts_event") < F.col("_end")))
     peak = F.max("close").over(Window.partitionBy("entry_id", "instrument_id").orderBy("ts_event").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("peak", peak)
     hit = (F.col("peak") > 0) & (F.col("close") <= F.col("peak") * (1 - trailing_pct))
     row = F.struct("ts_event", "close")
     found = rows.groupBy("entry_id", "instrument_id").agg(F.min_by("close", "ts_event").alias("entry_price"), F.min_by(row, F.when(hit, F.col("ts_event"))).alias("h"), F.max_by(row, "ts_event").alias("l"))
-    end = F.coalesce("h", "l")
-    return found.select("entry_id", "instrument_id", "entry_price", end["ts_event"].alias("exit_time"), end["close"].alias("exit_price"), F.when(F.col("h").isNotNull(), "trailing_stop").otherwise("expiry").alias("exit_reason"))
+    last = F.col("l.close")
+    if settlement is not None:
+        value = stopped.select("entry_id", "instrument_id", "underlying_id", "right", "strike_price", F.col("expiration").alias("date")).join(settlement, ["underlying_id", "date"])
+        found = found.join(value.select("entry_id", "instrument_id", intrinsic(F.col("right"), F.col("settlement"), F.col("strike_price")).alias("_worth")), ["entry_id", "instrument_id"], "left")
+        last = F.coalesce("_worth", last)
+    stop = F.col("h").isNotNull()
+    return found.select("entry_id", "instrument_id", "entry_price", F.coalesce("h", "l")["ts_event"].alias("exit_time"), F.when(stop, F.col("h.close")).otherwise(last).alias("exit_price"), F.when(stop, "trailing_stop").otherwise("expiry").alias("exit_reason"))

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def profit(entries: DataFrame, exits: DataFrame, multiplier: float, slippage_pct: float = 0.0, fee_entry: float = 0.0, fee_exit: float = 0.0, fee_expiry: float | None = None) -> DataFrame:
+def profit(entries: DataFrame, exits: DataFrame, multiplier: float | Column, slippage_pct: float = 0.0, fee_entry: float = 0.0, fee_exit: float = 0.0, fee_expiry: float | None = None) -> DataFrame:
     """entries with exits: gross_pnl, slippage_cost, fee_cost and net_pnl. Positions that were never marked are dropped.
 
-    Slippage is a share of the absolute exit mark, for settlements too. Fees are per contract, at entry and at exit or expiry.
+    The multiplier is a number or a column of the entries. Slippage is a share of the absolute exit mark, for settlements too. Fees are per contract, at entry and at exit or expiry.
     """
     rows = entries.join(exits, "entry_id")
     contracts = F.aggregate("legs", F.lit(0.0), lambda a, x: a + F.abs(x["signed_qty"]))

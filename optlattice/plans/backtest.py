@@ -1,8 +1,8 @@
-"""A whole backtest: entries, exits, enforcement, profit. One lazy plan per trade."""
+"""A whole backtest: entries, exits, enforcement, profit. One plan per trade."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clock
@@ -11,59 +11,91 @@ from ..operators import asof, audit, enforce, entry, exit, pnl
 from .strategy import Strategy, Trade
 
 
-def _leg_frames(trade: Trade, searched: DataFrame, options: DataFrame) -> DataFrame:
-    """Legs of all candidates: those with own targets first, then those with an offset from them."""
-    found: dict[str, DataFrame] = {}
-    for leg in (x for x in trade.legs if x.strike_offset is None):
+def _kept(df: DataFrame) -> DataFrame:
+    """Rows that several steps use: a written checkpoint where the session names a shared folder, as on a cluster, else the cache."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
+def wanted_legs(trade: Trade) -> list[entry.Wanted]:
+    """How each leg of a trade is chosen."""
+    found = []
+    for leg in trade.legs:
+        if leg.strike_offset is not None:
+            found.append(entry.Wanted(leg.name, leg.right, offset=leg.strike_offset, reference=leg.reference_leg))
+            continue
+        fields = ("delta", "dte", "delta_tolerance", "dte_tolerance")
         if leg.targets is not None:
-            t = targets(leg.targets, ("delta", "dte", "delta_tolerance", "dte_tolerance"))
-            want = (t["delta"], F.coalesce(t["delta_tolerance"], F.lit(0.10)), t["dte"], F.coalesce(t["dte_tolerance"], F.lit(5.0)))
+            t = targets(leg.targets, fields)
         elif leg.stepped is not None:
-            s = steps(F.col(leg.stepped["source"]), leg.stepped["steps"], ("delta", "dte", "delta_tolerance", "dte_tolerance"))
-            want = (s["delta"], F.coalesce(s["delta_tolerance"], F.lit(0.10)), s["dte"], F.coalesce(s["dte_tolerance"], F.lit(5.0)))
+            t = steps(F.col(leg.stepped["source"]), leg.stepped["steps"], fields)
         else:
             d, n = leg.delta, leg.dte
+            t = {"dte": F.lit(float(n["target"])), "dte_tolerance": F.lit(float(n["tolerance"]))}
             if "steps" in d:
                 s = steps(F.col(d["step_source"]), d["steps"], ("target", "tolerance"))
-                target, tolerance = s["target"], F.coalesce(s["tolerance"], F.lit(float(d["tolerance"])))
+                t |= {"delta": s["target"], "delta_tolerance": F.coalesce(s["tolerance"], F.lit(float(d["tolerance"])))}
             else:
-                target, tolerance = F.lit(float(d["target"])), F.lit(float(d["tolerance"]))
-            want = (target, tolerance, F.lit(float(n["target"])), F.lit(float(n["tolerance"])))
-        found[leg.name] = entry.legs_by_delta(searched, options, *want, leg.right, leg.name)
-    for leg in (x for x in trade.legs if x.strike_offset is not None):
-        found[leg.name] = entry.legs_by_offset(found[leg.reference_leg], options, leg.strike_offset, leg.right, leg.name)
-    out = None
-    for frame in found.values():
-        out = frame if out is None else out.unionByName(frame)
-    return out
+                t |= {"delta": F.lit(float(d["target"])), "delta_tolerance": F.lit(float(d["tolerance"]))}
+        found.append(entry.Wanted(leg.name, leg.right, t["delta"], F.coalesce(t["delta_tolerance"], F.lit(0.10)), t["dte"], F.coalesce(t["dte_tolerance"], F.lit(5.0))))
+    return found
+
+
+def _level(value, *names: str):
+    """A number, or the first of these fields that a mapping sets."""
+    return next((value[n] for n in names if value.get(n) is not None), None) if isinstance(value, dict) else value
 
 
-def _level(value):
-    return value.get("value", value.get("target")) if isinstance(value, dict) else value
+def _indicators(market: dict[str, DataFrame]) -> DataFrame | None:
+    return market.get("indicators")
 
 
-def find_entries(strategy: Strategy, trade: Trade, market: dict[str, DataFrame]) -> DataFrame:
-    """Entries of a trade from market tables underlying_bars, option_bars, option_greeks, and optional indicators and flags."""
-    session, spec = strategy.universe.session, trade.instrument
+def find_candidates(strategy: Strategy, trade: Trade, market: dict[str, DataFrame]) -> DataFrame:
+    """Bars of the scheduled contract within the strategy's dates and the trade's entry window, with indicators as of each of them."""
+    universe, session, spec = strategy.universe, strategy.universe.session, trade.instrument
     bars = market["underlying_bars"].where(F.col("symbol").startswith(spec.root_symbol))
-    days = bars.select(F.to_date("ts_event").alias("date"))
     listed = bars.where("expiration is not null").groupBy(F.col("instrument_id").alias("underlying_id")).agg(F.max("expiration").alias("expiry"))
-    schedule = entry.roll_schedule(days, listed, spec.roll_days_before_expiry)
-    rows = entry.candidates(bars, schedule, (trade.entry.window["start"], trade.entry.window["end"]), session.timezone, session.weekdays_only, session.skip_dates)
-    if market.get("indicators") is not None:
-        names = [c for c in market["indicators"].columns if c not in ("ts_event", "underlying_id")]
-        rows = asof.session_fill(rows, market["indicators"].select("ts_event", *names), F.to_date(clock.local(F.col("ts_event"), session.timezone)), names)
-    largest = max([_largest(x) for x in trade.legs] or [0])
-    searched = entry.contracts_to_search(rows, int(largest))
+    day = F.to_date(clock.local(F.col("ts_event"), session.timezone))
+    if universe.start_date:
+        bars = bars.where(day >= F.lit(str(universe.start_date)).cast("date"))
+    if universe.end_date:
+        bars = bars.where(day <= F.lit(str(universe.end_date)).cast("date"))
+    schedule = entry.roll_schedule(bars.select(F.to_date("ts_event").alias("date")), listed, spec.roll_days_before_expiry)
+    rows = entry.candidates(bars, schedule, (trade.entry.window["start"], trade.entry.window["end"]), session.timezone, session.weekdays_only, [str(d) for d in session.skip_dates])
+    known = _indicators(market)
+    if known is not None:
+        by = [c for c in ("underlying_id",) if c in known.columns]
+        names = [c for c in known.columns if c not in ("ts_event", "underlying_id")]
+        rows = asof.session_fill(rows, known.select("ts_event", *by, *names), day, names, by)
+    return rows
+
+
+def find_legs(strategy: Strategy, trade: Trade, market: dict[str, DataFrame], rows: DataFrame) -> DataFrame:
+    """The legs of all candidates."""
+    searched = entry.contracts_to_search(rows, int(max([_largest(x) for x in trade.legs] or [0])))
     offered = market["option_greeks"].drop("underlying_id").join(market["option_bars"].select("instrument_id", "ts_event", "underlying_id", "expiration", "strike_price", "right", "multiplier", "close"), ["instrument_id", "ts_event"])
     offered = audit.drop_flagged(offered, market.get("flags"), strategy.universe.audit_filter)
-    legs = _leg_frames(trade, searched, offered)
-    actions = {x.name: (x.action, x.quantity) for x in trade.legs}
-    found = entry.entries(legs, actions, spec.tick_size, trade.exit.take_profit_pct, _level(trade.exit.stop_loss), trade.entry.min_credit, trade.entry.max_debit)
-    if trade.entry.conditions:
-        known = rows.drop("underlying_id").withColumnRenamed("ts_event", "entry_time").dropDuplicates(["entry_time"])
-        found = entry.where_all(found.join(known, "entry_time"), trade.entry.conditions).select(*found.columns)
-    return found
+    return entry.choose_legs(searched, offered, wanted_legs(trade), int(trade.entry.time_tolerance))
+
+
+def find_entries(strategy: Strategy, trade: Trade, market: dict[str, DataFrame], first_id: int = 0, legs: DataFrame | None = None) -> DataFrame:
+    """Entries of a trade from market tables underlying_bars, option_bars, option_greeks, and optional indicators and flags.
+
+    Indicators are one row per ts_event and underlying_id. legs: those of find_legs(), if they are known already. Conditions
+    read the candidate's bar, its indicators, the marks and, as leg.field, what is known of a leg.
+    """
+    spec, x = trade.instrument, trade.exit
+    rows = find_candidates(strategy, trade, market)
+    legs = find_legs(strategy, trade, market, rows) if legs is None else legs
+    actions = {leg.name: (leg.action, leg.quantity) for leg in trade.legs}
+    pct = x.take_profit_pct if x.take_profit_pct is not None else _level(x.take_profit, "pct") if isinstance(x.take_profit, dict) else None
+    price = _level(x.take_profit, "price", "value", "target")
+    found = entry.entries(legs, actions, spec.tick_size, pct, _level(x.stop_loss, "price", "value", "target"), trade.entry.min_credit, trade.entry.max_debit, first_id, price)
+    if not trade.entry.conditions:
+        return found
+    here = [c for c in rows.columns if c not in (*found.columns, "ts_event")]
+    known = rows.groupBy(F.col("ts_event").alias("entry_time")).agg(F.max(F.struct(*here)).alias("_r")).select("entry_time", "_r.*")
+    told = entry.with_leg_columns(found.join(known, "entry_time"), list(actions))
+    return entry.numbered(entry.where_all(told, trade.entry.conditions).select(*(c for c in found.columns if c != "entry_id")), first_id)
 
 
 def _largest(leg) -> float:
@@ -101,39 +133,58 @@ def exit_rules(strategy: Strategy, trade: Trade) -> exit.ExitRules:
     )
 
 
-def run_trade(strategy: Strategy, trade: Trade, market: dict[str, DataFrame], multiplier: float = 50.0) -> DataFrame:
-    """Closed positions of one trade with costs and profit, after enforcement.
+def continued(trade: Trade, entries: DataFrame, exits: DataFrame, bars: DataFrame, settlement: DataFrame, zone: str) -> DataFrame | None:
+    """(entry_id, continuation_...) of the long leg that lives on after a stop loss; None where the trade has no such rule or not one long leg."""
+    long = [leg for leg in trade.legs if leg.action == "buy_to_open"]
+    if not trade.exit.on_sl_long_continuation or len(long) != 1:
+        return None
+    leg = F.get(F.filter("legs", lambda x: x["leg_name"] == long[0].name), 0)
+    legs = entries.select("entry_id", "underlying_id", *(leg[c].alias(c) for c in ("instrument_id", "expiration", "strike_price", "right", "multiplier")))
+    stopped = exits.where("exit_reason = 'stop_loss'").select("entry_id", "exit_time").join(legs, "entry_id")
+    found = exit.continuations(stopped, bars, trade.exit.long_trailing_stop_pct, settlement, zone).join(stopped.select("entry_id", "multiplier"), "entry_id")
+    found = pnl.continuation_pnl(found, F.col("multiplier") * long[0].quantity)
+    return found.select("entry_id", *(F.col(c).alias(f"continuation_{c}") for c in ("entry_price", "exit_time", "exit_price", "exit_reason", "pnl")))
+
+
+def run_trade(strategy: Strategy, trade: Trade, market: dict[str, DataFrame], multiplier: float | None = None, first_id: int = 0, legs: DataFrame | None = None) -> DataFrame:
+    """Closed positions of one trade with costs and profit, after enforcement, and the columns continuation_*.
 
-    Entries and exits are used several times and are kept; what a lost executor held is computed again.
+    The multiplier is that of the first leg's contract unless one is given. Entries and exits are used several times
+    and are kept.
     """
-    entries = find_entries(strategy, trade, market).persist()
-    rules = exit_rules(strategy, trade)
-    legs = entries.select("entry_id", F.explode("legs").alias("l")).select("entry_id", "l.instrument_id", "l.signed_qty")
-    held = market["option_bars"].join(legs.select("instrument_id").distinct(), "instrument_id", "left_semi")
+    entries = _kept(find_entries(strategy, trade, market, first_id, legs))
+    rules, session = exit_rules(strategy, trade), strategy.universe.session
+    held_legs = entries.select("entry_id", F.explode("legs").alias("l")).select("entry_id", "l.instrument_id", "l.signed_qty")
+    held = market["option_bars"].join(held_legs.select("instrument_id").distinct(), "instrument_id", "left_semi")
     vega = exit.spread_vega(entries, market["option_greeks"]) if rules.vega_exit is not None or rules.roll_vega is not None else None
-    settle = None
-    if rules.expiry_close:
-        settle = exit.settlement_marks(entries, exit.settlement_closes(market["underlying_bars"], rules.expiry_close, rules.zone))
-    flagged = exit.flagged(exit.marks(entries, held), entries, rules, None, vega, settle)
+    closes = exit.settlement_closes(market["underlying_bars"], rules.expiry_close or session.end, rules.zone)
+    settle = exit.settlement_marks(entries, closes) if rules.expiry_close else None
+    flagged = exit.flagged(exit.marks(entries, held, rules.zone), entries, rules, _indicators(market), vega, settle)
     exits = exit.first_exits(flagged, rules)
     if trade.exit.leg_out:
-        fills = exit.leg_out_fills(exits.where(F.col("exit_reason") != "expiry"), legs, held).withColumnRenamed("exit_mark", "_fill")
+        fills = exit.leg_out_fills(exits.where(F.col("exit_reason") != "expiry"), held_legs, held).withColumnRenamed("exit_mark", "_fill")
         exits = exits.join(fills, "entry_id", "left").withColumn("exit_mark", F.coalesce("_fill", "exit_mark")).drop("_fill")
-    exits = exits.persist()
+    more = continued(trade, entries, exits, held, closes, rules.zone)
+    names = {f"continuation_{c}": k for c, k in (("entry_price", "double"), ("exit_time", "timestamp_ntz"), ("exit_price", "double"), ("exit_reason", "string"), ("pnl", "double"))}
+    exits = exits.join(more, "entry_id", "left") if more is not None else exits.withColumns({c: F.lit(None).cast(k) for c, k in names.items()})
+    exits = _kept(exits)
     both = entries.select("entry_id", "entry_time").join(exits.select("entry_id", "exit_time", "exit_reason"), "entry_id", "left")
-    both = both.withColumns({"gate_time": F.col("exit_time"), "day": F.to_date(clock.local(F.col("entry_time"), rules.zone)), "trade_name": F.lit(trade.name)})
+    ends = exits.where("continuation_exit_time is not null").select("entry_id", F.col("continuation_exit_time").alias("exit_time"))
+    both = enforce.gate_times(both, ends, session.start, session.timezone, session.weekdays_only, session.skip_dates)
+    both = both.withColumns({"day": F.to_date(clock.local(F.col("entry_time"), rules.zone)), "trade_name": F.lit(trade.name)})
     kept = enforce.greedy_walk(both, ["trade_name"], trade.entry.max_entries_per_day)
     if trade.entry.no_reentry_after_loss:
         kept = enforce.no_reentry_after_loss(kept, ["trade_name"])
     fee_in, fee_out, fee_end = strategy.costs.per_contract()
-    closed = pnl.profit(entries.join(kept.select("entry_id"), "entry_id", "left_semi"), exits, multiplier, strategy.costs.slippage_pct, fee_in, fee_out, fee_end)
+    units: float | Column = F.get(F.filter("legs", lambda x: x["leg_name"] == trade.legs[0].name), 0)["multiplier"] if multiplier is None else multiplier
+    closed = pnl.profit(entries.join(kept.select("entry_id"), "entry_id", "left_semi"), exits, units, strategy.costs.slippage_pct, fee_in, fee_out, fee_end)
     return closed.withColumn("trade_name", F.lit(trade.name))
 
 
-def run(strategy: Strategy, market: dict[str, DataFrame], multiplier: float = 50.0) -> DataFrame:
-    """All trades of a strategy."""
+def run(strategy: Strategy, market: dict[str, DataFrame], multiplier: float | None = None, legs: dict[str, DataFrame] | None = None) -> DataFrame:
+    """All trades of a strategy. Entry ids are per trade; legs: those of find_legs() by trade, if they are known already."""
     out = None
     for trade in strategy.trades:
-        rows = run_trade(strategy, trade, market, multiplier)
+        rows = run_trade(strategy, trade, market, multiplier, legs=(legs or {}).get(trade.name))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -60,16 +60,16 @@ def _cdf_sql(x: str) -> str:
 
 
 #: Hourly closes of two futures, options on them around 4000 at 20 % volatility, and their forward prices.
-CHAIN = f"""hours AS (SELECT user_id % 2 AS underlying_id, date_trunc('hour', ts) AS ts_event, round(4000 + (arg_max(value, ts) - 50) / 4, 2) AS spot
+CHAIN = f"""hours AS MATERIALIZED (SELECT user_id % 2 AS underlying_id, date_trunc('hour', ts) AS ts_event, round(4000 + (arg_max(value, ts) - 50) / 4, 2) AS spot
  FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
-grid AS (SELECT h.*, CAST(3925 + 25 * k.i AS DOUBLE) AS strike_price, r.r AS right_, CASE WHEN underlying_id = 0 THEN DATE '2024-01-19' ELSE DATE '2024-02-02' END AS expiration,
+grid AS MATERIALIZED (SELECT h.*, CAST(3925 + 25 * k.i AS DOUBLE) AS strike_price, r.r AS right_, CASE WHEN underlying_id = 0 THEN DATE '2024-01-19' ELSE DATE '2024-02-02' END AS expiration,
  1000 + 100 * underlying_id + 2 * k.i + CASE WHEN r.r = 'C' THEN 0 ELSE 1 END AS instrument_id
  FROM hours h CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS i) k CROSS JOIN (SELECT unnest(['C', 'P']) AS r) r),
-timed AS (SELECT *, greatest(0.0, (date_diff('day', DATE '1970-01-01', expiration) * 86400.0 + 72000 - epoch(ts_event)) / 31557600.0) AS t FROM grid),
-dd AS (SELECT *, CASE WHEN t > 0 THEN (ln(spot / strike_price) + 0.02 * t) / (0.2 * sqrt(t)) END AS d1,
+timed AS MATERIALIZED (SELECT *, greatest(0.0, (date_diff('day', DATE '1970-01-01', expiration) * 86400.0 + 72000 - epoch(ts_event)) / 31557600.0) AS t FROM grid),
+dd AS MATERIALIZED (SELECT *, CASE WHEN t > 0 THEN (ln(spot / strike_price) + 0.02 * t) / (0.2 * sqrt(t)) END AS d1,
  CASE WHEN t > 0 THEN (ln(spot / strike_price) + 0.02 * t) / (0.2 * sqrt(t)) - 0.2 * sqrt(t) END AS d2 FROM timed),
-nn AS (SELECT *, {_cdf_sql("d1")} AS n1, {_cdf_sql("d2")} AS n2 FROM dd),
-chain AS (SELECT instrument_id, underlying_id, ts_event, expiration, strike_price, right_, spot, t, d1,
+nn AS MATERIALIZED (SELECT *, {_cdf_sql("d1")} AS n1, {_cdf_sql("d2")} AS n2 FROM dd),
+chain AS MATERIALIZED (SELECT instrument_id, underlying_id, ts_event, expiration, strike_price, right_, spot, t, d1,
  CASE WHEN t > 0 THEN exp(-0.01 * t) * CASE WHEN right_ = 'C' THEN spot * n1 - strike_price * n2 ELSE strike_price * (1 - n2) - spot * (1 - n1) END ELSE 0.0 END AS close,
  CASE WHEN t > 0 THEN exp(-0.01 * t) * CASE WHEN right_ = 'C' THEN n1 ELSE n1 - 1 END END AS delta,
  date_diff('day', CAST(ts_event AS DATE), expiration) AS dte FROM nn)"""

@@ -106,20 +106,17 @@ def equity_fan(spark, sf_dir):
     return metrics.equity_fan(fx.trades(spark, sf_dir))
 
 
-@R.add(f"WITH {_TR}, p AS (SELECT backtest_id, backtest_id % 2 AS x, backtest_id // 2 AS y, round(sum(net_pnl), 4) AS m FROM trades GROUP BY 1) SELECT y, max(CASE WHEN x = 0 THEN m END) AS \"0\", max(CASE WHEN x = 1 THEN m END) AS \"1\" FROM p WHERE y < 3 GROUP BY 1")
+@R.add(f"WITH {_TR}, p AS (SELECT backtest_id, backtest_id % 2 AS x, backtest_id // 2 AS y, round(sum(net_pnl), 4) AS m FROM trades GROUP BY 1) SELECT y, max(CASE WHEN x = 0 THEN m END) AS \"0\", max(CASE WHEN x = 1 THEN m END) AS \"1\" FROM p GROUP BY 1")
 def heatmap(spark, sf_dir):
     """K22"""
-    return explore.heatmap(_grid(spark, sf_dir).where("y < 3"), "x", "y", "m", [0, 1])
+    return explore.heatmap(_grid(spark, sf_dir), "x", "y", "m", [0, 1])
 
 
 def _grid(spark, sf_dir):
     return fx.trades(spark, sf_dir).groupBy("backtest_id").agg(F.round(F.sum("net_pnl"), 4).alias("m")).withColumns({"x": F.col("backtest_id") % 2, "y": F.expr("backtest_id div 2")})
 
 
-@R.add()
-def heatmap_whole(spark, sf_dir):
-    """K22 of all eight backtests; the SQL of heatmap has six"""
-    return explore.heatmap(_grid(spark, sf_dir), "x", "y", "m", [0, 1])
+R.add(ORACLE_SQL["heatmap"], "heatmap_whole")(heatmap)
 
 
 @R.add(f"WITH {_DAYS}, f AS (SELECT date_trunc('week', min(day)) AS f FROM dp) SELECT backtest_id, CAST(day AS VARCHAR) AS day, CAST(floor((day - CAST(f AS DATE)) / 7) AS INTEGER) AS week, CAST(isodow(day) - 1 AS INTEGER) AS weekday FROM dp, f")

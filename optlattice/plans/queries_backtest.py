@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..operators import enforce, entry, exit, pnl
+from . import backtest, study
 from . import fixtures as fx
 from .queries_market import T, _SMA, _tall
 from .registry import Registry
+from .strategy import parse_strategy
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -48,19 +50,18 @@ sold AS (SELECT * FROM near WHERE n = 1),
 far AS (SELECT s.ts_event, c.instrument_id, c.strike_price, c.close, row_number() OVER (PARTITION BY s.ts_event ORDER BY abs(c.strike_price - (s.strike_price - 25)), c.strike_price) AS n
  FROM sold s JOIN chain c ON c.ts_event = s.ts_event AND c.underlying_id = s.underlying_id AND c.expiration = s.expiration AND c.right_ = 'P' AND abs(c.strike_price - (s.strike_price - 25)) <= 1),
 ent AS (SELECT s.ts_event, s.underlying_id, s.expiration, s.instrument_id AS sold_id, s.strike_price AS sold_k, s.close AS sold_close, f.instrument_id AS bought_id, f.strike_price AS bought_k, f.close AS bought_close,
- round(round((s.close - f.close) / 0.05) * 0.05, 4) AS open_mark, row_number() OVER (ORDER BY s.ts_event) - 1 AS entry_id FROM sold s JOIN far f ON f.ts_event = s.ts_event AND f.n = 1 WHERE round((s.close - f.close) / 0.05) * 0.05 >= 0.5)"""
+ round(round((s.close - f.close) / 0.05) * 0.05, 4) AS open_mark, round((s.close - f.close) / 0.05) * 0.05 AS mark, row_number() OVER (ORDER BY s.ts_event) - 1 AS entry_id FROM sold s JOIN far f ON f.ts_event = s.ts_event AND f.n = 1 WHERE round((s.close - f.close) / 0.05) * 0.05 >= 0.5)"""
 
 
 def _entries(spark, sf_dir):
     options = fx.options(spark, sf_dir)
     times = fx.hours(spark, sf_dir).where(F.hour("ts_event").between(15, 19)).select("ts_event", F.col("underlying_id").alias("search_id"))
-    sold = entry.legs_by_delta(times, options, F.lit(-0.3), F.lit(0.1), F.lit(10), F.lit(6), "P", "short")
-    bought = entry.legs_by_offset(sold, options, -25.0, "P", "long")
-    legs = sold.unionByName(bought)
+    wanted = [entry.Wanted("short", "P", F.lit(-0.3), F.lit(0.1), F.lit(10), F.lit(6)), entry.Wanted("long", "P", offset=-25.0, reference="short")]
+    legs = entry.choose_legs(times, options, wanted)
     return entry.entries(legs, {"short": ("sell_to_open", 1), "long": ("buy_to_open", 1)}, tick=0.05, take_profit_pct=0.5, stop_loss=2.0, min_credit=0.5)
 
 
-@R.add(f"WITH {_LEGS} SELECT entry_id, {T('ts_event')} AS entry_time, open_mark, round(open_mark * 0.5, 4) AS tp_price, round(open_mark + 2, 4) AS sl_price, sold_id, sold_k, bought_id, bought_k FROM ent")
+@R.add(f"WITH {_LEGS} SELECT entry_id, {T('ts_event')} AS entry_time, open_mark, round(round(mark * 0.5 / 0.05) * 0.05, 4) AS tp_price, round(round((mark + 2) / 0.05) * 0.05, 4) AS sl_price, sold_id, sold_k, bought_id, bought_k FROM ent")
 def entries_by_delta_and_offset(spark, sf_dir):
     """J6, J31, T1, T2, P12, P19-P21, W12"""
     e = _entries(spark, sf_dir)
@@ -68,9 +69,10 @@ def entries_by_delta_and_offset(spark, sf_dir):
     return e.select(F.col("entry_id").cast("long").alias("entry_id"), fx.text("entry_time").alias("entry_time"), F.round("open_mark", 4).alias("open_mark"), F.round("tp_price", 4).alias("tp_price"), F.round("sl_price", 4).alias("sl_price"), leg("short", "instrument_id").alias("sold_id"), leg("short", "strike_price").alias("sold_k"), leg("long", "instrument_id").alias("bought_id"), leg("long", "strike_price").alias("bought_k"))
 
 
-#: Pairs of event instruments: sold i, bought i + 4, opened at noon of every third day for three days.
-_PAIRS = f"""{fx.BARS}, ent AS (SELECT (d.i * 4 + p.i) AS entry_id, DATE '2024-01-02' + CAST(d.i * 3 AS INTEGER) + INTERVAL 12 HOUR AS entry_time, p.i AS a, p.i + 4 AS b, DATE '2024-01-02' + CAST(d.i * 3 + 3 AS INTEGER) AS expiration,
- CASE WHEN (d.i + p.i) % 2 = 0 THEN 20.0 ELSE -20.0 END AS open_mark FROM (SELECT unnest(range(9)) AS i) d CROSS JOIN (SELECT unnest(range(4)) AS i) p),
+#: Pairs of event instruments: sold i, bought i + 4, opened at noon of every day of the events for three days.
+_PAIRS = f"""{fx.BARS}, days AS (SELECT CAST(ts AS DATE) AS day, row_number() OVER (ORDER BY CAST(ts AS DATE)) - 1 AS i FROM events WHERE ts IS NOT NULL GROUP BY 1),
+ent AS (SELECT (d.i * 4 + p.i) AS entry_id, d.day + INTERVAL 12 HOUR AS entry_time, p.i AS a, p.i + 4 AS b, d.day + 3 AS expiration,
+ CASE WHEN (d.i + p.i) % 2 = 0 THEN 20.0 ELSE -20.0 END AS open_mark FROM days d CROSS JOIN (SELECT unnest(range(4)) AS i) p),
 lb AS (SELECT entry_id, entry_time, expiration, open_mark, l.sq, l.leg, bars.* FROM (SELECT *, 1 AS sq, a AS leg FROM ent UNION ALL SELECT *, -1, b FROM ent) l JOIN bars ON bars.instrument_id = l.leg AND bars.ts_event > entry_time
  AND CAST(timezone('America/New_York', timezone('UTC', bars.ts_event)) AS DATE) <= expiration),
 times AS (SELECT DISTINCT entry_id, ts_event FROM lb),
@@ -80,20 +82,26 @@ marks AS (SELECT entry_id, ts_event, round(sum(sq * c), 4) AS position_mark, rou
  max(date_diff('minute', seen, ts_event)) AS stale FROM fill GROUP BY 1, 2 HAVING count(c) = 2)"""
 
 
+def _days(spark, sf_dir):
+    """The days of the events, numbered: one row a day."""
+    from pyspark.sql import Window
+
+    days = fx.table(spark, sf_dir, "events").where("ts is not null").select(F.to_date(fx.ntz("ts")).alias("day")).distinct()
+    return days.withColumn("d", (F.row_number().over(Window.orderBy("day")) - 1).cast("long"))
+
+
 def _pairs(spark, sf_dir):
-    day = F.col("d") * 3
-    start = F.date_add(F.lit("2024-01-02").cast("date"), day.cast("int"))
-    rows = spark.range(9).withColumnRenamed("id", "d").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<long>")))
+    rows = _days(spark, sf_dir).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<long>")))
     mark = F.when((F.col("d") + F.col("p")) % 2 == 0, 20.0).otherwise(-20.0)
     leg = lambda name, i, q: F.struct(F.lit(name).alias("leg_name"), i.alias("instrument_id"), F.lit(q).alias("signed_qty"), F.lit(0.0).alias("strike_price"), F.lit("C").alias("right"))
-    return rows.select((F.col("d") * 4 + F.col("p")).alias("entry_id"), F.timestamp_add("HOUR", F.lit(12), start.cast("timestamp_ntz")).cast("timestamp_ntz").alias("entry_time"), F.date_add(start, 3).alias("trade_expiration"), mark.alias("open_mark"), (mark * 0.2).alias("tp_price"), (F.abs(mark) + 40).alias("sl_price"), F.array(leg("a", F.col("p"), 1), leg("b", F.col("p") + 4, -1)).alias("legs"), F.col("p").alias("underlying_id"))
+    return rows.select((F.col("d") * 4 + F.col("p")).alias("entry_id"), F.timestamp_add("HOUR", F.lit(12), F.col("day").cast("timestamp_ntz")).cast("timestamp_ntz").alias("entry_time"), F.date_add("day", 3).alias("trade_expiration"), mark.alias("open_mark"), (mark * 0.2).alias("tp_price"), (F.abs(mark) + 40).alias("sl_price"), F.array(leg("a", F.col("p"), 1), leg("b", F.col("p") + 4, -1)).alias("legs"), F.col("p").alias("underlying_id"))
 
 
 @R.add(f"WITH {_PAIRS} SELECT entry_id, {T('ts_event')} AS ts_event, position_mark, spread_open_mark, min_leg_volume, total_slippage, stale AS max_leg_stale_minutes FROM marks")
 def position_marks(spark, sf_dir):
     """J11, J12, A2, A3, W2, W3, W5, P28"""
     e = _pairs(spark, sf_dir)
-    m = exit.marks(e, fx.bars(spark, sf_dir)).join(e.select("entry_id", "trade_expiration"), "entry_id").where(F.to_date(clock.local(F.col("ts_event"))) <= F.col("trade_expiration"))
+    m = exit.marks(e, fx.bars(spark, sf_dir))
     return m.select("entry_id", fx.text("ts_event").alias("ts_event"), *(F.round(c, 4).alias(c) for c in ("position_mark", "spread_open_mark")), "min_leg_volume", F.round("total_slippage", 4).alias("total_slippage"), "max_leg_stale_minutes")
 
 
@@ -129,7 +137,7 @@ def rolling_volume(spark, sf_dir):
     from pyspark.sql import Window
 
     e = _pairs(spark, sf_dir)
-    m = exit.marks(e, fx.bars(spark, sf_dir)).join(e.select("entry_id", "trade_expiration"), "entry_id").where(F.to_date(clock.local(F.col("ts_event"))) <= F.col("trade_expiration"))
+    m = exit.marks(e, fx.bars(spark, sf_dir))
     recent = Window.partitionBy("entry_id").orderBy(clock.epoch_micros(F.col("ts_event"))).rangeBetween(-90 * 60_000_000 + 1, 0)
     return m.select("entry_id", fx.text("ts_event").alias("ts_event"), F.sum("min_leg_volume").over(recent).alias("volume"))
 
@@ -157,11 +165,11 @@ def stored_legs(spark, sf_dir):
 
 
 _HELD = """pos AS (SELECT event_id AS entry_id, user_id % 4 AS k, ts AS entry_time, ts + to_minutes(CAST(30 + event_id % 300 AS INTEGER)) AS gate_time, CASE WHEN event_id % 5 = 0 THEN 'stop_loss' WHEN event_id % 7 = 0 THEN 'roll' ELSE 'expiry' END AS exit_reason,
- CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'click' AND event_id < 4000)"""
+ CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'click')"""
 
 
-def _held(spark, sf_dir, whole=False):
-    e = fx.table(spark, sf_dir, "events").where("event_type = 'click'" if whole else "event_type = 'click' and event_id < 4000").withColumn("ts", fx.ntz("ts"))
+def _held(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").where("event_type = 'click'").withColumn("ts", fx.ntz("ts"))
     gate = F.timestamp_add("MINUTE", (30 + F.col("event_id") % 300).cast("int"), "ts").cast("timestamp_ntz")
     reason = F.when(F.col("event_id") % 5 == 0, "stop_loss").when(F.col("event_id") % 7 == 0, "roll").otherwise("expiry")
     return e.select(F.col("event_id").alias("entry_id"), (F.col("user_id") % 4).alias("k"), F.col("ts").alias("entry_time"), gate.alias("gate_time"), gate.alias("exit_time"), reason.alias("exit_reason"), F.to_date("ts").alias("day"))
@@ -213,44 +221,27 @@ def gate_times(spark, sf_dir):
     return enforce.gate_times(p, ends).select("entry_id", fx.text("gate_time").alias("gate_time"))
 
 
-def _whole(name: str, held):
-    """The query over all entries. The SQL of the shorter one stops at event_id 4000, so tests hold this one against plain walks."""
-
-    @R.add(name=f"{name}_whole")
-    def query(spark, sf_dir):
-        return held(_held(spark, sf_dir, whole=True))
-
-
-def _gates(p):
-    ends = p.where("exit_reason = 'stop_loss'").select("entry_id", F.timestamp_add("HOUR", F.lit(10), "exit_time").cast("timestamp_ntz").alias("exit_time"))
-    return enforce.gate_times(p.drop("gate_time"), ends).select("entry_id", fx.text("gate_time").alias("gate_time"))
+#: Earlier names of the same queries.
+for _name in ("greedy_walk", "greedy_walk_grouped", "one_at_a_time", "no_reentry_after_loss", "daily_cap", "gate_times"):
+    R.add(ORACLE_SQL[_name], f"{_name}_whole")(QUERIES[_name])
 
 
-for _name, _kept in (
-    ("greedy_walk", lambda p: enforce.greedy_walk(p, ["k"], max_per_day=2).select("k", "entry_id")),
-    ("greedy_walk_grouped", lambda p: enforce.greedy_walk_grouped(p, ["k"], max_per_day=2).select("k", "entry_id")),
-    ("one_at_a_time", lambda p: enforce.greedy_walk(p, ["k"]).select("k", "entry_id")),
-    ("no_reentry_after_loss", lambda p: enforce.no_reentry_after_loss(p, ["k"]).select("k", "entry_id")),
-    ("daily_cap", lambda p: enforce.daily_cap(p, ["k"], 3).select("k", "entry_id")),
-    ("gate_times", _gates),
-):
-    _whole(_name, _kept)
+#: Stopped positions: one of each instrument on every day of the events.
+_STOPS = """days AS (SELECT CAST(ts AS DATE) AS day, row_number() OVER (ORDER BY CAST(ts AS DATE)) - 1 AS i FROM events WHERE ts IS NOT NULL GROUP BY 1),
+st AS (SELECT d.i * 8 + p.i AS entry_id, p.i AS instrument_id, d.day + INTERVAL 15 HOUR AS exit_time, d.day + 2 AS expiration FROM days d CROSS JOIN (SELECT unnest(range(8)) AS i) p)"""
 
 
-_STOPS = """st AS (SELECT i AS entry_id, i % 8 AS instrument_id, DATE '2024-01-03' + CAST(i AS INTEGER) + INTERVAL 15 HOUR AS exit_time, DATE '2024-01-03' + CAST(i AS INTEGER) + 2 AS expiration FROM (SELECT unnest(range(20)) AS i))"""
+def _stops(spark, sf_dir):
+    rows = _days(spark, sf_dir).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(7)).cast("array<long>")))
+    return rows.select((F.col("d") * 8 + F.col("p")).alias("entry_id"), F.col("p").alias("instrument_id"), F.timestamp_add("HOUR", F.lit(15), F.col("day").cast("timestamp_ntz")).cast("timestamp_ntz").alias("exit_time"), F.date_add("day", 2).alias("expiration"))
 
 
-def _stops(spark):
-    d = F.date_add(F.lit("2024-01-03").cast("date"), F.col("id").cast("int"))
-    return spark.range(20).select(F.col("id").alias("entry_id"), (F.col("id") % 8).alias("instrument_id"), F.timestamp_add("HOUR", F.lit(15), d.cast("timestamp_ntz")).cast("timestamp_ntz").alias("exit_time"), F.date_add(d, 2).alias("expiration"))
-
-
-@R.add(f"""WITH {fx.BARS}, {_STOPS}, r AS (SELECT st.*, b.ts_event, b.close, max(b.close) OVER (PARTITION BY entry_id ORDER BY b.ts_event ROWS UNBOUNDED PRECEDING) AS peak FROM st JOIN bars b ON b.instrument_id = st.instrument_id AND b.ts_event > st.exit_time AND CAST(b.ts_event AS DATE) <= expiration),
+@R.add(f"""WITH {fx.BARS}, {_STOPS}, r AS (SELECT st.*, b.ts_event, b.close, max(b.close) OVER (PARTITION BY entry_id ORDER BY b.ts_event ROWS UNBOUNDED PRECEDING) AS peak FROM st JOIN bars b ON b.instrument_id = st.instrument_id AND b.ts_event > st.exit_time AND CAST(timezone('America/New_York', timezone('UTC', b.ts_event)) AS DATE) <= expiration),
 h AS (SELECT entry_id, min(ts_event) AS h FROM r WHERE peak > 0 AND close <= peak * 0.5 GROUP BY 1), e AS (SELECT entry_id, arg_min(close, ts_event) AS p0, max(ts_event) AS z FROM r GROUP BY 1)
 SELECT e.entry_id, p0 AS entry_price, {T('r.ts_event')} AS exit_time, r.close AS exit_price, CASE WHEN h IS NULL THEN 'expiry' ELSE 'trailing_stop' END AS exit_reason, round((r.close - p0) * 50, 4) AS pnl FROM e LEFT JOIN h USING (entry_id) JOIN r ON r.entry_id = e.entry_id AND r.ts_event = coalesce(h, z)""")
 def continuations(spark, sf_dir):
     """K14, K18, W14, J17"""
-    found = exit.continuations(_stops(spark), fx.bars(spark, sf_dir))
+    found = exit.continuations(_stops(spark, sf_dir), fx.bars(spark, sf_dir))
     out = pnl.continuation_pnl(found, 50.0)
     return out.select("entry_id", "entry_price", fx.text("exit_time").alias("exit_time"), "exit_price", "exit_reason", F.round("pnl", 4).alias("pnl"))
 
@@ -260,7 +251,7 @@ f AS (SELECT entry_id, sq, arg_max(close, ts_event) FILTER (ts_event <= exit_tim
 SELECT entry_id, round(sum(sq * CASE WHEN sq > 0 THEN b ELSE coalesce(a, b) END), 4) AS exit_mark FROM f GROUP BY 1""")
 def leg_out(spark, sf_dir):
     """J16, K15"""
-    s = _stops(spark)
+    s = _stops(spark, sf_dir)
     legs = s.select("entry_id", "instrument_id", F.lit(1).alias("signed_qty")).unionByName(s.select("entry_id", ((F.col("instrument_id") + 1) % 8).alias("instrument_id"), F.lit(-1).alias("signed_qty")))
     return exit.leg_out_fills(s, legs, fx.bars(spark, sf_dir)).withColumn("exit_mark", F.round("exit_mark", 4))
 
@@ -275,18 +266,14 @@ def settlement(spark, sf_dir):
 
 
 @R.add(f"""WITH {_LEGS}, g AS (SELECT instrument_id, ts_event, spot * exp(-0.01 * t) * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * sqrt(t) AS vega FROM chain WHERE t > 0)
-SELECT entry_id, {T('s.ts_event')} AS ts_event, round(s.vega - b.vega, 4) AS spread_vega FROM ent JOIN g s ON s.instrument_id = sold_id JOIN g b ON b.instrument_id = bought_id AND b.ts_event = s.ts_event WHERE entry_id % 10 = 0""")
+SELECT entry_id, {T('s.ts_event')} AS ts_event, round(s.vega - b.vega, 4) AS spread_vega FROM ent JOIN g s ON s.instrument_id = sold_id JOIN g b ON b.instrument_id = bought_id AND b.ts_event = s.ts_event""")
 def spread_vega(spark, sf_dir):
-    """A1, J15 (of every tenth entry: the feature is one position's series)"""
-    out = exit.spread_vega(_entries(spark, sf_dir).where("entry_id % 10 = 0"), fx.option_greeks(spark, sf_dir).where("T > 0"))
+    """A1, J15"""
+    out = exit.spread_vega(_entries(spark, sf_dir), fx.option_greeks(spark, sf_dir).where("T > 0"))
     return out.select(F.col("entry_id").cast("long").alias("entry_id"), fx.text("ts_event").alias("ts_event"), F.round("spread_vega", 4).alias("spread_vega"))
 
 
-@R.add()
-def spread_vega_whole(spark, sf_dir):
-    """A1, J15 of all entries, of which the SQL of spread_vega has every tenth; tests hold it against brute force"""
-    out = exit.spread_vega(_entries(spark, sf_dir), fx.option_greeks(spark, sf_dir).where("T > 0"))
-    return out.select(F.col("entry_id").cast("long").alias("entry_id"), fx.text("ts_event").alias("ts_event"), F.round("spread_vega", 4).alias("spread_vega"))
+R.add(ORACLE_SQL["spread_vega"], "spread_vega_whole")(spread_vega)
 
 
 @R.add(f"""WITH {_SMA}, {_CONTRACTS} SELECT name, count(*) AS n, round(sum(value), 4) AS total FROM tall JOIN schedule ON schedule.date = CAST(ts_event AS DATE) AND schedule.underlying_id = instrument_id GROUP BY 1""")
@@ -305,3 +292,83 @@ def breakevens(spark, sf_dir):
 
     out = found(_entries(spark, sf_dir))
     return out.select(F.col("entry_id").cast("long").alias("entry_id"), F.round("breakeven", 4).alias("breakeven"))
+
+
+def _market(spark, sf_dir):
+    """The market tables of a run. The indicator is the underlying's close of each hour against its contract's number."""
+    bars = fx.underlying_bars(spark, sf_dir)
+    trend = bars.select("ts_event", F.col("instrument_id").alias("underlying_id"), (F.col("close") - 4000).alias("trend"))
+    return {"underlying_bars": bars, "option_bars": fx.option_bars(spark, sf_dir), "option_greeks": fx.option_greeks(spark, sf_dir).where("T > 0"), "indicators": trend}
+
+
+def _definition(stop_loss=3.0, take_profit=None, max_entries=2):
+    """A put spread of the front future between two dates, with an entry condition on a leg and an exit condition on an indicator."""
+    return {
+        "name": "put spread",
+        "universe": {"start_date": "2024-01-03", "end_date": "2024-01-26", "session": {"start": "09:30", "end": "16:00"}, "audit_filter": "none"},
+        "costs": {"slippage_pct": 0.01, "fees": {"entry": 0.65, "exit": 0.65, "expiration": 0.25}},
+        "trades": [
+            {
+                "name": "put_spread",
+                "instrument": {"root_symbol": "ES", "roll_days_before_expiry": 3},
+                "legs": [
+                    {"name": "short", "right": "put", "action": "sell_to_open", "delta": {"target": -0.3, "tolerance": 0.15}, "dte": 10, "dte_tolerance": 8},
+                    {"name": "long", "right": "put", "action": "buy_to_open", "strike_offset": -25, "reference_leg": "short"},
+                ],
+                "entry": {"window": {"start": "10:00", "end": "14:00"}, "min_credit": 0.5, "max_entries_per_day": max_entries, "conditions": ["short.delta < -0.2", "trend > -11"]},
+                "exit": {"stop_loss": stop_loss, "take_profit": take_profit or {"pct": 0.4, "confirmation_bars": 2}, "dte_exit": 0, "conditions": ["trend > 10", "trend < -12 and position_mark > 1"], "on_sl_long_continuation": True, "long_trailing_stop_pct": 0.4},
+            }
+        ],
+    }
+
+
+def _run_sql(combos: str) -> str:
+    """The same backtest for all rows (combination_id, sl, tp_pct, tp_price) of `combos`; both legs have a bar in every hour of their underlying."""
+    return f"""RECURSIVE {fx.CHAIN}, combos AS (SELECT * FROM (VALUES {combos}) v(combination_id, sl, tp_pct, tp_price)),
+loc AS MATERIALIZED (SELECT *, spot - 4000 AS trend, timezone('America/New_York', timezone('UTC', ts_event)) AS l FROM hours),
+u AS (SELECT * FROM loc WHERE CAST(l AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-26'),
+sched AS (SELECT DISTINCT CAST(ts_event AS DATE) AS date, CASE WHEN DATE '2024-01-19' >= CAST(ts_event AS DATE) + 3 THEN 0 ELSE 1 END AS uid FROM u),
+cand AS (SELECT u.ts_event, u.trend, uid FROM u JOIN sched ON sched.date = CAST(u.ts_event AS DATE) AND u.underlying_id = uid WHERE hour(l) * 60 + minute(l) BETWEEN 600 AND 840 AND isodow(l) < 6),
+search AS (SELECT *, uid AS sid FROM cand UNION ALL SELECT *, 1 FROM cand WHERE uid = 0 AND DATE '2024-01-19' - CAST(ts_event AS DATE) <= 18),
+near AS (SELECT c.*, s.trend, s.uid, row_number() OVER (PARTITION BY c.ts_event ORDER BY abs(delta + 0.3), strike_price, instrument_id) AS n FROM search s JOIN chain c ON c.ts_event = s.ts_event AND c.underlying_id = s.sid
+ WHERE t > 0 AND right_ = 'P' AND delta BETWEEN -0.3 - 0.15 AND -0.3 + 0.15 AND dte BETWEEN 2 AND 18),
+ent AS MATERIALIZED (SELECT s.ts_event AS entry_time, s.underlying_id, s.expiration, s.trend, s.delta, s.instrument_id AS sold_id, f.instrument_id AS bought_id, f.strike_price AS bought_k, s.close - f.close AS open_mark
+ FROM near s JOIN chain f ON f.ts_event = s.ts_event AND f.underlying_id = s.underlying_id AND f.right_ = 'P' AND f.strike_price = s.strike_price - 25 WHERE s.n = 1 AND s.close - f.close >= 0.5),
+e AS MATERIALIZED (SELECT c.*, ent.*, row_number() OVER (PARTITION BY combination_id ORDER BY entry_time) - 1 AS entry_id, CASE WHEN tp_pct IS NOT NULL THEN open_mark * (1 - tp_pct) ELSE open_mark - tp_price END AS tp, open_mark + sl AS stop FROM ent CROSS JOIN combos c WHERE delta < -0.2 AND trend > -11),
+m AS MATERIALIZED (SELECT e.*, a.ts_event, a.close - b.close AS mark, h.l, h.trend AS now, max(a.close - b.close) OVER (PARTITION BY combination_id, entry_id ORDER BY a.ts_event ROWS UNBOUNDED PRECEDING) AS worst FROM e JOIN chain a ON a.instrument_id = sold_id AND a.ts_event > entry_time
+ JOIN chain b ON b.instrument_id = bought_id AND b.ts_event = a.ts_event JOIN loc h ON h.ts_event = a.ts_event AND h.underlying_id = e.underlying_id WHERE CAST(h.l AS DATE) <= e.expiration),
+f AS (SELECT *, mark >= 0 AND hour(l) * 60 + minute(l) BETWEEN 570 AND 960 AND isodow(l) < 6 AS ok FROM m),
+g AS (SELECT *, mark >= stop AND ok AS gap_sl, mark <= tp AND ok AS gap_tp, CAST(mark <= tp AND ok AS INTEGER) AS hit FROM f),
+p AS (SELECT *, CASE WHEN gap_sl THEN 1 WHEN gap_tp THEN 2 WHEN now > 10 OR (now < -12 AND mark > 1) THEN 5 WHEN CAST(l AS DATE) >= expiration THEN 8 END AS priority FROM g),
+fst AS (SELECT combination_id, entry_id, min(ts_event) AS ts FROM p WHERE priority IS NOT NULL GROUP BY 1, 2), lst AS (SELECT combination_id, entry_id, max(ts_event) AS ts FROM p GROUP BY 1, 2),
+x AS MATERIALIZED (SELECT p.*, CASE WHEN coalesce(priority, 9) = 1 THEN 'stop_loss' WHEN priority = 2 THEN 'take_profit' WHEN priority = 5 THEN 'condition' WHEN priority = 8 THEN 'dte_exit' ELSE 'expiry' END AS reason,
+ CASE WHEN coalesce(priority, 9) <= 2 THEN mark WHEN mark < 0 THEN 0 ELSE mark END AS exit_mark FROM p JOIN lst USING (combination_id, entry_id) LEFT JOIN fst USING (combination_id, entry_id) WHERE p.ts_event = coalesce(fst.ts, lst.ts)),
+cb AS (SELECT x.combination_id, x.entry_id, c.ts_event, c.close, max(c.close) OVER (PARTITION BY combination_id, entry_id ORDER BY c.ts_event ROWS UNBOUNDED PRECEDING) AS peak FROM x JOIN chain c ON c.instrument_id = bought_id AND c.ts_event > x.ts_event AND CAST(timezone('America/New_York', timezone('UTC', c.ts_event)) AS DATE) <= x.expiration WHERE reason = 'stop_loss'),
+cs AS (SELECT combination_id, entry_id, min(ts_event) FILTER (peak > 0 AND close <= peak * (1 - 0.4)) AS h, max(ts_event) AS z, arg_min(close, ts_event) AS p0 FROM cb GROUP BY 1, 2),
+closes AS (SELECT underlying_id, CAST(l AS DATE) AS date, arg_max(spot, ts_event) AS s FROM loc WHERE hour(l) * 60 + minute(l) <= 960 GROUP BY 1, 2),
+cont AS MATERIALIZED (SELECT cs.combination_id, cs.entry_id, coalesce(h, z) AS cont_end, (CASE WHEN h IS NOT NULL THEN b.close WHEN s IS NOT NULL THEN greatest(0, bought_k - s) ELSE b.close END - p0) * 50 AS cont_pnl FROM cs JOIN x USING (combination_id, entry_id) JOIN cb b ON b.combination_id = cs.combination_id AND b.entry_id = cs.entry_id AND b.ts_event = coalesce(h, z) LEFT JOIN closes c ON c.underlying_id = x.underlying_id AND c.date = x.expiration),
+o AS (SELECT x.*, cont_pnl, CASE WHEN cont_end IS NULL THEN x.ts_event ELSE greatest(cont_end, timezone('UTC', timezone('America/New_York', CAST(CAST(l AS DATE) + CASE isodow(l) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END + INTERVAL '9 hours 30 minutes' AS TIMESTAMP)))) END AS gate_time FROM x LEFT JOIN cont USING (combination_id, entry_id)),
+pos AS MATERIALIZED (SELECT combination_id AS k, entry_id, entry_time, gate_time, reason AS exit_reason, CAST(timezone('America/New_York', timezone('UTC', entry_time)) AS DATE) AS day, row_number() OVER (PARTITION BY combination_id ORDER BY entry_time) AS n FROM o), {_WALK.format(cap=2)}
+SELECT o.combination_id, {T('o.entry_time')} AS entry_time, {T('o.ts_event')} AS exit_time, o.reason AS exit_reason, round(open_mark, 6) AS open_mark, round(exit_mark, 6) AS exit_mark, round(worst, 6) AS worst_mark, round(cont_pnl, 4) AS continuation_pnl,
+round((open_mark - exit_mark) * 50 - abs(exit_mark) * 0.5 - (0.65 + CASE WHEN o.reason = 'expiry' THEN 0.25 ELSE 0.65 END) * 2, 4) AS net_pnl FROM o JOIN w ON w.k = o.combination_id AND w.entry_id = o.entry_id WHERE w.kept"""
+
+
+def _shown(rows):
+    numbers = {c: F.round(c, 6) for c in ("open_mark", "exit_mark", "worst_mark")} | {c: F.round(c, 4) for c in ("continuation_pnl", "net_pnl")}
+    return rows.withColumns({**numbers, **{c: fx.text(c) for c in ("entry_time", "exit_time")}}).select("combination_id", "entry_time", "exit_time", "exit_reason", "open_mark", "exit_mark", "worst_mark", "continuation_pnl", "net_pnl")
+
+
+@R.add("WITH " + _run_sql("(1, 3.0::DOUBLE, 0.4::DOUBLE, NULL::DOUBLE)").replace(", CAST(mark <= tp AND ok AS INTEGER) AS hit FROM f", " FROM f"))
+def whole_backtest(spark, sf_dir):
+    """K8 and all it uses: dates, roll schedule, legs, conditions on legs and indicators, take-profit as an object, exits, continuation, gates, caps, costs"""
+    return _shown(backtest.run(parse_strategy(_definition()), _market(spark, sf_dir)).withColumn("combination_id", F.lit(1)))
+
+
+@R.add("WITH " + _run_sql(", ".join(f"({1 + 2 * i + j}, {sl}::DOUBLE, {'NULL' if tp > 1 else tp}::DOUBLE, {tp if tp > 1 else 'NULL'}::DOUBLE)" for i, sl in enumerate((1.0, 2.0, 4.0)) for j, tp in enumerate((0.3, 1.5)))))
+def study_grid(spark, sf_dir):
+    """V6: a study of three stop losses and two take-profits, with a combination that fails left out"""
+    definition = _definition([1.0, 2.0, 4.0], [{"pct": 0.3}, {"price": 1.5}])
+    rows, failed = study.run_study([definition], _market(spark, sf_dir))
+    if failed:
+        raise ValueError(failed)
+    return _shown(rows)

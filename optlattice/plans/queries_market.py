@@ -127,13 +127,13 @@ def entry_window(spark, sf_dir):
     return e.where(keep).select("event_id", F.date_format("l", "yyyy-MM-dd HH:mm").alias("local_minute"))
 
 
-_SEGMENTS = """segs AS (SELECT s_suppkey % 8 AS instrument_id, s_suppkey AS seg_id, DATE '2024-01-01' + CAST(s_suppkey % 20 AS INTEGER) AS seg_activation, DATE '2024-01-01' + CAST(s_suppkey % 20 + 3 + s_suppkey % 5 AS INTEGER) AS seg_expiration FROM supplier WHERE s_suppkey < 40)"""
+_SEGMENTS = """segs AS (SELECT s_suppkey % 8 AS instrument_id, s_suppkey AS seg_id, DATE '2024-01-01' + CAST(s_suppkey % 20 AS INTEGER) AS seg_activation, DATE '2024-01-01' + CAST(s_suppkey % 20 + 3 + s_suppkey % 5 AS INTEGER) AS seg_expiration FROM supplier)"""
 
 
-def _segments(spark, sf_dir, whole=False):
+def _segments(spark, sf_dir):
     k = F.col("s_suppkey")
     start = F.date_add(F.lit("2024-01-01").cast("date"), (k % 20).cast("int"))
-    return fx.table(spark, sf_dir, "supplier").where(F.lit(True) if whole else k < 40).select((k % 8).alias("instrument_id"), k.alias("seg_id"), start.alias("seg_activation"), F.date_add(start, (3 + k % 5).cast("int")).alias("seg_expiration"))
+    return fx.table(spark, sf_dir, "supplier").select((k % 8).alias("instrument_id"), k.alias("seg_id"), start.alias("seg_activation"), F.date_add(start, (3 + k % 5).cast("int")).alias("seg_expiration"))
 
 
 @R.add(f"""WITH {fx.BARS}, {_SEGMENTS}, j AS (SELECT b.instrument_id, b.ts_event, seg_id, greatest(0, seg_activation - CAST(ts_event AS DATE), CAST(ts_event AS DATE) - seg_expiration) AS d, seg_expiration - seg_activation AS w, seg_activation AS a, seg_expiration AS z
@@ -153,18 +153,9 @@ def segment_overlaps(spark, sf_dir):
     return ingest.overlaps(fx.bars(spark, sf_dir).withColumn("date", F.to_date("ts_event")), _segments(spark, sf_dir))
 
 
-@R.add()
-def route_recycled_ids_whole(spark, sf_dir):
-    """J7 with the segments of all suppliers, which the SQL of route_recycled_ids leaves out from 40 on; tests hold it against brute force"""
-    b = fx.bars(spark, sf_dir).withColumn("date", F.to_date("ts_event"))
-    out = ingest.route(b, _segments(spark, sf_dir, whole=True))
-    return out.groupBy("instrument_id").agg(F.count("*").alias("n_bars"), F.sum("seg_distance").alias("off_days"), F.countDistinct("seg_activation").alias("n_starts"))
-
-
-@R.add()
-def segment_overlaps_whole(spark, sf_dir):
-    """A5 with the segments of all suppliers"""
-    return ingest.overlaps(fx.bars(spark, sf_dir).withColumn("date", F.to_date("ts_event")), _segments(spark, sf_dir, whole=True))
+#: Earlier names of the same queries.
+for _name in ("route_recycled_ids", "segment_overlaps"):
+    R.add(ORACLE_SQL[_name], f"{_name}_whole")(QUERIES[_name])
 
 
 @R.add("""WITH x AS (SELECT CAST(p_partkey % 50 AS BIGINT) AS instrument_id, CASE p_partkey % 4 WHEN 0 THEN 'F' WHEN 1 THEN 'C' WHEN 2 THEN 'P' ELSE 'X' END AS c, p_partkey FROM part),
@@ -213,17 +204,25 @@ def black76_greeks(spark, sf_dir):
     return rows.select("instrument_id", fx.text("ts_event").alias("ts_event"), (F.round("close", 6) + 0.0).alias("price"), (F.round("delta", 6) + 0.0).alias("delta"), F.round("gamma", 8).alias("gamma"), F.round("vega", 4).alias("vega"), (F.round("theta", 5) + 0.0).alias("theta"), F.col("dte").cast("long").alias("dte"))
 
 
-@R.add(f"""WITH {fx.CHAIN} SELECT instrument_id, {T('ts_event')} AS ts_event, 0.2 AS iv, 0 AS underlying_lag_s FROM chain WHERE t > 0.004 AND close > 2""")
+@R.add(f"""WITH {fx.CHAIN} SELECT instrument_id, {T('ts_event')} AS ts_event, CASE WHEN t > 0.004 AND close > 2 THEN 0.2 END AS iv, CAST(CASE WHEN t = 0 THEN 0 WHEN close > 0.00001 THEN 1 END AS DOUBLE) AS found, 0 AS underlying_lag_s FROM chain""")
 def implied_volatility(spark, sf_dir):
-    """What the bisection finds is the volatility that made the prices"""
-    b = fx.option_bars(spark, sf_dir).where("t > 0.004 and close > 2").drop("spot")
-    g = greeks.compute(b, fx.underlying_bars(spark, sf_dir))
-    return g.select("instrument_id", fx.text("ts_event").alias("ts_event"), F.round("iv", 3).alias("iv"), "underlying_lag_s")
+    """What the bisection finds is the volatility that made the prices, and NaN for expired options
+
+    All options are solved and all rows returned. iv is shown where the price tells it to three digits, found unless the
+    price is within rounding errors of 0.
+    """
+    b = fx.option_bars(spark, sf_dir).drop("spot")
+    g = greeks.compute(b, fx.underlying_bars(spark, sf_dir)).join(b.select("instrument_id", "ts_event", "close"), ["instrument_id", "ts_event"])
+    iv = F.when((F.col("T") > 0.004) & (F.col("close") > 2), F.round("iv", 3))
+    found = F.when((F.col("T") == 0) | (F.col("close") > 0.00001), (~F.isnan("iv")).cast("double"))
+    return g.select("instrument_id", fx.text("ts_event").alias("ts_event"), iv.alias("iv"), found.alias("found"), "underlying_lag_s")
 
 
-_BAD = f"""{fx.CHAIN}, ob AS (SELECT instrument_id, underlying_id, ts_event, expiration, strike_price, right_, spot, t, CASE WHEN instrument_id % 14 = 3 THEN -close ELSE close END AS close FROM chain WHERE (instrument_id + hour(ts_event)) % 3 > 0),
-og AS (SELECT instrument_id, ts_event, CASE WHEN instrument_id % 14 = 5 THEN dte - 40 ELSE dte END AS dte, CASE instrument_id % 14 WHEN 1 THEN CAST('NaN' AS DOUBLE) WHEN 2 THEN 10.0 WHEN 4 THEN 3.0 ELSE 0.2 END AS iv,
- CASE WHEN instrument_id % 14 = 6 THEN -delta WHEN instrument_id % 14 = 7 THEN 1.5 ELSE delta END AS delta, t, spot, d1 FROM chain WHERE delta IS NOT NULL)"""
+_BAD = f"""{fx.CHAIN}, ob AS MATERIALIZED (SELECT instrument_id, underlying_id, ts_event, expiration, strike_price, right_, spot, t, CASE WHEN instrument_id % 14 = 3 THEN -close ELSE close END AS close FROM chain WHERE (instrument_id + hour(ts_event)) % 3 > 0),
+og AS MATERIALIZED (SELECT instrument_id, ts_event, CASE WHEN instrument_id % 14 = 5 THEN dte - 40 ELSE dte END AS dte, CASE instrument_id % 14 WHEN 1 THEN CAST('NaN' AS DOUBLE) WHEN 2 THEN 10.0 WHEN 4 THEN 3.0 ELSE 0.2 END AS iv,
+ CASE WHEN instrument_id % 14 = 6 THEN -delta WHEN instrument_id % 14 = 7 THEN 1.5 ELSE delta END AS delta, t, spot, d1, strike_price, right_ FROM chain WHERE delta IS NOT NULL),
+e1 AS MATERIALIZED (SELECT instrument_id, ts_event, delta, t, right_, (ln(spot / strike_price) + iv * iv / 2 * t) / (iv * sqrt(t)) AS x FROM og WHERE NOT isnan(iv)),
+gaps AS MATERIALIZED (SELECT instrument_id, ts_event, abs(delta - exp(-0.01 * t) * CASE WHEN right_ = 'C' THEN {fx._cdf_sql("x")} ELSE {fx._cdf_sql("x")} - 1 END) AS gap FROM e1 JOIN ob USING (instrument_id, ts_event, t, right_))"""
 
 
 def _bad(spark, sf_dir):
@@ -236,44 +235,33 @@ def _bad(spark, sf_dir):
 
 @R.add(f"""WITH {_BAD}, f AS (
 SELECT 'IV_NAN' AS flag_code, 'soft' AS flag_severity, instrument_id FROM og WHERE isnan(iv) UNION ALL SELECT 'IV_SENTINEL', 'soft', instrument_id FROM og WHERE iv = 10 UNION ALL SELECT 'IV_HIGH', 'soft', instrument_id FROM og WHERE iv > 2 AND NOT isnan(iv) AND iv <> 10
+UNION ALL SELECT 'DELTA_INCONSISTENT', 'soft', instrument_id FROM gaps WHERE gap > 0.1
 UNION ALL SELECT 'NEGATIVE_CLOSE', 'hard', instrument_id FROM ob WHERE close < 0 UNION ALL SELECT 'NEGATIVE_DTE', 'hard', instrument_id FROM og WHERE dte < 0 UNION ALL SELECT 'ZOMBIE_BAR', 'hard', instrument_id FROM ob WHERE expiration < CAST(ts_event AS DATE)
-UNION ALL SELECT 'DELTA_SIGN_ERROR', 'hard', og.instrument_id FROM og JOIN ob USING (instrument_id, ts_event) WHERE (right_ = 'P' AND delta > 0) OR (right_ = 'C' AND delta < 0)
+UNION ALL SELECT 'DELTA_SIGN_ERROR', 'hard', og.instrument_id FROM og JOIN ob USING (instrument_id, ts_event) WHERE (ob.right_ = 'P' AND delta > 0) OR (ob.right_ = 'C' AND delta < 0)
 UNION ALL SELECT 'DELTA_MAGNITUDE_ERROR', 'hard', instrument_id FROM og WHERE abs(delta) > 1
 UNION ALL (SELECT 'BARS_TRUNCATED', 'hard', instrument_id FROM ob GROUP BY instrument_id, expiration HAVING (expiration - max(CAST(ts_event AS DATE))) / NULLIF(expiration - min(CAST(ts_event AS DATE)), 0) > 0.15)
 UNION ALL (SELECT 'BARS_SPARSE', 'soft', instrument_id FROM ob GROUP BY instrument_id, expiration HAVING count(*) / count(DISTINCT CAST(ts_event AS DATE)) < 10)
 UNION ALL (SELECT 'NO_EXPIRY_BARS', 'soft', instrument_id FROM ob GROUP BY instrument_id, expiration HAVING count(*) FILTER (CAST(ts_event AS DATE) = expiration) = 0))
 SELECT flag_code, flag_severity, count(*) AS n, count(DISTINCT instrument_id) AS n_instruments FROM f GROUP BY 1, 2""")
 def audit_flag_counts(spark, sf_dir):
-    """Eleven flags, U1, U3, A6-A9"""
-    b, g = _bad(spark, sf_dir)
-    flags = audit.run(b, g, fx.underlying_bars(spark, sf_dir)).where("flag_code <> 'DELTA_INCONSISTENT'")
-    return audit.flag_counts(flags)
-
-
-@R.add(f"""WITH {_BAD}, x AS (SELECT og.instrument_id, og.delta, (og.instrument_id % 14 IN (6, 7)) AS wrong, abs(CASE WHEN og.iv = 0.2 THEN CASE og.instrument_id % 14 WHEN 6 THEN -2 * og.delta WHEN 7 THEN 1.5 - c.delta ELSE 0 END END) AS gap
-FROM og JOIN ob USING (instrument_id, ts_event) JOIN chain c USING (instrument_id, ts_event)) SELECT instrument_id, count(*) AS n, round(max(gap), 4) AS largest FROM x WHERE gap > 0.1 AND wrong GROUP BY 1""")
-def audit_delta(spark, sf_dir):
-    """J22, K5, DELTA_INCONSISTENT of the deltas that were spoilt"""
-    b, g = _bad(spark, sf_dir)
-    found = audit.delta_flags(g, b, fx.underlying_bars(spark, sf_dir)).where((F.col("instrument_id") % 14).isin(6, 7))
-    return found.groupBy("instrument_id").agg(F.count("*").alias("n"), F.round(F.max("flag_value"), 4).alias("largest"))
-
-
-@R.add()
-def audit_flag_counts_whole(spark, sf_dir):
-    """All twelve flags; the SQL of audit_flag_counts has no DELTA_INCONSISTENT"""
+    """All twelve flags, U1, U3, A6-A9"""
     b, g = _bad(spark, sf_dir)
     return audit.flag_counts(audit.run(b, g, fx.underlying_bars(spark, sf_dir)))
 
 
-@R.add()
-def audit_delta_whole(spark, sf_dir):
+@R.add(f"""WITH {_BAD} SELECT instrument_id, count(*) AS n, round(max(gap), 4) AS largest FROM gaps WHERE gap > 0.1 GROUP BY 1""")
+def audit_delta(spark, sf_dir):
     """J22, K5, DELTA_INCONSISTENT of all instruments, also where a spoilt volatility contradicts the delta"""
     b, g = _bad(spark, sf_dir)
     found = audit.delta_flags(g, b, fx.underlying_bars(spark, sf_dir))
     return found.groupBy("instrument_id").agg(F.count("*").alias("n"), F.round(F.max("flag_value"), 4).alias("largest"))
 
 
+#: Earlier names of the same queries.
+for _name in ("audit_flag_counts", "audit_delta"):
+    R.add(ORACLE_SQL[_name], f"{_name}_whole")(QUERIES[_name])
+
+
 @R.add(f"""WITH {_BAD}, bad AS (SELECT DISTINCT instrument_id FROM ob WHERE close < 0 UNION SELECT instrument_id FROM og WHERE abs(delta) > 1)
 SELECT instrument_id, count(*) AS n FROM ob WHERE instrument_id NOT IN (SELECT instrument_id FROM bad) GROUP BY 1""")
 def audit_filter(spark, sf_dir):
@@ -283,6 +271,25 @@ def audit_filter(spark, sf_dir):
     return audit.drop_flagged(b, flags, ["NEGATIVE_CLOSE", "DELTA_MAGNITUDE_ERROR"]).groupBy("instrument_id").agg(F.count("*").alias("n"))
 
 
+_HARD = f"""{_BAD}, hard AS (SELECT instrument_id FROM ob WHERE close < 0 OR expiration < CAST(ts_event AS DATE) UNION SELECT instrument_id FROM og WHERE dte < 0 OR abs(delta) > 1
+UNION SELECT og.instrument_id FROM og JOIN ob USING (instrument_id, ts_event) WHERE (ob.right_ = 'P' AND delta > 0) OR (ob.right_ = 'C' AND delta < 0)
+UNION (SELECT instrument_id FROM ob GROUP BY instrument_id, expiration HAVING (expiration - max(CAST(ts_event AS DATE))) / NULLIF(expiration - min(CAST(ts_event AS DATE)), 0) > 0.15)),
+soft AS (SELECT instrument_id FROM og WHERE isnan(iv) OR iv > 2 UNION SELECT instrument_id FROM gaps WHERE gap > 0.1
+UNION (SELECT instrument_id FROM ob GROUP BY instrument_id, expiration HAVING count(*) / count(DISTINCT CAST(ts_event AS DATE)) < 10 OR count(*) FILTER (CAST(ts_event AS DATE) = expiration) = 0))"""
+
+
+@R.add(f"""WITH {_HARD} SELECT 'hard_errors_only' AS preset, instrument_id, count(*) AS n FROM ob WHERE instrument_id NOT IN (SELECT * FROM hard) GROUP BY 2
+UNION ALL SELECT 'all', instrument_id, count(*) FROM ob WHERE instrument_id NOT IN (SELECT * FROM hard UNION SELECT * FROM soft) GROUP BY 2 UNION ALL SELECT p, instrument_id, count(*) FROM ob CROSS JOIN (SELECT unnest(['none', 'unheard']) AS p) GROUP BY 1, 2""")
+def audit_presets(spark, sf_dir):
+    """Each preset, and one that isn't known"""
+    b, g = _bad(spark, sf_dir)
+    flags, out = audit.run(b, g, fx.underlying_bars(spark, sf_dir)), None
+    for preset in ("hard_errors_only", "all", "none", "unheard"):
+        rows = audit.drop_flagged(b, flags, preset).groupBy("instrument_id").agg(F.count("*").alias("n")).select(F.lit(preset).alias("preset"), "instrument_id", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @R.add(f"""WITH {_BAD}, f AS (SELECT instrument_id, arg_min(delta, ts_event) AS d FROM og GROUP BY 1), r AS (SELECT instrument_id, min(right_) AS r FROM ob GROUP BY 1), bad AS (SELECT DISTINCT instrument_id FROM ob WHERE close < 0),
 q AS (SELECT r, d, b.instrument_id AS f, ntile(5) OVER (PARTITION BY r ORDER BY d, f.instrument_id) AS quintile FROM f JOIN r USING (instrument_id) LEFT JOIN bad b ON b.instrument_id = f.instrument_id)
 SELECT r AS "right", quintile, round(min(d), 6) AS low, round(max(d), 6) AS high, round(quantile_cont(d, 0.5), 6) AS median, count(*) AS n, count(f) AS n_flagged FROM q GROUP BY 1, 2""")
@@ -314,14 +321,14 @@ def indicator_run(spark, sf_dir):
 
 @R.add(f"""WITH {_SMA}, old AS (SELECT DISTINCT CAST(instrument_id + 1 AS BIGINT) AS id, name, instrument_id FROM tall WHERE name = 'sma_5'), new AS (SELECT DISTINCT name, instrument_id FROM tall WHERE name <> 'sma_5'),
 e AS (SELECT id, name, instrument_id FROM old UNION ALL SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY name, instrument_id), name, instrument_id FROM new)
-SELECT e.id AS indicator_id, count(*) AS n, round(sum(value), 4) AS total FROM tall JOIN e USING (name, instrument_id) GROUP BY 1""")
+SELECT e.id AS indicator_id, count(*) AS n, round(sum(value), 4) AS total FROM tall JOIN e USING (name, instrument_id) WHERE name <> 'sma_5' OR ts_event >= TIMESTAMP '2024-01-12' GROUP BY 1""")
 def indicator_definitions(spark, sf_dir):
-    """I3, I4"""
+    """The store has the first days of one indicator already"""
     tall = _tall(spark, sf_dir)
     old = tall.where("name = 'sma_5'").select((F.col("instrument_id") + 1).alias("id"), "name", F.col("instrument_id").alias("underlying_id")).distinct()
     _, values = indicators.with_definitions(tall, old)
-    none = values.where("false")
-    return indicators.insert_absent(values, none).groupBy("indicator_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    stored = values.join(old.select(F.col("id").alias("indicator_id")), "indicator_id", "left_semi").where("ts_event < timestamp_ntz'2024-01-12 00:00:00'")
+    return indicators.insert_absent(values, stored).groupBy("indicator_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @R.add(f"""WITH {_SMA} SELECT instrument_id AS underlying_id, {T('ts_event')} AS ts_event, round(max(CASE WHEN name = 'sma_5' THEN value END), 6) AS sma_5, round(max(CASE WHEN name = 'std_20' THEN value END), 6) AS std_20 FROM tall GROUP BY instrument_id, ts_event""")
@@ -354,11 +361,13 @@ def option_context(spark, sf_dir):
     return indicators.option_context(rows, (3, 15), (-0.6, -0.2), "put").groupBy("instrument_id").agg(F.count("*").alias("n"))
 
 
-@R.add("SELECT DISTINCT event_type, upper(substr(event_type, 1, 1)) || substr(event_type, 2) || ' Event' AS title, 'ES' AS root FROM events")
+@R.add("""WITH n AS (SELECT DISTINCT event_type, upper(substr(event_type, 1, 2)) || substr('FGHJKMNQUVXZ?', CAST(user_id % 13 + 1 AS INTEGER), 1) || user_id % 30 AS symbol FROM events)
+SELECT event_type, symbol, upper(substr(event_type, 1, 1)) || substr(event_type, 2) || ' Event' AS title, CASE WHEN symbol LIKE '%?%' THEN '' ELSE substr(symbol, 1, 2) END AS root FROM n""")
 def names_and_titles(spark, sf_dir):
-    """P36, P38, U5"""
-    e = fx.table(spark, sf_dir, "events").select("event_type").distinct()
-    return e.select("event_type", title_case(F.concat("event_type", F.lit("_event"))).alias("title"), contract_root(F.lit("ESM6")).alias("root"))
+    """Roots of all symbols, also of ones that are no contract"""
+    month = F.substring(F.lit("FGHJKMNQUVXZ?"), (F.col("user_id") % 13 + 1).cast("int"), F.lit(1))
+    e = fx.table(spark, sf_dir, "events").select("event_type", F.concat(F.upper(F.substring("event_type", 1, 2)), month, (F.col("user_id") % 30).cast("string")).alias("symbol")).distinct()
+    return e.select("event_type", "symbol", title_case(F.concat("event_type", F.lit("_event"))).alias("title"), contract_root(F.col("symbol")).alias("root"))
 
 
 @R.add(f"WITH {fx.BARS} SELECT {T('ts_event')} AS ts_event, open, high, low, close, volume FROM bars WHERE instrument_id = 3 AND ts_event BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12 12:00:00'")
@@ -396,9 +405,9 @@ def decoded_bars(spark, sf_dir):
     return out.select("event_id", fx.text("ts_event").alias("ts_event"), "close", F.col("volume").isNull().alias("no_volume"))
 
 
-@R.add(f"""WITH {fx.CHAIN}, b AS (SELECT * FROM chain WHERE t > 0) SELECT c.instrument_id, {T('c.ts_event')} AS ts_event, c.dte, round(c.delta, 6) + 0.0 AS delta, round(b.close, 6) + 0.0 AS close FROM chain c JOIN b USING (instrument_id, ts_event) WHERE c.right_ = 'C' AND c.delta BETWEEN 0.4 AND 0.6""")
+@R.add(f"""WITH {fx.CHAIN}, b AS (SELECT * FROM chain WHERE t > 0) SELECT c.instrument_id, {T('c.ts_event')} AS ts_event, c.dte, round(c.delta, 6) + 0.0 AS delta, round(b.close, 6) + 0.0 AS close FROM chain c JOIN b USING (instrument_id, ts_event)""")
 def greeks_with_bars(spark, sf_dir):
     """J4, J22"""
     b = fx.option_bars(spark, sf_dir).where("t > 0").select("instrument_id", "ts_event", "right", "close")
-    g = fx.option_greeks(spark, sf_dir).join(b, ["instrument_id", "ts_event"]).where("right = 'C' and delta between 0.4 and 0.6")
+    g = fx.option_greeks(spark, sf_dir).join(b, ["instrument_id", "ts_event"])
     return g.select("instrument_id", fx.text("ts_event").alias("ts_event"), F.col("dte").cast("long").alias("dte"), (F.round("delta", 6) + 0.0).alias("delta"), (F.round("close", 6) + 0.0).alias("close"))
