@@ -131,6 +131,35 @@ def first_exits(spark, sf_dir):
     return x.select("entry_id", fx.text("exit_time").alias("exit_time"), F.round("exit_mark", 4).alias("exit_mark"), F.round("worst_mark", 4).alias("worst_mark"), "exit_reason")
 
 
+#: A second set of rules: conditions on levels, volume over a while, a lock before expiry, slippage, vega triggers, settlement, a tick.
+_SECOND = f"""{_PAIRS}, sc AS (SELECT instrument_id, CAST(l AS DATE) AS date, arg_max(close, ts_event) AS s FROM (SELECT *, timezone('America/New_York', timezone('UTC', ts_event)) AS l FROM bars) WHERE hour(l) * 60 + minute(l) <= 960 GROUP BY 1, 2),
+st AS (SELECT ent.entry_id, round(greatest(0, s - 40) - greatest(0, s - 60), 4) AS settled FROM ent JOIN sc ON sc.instrument_id = ent.a AND sc.date = ent.expiration),
+vg AS (SELECT entry_id, ts_event, sum(sq * volume) AS vega FROM lb GROUP BY 1, 2),
+m AS (SELECT k.*, open_mark, open_mark * 0.2 AS tp, abs(open_mark) + 25 AS slp, expiration, settled, vega, timezone('America/New_York', timezone('UTC', k.ts_event)) AS l, max(position_mark) OVER (PARTITION BY k.entry_id ORDER BY k.ts_event ROWS UNBOUNDED PRECEDING) AS worst,
+ sum(min_leg_volume) OVER (PARTITION BY k.entry_id ORDER BY k.ts_event RANGE BETWEEN INTERVAL '719 MINUTE 59 SECOND 999999 MICROSECOND' PRECEDING AND CURRENT ROW) AS vol FROM marks k JOIN ent USING (entry_id) LEFT JOIN st USING (entry_id) LEFT JOIN vg ON vg.entry_id = k.entry_id AND vg.ts_event = k.ts_event),
+g AS (SELECT *, expiration - CAST(l AS DATE) AS dte_now, hour(l) * 3600 + minute(l) * 60 AS sec, (CASE WHEN open_mark > 0 THEN position_mark >= 0 ELSE position_mark <= 0 END) AND coalesce(vol >= 0, false) AS fair FROM m),
+h AS (SELECT *, fair AND NOT (dte_now = 0 AND sec BETWEEN 57600 - 18000 AND 57600) AS ok FROM g),
+f AS (SELECT *, coalesce(spread_open_mark + total_slippage >= slp AND ok AND max_stale < 900, false) AS gap_sl, coalesce(spread_open_mark + total_slippage <= tp AND ok AND dte_now >= 1, false) AS gap_tp, coalesce(position_mark + total_slippage >= slp AND ok AND max_stale < 900, false) AS sl, coalesce(position_mark + total_slippage <= tp AND ok AND dte_now >= 1, false) AS tp_hit FROM (SELECT *, stale AS max_stale FROM h) h),
+p AS (SELECT *, CASE WHEN gap_sl THEN 1 WHEN gap_tp THEN 2 WHEN sl THEN 3 WHEN tp_hit THEN 4 WHEN (vega < -1 OR position_mark > 80) AND sec BETWEEN 32400 AND 43200 THEN 6 WHEN vega < -3 THEN 7 WHEN CAST(l AS DATE) >= expiration AND sec >= 57600 THEN 9 END AS priority FROM f),
+first AS (SELECT entry_id, min({{'ts': ts_event, 'p': priority}}) AS k FROM p WHERE priority IS NOT NULL GROUP BY 1), last AS (SELECT entry_id, max(ts_event) AS ts FROM p GROUP BY 1),
+pick AS (SELECT p.* FROM p JOIN last USING (entry_id) LEFT JOIN first USING (entry_id) WHERE p.ts_event = coalesce(first.k.ts, last.ts))
+SELECT entry_id, {T('ts_event')} AS exit_time, round(round(CASE WHEN coalesce(priority, 9) <= 2 THEN spread_open_mark + total_slippage WHEN coalesce(priority, 9) = 9 AND settled IS NOT NULL THEN settled WHEN open_mark > 0 AND position_mark + total_slippage < 0 THEN 0 WHEN open_mark < 0 AND position_mark + total_slippage > 0 THEN 0 ELSE position_mark + total_slippage END / 0.0625) * 0.0625, 4) AS exit_mark,
+round(round(worst / 0.0625) * 0.0625, 4) AS worst_mark, CASE coalesce(priority, 9) WHEN 1 THEN 'stop_loss' WHEN 2 THEN 'take_profit' WHEN 3 THEN 'stop_loss' WHEN 4 THEN 'take_profit' WHEN 6 THEN 'roll' WHEN 7 THEN 'vega_exit' ELSE 'expiry' END AS exit_reason FROM pick"""
+
+
+@R.add(f"WITH {_SECOND}")
+def first_exits_second_rules(spark, sf_dir):
+    """P14, P25, P27, P30 by vega, P32 with slippage and settlement, a tick, after-hours exits on all days"""
+    e, b = _pairs(spark, sf_dir), fx.bars(spark, sf_dir)
+    e = e.withColumn("sl_price", F.abs("open_mark") + 25)
+    rules = exit.ExitRules(after_hours=True, weekdays_only=False, stop_loss_condition="max_leg_stale_minutes < 900", take_profit_condition="dte_now >= 1", min_exit_volume=0, lookback_minutes=720, pre_expiry_lock_minutes=300, spread_slippage=True, expiry_close="16:00", roll_window=("09:00", "12:00"), roll_vega=-1.0, roll_conditions=("position_mark > 80",), vega_exit=-3.0, tick=0.0625)
+    greek = b.select("instrument_id", "ts_event", F.col("volume").cast("double").alias("vega"))
+    settled = exit.settlement_marks(e.withColumn("legs", F.transform("legs", lambda x: x.withField("strike_price", F.when(x["leg_name"] == "a", 40.0).otherwise(60.0)))), exit.settlement_closes(b))
+    marked = exit.flagged(exit.marks(e, b), e, rules, None, exit.spread_vega(e, greek), settled.withColumn("settlement_mark", F.round("settlement_mark", 4)))
+    x = exit.first_exits(marked, rules)
+    return x.select("entry_id", fx.text("exit_time").alias("exit_time"), F.round("exit_mark", 4).alias("exit_mark"), F.round("worst_mark", 4).alias("worst_mark"), "exit_reason")
+
+
 @R.add(f"WITH {_FLAGS} SELECT entry_id, {T('ts_event')} AS ts_event, CAST(sum(vol) AS BIGINT) AS volume FROM m WHERE vol IS NOT NULL GROUP BY 1, 2")
 def rolling_volume(spark, sf_dir):
     """W6, P27"""

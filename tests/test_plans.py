@@ -83,3 +83,112 @@ def test_a_single_step_equals_a_flat_delta(market):
         e = backtest.find_entries(s, s.trades[0], market)
         found.append(sorted((str(r.entry_time), r.open_mark) for r in e.select("entry_time", F.round("open_mark", 6).alias("open_mark")).collect()))
     assert found[0] and found[0] == found[1]
+
+
+def changed(path=None, value=None, *more):
+    data = strategy.load_strategy(SPREAD)
+    for p, v in zip((path, *more[::2]), (value, *more[1::2]), strict=True):
+        if p:
+            strategy.override(data, p, v)
+    return strategy.parse_strategy(data)
+
+
+def closed(market, *changes):
+    return backtest.run(changed(*changes), market).orderBy("entry_time").collect()
+
+
+@pytest.fixture(scope="module")
+def plain_run(market):
+    return closed(market)
+
+
+TRADE = "trades.0."
+
+
+def test_dates_bound_the_candidates(market, plain_run):
+    rows = closed(market, "universe.start_date", "2024-01-10", "universe.end_date", "2024-01-12")
+    days = {str(r.entry_time.date()) for r in rows}
+    assert days and days <= {"2024-01-10", "2024-01-11", "2024-01-12"} and {str(r.entry_time.date()) for r in plain_run} - days
+
+
+def test_take_profit_as_a_price_and_as_an_object(market, plain_run):
+    s = changed(TRADE + "exit.take_profit_pct", None, TRADE + "exit.take_profit", 1.5)
+    assert all(r.tp_price == pytest.approx(r.open_mark - 1.5, abs=0.026) for r in backtest.find_entries(s, s.trades[0], market).collect())
+    for value, want in (({"price": 2.0}, lambda m: m - 2), ({"pct": 0.25}, lambda m: m * 0.75)):
+        s = changed(TRADE + "exit.take_profit_pct", None, TRADE + "exit.take_profit", value)
+        found = backtest.find_entries(s, s.trades[0], market).collect()
+        assert found and all(r.tp_price == pytest.approx(want(r.open_mark), abs=0.026) for r in found)
+    s = changed(TRADE + "exit.stop_loss", {"price": 3.0, "condition": "position_mark > 99"})
+    assert all(r.sl_price == pytest.approx(r.open_mark + 3, abs=0.026) for r in backtest.find_entries(s, s.trades[0], market).collect())
+
+
+def test_conditions_read_legs_and_indicators(market):
+    trend = market["underlying_bars"].select("ts_event", F.col("instrument_id").alias("underlying_id"), (F.col("close") - 4000).alias("trend"))
+    known = market | {"indicators": trend}
+    s = changed()
+    every = {r.entry_time: r for r in backtest.find_entries(s, s.trades[0], market).collect()}
+    spot = {(r.underlying_id, r.ts_event): r.trend for r in trend.collect()}
+    s = changed(TRADE + "entry.conditions", ["short.strike < 3970", "long.delta < -0.2", "trend < 6"])
+    found = backtest.find_entries(s, s.trades[0], known).collect()
+    leg = lambda r, name: next(x for x in r.legs if x.leg_name == name)
+    want = sorted(t for t, r in every.items() if leg(r, "short").strike_price < 3970 and leg(r, "long").delta < -0.2)
+    front = {t for t in want if any(v < 6 for (u, x), v in spot.items() if x == t)}
+    assert 0 < len(found) < len(every) and {r.entry_time for r in found} <= front and [r.entry_id for r in sorted(found, key=lambda r: r.entry_time)] == list(range(len(found)))
+    rows = backtest.run(changed(TRADE + "exit.conditions", ["trend > 8"]), known).collect()
+    stopped = [r for r in rows if r.exit_reason == "condition"]
+    assert stopped and all(spot[r.underlying_id, r.exit_time] > 8 for r in stopped)
+
+
+def test_time_tolerance_reaches_options_at_other_times(market):
+    late = market | {n: market[n].withColumn("ts_event", F.timestamp_add("SECOND", F.lit(40), "ts_event").cast("timestamp_ntz")) for n in ("option_bars", "option_greeks")}
+    count = lambda s, m: backtest.find_entries(s, s.trades[0], m).count()
+    exact, near, short = changed(), changed(TRADE + "entry.time_tolerance", 60), changed(TRADE + "entry.time_tolerance", 30)
+    assert count(exact, late) == count(short, late) == 0 and count(near, late) == count(near, market) == count(exact, market) > 0
+
+
+def test_continuations_gate_and_pay(market, plain_run):
+    assert all(r.continuation_pnl is None for r in plain_run)
+    stop = (TRADE + "exit.stop_loss", 0.5, TRADE + "entry.max_entries_per_day", 10)
+    without = closed(market, *stop)
+    rows = closed(market, *stop, TRADE + "exit.on_sl_long_continuation", True, TRADE + "exit.long_trailing_stop_pct", 0.4)
+    lived = [r for r in rows if r.continuation_pnl is not None]
+    assert lived and all(r.exit_reason == "stop_loss" and r.continuation_exit_time > r.exit_time for r in lived)
+    assert all(r.continuation_pnl == pytest.approx((r.continuation_exit_price - r.continuation_entry_price) * 50) for r in lived)
+    for r, after in zip(rows, rows[1:], strict=False):
+        if r.continuation_exit_time:
+            assert after.entry_time >= r.continuation_exit_time and after.entry_time.date() > r.exit_time.date()
+    assert len(rows) < len(without) or [r.entry_time for r in rows] != [r.entry_time for r in without]
+
+
+def test_the_multiplier_is_the_contract_s(market, plain_run):
+    tenfold = market | {"option_bars": market["option_bars"].withColumn("multiplier", F.lit(500))}
+    assert [r.gross_pnl for r in closed(tenfold)] == pytest.approx([10 * r.gross_pnl for r in plain_run])
+
+
+def test_leg_out_and_liquidity_reach_the_exits(market, plain_run):
+    assert [r.exit_mark for r in closed(market, TRADE + "exit.leg_out", True)] != [r.exit_mark for r in plain_run]
+    assert not [r for r in closed(market, TRADE + "exit.liquidity", {"min_exit_volume": 10**6}) if r.exit_reason in ("stop_loss", "take_profit")]
+
+
+def test_a_study_keeps_failures_apart(market, tmp_path):
+    from optlattice.plans import study
+
+    good = strategy.load_strategy(SPREAD)
+    good["trades"][0]["exit"]["stop_loss"] = [2.0, 4.0]
+    bad = strategy.load_strategy(SPREAD)
+    bad["trades"][0]["exit"]["conditions"] = ["no_such_indicator > 1"]
+    rows, failed = study.run_study([good, bad, good], market)
+    assert [f["combination_id"] for f in failed] == [3] and "no_such_indicator" in failed[0]["error"]
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.combination_id, []).append((r.entry_time, r.exit_time, r.net_pnl))
+    assert sorted(got) == [1, 2, 4, 5] and sorted(got[1]) == sorted(got[4]) and sorted(got[2]) == sorted(got[5])
+    alone = backtest.run(changed(TRADE + "exit.stop_loss", 2.0), market).collect()
+    assert sorted((r.entry_time, r.exit_time, r.net_pnl) for r in alone) == sorted(got[1])
+    legs = study.SharedLegs(market)
+    for _, _, d in strategy.expand(good):
+        legs.of(d, strategy.parse_strategy(d))
+    assert len(legs.found) == 1
+    (tmp_path / "s.yaml").write_text(SPREAD)
+    (tmp_path / "study.yaml").write_text("study: {name: x, strategies: [s.yaml, {path: s.yaml}]}")
+    assert study.read_strategies(tmp_path / "study.yaml") == [strategy.load_strategy(SPREAD)] * 2
