@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import save
+
 #: Share of all hash values that a sketch keeps, and words per shingle.
 FRACTION = 1 / 16
 WORDS = 5
-#: Texts of up to so many shingles keep all of them.
+#: Texts of up to so many shingles, repeated ones counted, keep all of them.
 WHOLE = 32
 #: Bits of an id within a bucket of neighbours, and of a bucket's number within each level above.
 LEVELS = (8, 12, 16, 16)
@@ -36,9 +38,9 @@ def sketch(text: Column, fraction: float = FRACTION, words: int = WORDS) -> Colu
     def keep(hashes: Column) -> Column:
         low = F.filter(hashes, lambda h: h < F.lit(_limit(fraction)))
         whole = (F.size(hashes) <= WHOLE) | (F.size(low) == 0)
-        return F.struct(whole.alias("whole"), F.when(whole, hashes).otherwise(low).alias("h"))
+        return F.struct(whole.alias("whole"), F.sort_array(F.array_distinct(F.when(whole, hashes).otherwise(low))).alias("h"))
 
-    return _let(F.array_sort(F.array_distinct(shingle_hashes(text, words))), keep)
+    return _let(shingle_hashes(text, words), keep)
 
 
 def _let(value: Column, use) -> Column:
@@ -54,7 +56,7 @@ def _at(a: Column, whole: Column, fraction: float) -> Column:
 def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     """The sketch of the union of two shingle sets, at the threshold that both have."""
     whole = a["whole"] & b["whole"]
-    return F.struct(whole.alias("whole"), F.array_sort(F.array_union(_at(a, whole, fraction), _at(b, whole, fraction))).alias("h"))
+    return F.struct(whole.alias("whole"), F.sort_array(F.array_union(_at(a, whole, fraction), _at(b, whole, fraction))).alias("h"))
 
 
 def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
@@ -109,8 +111,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     spread = rows.repartition("_b").withColumn("_sketch", sketch(F.col("_text"), fraction, words))
     here = Window.partitionBy("_b").orderBy("_k", "_text")
     inner = spread.withColumns({"_next_text": F.lag("_text").over(here), "_next_sketch": F.lag("_sketch").over(here)})
-    tops = rows.groupBy("_b").agg(F.max_by("_text", F.struct("_k", "_text")).alias("_top"))
-    keys = rows.select(F.col("_b").alias("b")).distinct()
+    tops = save(rows.groupBy("_b").agg(F.max_by("_text", F.struct("_k", "_text")).alias("_top")), "fingerprint-tops")  # the search for neighbours doesn't read the texts again
+    keys = tops.select(F.col("_b").alias("b"))
     order = _before(keys, LEVELS[1:])
     wrap = keys.agg(F.max("b").alias("largest"))
     order = order.join(F.broadcast(wrap)).select("b", F.coalesce("before", "largest").alias("before"))
