@@ -74,6 +74,15 @@ def contract_root(symbol: Column) -> Column:
     return F.regexp_extract(symbol, r"^([A-Z0-9]+?)[FGHJKMNQUVXZ]\d{1,2}$", 1)
 
 
+#: Parts of the names of indicators that a chart shows in a panel of their own.
+PANEL_WORDS = ("rsi", "atr", "adx", "stoch", "macd", "mom", "roc", "cci", "willr", "obv", "volatility", "zscore", "z_score", "ves", "percentile", "rank")
+
+
+def placement(name: Column) -> Column:
+    """Where a chart shows an indicator: panel, or overlay on the prices (also for null)."""
+    return F.when(F.lower(name).rlike("|".join(PANEL_WORDS)), "panel").otherwise("overlay")
+
+
 def sum_horizontal(*columns: Column) -> Column:
     """Sum of a row's columns, null as 0."""
     return reduce(lambda a, b: a + b, (F.coalesce(c, F.lit(0.0)) for c in columns))

@@ -123,7 +123,15 @@ def best_backtest(results: DataFrame, metric: str = "sharpe") -> DataFrame:
     return results.agg(F.max_by(F.struct(*results.columns), key).alias("b")).select("b.*")
 
 
-def page(rows: DataFrame, order: Sequence[str], offset: int, n: int) -> DataFrame:
+def page(rows: DataFrame, order: Sequence[str], offset: int, n: int, filters: Mapping[str, str | tuple] | None = None) -> DataFrame:
+    """Rows offset + 1 to offset + n of those that pass the filters: a text is part of the column's text, whatever its case, a pair is a range (None: open)."""
+    for column, value in (filters or {}).items():
+        if isinstance(value, str):
+            rows = rows.where(F.lower(F.col(column).cast("string")).contains(value.lower()))
+        else:
+            low, high = value
+            rows = rows.where(F.col(column) >= low) if low is not None else rows
+            rows = rows.where(F.col(column) <= high) if high is not None else rows
     return rows.orderBy(*order).offset(offset).limit(n)
 
 

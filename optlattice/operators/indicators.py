@@ -52,6 +52,22 @@ def replace_window(stored: DataFrame, recomputed: DataFrame, start, end) -> Data
     return stored.where(~inside).unionByName(recomputed.where(inside).select(*stored.columns))
 
 
+def recompute(stored: DataFrame, bars: DataFrame, compute: Callable, underlying_id: int, start, end, tail_days: int) -> DataFrame:
+    """The stored series (instrument_id, ts_event, name, value) after a back-fill of one contract's bars in [start, end].
+
+    compute() is fed the bars from tail_days before the start, which warm up its windows, to tail_days after the end, whose
+    windows reach back into the gap. What it gives from the start to the end of that tail replaces what was stored there.
+    """
+    at = lambda day, n: F.timestamp_add("DAY", F.lit(n), F.lit(day).cast("timestamp_ntz")).cast("timestamp_ntz")
+    ts, own = F.col("ts_event"), F.col("instrument_id") == underlying_id
+    fed = bars.where(own & ts.between(at(start, -tail_days), at(end, tail_days)))
+    inside = own & ts.between(at(start, 0), at(end, tail_days))
+    fresh = run(fed, compute).where(inside)
+    names = fresh.select("name").distinct().withColumn("_new", F.lit(True))
+    old = stored.join(F.broadcast(names), "name", "left").where(~(inside & F.coalesce("_new", F.lit(False))))
+    return old.select(*stored.columns).unionByName(fresh.select(*stored.columns))
+
+
 def stale(values: DataFrame, definitions: DataFrame, bars: DataFrame) -> DataFrame:
     """Definitions whose newest value is older than their instrument's newest bar, or missing."""
     newest = values.groupBy(F.col("indicator_id").alias("id")).agg(F.max("ts_event").alias("_v"))

@@ -11,14 +11,15 @@ from ..functions.clock import from_epoch_nanos
 
 #: Prices are integers in units of 1e-9; contracts without a unit of measure have 50 of it.
 SCALE, DEFAULT_MULTIPLIER = 1e9, 50
+DEFINITION_KEYS = ("instrument_id", "activation", "expiration")
 
 
 def decode_definitions(raw: DataFrame) -> DataFrame:
-    """Futures, calls and puts with dates, strike and multiplier; one row per instrument, activation and expiration."""
+    """Futures, calls and puts with dates, strike and multiplier; one row per instrument, activation and expiration, the first by its other values."""
     rows = raw.where(F.col("instrument_class").isin("F", "C", "P"))
     unit = F.round(F.col("unit_of_measure_qty") / SCALE).cast("long")
     strike = F.when(F.col("instrument_class") != "F", F.col("strike_price") / SCALE)
-    return rows.select(
+    out = rows.select(
         "instrument_id",
         "instrument_class",
         "symbol",
@@ -28,7 +29,8 @@ def decode_definitions(raw: DataFrame) -> DataFrame:
         F.when(unit > 0, unit).otherwise(DEFAULT_MULTIPLIER).alias("multiplier"),
         from_epoch_nanos(F.col("activation")).alias("activation"),
         from_epoch_nanos(F.col("expiration")).alias("expiration"),
-    ).dropDuplicates(["instrument_id", "activation", "expiration"])
+    )
+    return dedupe(out, [c for c in out.columns if c not in DEFINITION_KEYS], DEFINITION_KEYS)
 
 
 def decode_bars(raw: DataFrame) -> DataFrame:

@@ -104,27 +104,57 @@ def wilson(wins: Column, n: Column, z: float = 1.959963984540054) -> dict[str, C
     return {"win_low": middle - half, "win_high": middle + half}
 
 
-def bootstrap_mean(positions: DataFrame, keys: Sequence[str] = ("backtest_id",), n_boot: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """(keys, mean_low, mean_high): percentile interval of the mean profit, resampled per key in bounded pieces."""
+#: Start of the random stream of resampled figures.
+SEED = 99999
+
+
+def stream(n: int, seed: int = SEED) -> np.ndarray:
+    """The first n numbers of the xorshift stream (13, 17, 5) of signed 32-bit integers, as shares of 2^32."""
+    out, s = np.empty(n), seed
+    for k in range(n):
+        s ^= s << 13 & 0xFFFFFFFF
+        s ^= s >> 17 | (0xFFFF8000 if s >> 31 else 0)
+        s ^= s << 5 & 0xFFFFFFFF
+        out[k] = s
+    return out / 2.0**32
+
+
+def _resampled(x: np.ndarray, times: int) -> np.ndarray:
+    """The places of `times` resamples of x, one after the other, as the stream draws them."""
+    return np.minimum((stream(times * len(x)) * len(x)).astype(np.int32), len(x) - 1).reshape(times, len(x))
+
+
+def bootstrap_mean(positions: DataFrame, keys: Sequence[str] = ("backtest_id",), n_boot: int = 1000, level: float = 0.95) -> DataFrame:
+    """(keys, mean_low, mean_high): percentile interval of the mean profit.
+
+    A key's trades by exit time and id are resampled n_boot times by the stream, each time as many as there are.
+    """
 
     def interval(key, rows):
-        x, draw = rows["net_pnl"].to_numpy(dtype=float), np.random.default_rng(seed)
-        step = max(1, 2_000_000 // max(1, len(x)))
-        means = np.concatenate([x[draw.integers(0, len(x), (min(step, n_boot - i), len(x)))].mean(axis=1) for i in range(0, n_boot, step)])
+        x = rows.sort_values(["exit_time", "id"])["net_pnl"].to_numpy(dtype=float)
+        means = np.array([x[at].mean() for at in _resampled(x, n_boot)])
         low, high = np.percentile(means, [50 * (1 - level), 50 * (1 + level)])
         return pd.DataFrame([[*key, low, high]], columns=[*keys, "mean_low", "mean_high"])
 
     kinds = ", ".join(f"{k} {positions.schema[k].dataType.simpleString()}" for k in keys)
-    return positions.select(*keys, "net_pnl").groupBy(*keys).applyInPandas(interval, f"{kinds}, mean_low double, mean_high double")
+    return positions.select(*keys, "id", "exit_time", "net_pnl").groupBy(*keys).applyInPandas(interval, f"{kinds}, mean_low double, mean_high double")
+
 
+def equity_fan(positions: DataFrame, keys: Sequence[str] = ("backtest_id",), paths: int = 120, initial: float = 0.0) -> DataFrame:
+    """(keys, step, p5, p25, p50, p75, p95): quantiles (by index floor(n p)) of resampled equity paths after each step.
 
-def equity_fan(positions: DataFrame, keys: Sequence[str] = ("backtest_id",), paths: int = 120, seed: int = 99999) -> DataFrame:
-    """(keys, step, p5, p25, p50, p75, p95): quantiles (by index floor(n p)) of resampled equity paths."""
+    Paths are drawn one after the other from the stream and summed up in blocks of steps.
+    """
 
     def fan(key, rows):
         x = rows.sort_values(["exit_time", "id"])["net_pnl"].to_numpy(dtype=float)
-        curves = np.sort(np.cumsum(x[np.random.default_rng(seed).integers(0, len(x), (paths, len(x)))], axis=1), axis=0)
-        out = pd.DataFrame({f"p{p}": curves[int(paths * p / 100)] for p in (5, 25, 50, 75, 95)})
+        at, now, parts = _resampled(x, paths), np.full(paths, float(initial)), []
+        for begin in range(0, len(x), 4096):
+            curves = now[:, None] + np.cumsum(x[at[:, begin : begin + 4096]], axis=1)
+            now = curves[:, -1].copy()
+            curves.sort(axis=0)
+            parts.append(curves[[int(paths * p / 100) for p in (5, 25, 50, 75, 95)]])
+        out = pd.DataFrame(np.concatenate(parts, axis=1).T, columns=["p5", "p25", "p50", "p75", "p95"])
         for k, v in zip(keys, key, strict=True):
             out[k] = v
         return out.assign(step=np.arange(1, len(x) + 1))[[*keys, "step", "p5", "p25", "p50", "p75", "p95"]]

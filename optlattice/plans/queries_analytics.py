@@ -94,16 +94,24 @@ def study_table(spark, sf_dir):
     return rounded(rounded(out, 6, "calmar", "recovery_factor", "win_low", "win_high"), 8, "cagr").select("backtest_id", "cagr", "calmar", "recovery_factor", "win_low", "win_high")
 
 
-@R.add()
+#: The random stream, the trades by place, and which trade each step of each resample takes.
+_DRAWS = f"""{_TR}, t AS MATERIALIZED (SELECT backtest_id, net_pnl, row_number() OVER (PARTITION BY backtest_id ORDER BY exit_time, id) - 1 AS j, count(*) OVER (PARTITION BY backtest_id) AS n FROM trades),
+top AS MATERIALIZED (SELECT max(n) AS n FROM t),
+r(i, s, z) AS (SELECT CAST(0 AS BIGINT), CAST(99999 AS BIGINT), n * {{times}} FROM top UNION ALL SELECT i + 1, xor(s, (s << 5) & 4294967295), z FROM (SELECT i, z, xor(s, CASE WHEN s >= 2147483648 THEN (s >> 17) | 4294934528 ELSE s >> 17 END) AS s FROM (SELECT i, z, xor(s, (s << 13) & 4294967295) AS s FROM r WHERE i < z) a) b),
+d AS (SELECT k.backtest_id, p, i.i, CAST(floor(r.s / 4294967296.0::DOUBLE * n) AS BIGINT) AS j FROM (SELECT DISTINCT backtest_id, n FROM t) k, (SELECT unnest(range({{times}})) AS p) p, (SELECT unnest(range((SELECT n FROM top))) AS i) i JOIN r ON r.i = p * n + i.i + 1 WHERE i.i < n)"""
+
+
+@R.add(f"WITH RECURSIVE {_DRAWS.format(times=200)}, m AS (SELECT d.backtest_id, p, avg(net_pnl) AS m FROM d JOIN t USING (backtest_id, j) GROUP BY 1, 2) SELECT backtest_id, round(quantile_cont(m, 0.025), 4) AS mean_low, round(quantile_cont(m, 0.975), 4) AS mean_high FROM m GROUP BY 1")
 def bootstrap_mean(spark, sf_dir):
-    """Resampling isn't SQL; tests hold it against the mean"""
-    return metrics.bootstrap_mean(fx.trades(spark, sf_dir), n_boot=200)
+    """A24"""
+    return rounded(metrics.bootstrap_mean(fx.trades(spark, sf_dir), n_boot=200), 4, "mean_low", "mean_high")
 
 
-@R.add()
+@R.add(f"""WITH RECURSIVE {_DRAWS.format(times=120)}, c AS (SELECT d.backtest_id, d.i, sum(net_pnl) OVER (PARTITION BY d.backtest_id, p ORDER BY d.i) AS e FROM d JOIN t USING (backtest_id, j)), q AS (SELECT backtest_id, i + 1 AS step, list_sort(list(e)) AS e FROM c GROUP BY 1, 2)
+SELECT backtest_id, step, round(e[7], 4) AS p5, round(e[31], 4) AS p25, round(e[61], 4) AS p50, round(e[91], 4) AS p75, round(e[115], 4) AS p95 FROM q""")
 def equity_fan(spark, sf_dir):
     """A28"""
-    return metrics.equity_fan(fx.trades(spark, sf_dir))
+    return rounded(metrics.equity_fan(fx.trades(spark, sf_dir)), 4, "p5", "p25", "p50", "p75", "p95")
 
 
 @R.add(f"WITH {_TR}, p AS (SELECT backtest_id, backtest_id % 2 AS x, backtest_id // 2 AS y, round(sum(net_pnl), 4) AS m FROM trades GROUP BY 1) SELECT y, max(CASE WHEN x = 0 THEN m END) AS \"0\", max(CASE WHEN x = 1 THEN m END) AS \"1\" FROM p GROUP BY 1")
@@ -132,10 +140,10 @@ def worst_days(spark, sf_dir):
     return explore.worst_days(d).select("backtest_id", F.col("day").cast("string").alias("day"), F.round("pnl", 4).alias("pnl"))
 
 
-@R.add(f"WITH {_TR} SELECT id, backtest_id FROM trades ORDER BY id LIMIT 50 OFFSET 100")
+@R.add(f"WITH {_TR} SELECT id, backtest_id FROM trades WHERE CAST(id AS VARCHAR) LIKE '%1%' AND backtest_id >= 2 AND backtest_id <= 6 ORDER BY id LIMIT 50 OFFSET 100")
 def result_page(spark, sf_dir):
-    """A page of the grid"""
-    return explore.page(fx.trades(spark, sf_dir).select("id", "backtest_id"), ["id"], 100, 50)
+    """A page of the grid, filtered by a text in one column and a range of another"""
+    return explore.page(fx.trades(spark, sf_dir).select("id", "backtest_id"), ["id"], 100, 50, {"id": "1", "backtest_id": (2, 6)})
 
 
 @R.add(f"WITH {_TR}, m AS (SELECT backtest_id, round(avg(net_pnl) / stddev_samp(net_pnl), 8) AS sharpe FROM trades GROUP BY 1) SELECT * FROM m ORDER BY coalesce(sharpe, -1e308) DESC, backtest_id LIMIT 1")

@@ -353,6 +353,18 @@ def indicator_stale(spark, sf_dir):
     return indicators.stale(stored, defs, fx.bars(spark, sf_dir)).select("id")
 
 
+@R.add(f"""WITH {_SMA}, gap AS (SELECT instrument_id = 2 AND ts_event BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20' AS here, * FROM tall)
+SELECT instrument_id, name, count(*) AS n, round(sum(CASE WHEN here THEN value ELSE -1 END), 4) AS total FROM gap GROUP BY 1, 2""")
+def indicator_recompute(spark, sf_dir):
+    """A series that held -1 everywhere, recomputed for one contract's gap and the eight days behind it"""
+    def compute(df):
+        return df.withColumns({"sma_5": indicators.rolling("close", 5), "std_20": indicators.rolling("close", 20, "std")})
+
+    stored = _tall(spark, sf_dir).withColumn("value", F.lit(-1.0))
+    out = indicators.recompute(stored, fx.bars(spark, sf_dir), compute, 2, "2024-01-10 00:00:00", "2024-01-12 00:00:00", 8)
+    return out.groupBy("instrument_id", "name").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @R.add(f"""WITH {fx.CHAIN} SELECT instrument_id, count(*) AS n FROM chain WHERE dte BETWEEN 3 AND 15 AND delta BETWEEN -0.6 AND -0.2 AND right_ = 'P' GROUP BY 1""")
 def option_context(spark, sf_dir):
     """P35, J4"""

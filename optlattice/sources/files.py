@@ -59,13 +59,19 @@ def uploaded_trades(raw: DataFrame) -> DataFrame:
 
 
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
-    return uploaded_trades(spark.read.option("header", True).csv(path))
+    """The trades of an uploaded CSV file: UTF-8, or Latin-1 where the file isn't valid UTF-8."""
+    text = spark.read.text(path)
+    broken = text.where(F.col("value").contains("\ufffd")).limit(1).count() > 0
+    return uploaded_trades(spark.read.options(header=True, encoding="ISO-8859-1" if broken else "UTF-8").csv(path))
 
 
 def compare_dumps(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows that only one of two dumps has, with `side`; repeated rows count as often as they are there."""
-    columns = sorted(set(old.columns) & set(new.columns))
-    a, b = old.select(*columns), new.select(*columns)
+    """Rows that only one of two dumps has, with `side`; repeated rows count as often as they are there.
+
+    A column that only one dump has is null in the other: rows where it holds a value differ.
+    """
+    kinds = {f.name: f.dataType for d in (old, new) for f in d.schema.fields}
+    a, b = (d.select(*(F.col(c) if c in d.columns else F.lit(None).cast(kinds[c]).alias(c) for c in sorted(kinds))) for d in (old, new))
     return a.exceptAll(b).withColumn("side", F.lit("old")).unionByName(b.exceptAll(a).withColumn("side", F.lit("new")))
 
 

@@ -214,3 +214,69 @@ def test_violations(spark):
     legs = frame(spark, [(i, "STO", "P", 100.0, 1, 3.0) for i in (1, 2, 3)] + [(i, "BTO", "P", 95.0, 1, 1.0) for i in (1, 2, 3)], "position_id long, action string, right string, strike_price double, quantity int, entry_price double")
     got = {r.id: set(r.violations.split(" | ")) for r in validate.violations(p, legs, 50.0).collect()}
     assert got == {2: {"gain_above_credit", "pnl_identity"}, 3: {"loss_above_debit", "exit_mark_sign"}}
+
+
+def test_nearest_keeps_repeated_rows(spark):
+    left = stamps(frame(spark, [("2024-01-01 10:00:10",), ("2024-01-01 10:00:10",), ("2024-01-01 11:59:59",)], "ts_event string"), "ts_event")
+    right = stamps(frame(spark, [("2024-01-01 10:00:00", 1.0), ("2024-01-01 10:00:19", 2.0), ("2024-01-01 12:00:03", 3.0), ("2024-01-01 12:00:03", 4.0)], "ts_event string, v double"), "ts_event")
+    assert sorted(r.v for r in asof.nearest(left, right, [], ["v"], 10).collect()) == [2.0, 2.0, 4.0]
+
+
+def test_backward_join_over_many_stretches_by_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    start = ts("2024-01-01 00:00:00")
+    left = [(i, rng.randint(0, 2), start + dt.timedelta(seconds=rng.randint(0, 4000))) for i in range(150)]
+    right = {(rng.randint(0, 2), start + dt.timedelta(seconds=rng.randint(0, 4000))): float(i) for i in range(60)}
+    a = stamps(frame(spark, [(i, k, str(t)) for i, k, t in left], "id long, k long, ts_event string"), "ts_event")
+    b = stamps(frame(spark, [(k, str(t), v) for (k, t), v in right.items()], "k long, ts_event string, v double"), "ts_event")
+    for bound in (1, 60, 500):
+        want = {}
+        for i, k, t in left:
+            fits = [(u, v) for (kk, u), v in right.items() if kk == k and dt.timedelta(0) <= t - u <= dt.timedelta(seconds=bound)]
+            if fits:
+                want[i] = max(fits)[1]
+        assert {r.id: r.v for r in asof.backward_bounded(a, b, ["k"], ["v"], bound).collect()} == want
+        near = {}
+        for i, k, t in left:
+            fits = [(abs(t - u), u, v) for (kk, u), v in right.items() if kk == k and abs(t - u) <= dt.timedelta(seconds=bound)]
+            if fits:
+                near[i] = min(fits)[2]
+        assert {r.id: r.v for r in asof.nearest(a, b, ["k"], ["v"], bound).collect()} == near
+
+
+def test_walks_in_stretches_agree_with_one_walk(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    rows, at = [], ts("2024-01-02 10:00:00")
+    for i in range(200):
+        at += dt.timedelta(minutes=rng.randint(1, 600))
+        end = None if rng.random() < 0.1 else str(at + dt.timedelta(minutes=rng.randint(1, 900)))
+        rows.append((i, str(at), end, rng.choice(["roll", "expiry"])))
+    p = positions(spark, rows)
+    whole = kept(enforce.greedy_walk_grouped(p, ["k"], max_per_day=1))
+    walks = enforce.with_walks(p, ["k"])
+    assert walks.count() == 200 and walks.select("_walk").distinct().count() > 3
+    for limit in (10_000, 4):
+        monkeypatch.setattr(enforce, "FOLD_LIMIT", limit)
+        assert kept(enforce.greedy_walk(p, ["k"], max_per_day=1)) == whole
+
+
+def test_placement_of_indicators(spark):
+    from optlattice.functions.expr import placement
+
+    names = spark.createDataFrame([("RSI_14",), ("sma_20",), (None,), ("iv_percentile",)], "n string")
+    assert [r.p for r in names.select(placement(F.col("n")).alias("p")).collect()] == ["panel", "overlay", "overlay", "panel"]
+
+
+def test_the_stream_of_resamples():
+    s, want = 99999, []
+    for _ in range(50):
+        for shift, left in ((13, True), (17, False), (5, True)):
+            x = s << shift if left else s >> shift
+            s = (s ^ x) & 0xFFFFFFFF
+            s = s - (1 << 32) if s >= 1 << 31 else s
+        want.append((s & 0xFFFFFFFF) / 2**32)
+    assert metrics.stream(50).tolist() == want

@@ -49,3 +49,19 @@ def test_streams(spark, tmp_path):
     bars.append_available(bars.buckets(bars.without_repeats(stream), delay=None), f"{tmp_path}/agg", f"{tmp_path}/c2").awaitTermination(60)
     got = [(r.open, r.high, r.low, r.close, r.volume) for r in spark.read.parquet(f"{tmp_path}/agg").collect()]
     assert got == [(1.0, 5.0, 1.0, 4.0, 3)]
+
+
+def test_latin_1_uploads(spark, tmp_path):
+    from optlattice.sources import files
+
+    for encoding in ("latin-1", "utf-8"):
+        (tmp_path / f"{encoding}.csv").write_bytes("Date,Note,PnL\n2024-01-02,caf\u00e9,$1.50\nbad,x,1\n2024-01-03,,-2\n".encode(encoding))
+        assert [r.pnl for r in files.read_upload(spark, f"{tmp_path}/{encoding}.csv").orderBy("ts").collect()] == [1.5, -2.0]
+
+
+def test_dumps_with_different_columns(spark):
+    from optlattice.sources import files
+
+    old = spark.createDataFrame([(1, 2), (2, 3)], "id int, a int")
+    new = spark.createDataFrame([(1, 2, None), (2, 3, "x")], "id int, a int, b string")
+    assert sorted((r.side, r.id, r.b) for r in files.compare_dumps(old, new).collect()) == [("new", 2, "x"), ("old", 2, None)]
