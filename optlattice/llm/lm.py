@@ -13,7 +13,7 @@ from ._shared import coded, hashed, run_sums, save, starts, words_of
 #: Bytes of the longest context.
 DEPTH = 5
 #: Bytes of text, and documents, of a group, whose distinct words and contexts are looked up together.
-GROUP_BYTES, GROUP_DOCS = 8_000_000, 50_000
+GROUP_BYTES, GROUP_DOCS = 12_000_000, 50_000
 #: Groups in one list of those that have a word or context; beyond it there are several lists.
 LISTED = 4_096
 #: Grams of a subtree that one task works on; a larger one is split by the next byte of its contexts.
@@ -257,8 +257,8 @@ def _subtrees(grams: DataFrame) -> DataFrame:
     """
     three = grams.groupBy(_ending(3).alias("e3")).agg(F.count("*").alias("c"))
     two = three.groupBy(F.col("e3").bitwiseAND(F.lit(0xFFFF)).alias("e2")).agg(F.sum("c").alias("c"))
-    wide2 = two.where(F.col("c") > GROUP_GRAMS).select("e2", F.lit(True).alias("w2"))
-    wide3 = three.where(F.col("c") > GROUP_GRAMS).select("e3", F.lit(True).alias("w3"))
+    wide2 = save(two.where(F.col("c") > GROUP_GRAMS).select("e2", F.lit(True).alias("w2")), "lm-pairs")
+    wide3 = save(three.where(F.col("c") > GROUP_GRAMS).select("e3", F.lit(True).alias("w3")), "lm-triples")
     few = wide3.count() <= BROADCAST_ROWS
     rows = grams.select("key", "n", _ending(2).alias("e2"), _ending(3).alias("e3")).join(F.broadcast(wide2), "e2", "left").join(F.broadcast(wide3) if few else wide3, "e3", "left")
     s = F.when(F.col("w3"), 4).when(F.col("w2"), 3).otherwise(2)
@@ -287,7 +287,7 @@ def gram_values(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     sums make the nodes above them, level by level, up to depth 2; split subtrees get these nodes by a join. The two
     levels above, 65,792 nodes at most, go to the driver and to every task.
     """
-    rows = save(_subtrees(grams), "lm-subtrees")
+    rows = _subtrees(grams)
 
     def roots(key, group):
         levels, _, _ = tree(group["key"].to_numpy(), group["n"].to_numpy(), int(key[0]), depth)
@@ -359,14 +359,18 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
         return gather(group, depth).assign(g=np.int32(key[0]))
 
     found = rows.select("g", "_text", "_train").groupBy("g").applyInPandas(gathered, "kind int, key long, n long, g int")
-    listed = save(found.groupBy("kind", "key", F.floor(F.col("g") / LISTED).alias("part")).agg(F.sum("n").alias("n"), F.collect_list("g").alias("gs")), "lm-corpus")
-    corpus = listed if groups <= LISTED else save(listed.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    one_list = groups <= LISTED
+    part = [] if one_list else [F.floor(F.col("g") / LISTED).alias("part")]
+    listed = save(found.groupBy("kind", "key", *part).agg(F.sum("n").alias("n"), F.collect_list("g").alias("gs")), "lm-corpus")
+    corpus = listed if one_list else save(listed.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     words = corpus.where(F.col("kind") == WORD)
     size = words.agg(F.sum("n").alias("total"), F.sum((F.col("n") > 0).cast("long")).alias("distinct")).first()
     total, distinct = int(size["total"] or 0), int(size["distinct"] or 0)
     grams = gram_values(corpus.where(F.col("kind") == GRAM).select("key", "n"), depth)
-    known = words.select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(grams.select(F.lit(GRAM).alias("kind"), "key", "value"))
-    every = listed.select("kind", "key", "gs").join(known, ["kind", "key"]).select("kind", "key", "value", F.explode("gs").alias("g"))
+    words = words if one_list else listed.where(F.col("kind") == WORD).select("key", "gs").join(words.select("key", "n"), "key")
+    listed_grams = listed.where(F.col("kind") == GRAM).select("key", "gs").join(grams, "key")
+    known = lambda rows, kind, value: rows.select(F.lit(kind).alias("kind"), "key", value.cast("double").alias("value"), F.explode("gs").alias("g"))
+    every = known(words, WORD, F.col("n")).unionByName(known(listed_grams, GRAM, F.col("value")))
 
     def scored(group, known):
         return score_group(group, known, total, distinct, depth)
