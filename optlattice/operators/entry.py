@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.conditions import compile_condition
-from ..functions.expr import signed, stop_loss_price, take_profit_price, tick_round
+from ..functions.expr import stop_loss_price, take_profit_price, tick_round
 from . import pnl
 
 #: What is known of a chosen option.
@@ -112,11 +112,6 @@ def _meet(asked: DataFrame, offered: DataFrame, tolerance: int) -> tuple[DataFra
     return joined.where((gap <= tolerance * 1_000_000) & (F.to_date("ts_event") == F.to_date("_t"))), gap
 
 
-def legs_by_delta(rows: DataFrame, options: DataFrame, target: Column, tolerance: Column, dte: Column, dte_tolerance: Column, right: str, leg: str) -> DataFrame:
-    """choose_legs() of one leg with a target delta."""
-    return choose_legs(rows, options, [Wanted(leg, right, target, tolerance, dte, dte_tolerance)])
-
-
 def with_leg_columns(entries: DataFrame, names: Sequence[str]) -> DataFrame:
     """Adds the fields of each named leg as columns leg_<name>_<field>, as conditions name them."""
     fields = entries.schema["legs"].dataType.elementType.names
@@ -156,7 +151,3 @@ def where_all(rows: DataFrame, conditions: Sequence[str]) -> DataFrame:
     for text in conditions:
         rows = rows.where(compile_condition(text))
     return rows
-
-
-def signed_mark(actions: Column, quantities: Column, prices: Column) -> Column:
-    return F.sum(signed(actions, quantities) * prices)

@@ -13,7 +13,13 @@ from .strategy import Strategy, Trade
 
 def _kept(df: DataFrame) -> DataFrame:
     """Rows that several steps use: a written checkpoint where the session names a shared folder, as on a cluster, else the cache."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def wanted_legs(trade: Trade) -> list[entry.Wanted]:

@@ -378,7 +378,7 @@ closes AS (SELECT underlying_id, CAST(l AS DATE) AS date, arg_max(spot, ts_event
 cont AS MATERIALIZED (SELECT cs.combination_id, cs.entry_id, coalesce(h, z) AS cont_end, (CASE WHEN h IS NOT NULL THEN b.close WHEN s IS NOT NULL THEN greatest(0, bought_k - s) ELSE b.close END - p0) * 50 AS cont_pnl FROM cs JOIN x USING (combination_id, entry_id) JOIN cb b ON b.combination_id = cs.combination_id AND b.entry_id = cs.entry_id AND b.ts_event = coalesce(h, z) LEFT JOIN closes c ON c.underlying_id = x.underlying_id AND c.date = x.expiration),
 o AS (SELECT x.*, cont_pnl, CASE WHEN cont_end IS NULL THEN x.ts_event ELSE greatest(cont_end, timezone('UTC', timezone('America/New_York', CAST(CAST(l AS DATE) + CASE isodow(l) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END + INTERVAL '9 hours 30 minutes' AS TIMESTAMP)))) END AS gate_time FROM x LEFT JOIN cont USING (combination_id, entry_id)),
 pos AS MATERIALIZED (SELECT combination_id AS k, entry_id, entry_time, gate_time, reason AS exit_reason, CAST(timezone('America/New_York', timezone('UTC', entry_time)) AS DATE) AS day, row_number() OVER (PARTITION BY combination_id ORDER BY entry_time) AS n FROM o), {_WALK.format(cap=2)}
-SELECT o.combination_id, {T('o.entry_time')} AS entry_time, {T('o.ts_event')} AS exit_time, o.reason AS exit_reason, round(open_mark, 6) AS open_mark, round(exit_mark, 6) AS exit_mark, round(worst, 6) AS worst_mark, round(cont_pnl, 4) AS continuation_pnl,
+SELECT CAST(o.combination_id AS BIGINT) AS combination_id, {T('o.entry_time')} AS entry_time, {T('o.ts_event')} AS exit_time, o.reason AS exit_reason, round(open_mark, 6) AS open_mark, round(exit_mark, 6) AS exit_mark, round(worst, 6) AS worst_mark, round(cont_pnl, 4) AS continuation_pnl,
 round((open_mark - exit_mark) * 50 - abs(exit_mark) * 0.5 - (0.65 + CASE WHEN o.reason = 'expiry' THEN 0.25 ELSE 0.65 END) * 2, 4) AS net_pnl FROM o JOIN w ON w.k = o.combination_id AND w.entry_id = o.entry_id WHERE w.kept"""
 
 
@@ -390,7 +390,7 @@ def _shown(rows):
 @R.add("WITH " + _run_sql("(1, 3.0::DOUBLE, 0.4::DOUBLE, NULL::DOUBLE)").replace(", CAST(mark <= tp AND ok AS INTEGER) AS hit FROM f", " FROM f"))
 def whole_backtest(spark, sf_dir):
     """K8 and all it uses: dates, roll schedule, legs, conditions on legs and indicators, take-profit as an object, exits, continuation, gates, caps, costs"""
-    return _shown(backtest.run(parse_strategy(_definition()), _market(spark, sf_dir)).withColumn("combination_id", F.lit(1)))
+    return _shown(backtest.run(parse_strategy(_definition()), _market(spark, sf_dir)).withColumn("combination_id", F.lit(1).cast("long")))
 
 
 @R.add("WITH " + _run_sql(", ".join(f"({1 + 2 * i + j}, {sl}::DOUBLE, {'NULL' if tp > 1 else tp}::DOUBLE, {tp if tp > 1 else 'NULL'}::DOUBLE)" for i, sl in enumerate((1.0, 2.0, 4.0)) for j, tp in enumerate((0.3, 1.5)))))
