@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprints, langid, lm, minhash, packing, token_counts, toxicity, url_filter
+from . import bpe, embeddings, fim, fingerprints, langid, lm, minhash, packing, runs, token_counts, toxicity, url_filter, window_packing
 from ._shared import read, remainder
 
 
@@ -63,6 +63,33 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(read(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = window_packing.windows(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), window=4096, end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    found = runs.periodic_runs(docs.select("doc_id", runs.with_repeats(F.col("text"), h).alias("text")))
+    found = found.withColumn("best", runs.longest(F.col("runs")))
+    exponent = F.floor(F.col("best.length") * 1000 / F.col("best.period"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        exponent.alias("exponent_milli"),
+        F.sha2(runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +103,9 @@ QUERIES = {
         op8_fingerprints,
         op9_url_filter,
         op10_embedding_near_dedup,
+        op11_fill_in_middle,
+        op12_window_packing,
+        op13_periodic_runs,
     )
 }
 #: Brute force in SQL: all pairs of documents that share a shingle, all pairs of vectors.
