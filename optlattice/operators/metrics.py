@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,14 +53,36 @@ def metrics_block(positions: DataFrame, keys: Sequence[str] = ("backtest_id",))
     )
 
 
+def _block(column: str) -> Column:
+    """The day of an instant, by which long series are cut; rows without one come first, as they sort."""
+    return F.coalesce(F.to_date(column), F.lit("0001-01-01").cast("date"))
+
+
+def _offsets(blocks: DataFrame, keys: Sequence[str], block: str, **totals: Column) -> DataFrame:
+    """Adds to blocks, one row for each key and day, what the earlier blocks of the key come to."""
+    past = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumns({name: total.over(past) for name, total in totals.items()})
+
+
 def equity(positions: DataFrame, initial: float, keys: Sequence[str] = ("backtest_id",)) -> DataFrame:
-    """Positions with trade_no (by open time), equity after each exit, its running peak, and the drawdown from it."""
-    by_exit = Window.partitionBy(*keys).orderBy("exit_time", "id")
-    rows = positions.withColumn("trade_no", F.row_number().over(Window.partitionBy(*keys).orderBy("open_time", "id")))
-    past = by_exit.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("equity", F.sum("net_pnl").over(past) + initial)
-    rows = rows.withColumn("peak", F.greatest(F.lit(float(initial)), F.max("equity").over(past)))
-    return rows.withColumn("drawdown", F.col("peak") - F.col("equity"))
+    """Positions with trade_no (by open time), equity after each exit, its running peak, and the drawdown from it.
+
+    Prefix scans in two levels: running figures within each key and day, and one row a day whose sums and maxima are carried on to
+    the days after it. No task holds a key's whole history.
+    """
+    keys = list(keys)
+    rows = positions.withColumns({"_o": _block("open_time"), "_x": _block("exit_time")})
+    opened = _offsets(rows.groupBy(*keys, "_o").agg(F.count("*").alias("_n")), keys, "_o", _before=F.sum("_n")).drop("_n")
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_o").orderBy("open_time", "id")))
+    rows = rows.join(opened, [*keys, "_o"]).withColumn("trade_no", (F.coalesce("_before", F.lit(0)) + F.col("_r")).cast("int")).drop("_o", "_r", "_before")
+    here = Window.partitionBy(*keys, "_x").orderBy("exit_time", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_s", F.sum("net_pnl").over(here))
+    days = rows.groupBy(*keys, "_x").agg(F.sum("net_pnl").alias("_total"), F.max("_s").alias("_top"))
+    days = _offsets(days, keys, "_x", _sum=F.sum("_total")).withColumn("_sum", F.coalesce("_sum", F.lit(0.0)))
+    days = _offsets(days.withColumn("_high", F.col("_sum") + F.col("_top")), keys, "_x", _peak=F.max("_high")).select(*keys, "_x", "_sum", "_peak")
+    rows = rows.join(days, [*keys, "_x"]).withColumn("equity", F.col("_s") + F.col("_sum") + initial)
+    peak = F.greatest(F.lit(float(initial)), F.col("_peak") + initial, F.max("equity").over(here))
+    return rows.withColumn("peak", peak).withColumn("drawdown", F.col("peak") - F.col("equity")).drop("_x", "_s", "_sum", "_peak")
 
 
 def max_drawdown(curve: DataFrame, keys: Sequence[str] = ("backtest_id",)) -> DataFrame:
@@ -108,59 +130,132 @@ def wilson(wins: Column, n: Column, z: float = 1.959963984540054) -> dict[str, C
 SEED = 99999
 
 
-def stream(n: int, seed: int = SEED) -> np.ndarray:
-    """The first n numbers of the xorshift stream (13, 17, 5) of signed 32-bit integers, as shares of 2^32."""
-    out, s = np.empty(n), seed
-    for k in range(n):
-        s ^= s << 13 & 0xFFFFFFFF
-        s ^= s >> 17 | (0xFFFF8000 if s >> 31 else 0)
-        s ^= s << 5 & 0xFFFFFFFF
-        out[k] = s
-    return out / 2.0**32
+#: Draws of a task's block, steps of a path that are summed up together, and lanes apart of a block.
+BLOCK_DRAWS, BLOCK_STEPS, LANE = 2_000_000, 4_096, 1_024
+
+
+def _step(s: np.ndarray) -> np.ndarray:
+    """The next states of the xorshift stream (13, 17, 5) of signed 32-bit integers."""
+    s = s ^ (s << np.uint32(13))
+    s = s ^ (s.view(np.int32) >> np.int32(17)).view(np.uint32)
+    return s ^ (s << np.uint32(5))
+
+
+def _times(matrix: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """A 32 x 32 matrix of bits, as the images of the single bits, applied to states."""
+    bits = (s[..., None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
+    return np.bitwise_xor.reduce(np.where(bits == 1, matrix, np.uint32(0)), axis=-1)
+
+
+@lru_cache(maxsize=1)
+def _powers() -> list[np.ndarray]:
+    """The matrices of 1, 2, 4, ... steps: a step only shifts and adds bits without carry, so it is linear."""
+    out = [_step(np.uint32(1) << np.arange(32, dtype=np.uint32))]
+    for _ in range(62):
+        out.append(_times(out[-1], out[-1]))
+    return out
 
 
-def _resampled(x: np.ndarray, times: int) -> np.ndarray:
-    """The places of `times` resamples of x, one after the other, as the stream draws them."""
-    return np.minimum((stream(times * len(x)) * len(x)).astype(np.int32), len(x) - 1).reshape(times, len(x))
+def jump(s: np.ndarray, steps: int) -> np.ndarray:
+    """States so many steps ahead."""
+    for k, matrix in enumerate(_powers()):
+        if steps >> k & 1:
+            s = _times(matrix, s)
+    return s
+
+
+def stream(n: int, seed: int = SEED, first: int = 0) -> np.ndarray:
+    """n numbers of the stream from the number `first` on, as shares of 2^32.
+
+    Lanes that are LANE steps apart go on at once; a block anywhere in the stream costs what it holds.
+    """
+    lane = min(LANE, max(1, n))
+    lanes = np.empty(-(-n // lane), dtype=np.uint32)
+    state = jump(np.array([seed & 0xFFFFFFFF], dtype=np.uint32), first)
+    for k in range(len(lanes)):
+        lanes[k] = state[0]
+        if k + 1 < len(lanes):
+            state = jump(state, lane)
+    out = np.empty((lane, len(lanes)), dtype=np.uint32)
+    for k in range(lane):
+        lanes = _step(lanes)
+        out[k] = lanes
+    return out.T.reshape(-1)[:n] / 2.0**32
+
+
+def _drawn(x: np.ndarray, first: int, n: int) -> np.ndarray:
+    """The values that n draws from the number `first` on take."""
+    return x[np.minimum((stream(n, first=first) * len(x)).astype(np.int64), len(x) - 1)]
+
+
+def _series(positions: DataFrame, keys: Sequence[str], times: int) -> tuple[DataFrame, Column]:
+    """(keys, x, n): a key's profits by exit time and id; and how many resamples a task draws."""
+    one = F.struct("exit_time", "id", "net_pnl")
+    rows = positions.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(one)), lambda r: r["net_pnl"].cast("double")).alias("x"))
+    rows = rows.withColumn("n", F.size("x").cast("long"))
+    return rows, F.greatest(F.lit(1), F.least(F.lit(times), F.floor(F.lit(BLOCK_DRAWS) / F.col("n")))).cast("long")
+
+
+def _kinds(rows: DataFrame, keys: Sequence[str], more: str) -> str:
+    return ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), more])
 
 
 def bootstrap_mean(positions: DataFrame, keys: Sequence[str] = ("backtest_id",), n_boot: int = 1000, level: float = 0.95) -> DataFrame:
     """(keys, mean_low, mean_high): percentile interval of the mean profit.
 
-    A key's trades by exit time and id are resampled n_boot times by the stream, each time as many as there are.
+    A key's trades by exit time and id are resampled n_boot times by the stream, each time as many as there are. Tasks draw some
+    resamples of a key each, from their place in the stream on; a task holds a key's profits and one block of draws.
     """
+    keys = list(keys)
+    rows, per = _series(positions, keys, n_boot)
+    rows = rows.withColumn("per", per).withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"), F.col("per")))).repartition(*keys, "path")
 
-    def interval(key, rows):
-        x = rows.sort_values(["exit_time", "id"])["net_pnl"].to_numpy(dtype=float)
-        means = np.array([x[at].mean() for at in _resampled(x, n_boot)])
-        low, high = np.percentile(means, [50 * (1 - level), 50 * (1 + level)])
-        return pd.DataFrame([[*key, low, high]], columns=[*keys, "mean_low", "mean_high"])
+    def means(batches):
+        for batch in batches:
+            for at, row in enumerate(batch.itertuples(index=False)):
+                x, first, last = np.asarray(row.x), row.path, min(n_boot, row.path + row.per)
+                out = batch.iloc[[at] * (last - first)][keys].reset_index(drop=True)
+                yield out.assign(mean=[_drawn(x, p * len(x), len(x)).mean() for p in range(first, last)])
 
-    kinds = ", ".join(f"{k} {positions.schema[k].dataType.simpleString()}" for k in keys)
-    return positions.select(*keys, "id", "exit_time", "net_pnl").groupBy(*keys).applyInPandas(interval, f"{kinds}, mean_low double, mean_high double")
+    found = rows.mapInPandas(means, _kinds(rows, keys, "mean double"))
+    share = [(1 - level) / 2, (1 + level) / 2]
+    return found.groupBy(*keys).agg(*(F.percentile("mean", F.lit(q)).alias(c) for q, c in zip(share, ("mean_low", "mean_high"), strict=True)))
 
 
 def equity_fan(positions: DataFrame, keys: Sequence[str] = ("backtest_id",), paths: int = 120, initial: float = 0.0) -> DataFrame:
-    """(keys, step, p5, p25, p50, p75, p95): quantiles (by index floor(n p)) of resampled equity paths after each step.
+    """(keys, step, p5, p25, p50, p75, p95): quantiles (by index floor(n p)) of resampled equity paths after each step from 1 on.
 
-    Paths are drawn one after the other from the stream and summed up in blocks of steps.
+    Paths follow each other in the stream. First tasks draw some paths each and sum up blocks of steps; then tasks draw a block of
+    steps of all paths again, from where the earlier blocks end. A task holds a key's profits and one block of draws.
     """
-
-    def fan(key, rows):
-        x = rows.sort_values(["exit_time", "id"])["net_pnl"].to_numpy(dtype=float)
-        at, now, parts = _resampled(x, paths), np.full(paths, float(initial)), []
-        for begin in range(0, len(x), 4096):
-            curves = now[:, None] + np.cumsum(x[at[:, begin : begin + 4096]], axis=1)
-            now = curves[:, -1].copy()
-            curves.sort(axis=0)
-            parts.append(curves[[int(paths * p / 100) for p in (5, 25, 50, 75, 95)]])
-        out = pd.DataFrame(np.concatenate(parts, axis=1).T, columns=["p5", "p25", "p50", "p75", "p95"])
-        for k, v in zip(keys, key, strict=True):
-            out[k] = v
-        return out.assign(step=np.arange(1, len(x) + 1))[[*keys, "step", "p5", "p25", "p50", "p75", "p95"]]
-
-    kinds = ", ".join(f"{k} {positions.schema[k].dataType.simpleString()}" for k in keys)
-    return positions.select(*keys, "id", "exit_time", "net_pnl").groupBy(*keys).applyInPandas(fan, f"{kinds}, step long, p5 double, p25 double, p50 double, p75 double, p95 double")
+    keys = list(keys)
+    rows, per = _series(positions, keys, paths)
+    shared = rows.withColumn("per", per).withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(paths - 1).cast("long"), F.col("per")))).repartition(*keys, "path")
+
+    def sums(batches):
+        for batch in batches:
+            for at, row in enumerate(batch.itertuples(index=False)):
+                x = np.asarray(row.x)
+                for p in range(row.path, min(paths, row.path + row.per)):
+                    total = np.add.reduceat(_drawn(x, p * len(x), len(x)), np.arange(0, len(x), BLOCK_STEPS))
+                    yield batch.iloc[[at] * len(total)][keys].reset_index(drop=True).assign(path=p, block=np.arange(len(total)), total=total)
+
+    blocks = shared.mapInPandas(sums, _kinds(rows, keys, "path long, block long, total double"))
+    before = F.coalesce(F.sum("total").over(Window.partitionBy(*keys, "path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    begins = blocks.withColumn("before", before).groupBy(*keys, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "before"))), lambda r: r["before"]).alias("before"))
+    wanted = begins.join(rows, keys)
+
+    def fan(batches):
+        for batch in batches:
+            for at, row in enumerate(batch.itertuples(index=False)):
+                x, first = np.asarray(row.x), row.block * BLOCK_STEPS
+                size = min(BLOCK_STEPS, len(x) - first)
+                drawn = np.stack([_drawn(x, p * len(x) + first, size) for p in range(paths)])
+                curves = np.sort(np.cumsum(drawn, axis=1) + np.asarray(row.before)[:, None] + initial, axis=0)
+                out = batch.iloc[[at] * size][keys].reset_index(drop=True).assign(step=np.arange(first + 1, first + size + 1))
+                yield out.assign(**{f"p{p}": curves[int(paths * p / 100)] for p in (5, 25, 50, 75, 95)})
+
+    return wanted.mapInPandas(fan, _kinds(rows, keys, "step long, p5 double, p25 double, p50 double, p75 double, p95 double"))
 
 
 def study_table(positions: DataFrame, initial: float) -> DataFrame:

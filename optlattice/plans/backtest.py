@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+from collections.abc import Sequence
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.conditions import steps, targets
+from ..functions.expr import contract_root, stop_loss_price, take_profit_price, tick_round
 from ..operators import asof, audit, enforce, entry, exit, pnl
-from .strategy import Strategy, Trade
+from .strategy import Roll, Strategy, Trade
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Rows that several steps use: a written checkpoint where the session names a shared folder, as on a cluster, else the cache."""
+    """Rows that several steps use, as a checkpoint in the shared folder that the session names. Only a local master may name none, as in tests."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="optlattice-"))
     return df.checkpoint()
 
 
@@ -58,7 +63,7 @@ def _indicators(market: dict[str, DataFrame]) -> DataFrame | None:
 def find_candidates(strategy: Strategy, trade: Trade, market: dict[str, DataFrame]) -> DataFrame:
     """Bars of the scheduled contract within the strategy's dates and the trade's entry window, with indicators as of each of them."""
     universe, session, spec = strategy.universe, strategy.universe.session, trade.instrument
-    bars = market["underlying_bars"].where(F.col("symbol").startswith(spec.root_symbol))
+    bars = market["underlying_bars"].where((F.col("symbol") == spec.root_symbol) | (contract_root(F.col("symbol")) == spec.root_symbol))
     listed = bars.where("expiration is not null").groupBy(F.col("instrument_id").alias("underlying_id")).agg(F.max("expiration").alias("expiry"))
     day = F.to_date(clock.local(F.col("ts_event"), session.timezone))
     if universe.start_date:
@@ -89,13 +94,11 @@ def find_entries(strategy: Strategy, trade: Trade, market: dict[str, DataFrame],
     Indicators are one row per ts_event and underlying_id. legs: those of find_legs(), if they are known already. Conditions
     read the candidate's bar, its indicators, the marks and, as leg.field, what is known of a leg.
     """
-    spec, x = trade.instrument, trade.exit
     rows = find_candidates(strategy, trade, market)
     legs = find_legs(strategy, trade, market, rows) if legs is None else legs
     actions = {leg.name: (leg.action, leg.quantity) for leg in trade.legs}
-    pct = x.take_profit_pct if x.take_profit_pct is not None else _level(x.take_profit, "pct") if isinstance(x.take_profit, dict) else None
-    price = _level(x.take_profit, "price", "value", "target")
-    found = entry.entries(legs, actions, spec.tick_size, pct, _level(x.stop_loss, "price", "value", "target"), trade.entry.min_credit, trade.entry.max_debit, first_id, price)
+    n = thresholds(trade)
+    found = entry.entries(legs, actions, trade.instrument.tick_size, n["tp_pct"], n["stop"], n["min_credit"], n["max_debit"], first_id, n["tp_price"])
     if not trade.entry.conditions:
         return found
     here = [c for c in rows.columns if c not in (*found.columns, "ts_event")]
@@ -104,6 +107,14 @@ def find_entries(strategy: Strategy, trade: Trade, market: dict[str, DataFrame],
     return entry.numbered(entry.where_all(told, trade.entry.conditions).select(*(c for c in found.columns if c != "entry_id")), first_id)
 
 
+def thresholds(trade: Trade) -> dict[str, float | None]:
+    """The numbers of a trade that only decide which entries count and when they close."""
+    x, names = trade.exit, ("price", "value", "target")
+    pct = x.take_profit_pct if x.take_profit_pct is not None else _level(x.take_profit, "pct") if isinstance(x.take_profit, dict) else None
+    rolls = trade.roll or Roll(dte=0)
+    return {"min_credit": trade.entry.min_credit, "max_debit": trade.entry.max_debit, "tp_pct": pct, "tp_price": _level(x.take_profit, *names), "stop": _level(x.stop_loss, *names), "dte_exit": x.dte_exit, "vega_exit": x.vega_exit, "roll_dte": rolls.dte if trade.roll else None, "roll_vega": rolls.vega if trade.roll else None}
+
+
 def _largest(leg) -> float:
     ladders = [leg.dte] if isinstance(leg.dte, dict) else []
     ladders += list((leg.targets or {}).values()) + list((leg.stepped or {}).get("steps", []))
@@ -139,54 +150,149 @@ def exit_rules(strategy: Strategy, trade: Trade) -> exit.ExitRules:
     )
 
 
-def continued(trade: Trade, entries: DataFrame, exits: DataFrame, bars: DataFrame, settlement: DataFrame, zone: str) -> DataFrame | None:
-    """(entry_id, continuation_...) of the long leg that lives on after a stop loss; None where the trade has no such rule or not one long leg."""
+def _long_leg(trade: Trade):
+    """The long leg that lives on after a stop loss; None where the trade has no such rule or not one long leg."""
     long = [leg for leg in trade.legs if leg.action == "buy_to_open"]
-    if not trade.exit.on_sl_long_continuation or len(long) != 1:
+    return long[0] if trade.exit.on_sl_long_continuation and len(long) == 1 else None
+
+
+def continued(trade: Trade, entries: DataFrame, exits: DataFrame, bars: DataFrame, settlement: DataFrame, zone: str) -> DataFrame | None:
+    """(entry_id, continuation_...) of the long leg that lives on after a stop loss; None without one."""
+    long = _long_leg(trade)
+    if long is None:
         return None
-    leg = F.get(F.filter("legs", lambda x: x["leg_name"] == long[0].name), 0)
+    leg = F.get(F.filter("legs", lambda x: x["leg_name"] == long.name), 0)
     legs = entries.select("entry_id", "underlying_id", *(leg[c].alias(c) for c in ("instrument_id", "expiration", "strike_price", "right", "multiplier")))
     stopped = exits.where("exit_reason = 'stop_loss'").select("entry_id", "exit_time").join(legs, "entry_id")
     found = exit.continuations(stopped, bars, trade.exit.long_trailing_stop_pct, settlement, zone).join(stopped.select("entry_id", "multiplier"), "entry_id")
-    found = pnl.continuation_pnl(found, F.col("multiplier") * long[0].quantity)
+    found = pnl.continuation_pnl(found, F.col("multiplier") * long.quantity)
     return found.select("entry_id", *(F.col(c).alias(f"continuation_{c}") for c in ("entry_price", "exit_time", "exit_price", "exit_reason", "pnl")))
 
 
-def run_trade(strategy: Strategy, trade: Trade, market: dict[str, DataFrame], multiplier: float | None = None, first_id: int = 0, legs: DataFrame | None = None) -> DataFrame:
-    """Closed positions of one trade with costs and profit, after enforcement, and the columns continuation_*.
+def _open_legs(entries: DataFrame, zone: str) -> DataFrame:
+    return entries.select("entry_id", F.col("entry_time").alias("_from"), exit.end_of("trade_expiration", zone).alias("_to"), F.explode("legs").alias("l")).select("entry_id", "_from", "_to", "l.instrument_id", "l.signed_qty")
 
-    The multiplier is that of the first leg's contract unless one is given. Entries and exits are used several times
-    and are kept.
-    """
-    entries = _kept(find_entries(strategy, trade, market, first_id, legs))
-    rules, session = exit_rules(strategy, trade), strategy.universe.session
-    held_legs = entries.select("entry_id", F.explode("legs").alias("l")).select("entry_id", "l.instrument_id", "l.signed_qty")
-    held = market["option_bars"].join(held_legs.select("instrument_id").distinct(), "instrument_id", "left_semi")
-    vega = exit.spread_vega(entries, market["option_greeks"]) if rules.vega_exit is not None or rules.roll_vega is not None else None
-    closes = exit.settlement_closes(market["underlying_bars"], rules.expiry_close or session.end, rules.zone)
+
+def _watched(strategy: Strategy, trade: Trade, entries: DataFrame, market: dict[str, DataFrame], rules: exit.ExitRules) -> tuple[tuple, DataFrame, DataFrame]:
+    """The arguments of exit.watched() and flagged() for kept entries, the bars of the options held, and the settlement closes."""
+    bars = market["option_bars"].join(entries.select(F.explode("legs.instrument_id").alias("instrument_id")).distinct(), "instrument_id", "left_semi")
+    vega = exit.spread_vega(entries, market["option_greeks"], rules.zone) if rules.needs_vega() else None
+    closes = exit.settlement_closes(market["underlying_bars"], rules.expiry_close or strategy.universe.session.end, rules.zone)
     settle = exit.settlement_marks(entries, closes) if rules.expiry_close else None
-    flagged = exit.flagged(exit.marks(entries, held, rules.zone), entries, rules, _indicators(market), vega, settle)
-    exits = exit.first_exits(flagged, rules)
+    return (exit.marks(entries, bars, rules.zone), entries, rules, _indicators(market), vega, settle), bars, closes
+
+
+_CONTINUATION = {f"continuation_{c}": k for c, k in (("entry_price", "double"), ("exit_time", "timestamp_ntz"), ("exit_price", "double"), ("exit_reason", "string"), ("pnl", "double"))}
+
+
+def _after_exit(trade: Trade, entries: DataFrame, exits: DataFrame, bars: DataFrame, closes: DataFrame, zone: str) -> DataFrame:
+    """Exits with the fills of a leg-out and the columns continuation_*."""
     if trade.exit.leg_out:
-        fills = exit.leg_out_fills(exits.where(F.col("exit_reason") != "expiry"), held_legs, held).withColumnRenamed("exit_mark", "_fill")
+        fills = exit.leg_out_fills(exits.where(F.col("exit_reason") != "expiry"), _open_legs(entries, zone), bars).withColumnRenamed("exit_mark", "_fill")
         exits = exits.join(fills, "entry_id", "left").withColumn("exit_mark", F.coalesce("_fill", "exit_mark")).drop("_fill")
-    more = continued(trade, entries, exits, held, closes, rules.zone)
-    names = {f"continuation_{c}": k for c, k in (("entry_price", "double"), ("exit_time", "timestamp_ntz"), ("exit_price", "double"), ("exit_reason", "string"), ("pnl", "double"))}
-    exits = exits.join(more, "entry_id", "left") if more is not None else exits.withColumns({c: F.lit(None).cast(k) for c, k in names.items()})
-    exits = _kept(exits)
-    both = entries.select("entry_id", "entry_time").join(exits.select("entry_id", "exit_time", "exit_reason"), "entry_id", "left")
+    more = continued(trade, entries, exits, bars, closes, zone)
+    return exits.join(more, "entry_id", "left") if more is not None else exits.withColumns({c: F.lit(None).cast(k) for c, k in _CONTINUATION.items()})
+
+
+def _closed(strategy: Strategy, trade: Trade, entries: DataFrame, exits: DataFrame, multiplier: float | None, keys: Sequence[str] = ()) -> DataFrame:
+    """The positions that a trade could hold, with costs and profit. Each key is walked by itself; entry_id tells all positions of all keys apart."""
+    session, zone = strategy.universe.session, strategy.universe.session.timezone
+    both = entries.select("entry_id", "entry_time", *keys).join(exits.select("entry_id", "exit_time", "exit_reason"), "entry_id", "left")
     ends = exits.where("continuation_exit_time is not null").select("entry_id", F.col("continuation_exit_time").alias("exit_time"))
-    both = enforce.gate_times(both, ends, session.start, session.timezone, session.weekdays_only, session.skip_dates)
-    both = both.withColumns({"day": F.to_date(clock.local(F.col("entry_time"), rules.zone)), "trade_name": F.lit(trade.name)})
-    kept = enforce.greedy_walk(both, ["trade_name"], trade.entry.max_entries_per_day)
+    both = enforce.gate_times(both, ends, session.start, zone, session.weekdays_only, session.skip_dates)
+    both = both.withColumns({"day": F.to_date(clock.local(F.col("entry_time"), zone)), "trade_name": F.lit(trade.name)})
+    walk = [*keys, "trade_name"]
+    kept = enforce.greedy_walk(both, walk, trade.entry.max_entries_per_day)
     if trade.entry.no_reentry_after_loss:
-        kept = enforce.no_reentry_after_loss(kept, ["trade_name"])
+        kept = enforce.no_reentry_after_loss(kept, walk)
     fee_in, fee_out, fee_end = strategy.costs.per_contract()
     units: float | Column = F.get(F.filter("legs", lambda x: x["leg_name"] == trade.legs[0].name), 0)["multiplier"] if multiplier is None else multiplier
     closed = pnl.profit(entries.join(kept.select("entry_id"), "entry_id", "left_semi"), exits, units, strategy.costs.slippage_pct, fee_in, fee_out, fee_end)
     return closed.withColumn("trade_name", F.lit(trade.name))
 
 
+def run_trade(strategy: Strategy, trade: Trade, market: dict[str, DataFrame], multiplier: float | None = None, first_id: int = 0, legs: DataFrame | None = None) -> DataFrame:
+    """Closed positions of one trade with costs and profit, after enforcement, and the columns continuation_*.
+
+    The multiplier is that of the first leg's contract unless one is given. Entries and exits are used several times
+    and are kept.
+    """
+    entries = _kept(find_entries(strategy, trade, market, first_id, legs))
+    rules = exit_rules(strategy, trade)
+    seen, bars, closes = _watched(strategy, trade, entries, market, rules)
+    exits = _after_exit(trade, entries, exit.first_exits(exit.flagged(*seen), rules), bars, closes, rules.zone)
+    return _closed(strategy, trade, entries, _kept(exits), multiplier)
+
+
+#: Position ids of a study hold the combination above these bits, and the entry's number below them.
+ENTRY_BITS = 40
+_THRESHOLD_TYPES = "combination_id long, min_credit double, max_debit double, tp_pct double, tp_price double, stop double, dte_exit double, vega_exit double, roll_dte double, roll_vega double"
+
+
+def reads_levels(trade: Trade) -> bool:
+    """Whether a condition names a price level, which combinations can't share."""
+    rolls = list(trade.roll.conditions) if trade.roll else []
+    gates = [x["condition"] for x in (trade.exit.stop_loss, trade.exit.take_profit) if isinstance(x, dict) and x.get("condition")]
+    return any(n in c for c in [*trade.entry.conditions, *trade.exit.conditions, *rolls, *gates] for n in ("tp_price", "sl_price"))
+
+
+def run_shared(strategy: Strategy, trade: Trade, market: dict[str, DataFrame], numbers: dict[int, dict[str, float | None]], multiplier: float | None = None, legs: DataFrame | None = None) -> DataFrame:
+    """The closed positions of run_trade() for many combinations at once, with combination_id; they differ in thresholds() alone.
+
+    numbers: thresholds by combination. They are rows of a small table, as many as there are combinations. Entries are found, marked and watched once;
+    bars that can be the first beyond some threshold (exit.records) meet the thresholds, and what follows has one row per
+    combination and entry. Fills and continuations after an exit are found once for each entry and exit time. Entry ids are those of
+    each combination by itself.
+    """
+    spark = market["option_bars"].sparkSession
+    spec, rules = trade.instrument, exit_rules(strategy, trade)
+    if any(n["vega_exit"] is not None or n["roll_vega"] is not None for n in numbers.values()):
+        rules = replace(rules, vega_exit=0.0)  # only tells that vega is needed
+    names = [x.split()[0] for x in _THRESHOLD_TYPES.split(", ")[1:]]
+    table = F.broadcast(spark.createDataFrame([(k, *(None if n[c] is None else float(n[c]) for c in names)) for k, n in sorted(numbers.items())], _THRESHOLD_TYPES))
+    plain = replace(trade, entry=replace(trade.entry, min_credit=None, max_debit=None), exit=replace(trade.exit, take_profit=None, take_profit_pct=None, stop_loss=None, on_sl_long_continuation=False))
+    every = _kept(find_entries(strategy, plain, market, 0, legs).drop("tp_price", "sl_price"))
+    mark = F.col("open_mark")
+    wanted = (F.col("min_credit").isNull() | (mark >= F.col("min_credit"))) & (F.col("max_debit").isNull() | (mark >= -F.abs("max_debit")))
+    chosen = every.join(table, wanted)
+    tp = F.coalesce(take_profit_price(mark, F.col("tp_pct")), take_profit_price(mark, None, F.col("tp_price")))
+    chosen = chosen.withColumns({"_tp": tick_round(tp, spec.tick_size), "sl_price": tick_round(stop_loss_price(mark, F.col("stop")), spec.tick_size)}).withColumn("tp_price", F.col("_tp")).drop("_tp")
+    seen, bars, closes = _watched(strategy, trade, every, market, rules)
+    judged = exit.judged(exit.records(exit.watched(*seen), rules), chosen.select("combination_id", "entry_id", *exit.LEVELS))
+    exits = exit.first_exits(judged, rules, ("entry_id", "combination_id"))
+    if trade.exit.leg_out or _long_leg(trade) is not None:
+        exits = _shared_after_exit(trade, every, _kept(exits), bars, closes, rules.zone)
+    else:
+        exits = _after_exit(trade, every, exits, bars, closes, rules.zone)
+    place = (F.shiftleft("combination_id", ENTRY_BITS) + F.col("entry_id")).alias("entry_id")
+    entries = chosen.select("combination_id", place, *(c for c in every.columns if c != "entry_id"), "tp_price", "sl_price")
+    exits = _kept(exits.select(place, *(c for c in exits.columns if c not in ("entry_id", "combination_id"))))
+    closed = _closed(strategy, trade, entries, exits, multiplier, ["combination_id"])
+    return _renumbered(closed, chosen.select("combination_id", place, F.to_date("entry_time").alias("_day"), "entry_time"))
+
+
+def _shared_after_exit(trade: Trade, entries: DataFrame, exits: DataFrame, bars: DataFrame, closes: DataFrame, zone: str) -> DataFrame:
+    """_after_exit() once for each entry, exit time and reason, whatever the number of combinations that leave it so."""
+    at = F.struct("entry_id", "exit_time", "exit_reason")
+    cases = exits.groupBy(at.alias("entry_id")).agg(F.any_value("exit_time").alias("exit_time"), F.any_value("exit_reason").alias("exit_reason"), F.any_value("exit_mark").alias("exit_mark"))
+    ids = cases.select(F.col("entry_id").alias("_case"), F.col("entry_id.entry_id").alias("entry_id"))
+    cased = ids.join(entries, "entry_id").drop("entry_id").withColumnRenamed("_case", "entry_id")
+    found = _after_exit(trade, cased, cases, bars, closes, zone)
+    found = found.select(F.col("entry_id").alias("_case"), F.col("exit_mark").alias("_fill"), *_CONTINUATION)
+    rows = exits.withColumn("_case", at).join(found, "_case").drop("_case")
+    return (rows.withColumn("exit_mark", F.col("_fill")) if trade.exit.leg_out else rows).drop("_fill")
+
+
+def _renumbered(closed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Positions with the entry ids that each combination would give by itself: the number of its entries before, counted per day first."""
+    per_day = chosen.groupBy("combination_id", "_day").count()
+    before = Window.partitionBy("combination_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    per_day = per_day.select("combination_id", "_day", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    ranked = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("combination_id", "_day").orderBy("entry_time")))
+    ids = ranked.join(per_day, ["combination_id", "_day"]).select("combination_id", "entry_id", (F.col("_before") + F.col("_n") - 1).cast("long").alias("_id"))
+    return closed.join(ids, ["combination_id", "entry_id"]).withColumn("entry_id", F.col("_id")).drop("_id")
+
+
 def run(strategy: Strategy, market: dict[str, DataFrame], multiplier: float | None = None, legs: dict[str, DataFrame] | None = None) -> DataFrame:
     """All trades of a strategy. Entry ids are per trade; legs: those of find_legs() by trade, if they are known already."""
     out = None

@@ -1,18 +1,20 @@
-"""Studies: one backtest per combination of swept values, over shared tables."""
+"""Studies: all combinations of swept values, as few plans over shared tables."""
 
 from __future__ import annotations
 
 import copy
 import json
+import threading
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import backtest
-from .strategy import Strategy, expand_study, load_strategy, load_study, parse_strategy
+from .strategy import Strategy, Trade, expand_study, load_strategy, load_study, parse_strategy
 
 
 def read_strategies(path: str | Path) -> list[dict]:
@@ -35,51 +37,85 @@ def _same_legs(definition: Mapping, name: str) -> str:
     return json.dumps({"universe": one.get("universe"), "trade": {k: trade[k] for k in ("instrument", "legs", "entry")}}, sort_keys=True, default=str)
 
 
+#: Fields whose numbers are thresholds: combinations that differ in these alone share a plan.
+_NUMBERS = {"entry": ("min_credit", "max_debit"), "exit": ("stop_loss", "take_profit", "take_profit_pct", "dte_exit", "vega_exit"), "roll": ("dte", "vega")}
+_PARTS = ("price", "value", "target", "pct")
+
+
+def _same_plan(definition: Mapping, name: str) -> str:
+    """A trade without its thresholds, and what of the strategy it depends on, as text."""
+    trade = copy.deepcopy(next(t for t in definition["trades"] if t["name"] == name))
+    for part, names in _NUMBERS.items():
+        if trade.get(part) is not None:
+            for field in names:
+                value = trade[part].pop(field, None)
+                rest = {k: v for k, v in value.items() if k not in _PARTS} if isinstance(value, Mapping) else {}
+                if rest:
+                    trade[part][field] = rest
+    return json.dumps({"universe": definition.get("universe"), "costs": definition.get("costs"), "trade": trade}, sort_keys=True, default=str)
+
+
 class SharedLegs:
-    """Legs by what they depend on: the search through all options, a study's largest scan, runs once for all combinations that agree in it."""
+    """Legs by what they depend on: the search through all options, a study's largest scan, runs once for all combinations that agree in it. An error is kept, too."""
 
     def __init__(self, market: dict[str, DataFrame]):
-        self.market, self.found = market, {}
+        self.market, self.found, self.lock = market, {}, threading.Lock()
+
+    def _search(self, strategy: Strategy, name: str) -> DataFrame:
+        trade = next(t for t in strategy.trades if t.name == name)
+        return backtest._kept(backtest.find_legs(strategy, trade, self.market, backtest.find_candidates(strategy, trade, self.market)))
+
+    def get(self, definition: Mapping, strategy: Strategy, name: str) -> DataFrame:
+        key = _same_legs(definition, name)
+        with self.lock:
+            mine = key not in self.found
+            found = self.found.setdefault(key, Future())
+        if mine:
+            try:
+                found.set_result(self._search(strategy, name))
+            except Exception as e:
+                found.set_exception(e)
+        return found.result()
 
     def of(self, definition: Mapping, strategy: Strategy) -> dict[str, DataFrame]:
-        out = {}
-        for trade in strategy.trades:
-            key = _same_legs(definition, trade.name)
-            if key not in self.found:
-                rows = backtest.find_candidates(strategy, trade, self.market)
-                self.found[key] = backtest._kept(backtest.find_legs(strategy, trade, self.market, rows))
-            out[trade.name] = self.found[key]
-        return out
+        return {trade.name: self.get(definition, strategy, trade.name) for trade in strategy.trades}
 
 
 def run_study(strategies: Sequence[Mapping], market: dict[str, DataFrame], max_combinations: int | None = None, workers: int = 4) -> tuple[DataFrame | None, list[dict]]:
     """(positions with combination_id, failed combinations as combination_id and error) of all combinations of all strategies.
 
-    Combinations are checked before the first one runs. Each runs by itself, some at a time, so one that fails leaves the
-    others alone; its positions aren't there and its error is told. Legs are shared; see SharedLegs. Without any result
-    positions are None.
+    Combinations are checked before the first one runs. Trades that differ in thresholds alone are one plan for all their combinations, with
+    these as rows of a table; so a study costs what its different plans cost, and not its combinations. A plan that fails fails its
+    combinations and leaves the others alone: their positions aren't there and the error is told. Plans run some at a
+    time and share legs; see SharedLegs. Without any result positions are None.
     """
-    shared, failed, done = SharedLegs(market), [], {}
-    todo, legs = [], {}
+    legs, failed = SharedLegs(market), {}
+    plans: dict[tuple[str, str], list[tuple[int, Mapping, Strategy, Trade]]] = {}
     for number, _, definition in expand_study(strategies, max_combinations):
         try:
             strategy = parse_strategy(definition)
-            legs[number] = shared.of(definition, strategy)
-            todo.append((number, strategy))
+            for trade in strategy.trades:
+                apart = number if backtest.reads_levels(trade) else ""
+                plans.setdefault((trade.name, f"{apart}{_same_plan(definition, trade.name)}"), []).append((number, definition, strategy, trade))
         except Exception as e:  # a combination's fault is its own
-            failed.append({"combination_id": number, "error": str(e)})
+            failed[number] = str(e)
 
-    def one(item: tuple[int, Strategy]) -> None:
-        number, strategy = item
+    def one(members: list[tuple[int, Mapping, Strategy, Trade]]) -> DataFrame | None:
+        number, definition, strategy, trade = members[0]
         try:
-            rows = backtest.run(strategy, market, legs=legs[number])
-            done[number] = backtest._kept(rows.withColumn("combination_id", F.lit(number).cast("long")))
+            found = legs.get(definition, strategy, trade.name)
+            if backtest.reads_levels(trade):
+                rows = backtest.run_trade(strategy, trade, market, legs=found).withColumn("combination_id", F.lit(number).cast("long"))
+            else:
+                rows = backtest.run_shared(strategy, trade, market, {m[0]: backtest.thresholds(m[3]) for m in members}, legs=found)
+            return backtest._kept(rows)
         except Exception as e:
-            failed.append({"combination_id": number, "error": str(e)})
+            failed.update((m[0], str(e)) for m in members)
+            return None
 
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        list(pool.map(one, todo))
-    out = None
-    for number in sorted(done):
-        out = done[number] if out is None else out.unionByName(done[number])
-    return out, sorted(failed, key=lambda f: f["combination_id"])
+        done = [rows for rows in pool.map(one, plans.values()) if rows is not None]
+    out = reduce(DataFrame.unionByName, done) if done else None
+    if out is not None and failed:  # of a combination with several trades all fail together
+        out = out.where(~F.col("combination_id").isin(*failed))
+    return out, [{"combination_id": k, "error": failed[k]} for k in sorted(failed)]
