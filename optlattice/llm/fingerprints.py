@@ -7,40 +7,31 @@ from pyspark.sql import functions as F
 
 from ._shared import save
 
-#: Share of all hash values that a sketch keeps, and words per shingle.
-FRACTION = 1 / 16
-WORDS = 5
-#: Texts of up to so many shingles, repeated ones counted, keep all of them.
-WHOLE = 32
+#: Share of all hash values that a sketch keeps, and words per shingle: short ones, so that texts of a few words have hashes, too.
+FRACTION = 1 / 2
+WORDS = 2
 #: Bits of an id within a bucket of neighbours, and of a bucket's number within each level above.
 LEVELS = (8, 12, 16, 16)
-_LOWEST = -(1 << 63)
+_LOWEST = -(1 << 31)
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
-    """64-bit hashes of the runs of `words` words of a text; a shorter text is one shingle, one without words has none."""
+    """32-bit hashes of the runs of `words` words of a text; a shorter text is one shingle, one without words has none."""
     found = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    runs = lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, words)))).otherwise(F.array().cast("array<bigint>"))
+    runs = lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda i: F.shiftright(F.xxhash64(F.slice(w, i, words)), 32).cast("int"))).otherwise(F.array().cast("array<int>"))
     return _let(found, runs)
 
 
 def _limit(fraction: float) -> int:
-    return _LOWEST + int(fraction * (1 << 64))
+    return _LOWEST + int(fraction * (1 << 32))
 
 
 def sketch(text: Column, fraction: float = FRACTION, words: int = WORDS) -> Column:
-    """A struct of `h`, the sorted distinct shingle hashes of a text below the fraction, and `whole`.
+    """The sorted distinct shingle hashes of a text below the fraction, whatever its length.
 
-    A text with few shingles, or with none below the fraction, keeps all of them; `whole` tells so. Its hashes below the
-    fraction are what it has in common with larger texts. A text without words has an empty, whole sketch.
+    A text of few words may have none: one of n shingles is without a hash in (1 - fraction)^n of all cases.
     """
-
-    def keep(hashes: Column) -> Column:
-        low = F.filter(hashes, lambda h: h < F.lit(_limit(fraction)))
-        whole = (F.size(hashes) <= WHOLE) | (F.size(low) == 0)
-        return F.struct(whole.alias("whole"), F.sort_array(F.array_distinct(F.when(whole, hashes).otherwise(low))).alias("h"))
-
-    return _let(shingle_hashes(text, words), keep)
+    return F.sort_array(F.array_distinct(F.filter(shingle_hashes(text, words), lambda h: h < F.lit(_limit(fraction)))))
 
 
 def _let(value: Column, use) -> Column:
@@ -48,37 +39,25 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _at(a: Column, whole: Column, fraction: float) -> Column:
-    """A sketch's hashes at a threshold: all of them, or those below the fraction."""
-    return F.when(whole, a["h"]).otherwise(F.filter(a["h"], lambda h: h < F.lit(_limit(fraction))))
-
+def merge(a: Column, b: Column) -> Column:
+    """The sketch of the union of two shingle sets, from their sketches alone."""
+    return F.sort_array(F.array_union(a, b))
 
-def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
-    """The sketch of the union of two shingle sets, at the threshold that both have."""
-    whole = a["whole"] & b["whole"]
-    return F.struct(whole.alias("whole"), F.sort_array(F.array_union(_at(a, whole, fraction), _at(b, whole, fraction))).alias("h"))
 
-
-def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
-    """Estimated share of a's shingles that b has too, at the threshold that both have; exact where both are whole.
-
-    For an empty a 1 if b is empty as well, else 0. A short a without a hash below the fraction has nothing that a larger
-    b could show: 0.
-    """
-    whole = a["whole"] & b["whole"]
-    share = lambda p: F.when(F.size(p["a"]) > 0, F.size(F.array_intersect(p["a"], p["b"])) / F.size(p["a"])).otherwise(F.when(F.size(a["h"]) + F.size(b["h"]) == 0, 1.0).otherwise(0.0))
-    return _let(F.struct(_at(a, whole, fraction).alias("a"), _at(b, whole, fraction).alias("b")), share)
+def containment(a: Column, b: Column) -> Column:
+    """Estimated share of a's shingles that b has too. For an a without hashes 1 if b has none as well, else 0."""
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.when(F.size(b) == 0, 1.0).otherwise(0.0))
 
 
 def shown(a: Column) -> Column:
-    """A sketch as text: hashes in hexadecimal, joined by commas, behind `all:` if it is whole."""
-    return F.concat(F.when(a["whole"], "all:").otherwise(""), F.array_join(F.transform(a["h"], lambda h: F.lower(F.hex(h))), ","))
+    """A sketch as text: hashes in hexadecimal, joined by commas."""
+    return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(F.pmod(h.cast("long"), F.lit(1 << 32))), 8, "0"))), ",")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = FRACTION, words: int = WORDS) -> DataFrame:
     """(id, fingerprint, shingles kept) of every whole text; null counts as empty. No shuffle. Equal texts have equal fingerprints."""
     rows = docs.select(id_col, sketch(F.coalesce(text_col, F.lit("")), fraction, words).alias("_s"))
-    return rows.select(id_col, shown(F.col("_s")).alias("fingerprint"), F.size("_s.h").alias("n_kept"))
+    return rows.select(id_col, shown(F.col("_s")).alias("fingerprint"), F.size("_s").alias("n_kept"))
 
 
 def _before(keys: DataFrame, levels: tuple[int, ...]) -> DataFrame:
@@ -141,6 +120,6 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frac
         F.sha2("_edited", 256).alias("edited_sha256"),
         shown(F.col("_sketch")).alias("fingerprint"),
         shown(F.col("_edited_sketch")).alias("edited_fingerprint"),
-        containment(F.col("_sketch"), F.col("_edited_sketch"), fraction).alias("near_edited"),
-        containment(F.col("_sketch"), F.col("_next_sketch"), fraction).alias("near_next"),
+        containment(F.col("_sketch"), F.col("_edited_sketch")).alias("near_edited"),
+        containment(F.col("_sketch"), F.col("_next_sketch")).alias("near_next"),
     )
