@@ -715,7 +715,7 @@ def test_mined_rules_match_brute_force(spark):
     assert got == {k: (round(a, 9), round(b, 9)) for k, (a, b) in minimal.items()} and got
     judged = {r.page_id: r for r in url_filter.judge(rows, rules, support=0.02, confidence=0.8).collect()}
     for i, (items, label) in enumerate(data):
-        fits = [(v[0], len(k[0]), v[1], k[1]) for k, v in minimal.items() if k[0] <= items]
+        fits = [(v[0], v[1], -len(k[0]), k[1]) for k, v in minimal.items() if k[0] <= items]
         assert judged[i].verdict == (label or (max(fits)[3] if fits else "allow"))
 
 
@@ -744,6 +744,17 @@ def test_long_urls_do_not_multiply_item_sets(spark):
     assert len(constant) == 1 and {f"query=utm{i}" for i in range(40)} <= set(constant[0].tokens) and constant[0].freq == 150
 
 
+@pytest.mark.parametrize(("per_url", "names"), [(2, 24), (6, 24), (14, 40), (30, 31)])
+def test_the_rule_of_many_urls_decides_at_any_number_of_query_names(spark, per_url, names):
+    rng = random.Random(per_url)
+    query = lambda: "&".join(f"n{i}=1" for i in rng.sample(range(names), per_url))
+    urls = [f"http://casino.h{i}.example.com/de/win?{query()}" for i in range(300)] + [f"http://h{i}.good.org/fr/x?{query()}" for i in range(300)]
+    urls += [f"http://casino.new{i}.example.info/en/win?{query()}" for i in range(20)]
+    got = {r.page_id: r for r in url_filter.judge(pages(spark, urls), labelled_only=True).collect()}
+    for i in range(600, 620):
+        assert (got[i].rule, got[i].verdict, got[i].mined) == (None, "block", "host3=casino")
+
+
 def test_tiny_tables_have_no_mined_rules(spark):
     long = "http://a.example.com/de/?" + "&".join(f"q{i}=1" for i in range(40))
     got = url_filter.judge(pages(spark, [long, long + "&z=1", "http://a.example.com/en/?q1=1"]), labelled_only=True).collect()
