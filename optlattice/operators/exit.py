@@ -55,16 +55,16 @@ def end_of(expiration: str, zone: str) -> Column:
     return F.convert_timezone(F.lit(zone), F.lit("UTC"), F.date_add(expiration, 1).cast("timestamp_ntz"))
 
 
-def held(legs: DataFrame, bars: DataFrame) -> DataFrame:
-    """Rows of legs with each bar of their instrument after _from and before _to.
-
-    A leg is one row for each day it is open, and meets the bars of that instrument and day: what the join makes beyond
-    the rows that stay is at most what its first and last day hold.
-    """
+def met(legs: DataFrame, bars: DataFrame) -> DataFrame:
+    """Rows of legs, one for each day they are open, with the bars of their instrument on that day."""
     last = F.to_date(F.timestamp_add("MICROSECOND", F.lit(-1), "_to"))
     days = legs.where(F.col("_from") < F.col("_to")).withColumn("_day", F.explode(F.sequence(F.to_date("_from"), last)))
-    met = days.join(bars.withColumn("_day", F.to_date("ts_event")), ["instrument_id", "_day"])
-    return met.where((F.col("ts_event") > F.col("_from")) & (F.col("ts_event") < F.col("_to"))).drop("_day", "_from", "_to")
+    return days.join(bars.withColumn("_day", F.to_date("ts_event")), ["instrument_id", "_day"])
+
+
+def held(legs: DataFrame, bars: DataFrame) -> DataFrame:
+    """Rows of legs with each bar of their instrument after _from and before _to. What the join makes beyond these is at most what a leg's first and last day hold."""
+    return met(legs, bars).where((F.col("ts_event") > F.col("_from")) & (F.col("ts_event") < F.col("_to"))).drop("_day", "_from", "_to")
 
 
 def leg_bars(entries: DataFrame, bars: DataFrame, zone: str = clock.NEW_YORK) -> DataFrame:

@@ -156,36 +156,44 @@ def _powers() -> list[np.ndarray]:
     return out
 
 
-def jump(s: np.ndarray, steps: int) -> np.ndarray:
-    """States so many steps ahead."""
+def _ahead(steps: int) -> np.ndarray:
+    """The matrix of so many steps."""
+    out = np.uint32(1) << np.arange(32, dtype=np.uint32)
     for k, matrix in enumerate(_powers()):
         if steps >> k & 1:
-            s = _times(matrix, s)
-    return s
+            out = _times(matrix, out)
+    return out
 
 
-def stream(n: int, seed: int = SEED, first: int = 0) -> np.ndarray:
-    """n numbers of the stream from the number `first` on, as shares of 2^32.
+def streams(count: int, n: int, first: int = 0, stride: int = 0, seed: int = SEED) -> np.ndarray:
+    """`count` rows of n numbers of the stream, as shares of 2^32: the first row from the number `first` on, each next one `stride` later.
 
-    Lanes that are LANE steps apart go on at once; a block anywhere in the stream costs what it holds.
+    Rows are cut into lanes that go on at once, so a block anywhere in the stream costs what it holds.
     """
-    lane = min(LANE, max(1, n))
-    lanes = np.empty(-(-n // lane), dtype=np.uint32)
-    state = jump(np.array([seed & 0xFFFFFFFF], dtype=np.uint32), first)
-    for k in range(len(lanes)):
-        lanes[k] = state[0]
-        if k + 1 < len(lanes):
-            state = jump(state, lane)
-    out = np.empty((lane, len(lanes)), dtype=np.uint32)
+    lane = max(1, min(n, LANE, int(math.sqrt(count * n))))
+    per = -(-n // lane)
+    state = _times(_ahead(first), np.array([seed & 0xFFFFFFFF], dtype=np.uint32))
+    lanes, row_step, lane_step = np.empty((count, per), dtype=np.uint32), _ahead(stride), _ahead(lane)
+    for k in range(count):
+        lanes[k, :1] = state
+        state = _times(row_step, state)
+    for k in range(1, per):
+        lanes[:, k] = _times(lane_step, lanes[:, k - 1])
+    out, lanes = np.empty((lane, count * per), dtype=np.uint32), lanes.reshape(-1)
     for k in range(lane):
         lanes = _step(lanes)
         out[k] = lanes
-    return out.T.reshape(-1)[:n] / 2.0**32
+    return np.ascontiguousarray(out.T).reshape(count, per * lane)[:, :n] / 2.0**32
+
+
+def stream(n: int, seed: int = SEED, first: int = 0) -> np.ndarray:
+    """n numbers of the stream from the number `first` on."""
+    return streams(1, n, first, seed=seed)[0]
 
 
-def _drawn(x: np.ndarray, first: int, n: int) -> np.ndarray:
-    """The values that n draws from the number `first` on take."""
-    return x[np.minimum((stream(n, first=first) * len(x)).astype(np.int64), len(x) - 1)]
+def _taken(x: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The values that draws take."""
+    return x[np.minimum((shares * len(x)).astype(np.int64), len(x) - 1)]
 
 
 def _series(positions: DataFrame, keys: Sequence[str], times: int) -> tuple[DataFrame, Column]:
@@ -215,7 +223,7 @@ def bootstrap_mean(positions: DataFrame, keys: Sequence[str] = ("backtest_id",),
             for at, row in enumerate(batch.itertuples(index=False)):
                 x, first, last = np.asarray(row.x), row.path, min(n_boot, row.path + row.per)
                 out = batch.iloc[[at] * (last - first)][keys].reset_index(drop=True)
-                yield out.assign(mean=[_drawn(x, p * len(x), len(x)).mean() for p in range(first, last)])
+                yield out.assign(mean=_taken(x, stream((last - first) * len(x), first=first * len(x))).reshape(last - first, len(x)).mean(axis=1))
 
     found = rows.mapInPandas(means, _kinds(rows, keys, "mean double"))
     share = [(1 - level) / 2, (1 + level) / 2]
@@ -235,10 +243,11 @@ def equity_fan(positions: DataFrame, keys: Sequence[str] = ("backtest_id",), pat
     def sums(batches):
         for batch in batches:
             for at, row in enumerate(batch.itertuples(index=False)):
-                x = np.asarray(row.x)
-                for p in range(row.path, min(paths, row.path + row.per)):
-                    total = np.add.reduceat(_drawn(x, p * len(x), len(x)), np.arange(0, len(x), BLOCK_STEPS))
-                    yield batch.iloc[[at] * len(total)][keys].reset_index(drop=True).assign(path=p, block=np.arange(len(total)), total=total)
+                x, first, last = np.asarray(row.x), row.path, min(paths, row.path + row.per)
+                drawn = _taken(x, stream((last - first) * len(x), first=first * len(x))).reshape(last - first, len(x))
+                total = np.add.reduceat(drawn, np.arange(0, len(x), BLOCK_STEPS), axis=1)
+                path, block = np.divmod(np.arange(total.size), total.shape[1])
+                yield batch.iloc[[at] * total.size][keys].reset_index(drop=True).assign(path=first + path, block=block, total=total.reshape(-1))
 
     blocks = shared.mapInPandas(sums, _kinds(rows, keys, "path long, block long, total double"))
     before = F.coalesce(F.sum("total").over(Window.partitionBy(*keys, "path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -250,7 +259,7 @@ def equity_fan(positions: DataFrame, keys: Sequence[str] = ("backtest_id",), pat
             for at, row in enumerate(batch.itertuples(index=False)):
                 x, first = np.asarray(row.x), row.block * BLOCK_STEPS
                 size = min(BLOCK_STEPS, len(x) - first)
-                drawn = np.stack([_drawn(x, p * len(x) + first, size) for p in range(paths)])
+                drawn = _taken(x, streams(paths, size, first, len(x)))
                 curves = np.sort(np.cumsum(drawn, axis=1) + np.asarray(row.before)[:, None] + initial, axis=0)
                 out = batch.iloc[[at] * size][keys].reset_index(drop=True).assign(step=np.arange(first + 1, first + size + 1))
                 yield out.assign(**{f"p{p}": curves[int(paths * p / 100)] for p in (5, 25, 50, 75, 95)})

@@ -137,7 +137,7 @@ st AS (SELECT ent.entry_id, round(greatest(0, s - 40) - greatest(0, s - 60), 4)
 vg AS (SELECT entry_id, ts_event, sum(sq * volume) AS vega FROM lb GROUP BY 1, 2),
 m AS (SELECT k.*, open_mark, open_mark * 0.2 AS tp, abs(open_mark) + 25 AS slp, expiration, settled, vega, timezone('America/New_York', timezone('UTC', k.ts_event)) AS l, max(position_mark) OVER (PARTITION BY k.entry_id ORDER BY k.ts_event ROWS UNBOUNDED PRECEDING) AS worst,
  sum(min_leg_volume) OVER (PARTITION BY k.entry_id ORDER BY k.ts_event RANGE BETWEEN INTERVAL '719 MINUTE 59 SECOND 999999 MICROSECOND' PRECEDING AND CURRENT ROW) AS vol FROM marks k JOIN ent USING (entry_id) LEFT JOIN st USING (entry_id) LEFT JOIN vg ON vg.entry_id = k.entry_id AND vg.ts_event = k.ts_event),
-g AS (SELECT *, expiration - CAST(l AS DATE) AS dte_now, hour(l) * 3600 + minute(l) * 60 AS sec, (CASE WHEN open_mark > 0 THEN position_mark >= 0 ELSE position_mark <= 0 END) AND coalesce(vol >= 0, false) AS fair FROM m),
+g AS (SELECT *, expiration - CAST(l AS DATE) AS dte_now, hour(l) * 3600 + minute(l) * 60 AS sec, (CASE WHEN open_mark > 0 THEN position_mark >= 0 ELSE position_mark <= 0 END) AND coalesce(vol >= 1, false) AS fair FROM m),
 h AS (SELECT *, fair AND NOT (dte_now = 0 AND sec BETWEEN 57600 - 18000 AND 57600) AS ok FROM g),
 f AS (SELECT *, coalesce(spread_open_mark + total_slippage >= slp AND ok AND max_stale < 900, false) AS gap_sl, coalesce(spread_open_mark + total_slippage <= tp AND ok AND dte_now >= 1, false) AS gap_tp, coalesce(position_mark + total_slippage >= slp AND ok AND max_stale < 900, false) AS sl, coalesce(position_mark + total_slippage <= tp AND ok AND dte_now >= 1, false) AS tp_hit FROM (SELECT *, stale AS max_stale FROM h) h),
 p AS (SELECT *, CASE WHEN gap_sl THEN 1 WHEN gap_tp THEN 2 WHEN sl THEN 3 WHEN tp_hit THEN 4 WHEN (vega < -1 OR position_mark > 80) AND sec BETWEEN 32400 AND 43200 THEN 6 WHEN vega < -3 THEN 7 WHEN CAST(l AS DATE) >= expiration AND sec >= 57600 THEN 9 END AS priority FROM f),
@@ -152,7 +152,7 @@ def first_exits_second_rules(spark, sf_dir):
     """P14, P25, P27, P30 by vega, P32 with slippage and settlement, a tick, after-hours exits on all days"""
     e, b = _pairs(spark, sf_dir), fx.bars(spark, sf_dir)
     e = e.withColumn("sl_price", F.abs("open_mark") + 25)
-    rules = exit.ExitRules(after_hours=True, weekdays_only=False, stop_loss_condition="max_leg_stale_minutes < 900", take_profit_condition="dte_now >= 1", min_exit_volume=0, lookback_minutes=720, pre_expiry_lock_minutes=300, spread_slippage=True, expiry_close="16:00", roll_window=("09:00", "12:00"), roll_vega=-1.0, roll_conditions=("position_mark > 80",), vega_exit=-3.0, tick=0.0625)
+    rules = exit.ExitRules(after_hours=True, weekdays_only=False, stop_loss_condition="max_leg_stale_minutes < 900", take_profit_condition="dte_now >= 1", min_exit_volume=1, lookback_minutes=720, pre_expiry_lock_minutes=300, spread_slippage=True, expiry_close="16:00", roll_window=("09:00", "12:00"), roll_vega=-1.0, roll_conditions=("position_mark > 80",), vega_exit=-3.0, tick=0.0625)
     greek = b.select("instrument_id", "ts_event", F.col("volume").cast("double").alias("vega"))
     settled = exit.settlement_marks(e.withColumn("legs", F.transform("legs", lambda x: x.withField("strike_price", F.when(x["leg_name"] == "a", 40.0).otherwise(60.0)))), exit.settlement_closes(b))
     marked = exit.flagged(exit.marks(e, b), e, rules, None, exit.spread_vega(e, greek), settled.withColumn("settlement_mark", F.round("settlement_mark", 4)))
@@ -294,12 +294,32 @@ def settlement(spark, sf_dir):
     return out.select(F.col("entry_id").cast("long").alias("entry_id"), F.round("settlement_mark", 4).alias("settlement_mark"))
 
 
-@R.add(f"""WITH {_LEGS}, g AS (SELECT instrument_id, ts_event, spot * exp(-0.01 * t) * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * sqrt(t) AS vega FROM chain WHERE t > 0)
-SELECT entry_id, {T('s.ts_event')} AS ts_event, round(s.vega - b.vega, 4) AS spread_vega FROM ent JOIN g s ON s.instrument_id = sold_id JOIN g b ON b.instrument_id = bought_id AND b.ts_event = s.ts_event""")
+_VEGA = f"""{_LEGS}, g AS MATERIALIZED (SELECT instrument_id, ts_event, spot * exp(-0.01 * t) * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * sqrt(t) AS vega, close FROM chain WHERE t > 0 AND right_ = 'P'),
+sv AS MATERIALIZED (SELECT entry_id, ent.ts_event AS entry_time, ent.expiration, ent.open_mark, s.ts_event, timezone('America/New_York', timezone('UTC', s.ts_event)) AS l, s.vega - b.vega AS vega, s.close - b.close AS mark FROM ent JOIN g s ON s.instrument_id = sold_id AND s.ts_event > ent.ts_event
+ JOIN g b ON b.instrument_id = bought_id AND b.ts_event = s.ts_event WHERE CAST(timezone('America/New_York', timezone('UTC', s.ts_event)) AS DATE) <= ent.expiration)"""
+
+
+@R.add(f"WITH {_VEGA} SELECT entry_id, CAST(CAST(ts_event AS DATE) AS VARCHAR) AS day, count(*) AS n, round(min(vega), 4) AS low, round(max(vega), 4) AS high, round(sum(vega), 3) AS total FROM sv GROUP BY 1, 2")
 def spread_vega(spark, sf_dir):
-    """A1, J15"""
+    """From the entry to the expiration, summed up per day"""
     out = exit.spread_vega(_entries(spark, sf_dir), fx.option_greeks(spark, sf_dir).where("T > 0"))
-    return out.select(F.col("entry_id").cast("long").alias("entry_id"), fx.text("ts_event").alias("ts_event"), F.round("spread_vega", 4).alias("spread_vega"))
+    vega = F.col("spread_vega")
+    out = out.groupBy(F.col("entry_id").cast("long").alias("entry_id"), F.to_date("ts_event").cast("string").alias("day"))
+    return out.agg(F.count("*").alias("n"), F.round(F.min(vega), 4).alias("low"), F.round(F.max(vega), 4).alias("high"), F.round(F.sum(vega), 3).alias("total"))
+
+
+@R.add(f"""WITH {_VEGA}, o AS (SELECT *, first_value(vega) OVER (PARTITION BY entry_id ORDER BY ts_event) AS open_vega FROM sv),
+p AS (SELECT *, CASE WHEN vega < 0.7 * open_vega THEN 5 WHEN vega > 1.1 * open_vega AND hour(l) * 60 + minute(l) BETWEEN 600 AND 720 THEN 6 WHEN CAST(l AS DATE) >= expiration THEN 9 END AS priority FROM o),
+f AS (SELECT entry_id, min(ts_event) FILTER (priority IS NOT NULL) AS hit, max(ts_event) AS last FROM p GROUP BY 1)
+SELECT entry_id, {T('p.ts_event')} AS exit_time, CASE priority WHEN 5 THEN 'condition' WHEN 6 THEN 'roll' ELSE 'expiry' END AS exit_reason, round(CASE WHEN mark < 0 THEN 0 ELSE mark END, 4) AS exit_mark FROM p JOIN f USING (entry_id) WHERE p.ts_event = coalesce(hit, last)""")
+def vega_conditions(spark, sf_dir):
+    """Positions that close or roll by their vega against that at their opening"""
+    e = _entries(spark, sf_dir).withColumns({c: F.lit(None).cast("double") for c in ("tp_price", "sl_price")})
+    rules = exit.ExitRules(conditions=("_spread_vega < 0.7 * open_vega",), roll_window=("10:00", "12:00"), roll_conditions=("_spread_vega > 1.1 * open_vega",))
+    vega = exit.spread_vega(e, fx.option_greeks(spark, sf_dir).where("T > 0")) if rules.needs_vega() else None
+    bars = fx.option_bars(spark, sf_dir).where("t > 0")
+    x = exit.first_exits(exit.flagged(exit.marks(e, bars), e, rules, None, vega), rules)
+    return x.select(F.col("entry_id").cast("long").alias("entry_id"), fx.text("exit_time").alias("exit_time"), "exit_reason", F.round("exit_mark", 4).alias("exit_mark"))
 
 
 R.add(ORACLE_SQL["spread_vega"], "spread_vega_whole")(spread_vega)
@@ -401,3 +421,23 @@ def study_grid(spark, sf_dir):
     if failed:
         raise ValueError(failed)
     return _shown(rows)
+
+
+def _combos(rows):
+    number = lambda x: "NULL" if x is None else x
+    return ", ".join(f"({k}, {number(sl)}::DOUBLE, {number(pct)}::DOUBLE, NULL::DOUBLE)" for k, (sl, pct) in enumerate(rows, 1))
+
+
+#: Stop losses and shares of profit of a study whose first strategy lists its combinations and whose second has a range.
+_LISTED = [(1.5, 0.25), (3.0, None), (5.0, 0.35)]
+_RANGE = [(1.0, 0.4), (1.5, 0.4), (2.0, 0.4)]
+
+
+@R.add("WITH " + _run_sql(_combos(_LISTED + _RANGE)))
+def study_of_tables_and_ranges(spark, sf_dir):
+    """V1, V3-V6: listed combinations, of which one turns the profit target off, and a range, numbered through; all run over the market tables"""
+    listed = _definition() | {"combinations": {"columns": ["trades.0.exit.stop_loss", "trades.0.exit.take_profit.pct"], "rows": [list(r) for r in _LISTED]}}
+    rows, failed = study.run_study([listed, _definition({"start": 1.0, "stop": 2.0, "step": 0.5})], _market(spark, sf_dir))
+    if failed:
+        raise ValueError(failed)
+    return _shown(rows)
