@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pricing
+from .ranks import kept, medians, tiles
 
 #: Severity of each flag. Hard flags mean that the data are wrong, soft ones that they are doubtful.
 SEVERITY = {
@@ -128,8 +129,9 @@ def quintiles(greeks: DataFrame, option_bars: DataFrame, flags: DataFrame) -> Da
     """Per right and fifth of the first delta: its range, exact median, instruments, and how many are flagged."""
     first = greeks.where(~F.isnan("delta")).groupBy("instrument_id").agg(F.min_by("delta", "ts_event").alias("first_delta"))
     rights = option_bars.groupBy("instrument_id").agg(F.min("right").alias("right"))
-    fifth = F.ntile(5).over(Window.partitionBy("right").orderBy("first_delta", "instrument_id"))
-    rows = first.join(rights, "instrument_id").withColumn("quintile", fifth)
+    rows = tiles(kept(first.join(rights, "instrument_id")), ["right"], "first_delta", "instrument_id", 5).withColumnRenamed("tile", "quintile")
     flagged = flags.select(F.col("instrument_id").alias("_f")).distinct()
-    rows = rows.join(flagged, rows["instrument_id"] == flagged["_f"], "left")
-    return rows.groupBy("right", "quintile").agg(F.min("first_delta").alias("low"), F.max("first_delta").alias("high"), F.percentile("first_delta", F.lit(0.5)).alias("median"), F.count("*").alias("n"), F.count("_f").alias("n_flagged"))
+    rows = kept(rows.join(flagged, rows["instrument_id"] == flagged["_f"], "left"))
+    by = ["right", "quintile"]
+    out = rows.groupBy(*by).agg(F.min("first_delta").alias("low"), F.max("first_delta").alias("high"), F.count("*").alias("n"), F.count("_f").alias("n_flagged"))
+    return out.join(medians(rows, by, "first_delta", "median"), by).select(*by, "low", "high", "median", "n", "n_flagged")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import minute_number
+from .ranks import kept, medians
 
 #: Trading days of a year, for annual figures.
 YEAR_DAYS = 252
@@ -43,14 +44,17 @@ def metrics_block(positions: DataFrame, keys: Sequence[str] = ("backtest_id",))
     pnl = F.col("net_pnl")
     gain, loss = F.sum(F.when(pnl > 0, pnl)), F.sum(F.when(pnl < 0, pnl))
     adverse = F.col("worst_mark") - F.col("open_mark")
-    return positions.groupBy(*keys).agg(
+    out = positions.groupBy(*keys).agg(
         (gain / F.nullif(-loss, F.lit(0.0))).alias("profit_factor"),
-        F.percentile(pnl, F.lit(0.5)).alias("median_pnl"),
         F.avg(adverse).alias("avg_adverse"),
-        F.percentile(adverse, F.lit(0.5)).alias("median_adverse"),
         F.max(adverse).alias("max_adverse"),
         (F.sum(F.col("open_mark") - F.col("exit_mark")) / F.nullif(F.sum(F.abs("open_mark")), F.lit(0.0))).alias("premium_capture"),
     )
+    values = kept(positions.select(*keys, pnl.alias("_pnl"), adverse.alias("_adverse")))
+    for value, name in (("_pnl", "median_pnl"), ("_adverse", "median_adverse")):
+        found = medians(values, keys, value, name)
+        out = out.join(found, [out[k].eqNullSafe(found[k]) for k in keys]).drop(*(found[k] for k in keys))
+    return out.select(*keys, "profit_factor", "median_pnl", "avg_adverse", "median_adverse", "max_adverse", "premium_capture")
 
 
 def _block(column: str) -> Column:

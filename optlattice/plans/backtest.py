@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import replace
 
@@ -13,20 +12,10 @@ from ..functions import clock
 from ..functions.conditions import steps, targets
 from ..functions.expr import contract_root, stop_loss_price, take_profit_price, tick_round
 from ..operators import asof, audit, enforce, entry, exit, pnl
+from ..operators.ranks import kept
 from .strategy import Roll, Strategy, Trade
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Rows that several steps use, as a checkpoint in the shared folder that the session names. Only a local master may name none, as in tests."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="optlattice-"))
-    return df.checkpoint()
-
-
 def wanted_legs(trade: Trade) -> list[entry.Wanted]:
     """How each leg of a trade is chosen."""
     found = []
@@ -202,12 +191,12 @@ def _closed(strategy: Strategy, trade: Trade, entries: DataFrame, exits: DataFra
     both = enforce.gate_times(both, ends, session.start, zone, session.weekdays_only, session.skip_dates)
     both = both.withColumns({"day": F.to_date(clock.local(F.col("entry_time"), zone)), "trade_name": F.lit(trade.name)})
     walk = [*keys, "trade_name"]
-    kept = enforce.greedy_walk(both, walk, trade.entry.max_entries_per_day)
+    stay = enforce.greedy_walk(both, walk, trade.entry.max_entries_per_day)
     if trade.entry.no_reentry_after_loss:
-        kept = enforce.no_reentry_after_loss(kept, walk)
+        stay = enforce.no_reentry_after_loss(stay, walk)
     fee_in, fee_out, fee_end = strategy.costs.per_contract()
     units: float | Column = F.get(F.filter("legs", lambda x: x["leg_name"] == trade.legs[0].name), 0)["multiplier"] if multiplier is None else multiplier
-    closed = pnl.profit(entries.join(kept.select("entry_id"), "entry_id", "left_semi"), exits, units, strategy.costs.slippage_pct, fee_in, fee_out, fee_end)
+    closed = pnl.profit(entries.join(stay.select("entry_id"), "entry_id", "left_semi"), exits, units, strategy.costs.slippage_pct, fee_in, fee_out, fee_end)
     return closed.withColumn("trade_name", F.lit(trade.name))
 
 
@@ -217,11 +206,11 @@ def run_trade(strategy: Strategy, trade: Trade, market: dict[str, DataFrame], mu
     The multiplier is that of the first leg's contract unless one is given. Entries and exits are used several times
     and are kept.
     """
-    entries = _kept(find_entries(strategy, trade, market, first_id, legs))
+    entries = kept(find_entries(strategy, trade, market, first_id, legs))
     rules = exit_rules(strategy, trade)
     seen, bars, closes = _watched(strategy, trade, entries, market, rules)
     exits = _after_exit(trade, entries, exit.first_exits(exit.flagged(*seen), rules), bars, closes, rules.zone)
-    return _closed(strategy, trade, entries, _kept(exits), multiplier)
+    return _closed(strategy, trade, entries, kept(exits), multiplier)
 
 
 #: Position ids of a study hold the combination above these bits, and the entry's number below them.
@@ -251,7 +240,7 @@ def run_shared(strategy: Strategy, trade: Trade, market: dict[str, DataFrame], n
     names = [x.split()[0] for x in _THRESHOLD_TYPES.split(", ")[1:]]
     table = F.broadcast(spark.createDataFrame([(k, *(None if n[c] is None else float(n[c]) for c in names)) for k, n in sorted(numbers.items())], _THRESHOLD_TYPES))
     plain = replace(trade, entry=replace(trade.entry, min_credit=None, max_debit=None), exit=replace(trade.exit, take_profit=None, take_profit_pct=None, stop_loss=None, on_sl_long_continuation=False))
-    every = _kept(find_entries(strategy, plain, market, 0, legs).drop("tp_price", "sl_price"))
+    every = kept(find_entries(strategy, plain, market, 0, legs).drop("tp_price", "sl_price"))
     mark = F.col("open_mark")
     wanted = (F.col("min_credit").isNull() | (mark >= F.col("min_credit"))) & (F.col("max_debit").isNull() | (mark >= -F.abs("max_debit")))
     chosen = every.join(table, wanted)
@@ -261,12 +250,12 @@ def run_shared(strategy: Strategy, trade: Trade, market: dict[str, DataFrame], n
     judged = exit.judged(exit.records(exit.watched(*seen), rules), chosen.select("combination_id", "entry_id", *exit.LEVELS))
     exits = exit.first_exits(judged, rules, ("entry_id", "combination_id"))
     if trade.exit.leg_out or _long_leg(trade) is not None:
-        exits = _shared_after_exit(trade, every, _kept(exits), bars, closes, rules.zone)
+        exits = _shared_after_exit(trade, every, kept(exits), bars, closes, rules.zone)
     else:
         exits = _after_exit(trade, every, exits, bars, closes, rules.zone)
     place = (F.shiftleft("combination_id", ENTRY_BITS) + F.col("entry_id")).alias("entry_id")
     entries = chosen.select("combination_id", place, *(c for c in every.columns if c != "entry_id"), "tp_price", "sl_price")
-    exits = _kept(exits.select(place, *(c for c in exits.columns if c not in ("entry_id", "combination_id"))))
+    exits = kept(exits.select(place, *(c for c in exits.columns if c not in ("entry_id", "combination_id"))))
     closed = _closed(strategy, trade, entries, exits, multiplier, ["combination_id"])
     return _renumbered(closed, chosen.select("combination_id", place, F.to_date("entry_time").alias("_day"), "entry_time"))
 

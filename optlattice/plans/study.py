@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import kept
 from . import backtest
 from .strategy import Strategy, Trade, expand_study, load_strategy, load_study, parse_strategy
 
@@ -63,7 +64,7 @@ class SharedLegs:
 
     def _search(self, strategy: Strategy, name: str) -> DataFrame:
         trade = next(t for t in strategy.trades if t.name == name)
-        return backtest._kept(backtest.find_legs(strategy, trade, self.market, backtest.find_candidates(strategy, trade, self.market)))
+        return kept(backtest.find_legs(strategy, trade, self.market, backtest.find_candidates(strategy, trade, self.market)))
 
     def get(self, definition: Mapping, strategy: Strategy, name: str) -> DataFrame:
         key = _same_legs(definition, name)
@@ -108,7 +109,7 @@ def run_study(strategies: Sequence[Mapping], market: dict[str, DataFrame], max_c
                 rows = backtest.run_trade(strategy, trade, market, legs=found).withColumn("combination_id", F.lit(number).cast("long"))
             else:
                 rows = backtest.run_shared(strategy, trade, market, {m[0]: backtest.thresholds(m[3]) for m in members}, legs=found)
-            return backtest._kept(rows)
+            return kept(rows)
         except Exception as e:
             failed.update((m[0], str(e)) for m in members)
             return None
