@@ -217,6 +217,12 @@ def judged(bars: DataFrame, levels: DataFrame) -> DataFrame:
     return rows.withColumn("priority", F.coalesce(*(F.when(hit, n) for n, hit in order)))
 
 
+def rolling_volume(minutes: int) -> Column:
+    """The volume of a position's bars in the minutes up to and with each."""
+    recent = Window.partitionBy("entry_id").orderBy(clock.epoch_micros(F.col("ts_event"))).rangeBetween(-minutes * 60_000_000 + 1, 0)
+    return F.sum("min_leg_volume").over(recent)
+
+
 def _gates(rules: ExitRules, past: Window) -> Column:
     """Session, liquidity, lock before expiry, staleness and no-arbitrage: all must let a price-triggered exit pass."""
     ok = truthy(no_arbitrage(F.col("open_mark"), F.col("position_mark")))
@@ -225,8 +231,7 @@ def _gates(rules: ExitRules, past: Window) -> Column:
     if rules.weekdays_only:
         ok = ok & clock.is_weekday(F.col("local_ts"))
     if rules.min_exit_volume is not None:
-        recent = Window.partitionBy("entry_id").orderBy(clock.epoch_micros(F.col("ts_event"))).rangeBetween(-rules.lookback_minutes * 60_000_000 + 1, 0)
-        ok = ok & (F.sum("min_leg_volume").over(recent) >= rules.min_exit_volume)
+        ok = ok & (rolling_volume(rules.lookback_minutes) >= rules.min_exit_volume)
     if rules.pre_expiry_lock_minutes is not None:
         close = clock.at(rules.expiry_close or rules.session[1])
         ok = ok & ~((F.col("dte_now") == 0) & F.col("local_sec").between(close - 60 * rules.pre_expiry_lock_minutes, close))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import clock
 from ..operators import enforce, entry, exit, pnl
 from . import backtest, study
 from . import fixtures as fx
@@ -163,12 +162,8 @@ def first_exits_second_rules(spark, sf_dir):
 @R.add(f"WITH {_FLAGS} SELECT entry_id, {T('ts_event')} AS ts_event, CAST(sum(vol) AS BIGINT) AS volume FROM m WHERE vol IS NOT NULL GROUP BY 1, 2")
 def rolling_volume(spark, sf_dir):
     """W6, P27"""
-    from pyspark.sql import Window
-
-    e = _pairs(spark, sf_dir)
-    m = exit.marks(e, fx.bars(spark, sf_dir))
-    recent = Window.partitionBy("entry_id").orderBy(clock.epoch_micros(F.col("ts_event"))).rangeBetween(-90 * 60_000_000 + 1, 0)
-    return m.select("entry_id", fx.text("ts_event").alias("ts_event"), F.sum("min_leg_volume").over(recent).alias("volume"))
+    m = exit.marks(_pairs(spark, sf_dir), fx.bars(spark, sf_dir))
+    return m.select("entry_id", fx.text("ts_event").alias("ts_event"), exit.rolling_volume(90).alias("volume"))
 
 
 @R.add(f"""WITH {_EXITS} SELECT entry_id, round((open_mark - exit_mark) * 50, 4) AS gross_pnl, round(abs(exit_mark) * 50 * 0.01, 4) AS slippage_cost, (0.65 + CASE WHEN exit_reason = 'expiry' THEN 0.25 ELSE 0.65 END) * 2 AS fee_cost,
