@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.expr import contract_root
+from .exit import held
+from .ranks import kept
 
 
 def bucket(ts: Column, size: str, zone: str = clock.NEW_YORK) -> Column:
@@ -57,19 +59,78 @@ def overlay(positions: DataFrame, legs: DataFrame, instruments: DataFrame, root:
     return rows.join(hit, rows["id"] == hit["position_id"], "left_semi")
 
 
-def running_pnl(bars: DataFrame, legs: DataFrame, multiplier: float) -> DataFrame:
-    """(position_id, ts_event, pnl) once all legs of a position have a price; legs keep their last price between bars."""
-    every = legs.groupBy("position_id").agg(F.collect_list(F.struct("instrument_id", "signed_qty", "entry_price")).alias("legs"))
-    rows = legs.select("position_id", "instrument_id").join(bars.select("instrument_id", "ts_event", "close"), "instrument_id").repartition("position_id")
+def running_pnl(bars: DataFrame, legs: DataFrame, multiplier: float | Column) -> DataFrame:
+    """(position_id, ts_event, pnl) once all legs of a position have a price; legs keep their last price between bars.
+
+    The multiplier is a number or a column of the legs. bars are those of all options, or, with a position_id, each position's own.
+    """
+    multiplier = multiplier if isinstance(multiplier, Column) else F.lit(multiplier)
+    every = legs.groupBy("position_id").agg(F.collect_list(F.struct("instrument_id", "signed_qty", "entry_price", multiplier.alias("_units"))).alias("legs"))
+    named = ["position_id", "instrument_id"] if "position_id" in bars.columns else ["instrument_id"]
+    rows = legs.select("position_id", "instrument_id").join(bars.select(*named, "ts_event", "close"), named).repartition("position_id")
     times = rows.groupBy("position_id", "ts_event").agg(F.collect_list(F.struct("instrument_id", "close")).alias("bars"))
     grid = times.join(every, "position_id").select("position_id", "ts_event", "bars", F.explode("legs").alias("l"))
     grid = grid.select("position_id", "ts_event", "l.*", F.get(F.filter("bars", lambda x: x["instrument_id"] == F.col("l.instrument_id")), 0)["close"].alias("close"))
     past = Window.partitionBy("position_id", "instrument_id").orderBy("ts_event").rowsBetween(Window.unboundedPreceding, 0)
     filled = grid.withColumn("_c", F.last("close", True).over(past))
-    out = filled.groupBy("position_id", "ts_event").agg(F.sum(F.col("signed_qty") * (F.col("entry_price") - F.col("_c")) * multiplier).alias("pnl"), F.count("_c").alias("_n"), F.count("*").alias("_m"))
+    out = filled.groupBy("position_id", "ts_event").agg(F.sum(F.col("signed_qty") * (F.col("entry_price") - F.col("_c")) * F.col("_units")).alias("pnl"), F.count("_c").alias("_n"), F.count("*").alias("_m"))
     return out.where("_n = _m").select("position_id", "ts_event", "pnl")
 
 
+def _price(c: Column) -> Column:
+    """A strike without a needless fraction."""
+    return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(F.format_string("%.1f", c))
+
+
+def trade_chart(positions: DataFrame, legs: DataFrame, bars: DataFrame) -> DataFrame:
+    """(position_id, series, at, value, label): what a chart shows of each position, as tall rows.
+
+    positions has position_id, open_time, exit_time, exit_reason, open_mark, exit_mark, and take_profit_pct and stop_loss in points (null: none);
+    legs has position_id, leg_index, instrument_id, signed_qty, strike_price, right, entry_price and multiplier; bars those of the options.
+    Series: `pnl` in money from the opening (0) to the exit, once all legs have a price; `after_exit` from there to the end of the exit's
+    day (UTC), where the legs keep their last prices; `strike`, `breakeven` (the lowest call strike plus, the highest put strike
+    minus the credit), `take_profit` and `stop_loss` as levels without a time; `marker` at both ends. A position without prices
+    of all legs has no pnl and after_exit, one without later prices no after_exit. Positions, legs and profits serve several
+    series and are kept.
+    """
+    positions, legs = kept(positions), kept(legs)
+    times = positions.select("position_id", "open_time", "exit_time", F.timestamp_add("MICROSECOND", F.lit(-1), F.timestamp_add("DAY", F.lit(1), F.date_trunc("day", "exit_time").cast("timestamp_ntz"))).alias("_end"))
+    open_ = legs.join(times, "position_id").withColumns({"_from": F.timestamp_add("MICROSECOND", F.lit(-1), "open_time"), "_to": F.timestamp_add("MICROSECOND", F.lit(1), "_end")})
+    priced = held(open_.select("position_id", "instrument_id", "_from", "_to").distinct(), bars.select("instrument_id", "ts_event", "close"))
+    money = kept(running_pnl(priced, legs, F.col("multiplier")).join(times, "position_id"))
+    inside = money.where((F.col("ts_event") > F.col("open_time")) & (F.col("ts_event") <= F.col("exit_time"))).select("position_id", "exit_time", "ts_event", F.round("pnl", 2).alias("pnl"))
+    none = F.lit(None).cast("string")
+    row = lambda df, series, at, value, label: df.select("position_id", F.lit(series).alias("series"), at.cast("timestamp_ntz").alias("at"), value.cast("double").alias("value"), label.alias("label"))
+    last = inside.groupBy("position_id").agg(F.max_by("pnl", "ts_event").alias("pnl"), F.any_value("exit_time").alias("exit_time"))
+    begun = last.join(times.select("position_id", "open_time"), "position_id")
+    post = money.where(F.col("ts_event") > F.col("exit_time")).join(last.select("position_id"), "position_id", "left_semi")
+    never = F.lit(None)
+    sign = F.signum("signed_qty")
+    spread = legs.groupBy("position_id").agg(
+        F.sum(sign * F.col("entry_price")).alias("credit"),
+        F.min(F.when(F.col("right") == "C", F.col("strike_price"))).alias("call"),
+        F.max(F.when(F.col("right") == "P", F.col("strike_price"))).alias("put"),
+        F.min_by(F.abs("signed_qty") * F.col("multiplier"), "leg_index").alias("notional"),
+    ).join(positions.select("position_id", "take_profit_pct", "stop_loss"), "position_id")
+    credit = F.abs("credit")
+    ended = F.when(F.col("exit_reason") == "take_profit", "TP").when(F.col("exit_reason") == "stop_loss", "SL").otherwise(F.coalesce("exit_reason", F.lit("Exit")))
+    closing = F.when(F.col("exit_reason") == "expiry", F.format_string("Exp %.2f", F.col("exit_mark").cast("double"))).otherwise(F.concat(F.format_string("Exit %.2f - ", F.col("exit_mark").cast("double")), ended))
+    parts = [
+        row(begun, "pnl", F.col("open_time"), F.lit(0.0), none),
+        row(inside, "pnl", F.col("ts_event"), F.col("pnl"), none),
+        row(last.join(post.select("position_id"), "position_id", "left_semi"), "after_exit", F.col("exit_time"), F.col("pnl"), none),
+        row(post, "after_exit", F.col("ts_event"), F.round("pnl", 2), none),
+        row(legs, "strike", never, F.col("strike_price"), F.concat(F.when(sign > 0, "S ").otherwise("L "), "right", _price(F.col("strike_price")))),
+        row(spread.where("call is not null"), "breakeven", never, F.round(F.col("call") + credit, 2), F.lit("C-BE")),
+        row(spread.where("put is not null"), "breakeven", never, F.round(F.col("put") - credit, 2), F.lit("P-BE")),
+        row(spread.where("take_profit_pct is not null"), "take_profit", never, F.round(F.col("credit") * F.col("take_profit_pct") * F.col("notional"), 2), F.lit("TP")),
+        row(spread.where("stop_loss is not null"), "stop_loss", never, F.round(-F.col("stop_loss") * F.col("notional"), 2), F.lit("SL")),
+        row(positions, "marker", F.col("open_time"), F.col("open_mark"), F.format_string("Entry %.2f", F.col("open_mark").cast("double"))),
+        row(positions, "marker", F.col("exit_time"), F.col("exit_mark"), closing),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def padded_pnl(candles: DataFrame, pnl: DataFrame) -> DataFrame:
     """The last known profit at each candle; null before the first."""
     past = Window.partitionBy("position_id").orderBy("ts_event").rowsBetween(Window.unboundedPreceding, 0)

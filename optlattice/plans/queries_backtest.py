@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import enforce, entry, exit, pnl
+from ..operators.ranks import kept
 from . import backtest, study
 from . import fixtures as fx
 from .queries_market import T, _SMA, _tall
@@ -338,6 +339,31 @@ def breakevens(spark, sf_dir):
     return out.select(F.col("entry_id").cast("long").alias("entry_id"), F.round("breakeven", 4).alias("breakeven"))
 
 
+@R.add(f"""WITH {_LEGS}, pos AS (SELECT *, round(open_mark, 2) AS mark, round(open_mark * 0.5, 2) AS left_, ts_event + INTERVAL 26 HOUR AS exit_time, CASE entry_id % 4 WHEN 0 THEN 'take_profit' WHEN 1 THEN 'stop_loss' WHEN 2 THEN 'expiry' ELSE 'roll' END AS reason, sold_close - bought_close AS credit FROM ent),
+put AS MATERIALIZED (SELECT instrument_id, ts_event, close FROM chain WHERE t > 0 AND right_ = 'P'),
+money AS MATERIALIZED (SELECT entry_id, pos.ts_event AS open_time, exit_time, a.ts_event AS tm, round((sold_close - a.close + b.close - bought_close) * 50, 2) AS pnl FROM pos JOIN put a ON a.instrument_id = sold_id AND a.ts_event > pos.ts_event AND a.ts_event < CAST(CAST(exit_time AS DATE) + 1 AS TIMESTAMP) JOIN put b ON b.instrument_id = bought_id AND b.ts_event = a.ts_event),
+lst AS (SELECT entry_id, any_value(open_time) AS open_time, any_value(exit_time) AS exit_time, arg_max(pnl, tm) AS pnl FROM money WHERE tm <= exit_time GROUP BY 1),
+later AS (SELECT money.* FROM money JOIN lst USING (entry_id) WHERE money.tm > money.exit_time),
+shown AS (SELECT entry_id, 'pnl' AS series, open_time AS tm, 0.0::DOUBLE AS value, NULL AS label FROM lst UNION ALL SELECT entry_id, 'pnl', tm, pnl, NULL FROM money WHERE tm <= exit_time UNION ALL SELECT entry_id, 'after_exit', exit_time, pnl, NULL FROM lst WHERE entry_id IN (SELECT entry_id FROM later)
+ UNION ALL SELECT entry_id, 'after_exit', tm, pnl, NULL FROM later UNION ALL SELECT entry_id, 'strike', NULL, sold_k, 'S P' || CAST(CAST(sold_k AS BIGINT) AS VARCHAR) FROM pos UNION ALL SELECT entry_id, 'strike', NULL, bought_k, 'L P' || CAST(CAST(bought_k AS BIGINT) AS VARCHAR) FROM pos
+ UNION ALL SELECT entry_id, 'breakeven', NULL, round(sold_k - abs(credit), 2), 'P-BE' FROM pos UNION ALL SELECT entry_id, 'take_profit', NULL, round(credit * 0.4 * 50, 2), 'TP' FROM pos WHERE entry_id % 2 = 0 UNION ALL SELECT entry_id, 'stop_loss', NULL, -100.0, 'SL' FROM pos WHERE entry_id % 3 > 0
+ UNION ALL SELECT entry_id, 'marker', ts_event, mark, 'Entry ' || printf('%.2f', mark) FROM pos
+ UNION ALL SELECT entry_id, 'marker', exit_time, left_, CASE WHEN reason = 'expiry' THEN 'Exp ' || printf('%.2f', left_) ELSE 'Exit ' || printf('%.2f', left_) || ' - ' || CASE reason WHEN 'take_profit' THEN 'TP' WHEN 'stop_loss' THEN 'SL' ELSE reason END END FROM pos)
+SELECT entry_id AS position_id, series, {T('tm')} AS shown_at, value + 0.0 AS value, label FROM shown""")
+def trade_chart(spark, sf_dir):
+    """Profit to the exit and after it, levels and markers of all positions, each held for 26 hours"""
+    from ..operators.explore import trade_chart as chart
+
+    e, k = kept(_entries(spark, sf_dir)), F.col("position_id")
+    reason = F.element_at(F.array(*map(F.lit, ("take_profit", "stop_loss", "expiry", "roll"))), (k % 4 + 1).cast("int"))
+    p = e.select(F.col("entry_id").cast("long").alias("position_id"), F.col("entry_time").alias("open_time"), F.timestamp_add("HOUR", F.lit(26), "entry_time").cast("timestamp_ntz").alias("exit_time"), F.round("open_mark", 2).alias("open_mark"), F.round(F.round("open_mark", 4) * 0.5, 2).alias("exit_mark"))
+    p = p.withColumns({"exit_reason": reason, "take_profit_pct": F.when(k % 2 == 0, 0.4), "stop_loss": F.when(k % 3 > 0, 2.0)})
+    legs = e.select(F.col("entry_id").cast("long").alias("position_id"), F.posexplode("legs").alias("leg_index", "l"))
+    legs = legs.select("position_id", "leg_index", *(F.col(f"l.{c}").alias(c) for c in ("instrument_id", "signed_qty", "strike_price", "right", "multiplier")), F.col("l.close").alias("entry_price"))
+    out = chart(p, legs, fx.option_bars(spark, sf_dir).where("t > 0"))
+    return out.select("position_id", "series", fx.text("at").alias("shown_at"), (F.col("value") + 0.0).alias("value"), "label")
+
+
 def _market(spark, sf_dir):
     """The market tables of a run. The indicator is the underlying's close of each hour against its contract's number."""
     bars = fx.underlying_bars(spark, sf_dir)
