@@ -5,21 +5,26 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Ranges that a pass counts, and rows of a range that are ranked together in the end.
 BINS, LAST_ROWS = 1_024, 10_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir. Only a local master may leave it unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or "file://" + tempfile.mkdtemp(prefix="optlattice-")
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Rows that several steps use, as a checkpoint in the shared folder that the session names. Only a local master may name none, as in tests."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="optlattice-"))
+    """Rows that several steps use, as a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
