@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import heapq
+import itertools
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.clock import from_epoch_nanos
 
@@ -55,26 +60,101 @@ def dedupe(bars: DataFrame, order: Sequence[str], keys: Sequence[str] = ("ts_eve
     return bars.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+#: Stand for an open end of a segment, in days since 1970.
+_EVER = 10_000_000
+_FIRST = dt.date(1970, 1, 1)
+
+
+def _winners(segments: list[tuple[int, int, tuple]]) -> list[tuple[int, int]]:
+    """(first day, segment): from which day on which of the segments (activation, expiration, rank) of an id is chosen.
+
+    One sweep over the days at which segments begin and end: of those that are open the one of the smallest rank, between two of them the
+    nearer one, on the day in the middle the one of smaller rank.
+    """
+    order = sorted(range(len(segments)), key=lambda i: segments[i][0])
+    rank = lambda i: segments[i][2]
+    points = sorted({x for a, e, _ in segments for x in (a, e + 1)})
+    out: list[tuple[int, int]] = [(-_EVER, min(range(len(segments)), key=lambda i: (segments[i][0], rank(i))))]
+    heap: list[tuple[tuple, int]] = []
+    at, before = 0, None
+    for p in points:
+        while at < len(order) and segments[order[at]][0] <= p:
+            i = order[at]
+            heapq.heappush(heap, (rank(i), i))
+            if before is None or (-segments[i][1], rank(i)) < (-segments[before][1], rank(before)):
+                before = i
+            at += 1
+        while heap and segments[heap[0][1]][1] < p:
+            heapq.heappop(heap)
+        if heap:
+            out.append((p, heap[0][1]))
+            continue
+        out.append((p, before))
+        if at < len(order):
+            begin = segments[order[at]][0]
+            following = min(itertools.takewhile(lambda i: segments[i][0] == begin, itertools.islice(order, at, None)), key=rank)  # noqa: B023
+            end = segments[before][1]
+            middle = (begin + end) // 2
+            if (begin + end) % 2 == 0:
+                out.append((middle, min(before, following, key=rank)))
+            out.append((middle + 1, following))
+    return [x for k, x in enumerate(out) if k + 1 == len(out) or out[k + 1][0] > x[0]]
+
+
+def stretches(segments: DataFrame) -> DataFrame:
+    """(instrument_id, first, segment columns): each id's days cut into disjoint stretches, with the segment that is chosen from `first` on.
+
+    A grouped function sees the segments of one id, a few for each time that the id was given away; never bars.
+    """
+    others = [c for c in segments.columns if c != "instrument_id"]
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        day = lambda d, none: none if pd.isna(d) else (d - _FIRST).days
+        ends = [(day(a, -_EVER), day(e, _EVER)) for a, e in zip(rows["seg_activation"], rows["seg_expiration"], strict=True)]
+        known = [(min(a, e), max(a, e), (-1 if _EVER in (-a, e) else e - a, a, e)) for a, e in ends]
+        found = _winners(known)
+        found = [(d, i) for d, i in found if d <= (dt.date.max - _FIRST).days]
+        first = [_FIRST + dt.timedelta(days=max(d, (dt.date.min - _FIRST).days)) for d, _ in found]
+        out = rows.iloc[[i for _, i in found]].reset_index(drop=True)
+        return out.assign(first=first)[["instrument_id", "first", *others]]
+
+    schema = T.StructType([segments.schema["instrument_id"], T.StructField("first", T.DateType()), *(segments.schema[c] for c in others)])
+    return segments.groupBy("instrument_id").applyInPandas(cut, schema)
+
+
 def route(bars: DataFrame, segments: DataFrame, date: str = "date") -> DataFrame:
     """Joins each bar with one segment of its recycled instrument id.
 
     Of the segments of the id, that with the date within [activation, expiration] or else the fewest days away
-    wins; ties go to the narrower and then the earlier one. Every bar whose id is known stays exactly once. Segments
-    meet the distinct dates of an id, not its bars, so many segments don't multiply the bars.
+    wins; ties go to the narrower and then the earlier one. A missing end is open; ends in the wrong order count as if they were in the right one.
+    Every bar whose id is known stays exactly once; one without a date gets the segment that comes first. The distinct dates of an id look their stretch up in one
+    window over both: as many rows as there are dates and segments.
     """
-    width = F.datediff("seg_expiration", "seg_activation")
+    others = [c for c in segments.columns if c != "instrument_id"]
+    chosen = F.struct(*others)
+    own = F.coalesce(F.col(date), F.lit("0001-01-01").cast("date"))
+    days = bars.select("instrument_id", own.alias("_d")).distinct()
+    cuts = stretches(segments).select("instrument_id", F.col("first").alias("_d"), F.lit(0).alias("_own"), chosen.alias("_s"))
+    both = cuts.unionByName(days.select("instrument_id", "_d", F.lit(1).alias("_own"), F.lit(None).cast(cuts.schema["_s"].dataType).alias("_s")))
+    past = Window.partitionBy("instrument_id").orderBy("_d", "_own").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_s", F.last("_s", True).over(past)).where("_own = 1 and _s is not null").select(F.col("instrument_id").alias("_i"), "_d", "_s")
+    out = bars.join(found, (bars["instrument_id"] == found["_i"]) & (F.coalesce(bars[date], F.lit("0001-01-01").cast("date")) == found["_d"])).select(*bars.columns, "_s.*")
     away = F.greatest(F.lit(0), F.datediff("seg_activation", date), F.datediff(date, "seg_expiration"))
-    days = bars.select("instrument_id", date).distinct().join(segments, "instrument_id").withColumns({"seg_distance": away, "_w": width})
-    found = F.struct(*(c for c in segments.columns if c != "instrument_id"), "seg_distance")
-    best = days.groupBy(F.col("instrument_id").alias("_i"), F.col(date).alias("_d")).agg(F.min_by(found, F.struct("seg_distance", "_w", "seg_activation", "seg_expiration")).alias("_s"))
-    return bars.join(best, (bars["instrument_id"] == best["_i"]) & bars[date].eqNullSafe(best["_d"])).select(*bars.columns, "_s.*")
+    return out.withColumn("seg_distance", away)
 
 
 def overlaps(bars: DataFrame, segments: DataFrame, date: str = "date") -> DataFrame:
-    """(instrument_id, bars): bars that lie in more than one segment."""
-    days = bars.select("instrument_id", date).distinct().join(segments, "instrument_id")
-    inside = days.where(F.col(date).between(F.col("seg_activation"), F.col("seg_expiration")))
-    twice = inside.groupBy("instrument_id", date).count().where("count > 1")
+    """(instrument_id, bars): bars that lie in more than one segment.
+
+    A segment is +1 at its activation and -1 after its expiration; running sums over these and the distinct dates tell how many are
+    open. Segments without one of the ends, or with the ends in the wrong order, hold no bar.
+    """
+    whole = segments.where(F.col("seg_activation") <= F.col("seg_expiration"))
+    steps = F.array(F.struct(F.col("seg_activation").alias("_d"), F.lit(1).alias("_n")), F.struct(F.date_add("seg_expiration", 1).alias("_d"), F.lit(-1).alias("_n")))
+    events = whole.select("instrument_id", F.explode(steps).alias("e")).groupBy("instrument_id", "e._d").agg(F.sum("e._n").alias("_n")).withColumn("_own", F.lit(0))
+    days = bars.select("instrument_id", F.col(date).alias("_d")).distinct().withColumns({"_n": F.lit(0).cast("long"), "_own": F.lit(1)})
+    past = Window.partitionBy("instrument_id").orderBy("_d", "_own").rowsBetween(Window.unboundedPreceding, 0)
+    twice = events.unionByName(days).withColumn("_open", F.sum("_n").over(past)).where("_own = 1 and _open > 1").select("instrument_id", F.col("_d").alias(date))
     rows = bars.select("instrument_id", "ts_event", date).distinct().join(twice, ["instrument_id", date], "left_semi")
     return rows.groupBy("instrument_id").agg(F.count("*").alias("bars"))
 
