@@ -462,3 +462,21 @@ def study_of_tables_and_ranges(spark, sf_dir):
     if failed:
         raise ValueError(failed)
     return _shown(rows)
+
+
+_CONTINUED = ("WITH " + _run_sql(_combos(_RANGE))).replace("\nSELECT CAST(o.combination_id", ", fin AS (SELECT CAST(o.combination_id")
+
+
+@R.add(f"""{_CONTINUED}), ids AS (SELECT row_number() OVER (ORDER BY combination_id, entry_time) AS position_id, * FROM fin)
+SELECT row_number() OVER (ORDER BY position_id) + 70 AS id, position_id, combination_id AS backtest_id, entry_time AS open_time, continuation_pnl FROM ids WHERE continuation_pnl IS NOT NULL""")
+def stored_continuations(spark, sf_dir):
+    """A study's results as stored tables; continuations by the id of their position"""
+    from ..sources.results import run_tables
+
+    rows, failed = study.run_study([_definition({"start": 1.0, "stop": 2.0, "step": 0.5})], _market(spark, sf_dir))
+    if failed:
+        raise ValueError(failed)
+    tables = run_tables(rows.withColumnRenamed("combination_id", "backtest_id"), {"position_continuation": 71})
+    opened = tables["position"].select(F.col("id").alias("position_id"), fx.text("open_time").alias("open_time"))
+    found = tables["position_continuation"].join(opened, "position_id")
+    return found.select("id", "position_id", "backtest_id", "open_time", F.round("continuation_pnl", 4).alias("continuation_pnl"))

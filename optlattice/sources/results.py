@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import pnl
+from ..operators.ranks import kept
+
 TABLES = ("backtest", "position", "position_leg", "position_continuation", "backtest_tag")
 
 
@@ -41,6 +44,45 @@ def set_equity(backtests: DataFrame, equity: float, study_id: int | None = None,
     return backtests.withColumn("initial_equity", F.when(hit, float(equity)).otherwise(F.col("initial_equity"))).withColumn("changed", hit)
 
 
+_POSITION = ("id", "backtest_id", "trade_name", "open_time", "exit_time", "exit_reason", "open_mark", "exit_mark", "worst_mark", "slippage_cost", "fee_cost", "net_pnl")
+_CONTINUATION = ("entry_price", "exit_time", "exit_price", "exit_reason", "pnl")
+
+
+def run_tables(closed: DataFrame, first_ids: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """The tables position, position_leg and position_continuation of closed positions with a backtest_id.
+
+    Ids go on from first_ids (1 where there is none), by backtest, entry time, trade and entry, and are counted per backtest and day first. Legs and
+    continuations carry the id of their position; a position without a continuation has no row there. Positions are
+    kept: three tables are made of them.
+    """
+    first = {t: (first_ids or {}).get(t, 1) for t in ("position", "position_leg", "position_continuation")}
+    bucket = F.struct("backtest_id", F.to_date("entry_time").alias("day"))
+    rows = pnl.with_ids(closed.withColumn("_day", bucket), ["entry_time", "trade_name", "entry_id"], first["position"], "id", "_day")
+    rows = kept(rows.withColumn("id", F.col("id").cast("long")))
+    position = rows.withColumnRenamed("entry_time", "open_time").select(*_POSITION)
+    legs = rows.select("_day", "backtest_id", F.col("id").alias("position_id"), F.posexplode("legs").alias("leg_index", "_leg")).select("_day", "backtest_id", "position_id", "leg_index", "_leg.*")
+    action = F.when(F.col("signed_qty") > 0, "STO").otherwise("BTO")
+    legs = pnl.with_ids(legs, ["position_id", "leg_index"], first["position_leg"], "id", "_day").withColumns({"id": F.col("id").cast("long"), "action": action, "quantity": F.abs("signed_qty")})
+    legs = legs.withColumnRenamed("close", "open_price").drop("_day", "signed_qty", "leg_index").withColumn("exit_price", F.lit(None).cast("double"))
+    more = rows.where("continuation_exit_time is not null").select("_day", "backtest_id", F.col("id").alias("position_id"), *(f"continuation_{c}" for c in _CONTINUATION))
+    more = pnl.with_ids(more, ["position_id"], first["position_continuation"], "id", "_day").withColumn("id", F.col("id").cast("long")).drop("_day")
+    return {"position": position, "position_leg": legs, "position_continuation": more}
+
+
+def store_run(closed: DataFrame, root: str) -> dict[str, int]:
+    """Appends run_tables() to the stored tables, with ids after theirs; the rows appended to each."""
+    spark, first, counts = closed.sparkSession, {}, {}
+    for table in ("position", "position_leg", "position_continuation"):
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            first[table] = (read(spark, root, table).agg(F.max("id")).first()[0] or 0) + 1
+    for table, rows in run_tables(closed, first).items():
+        counts[table] = rows.count()
+        if counts[table]:
+            append(rows, root, table)
+    return counts
+
+
 def merge(parts: list[DataFrame], id_col: str = "id") -> DataFrame:
     """All parts in one table with ids that go on from part to part; old_id and part tell where a row came from."""
     out = None
