@@ -40,14 +40,16 @@ def _copies(ts: Column, seconds: int, near: Sequence[int]) -> Column:
 def session_fill(left: DataFrame, right: DataFrame, session: Column, values: Sequence[str], by: Sequence[str] = (), ts: str = "ts_event") -> DataFrame:
     """Adds to each left row the last non-null value of each column at or before it in its session; null before the first.
 
-    Each column is filled by itself, and nothing is carried from one session to the next.
+    Each column is filled by itself, and nothing is carried from one session to the next. A value that is named like a
+    column of the left side comes as <name>_right.
     """
+    hidden = {v: f"_value{i}" for i, v in enumerate(values)}
     a = left.withColumns({"_side": F.lit(1)})
-    b = right.select(*by, ts, *values, F.lit(0).alias("_side"))
+    b = right.select(*by, ts, *(F.col(v).alias(h) for v, h in hidden.items()), F.lit(0).alias("_side"))
     both = a.unionByName(b, allowMissingColumns=True).withColumn("_session", session)
     order = Window.partitionBy(*by, "_session").orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumns({v: F.last(v, ignorenulls=True).over(order) for v in values})
-    return filled.where("_side = 1").drop("_side", "_session")
+    filled = both.withColumns({h: F.last(h, ignorenulls=True).over(order) for h in hidden.values()}).where("_side = 1")
+    return filled.select(*left.columns, *(F.col(h).alias(v if v not in left.columns else f"{v}_right") for v, h in hidden.items()))
 
 
 def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], values: Sequence[str], tolerance_seconds: int, ts: str = "ts_event") -> DataFrame:

@@ -280,3 +280,10 @@ def test_the_stream_of_resamples():
             s = s - (1 << 32) if s >= 1 << 31 else s
         want.append((s & 0xFFFFFFFF) / 2**32)
     assert metrics.stream(50).tolist() == want
+
+
+def test_session_fill_leaves_columns_of_the_left_side_alone(spark):
+    left = stamps(frame(spark, [(1, "2024-01-03 15:00:00", 7.0), (1, "2024-01-04 15:00:00", 8.0)], "k long, ts_event string, v double"), "ts_event")
+    right = stamps(frame(spark, [(1, "2024-01-03 14:00:00", 1.0, 5.0), (1, "2024-01-03 14:30:00", None, 6.0)], "k long, ts_event string, v double, w double"), "ts_event")
+    rows = asof.session_fill(left, right, F.to_date("ts_event"), ["v", "w"], ["k"]).orderBy("ts_event").collect()
+    assert [(r.v, r.v_right, r.w) for r in rows] == [(7.0, 1.0, 6.0), (8.0, None, None)]
