@@ -72,21 +72,22 @@ def equity(positions: DataFrame, initial: float, keys: Sequence[str] = ("backtes
     """Positions with trade_no (by open time), equity after each exit, its running peak, and the drawdown from it.
 
     Prefix scans in two levels: running figures within each key and day, and one row a day whose sums and maxima are carried on to
-    the days after it. No task holds a key's whole history.
+    the days after it. No task holds a key's whole history. Keys are never null.
     """
     keys = list(keys)
-    rows = positions.withColumns({"_o": _block("open_time"), "_x": _block("exit_time")})
-    opened = _offsets(rows.groupBy(*keys, "_o").agg(F.count("*").alias("_n")), keys, "_o", _before=F.sum("_n")).drop("_n")
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_o").orderBy("open_time", "id")))
-    rows = rows.join(opened, [*keys, "_o"]).withColumn("trade_no", (F.coalesce("_before", F.lit(0)) + F.col("_r")).cast("int")).drop("_o", "_r", "_before")
+    base = positions.withColumns({"_o": _block("open_time"), "_x": _block("exit_time")})
     here = Window.partitionBy(*keys, "_x").orderBy("exit_time", "id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_s", F.sum("net_pnl").over(here))
+    rows = base.withColumn("_s", F.sum("net_pnl").over(here))
     days = rows.groupBy(*keys, "_x").agg(F.sum("net_pnl").alias("_total"), F.max("_s").alias("_top"))
     days = _offsets(days, keys, "_x", _sum=F.sum("_total")).withColumn("_sum", F.coalesce("_sum", F.lit(0.0)))
     days = _offsets(days.withColumn("_high", F.col("_sum") + F.col("_top")), keys, "_x", _peak=F.max("_high")).select(*keys, "_x", "_sum", "_peak")
     rows = rows.join(days, [*keys, "_x"]).withColumn("equity", F.col("_s") + F.col("_sum") + initial)
     peak = F.greatest(F.lit(float(initial)), F.col("_peak") + initial, F.max("equity").over(here))
-    return rows.withColumn("peak", peak).withColumn("drawdown", F.col("peak") - F.col("equity")).drop("_x", "_s", "_sum", "_peak")
+    rows = rows.withColumn("peak", peak).withColumn("drawdown", F.col("peak") - F.col("equity"))
+    opened = _offsets(base.groupBy(*keys, "_o").agg(F.count("*").alias("_n")), keys, "_o", _before=F.sum("_n")).drop("_n")
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_o").orderBy("open_time", "id"))).join(opened, [*keys, "_o"])
+    number = (F.coalesce("_before", F.lit(0)) + F.col("_r")).cast("int")
+    return rows.select(*(F.col(c) for c in positions.columns), number.alias("trade_no"), "equity", "peak", "drawdown")
 
 
 def max_drawdown(curve: DataFrame, keys: Sequence[str] = ("backtest_id",)) -> DataFrame:
