@@ -806,6 +806,9 @@ def test_queries_carry_their_contracts(spark, sf_dir):
         "op8": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         "op9": ["page_id", "host", "path", "rule", "verdict"],
         "op10": ["vec_id", "n_links", "component_id", "kept"],
+        "op11": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+        "op12": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+        "op13": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     }
     assert sorted(n.split("_")[0] for n in queries.QUERIES) == sorted(want)
     for name, f in queries.QUERIES.items():
