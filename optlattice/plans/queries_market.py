@@ -417,11 +417,10 @@ def decoded_bars(spark, sf_dir):
     return out.select("event_id", fx.text("ts_event").alias("ts_event"), "close", F.col("volume").isNull().alias("no_volume"))
 
 
-@R.add(f"""WITH {fx.CHAIN}, g AS MATERIALIZED (SELECT instrument_id, CAST(ts_event AS DATE) AS d, dte, delta, close FROM chain WHERE t > 0)
-SELECT instrument_id, CAST(d AS VARCHAR) AS day, count(*) AS n, CAST(min(dte) AS BIGINT) AS dte, round(sum(delta), 5) + 0.0 AS delta, round(sum(close), 4) + 0.0 AS close FROM g GROUP BY 1, 2""")
+@R.add(f"""WITH {fx.CHAIN}, b AS MATERIALIZED (SELECT instrument_id, ts_event, close FROM chain WHERE t > 0)
+SELECT c.instrument_id, {T('c.ts_event')} AS ts_event, c.dte, round(c.delta, 6) + 0.0 AS delta, round(b.close, 6) + 0.0 AS close FROM chain c JOIN b USING (instrument_id, ts_event)""")
 def greeks_with_bars(spark, sf_dir):
-    """Every greek with its bar, summed up per instrument and day"""
+    """Every greek with its bar"""
     b = fx.option_bars(spark, sf_dir).where("t > 0").select("instrument_id", "ts_event", "right", "close")
     g = fx.option_greeks(spark, sf_dir).join(b, ["instrument_id", "ts_event"])
-    out = g.groupBy("instrument_id", F.to_date("ts_event").cast("string").alias("day"))
-    return out.agg(F.count("*").alias("n"), F.min("dte").cast("long").alias("dte"), (F.round(F.sum("delta"), 5) + 0.0).alias("delta"), (F.round(F.sum("close"), 4) + 0.0).alias("close"))
+    return g.select("instrument_id", fx.text("ts_event").alias("ts_event"), F.col("dte").cast("long").alias("dte"), (F.round("delta", 6) + 0.0).alias("delta"), (F.round("close", 6) + 0.0).alias("close"))
