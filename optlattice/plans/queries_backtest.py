@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import enforce, entry, exit, pnl
@@ -295,13 +296,15 @@ sv AS MATERIALIZED (SELECT entry_id, ent.ts_event AS entry_time, ent.expiration,
  JOIN g b ON b.instrument_id = bought_id AND b.ts_event = s.ts_event WHERE CAST(timezone('America/New_York', timezone('UTC', s.ts_event)) AS DATE) <= ent.expiration)"""
 
 
-@R.add(f"WITH {_VEGA} SELECT entry_id, CAST(CAST(ts_event AS DATE) AS VARCHAR) AS day, count(*) AS n, round(min(vega), 4) AS low, round(max(vega), 4) AS high, round(sum(vega), 3) AS total FROM sv GROUP BY 1, 2")
+@R.add(f"""WITH {_VEGA} SELECT entry_id, {T('ts_event')} AS ts_event, round(vega, 4) AS spread_vega, CAST(CAST(ts_event AS DATE) AS VARCHAR) AS day,
+count(*) OVER d AS n, round(min(vega) OVER d, 4) AS low, round(max(vega) OVER d, 4) AS high, round(sum(vega) OVER d, 3) AS total FROM sv WINDOW d AS (PARTITION BY entry_id, CAST(ts_event AS DATE))""")
 def spread_vega(spark, sf_dir):
-    """From the entry to the expiration, summed up per day"""
+    """Every bar from the entry to the expiration, with what its day comes to"""
     out = exit.spread_vega(_entries(spark, sf_dir), fx.option_greeks(spark, sf_dir).where("T > 0"))
-    vega = F.col("spread_vega")
-    out = out.groupBy(F.col("entry_id").cast("long").alias("entry_id"), F.to_date("ts_event").cast("string").alias("day"))
-    return out.agg(F.count("*").alias("n"), F.round(F.min(vega), 4).alias("low"), F.round(F.max(vega), 4).alias("high"), F.round(F.sum(vega), 3).alias("total"))
+    out = out.select(F.col("entry_id").cast("long").alias("entry_id"), "ts_event", "spread_vega", F.to_date("ts_event").cast("string").alias("day"))
+    vega, day = F.col("spread_vega"), Window.partitionBy("entry_id", "day")
+    of_day = {"n": F.count("*").over(day), "low": F.round(F.min(vega).over(day), 4), "high": F.round(F.max(vega).over(day), 4), "total": F.round(F.sum(vega).over(day), 3)}
+    return out.select("entry_id", fx.text("ts_event").alias("ts_event"), F.round(vega, 4).alias("spread_vega"), "day", *(c.alias(name) for name, c in of_day.items()))
 
 
 @R.add(f"""WITH {_VEGA}, o AS (SELECT *, first_value(vega) OVER (PARTITION BY entry_id ORDER BY ts_event) AS open_vega FROM sv),
