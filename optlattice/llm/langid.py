@@ -77,11 +77,11 @@ def vectors_of(codes: np.ndarray) -> np.ndarray:
 
 
 class Memory:
-    """N-gram vectors that a task has computed before."""
+    """N-gram vectors that a task has computed before, one byte a place."""
 
     def __init__(self) -> None:
-        self.row = np.full(CLASSES**ORDER, -1, dtype=np.int64)
-        self.known = np.zeros((0, DIMENSIONS), dtype=np.float32)
+        self.row = np.full(CLASSES**ORDER, -1, dtype=np.int32)
+        self.known = np.zeros((0, DIMENSIONS), dtype=np.int8)
 
     def get(self, codes: np.ndarray) -> np.ndarray:
         if len(self.known) > REMEMBERED:
@@ -89,8 +89,8 @@ class Memory:
         new = codes[self.row[codes] < 0]
         if len(new):
             self.row[new] = len(self.known) + np.arange(len(new))
-            self.known = np.concatenate([self.known, vectors_of(new).astype(np.float32)])
-        return self.known[self.row[codes]]
+            self.known = np.concatenate([self.known, vectors_of(new)])
+        return self.known[self.row[codes]].astype(np.float32)
 
 
 def bundle(texts: list[str], memory: Memory) -> tuple[np.ndarray, np.ndarray]:
