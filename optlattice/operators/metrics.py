@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +138,8 @@ SEED = 99999
 
 #: Draws of a task's block, steps of a path that are summed up together, and lanes apart of a block.
 BLOCK_DRAWS, BLOCK_STEPS, LANE = 2_000_000, 4_096, 1_024
+#: Tasks at most that share a key's resamples, profits that are sent together, and profits of a key that a task holds.
+SHARES, PIECE, SLICE = 8, 65_536, 8_388_608
 
 
 def _step(s: np.ndarray) -> np.ndarray:
@@ -213,24 +216,52 @@ def _kinds(rows: DataFrame, keys: Sequence[str], more: str) -> str:
     return ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), more])
 
 
+def _placed(positions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _j, _n, _pnl): each profit with its place from 0 on by exit time and id, and how many its key has; numbered by days."""
+    rows = positions.select(*keys, "exit_time", "id", F.col("net_pnl").cast("double").alias("_pnl"), _block("exit_time").alias("_x"))
+    days = rows.groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
+    days = _offsets(days, keys, "_x", _before=F.sum("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    here = F.row_number().over(Window.partitionBy(*keys, "_x").orderBy("exit_time", "id"))
+    same = lambda left, right: [left[c].eqNullSafe(right[c]) for c in (*keys, "_x")]
+    out = (left := rows.withColumn("_r", here)).join(days, same(left, days))
+    return out.select(*(left[k] for k in keys), (F.coalesce("_before", F.lit(0)) + F.col("_r") - 1).alias("_j"), "_n", "_pnl")
+
+
+def _drawn_sum(x: np.ndarray, n: int, begin: int, path: int) -> float:
+    """The sum of what the draws of one resample of n take of the slice x that begins at a place."""
+    total = 0.0
+    for at in range(0, n, BLOCK_DRAWS):
+        j = np.minimum((stream(min(BLOCK_DRAWS, n - at), first=path * n + at) * n).astype(np.int64), n - 1)
+        if len(x) < n:
+            j = j[(j >= begin) & (j < begin + len(x))] - begin
+        total += float(x[j].sum())
+    return total
+
+
 def bootstrap_mean(positions: DataFrame, keys: Sequence[str] = ("backtest_id",), n_boot: int = 1000, level: float = 0.95) -> DataFrame:
     """(keys, mean_low, mean_high): percentile interval of the mean profit.
 
-    A key's trades by exit time and id are resampled n_boot times by the stream, each time as many as there are. Tasks draw some
-    resamples of a key each, from their place in the stream on; a task holds a key's profits and one block of draws.
+    A key's trades by exit time and id are resampled n_boot times by the stream, each time as many as there are. A key's resamples are
+    shared out to SHARES tasks at most, so its profits are sent no oftener, in pieces of PIECE. A task holds at most SLICE of a key's profits
+    and a block of draws; of a longer series each task draws the whole stream of its resamples and sums up what falls into its slice.
     """
     keys = list(keys)
-    rows, per = _series(positions, keys, n_boot)
-    rows = rows.withColumn("per", per).withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"), F.col("per")))).repartition(*keys, "path")
-
-    def means(batches):
-        for batch in batches:
-            for at, row in enumerate(batch.itertuples(index=False)):
-                x, first, last = np.asarray(row.x), row.path, min(n_boot, row.path + row.per)
-                out = batch.iloc[[at] * (last - first)][keys].reset_index(drop=True)
-                yield out.assign(mean=_taken(x, stream((last - first) * len(x), first=first * len(x))).reshape(last - first, len(x)).mean(axis=1))
-
-    found = rows.mapInPandas(means, _kinds(rows, keys, "mean double"))
+    placed = _placed(positions, keys)
+    piece = placed.groupBy(*keys, F.expr(f"_j div {PIECE}").alias("_piece")).agg(F.max("_n").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("_j", "_pnl"))), lambda r: r["_pnl"]).alias("x"))
+    shares = F.least(F.lit(SHARES), F.greatest(F.lit(1), F.ceil(F.col("_n") * n_boot / BLOCK_DRAWS)), F.lit(n_boot)).cast("int")
+    sent = piece.withColumns({"_slice": F.expr(f"_piece div {SLICE // PIECE}"), "_shares": shares}).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+
+    def sums(key, rows):
+        names, (share, part) = list(key[:-2]), key[-2:]
+        rows = rows.sort_values("_piece")
+        n, x = int(rows["_n"].iloc[0]), np.concatenate([np.asarray(v, dtype=float) for v in rows["x"]])
+        begin, of = int(part) * SLICE, int(rows["_shares"].iloc[0])
+        first, last = n_boot * int(share) // of, n_boot * (int(share) + 1) // of
+        total = np.array([_drawn_sum(x, n, begin, path) for path in range(first, last)])
+        return pd.DataFrame({k: [v] * len(total) for k, v in zip(keys, names, strict=True)} | {"path": np.arange(first, last), "total": total, "n": n})
+
+    parts = sent.groupBy(*keys, "_share", "_slice").applyInPandas(sums, _kinds(positions, keys, "path long, total double, n long"))
+    found = parts.groupBy(*keys, "path").agg((F.sum("total") / F.max("n")).alias("mean"))
     share = [(1 - level) / 2, (1 + level) / 2]
     return found.groupBy(*keys).agg(*(F.percentile("mean", F.lit(q)).alias(c) for q, c in zip(share, ("mean_low", "mean_high"), strict=True)))
 
