@@ -54,7 +54,7 @@ def stitch(values: DataFrame, schedule: DataFrame) -> DataFrame:
 def overlay(positions: DataFrame, legs: DataFrame, instruments: DataFrame, root: str, start: str, end: str) -> DataFrame:
     """Positions with a leg on an instrument whose symbol begins with root, open at some time of [start, end)."""
     named = instruments.where(F.col("symbol").startswith(root)).select("instrument_id")
-    hit = legs.join(named, "instrument_id", "left_semi").select("position_id").distinct()
+    hit = legs.join(named, "instrument_id", "left_semi").select("position_id")
     rows = positions.where((F.col("open_time") < F.lit(end).cast("timestamp_ntz")) & (F.col("exit_time") >= F.lit(start).cast("timestamp_ntz")))
     return rows.join(hit, rows["id"] == hit["position_id"], "left_semi")
 

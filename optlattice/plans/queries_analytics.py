@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import explore, metrics, validate
-from ..operators.ranks import shared_folder
+from ..operators.ranks import kept, shared_folder
 from ..sources import files, results
 from ..sources.cache import ResultCache
 from . import fixtures as fx
@@ -198,14 +198,14 @@ v AS (SELECT g, CASE WHEN open_mark > 0 AND g > open_mark * 50 + 0.01 THEN 'gain
 u AS (SELECT g, unnest([a, b, c, d]) AS violation FROM v) SELECT violation, count(*) AS n, round(sum(g), 4) AS gross_pnl FROM u WHERE violation IS NOT NULL GROUP BY 1""")
 def pnl_violations(spark, sf_dir):
     """K20, A26, A27, J26, T6"""
-    t = fx.trades(spark, sf_dir).withColumn("gross_pnl", F.when(F.col("id") % 11 == 0, 0.0).otherwise(F.round((F.col("open_mark") - F.col("exit_mark")) * 50, 4)))
+    t = kept(fx.trades(spark, sf_dir)).withColumn("gross_pnl", F.when(F.col("id") % 11 == 0, 0.0).otherwise(F.round((F.col("open_mark") - F.col("exit_mark")) * 50, 4)))
     return rounded(validate.summary(validate.violations(t, _legs(t), 50.0)), 4, "gross_pnl")
 
 
 @R.add(f"""WITH {_LEGS} SELECT DISTINCT t.id FROM trades t JOIN legs ON legs.position_id = t.id WHERE legs.instrument_id IN (0, 1, 2) AND open_time < TIMESTAMP '1998-01-01' AND exit_time >= TIMESTAMP '1996-01-01'""")
 def chart_overlay(spark, sf_dir):
-    """J28, S16"""
-    t = fx.trades(spark, sf_dir)
+    """The trades serve rows and both legs and are kept, so that no task holds the sorts and hash maps of all three at once"""
+    t = kept(fx.trades(spark, sf_dir).select("id", "open_time", "exit_time", "open_mark"))
     names = spark.range(8).select(F.col("id").alias("instrument_id"), F.when(F.col("id") < 3, "ESH4").otherwise("NQH4").alias("symbol"))
     return explore.overlay(t, _legs(t), names, "ES", "1996-01-01 00:00:00", "1998-01-01 00:00:00").select("id")
 
