@@ -60,16 +60,17 @@ def _end(spark: SparkSession, batch_rows: int) -> None:
             spark.conf.set(key, value)
 
 
-def save(df: DataFrame, name: str, batch_rows: int = 2000) -> DataFrame:
+def save(df: DataFrame, name: str, batch_rows: int = 2000, file_rows: int = 0) -> DataFrame:
     """Writes df to the shared folder and reads it again: what was computed survives lost executors.
 
-    The table is deleted when the application ends, or by forget(). batch_rows bounds what Python workers get at a time.
+    The table is deleted when the application ends, or by forget(). batch_rows bounds what Python workers get at a time,
+    file_rows the rows of a file, for rows of some megabytes (0: no bound).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _begin(spark, batch_rows)
     try:
-        df.write.parquet(path)
+        (df.write.option("maxRecordsPerFile", file_rows) if file_rows else df.write).parquet(path)
     finally:
         _end(spark, batch_rows)
     place, files = _place(spark, path)
