@@ -18,7 +18,7 @@ from .components import components
 #: Dimensions of a block; vectors of a tile at most, and their bytes; tiles of a file.
 BLOCK_DIMS, TILE, TILE_BYTES, FILE_TILES = 16, 4096, 4 << 20, 16
 #: Rows of a tile, and of the other one, that are compared at a time: their distances stay in a core's cache.
-STRIP, COLUMNS = 256, 1024
+STRIP, COLUMNS = 256, 512
 #: What rounding may add to squared distances that are computed in single precision.
 SLACK = 1e-5
 #: Links that a task holds until it ties them, and rows that it returns at a time.
@@ -128,6 +128,15 @@ class _Tile:
             self.blocks.append((order, low[:, 0].copy(), np.hstack([-2 * low, norm, one]), np.ascontiguousarray(np.hstack([low, one, norm]).T)))
 
 
+def _places(mask: np.ndarray) -> np.ndarray:
+    """Where a mask without many true values has them, as places of the flat mask; eight values are looked at together."""
+    flat = mask.reshape(-1)
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    at = (8 * np.flatnonzero(flat.view(np.uint64) != 0)[:, None] + np.arange(8)).ravel()
+    return at[flat[at]]
+
+
 def compare(left: _Tile, right: _Tile, dim: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs (i, j) of linked vectors of two tiles, or of one with itself (then i < j), each pair once.
 
@@ -137,14 +146,14 @@ def compare(left: _Tile, right: _Tile, dim: int, threshold: float) -> Iterator[t
     same = left is right
     near = np.zeros((len(left.x), len(right.x)), dtype=bool)
     for (order, lead, rows, _), (other, its_lead, _, columns), budget in zip(left.blocks, right.blocks, budgets(dim, threshold), strict=True):
-        limit = budget + SLACK
+        limit = np.float32(budget + SLACK)  # a double would make doubles of all distances
         for k in range(0, len(rows), STRIP):
             strip = rows[k : k + STRIP]
             begin = max(int(np.searchsorted(its_lead, lead[k] - np.sqrt(limit))), k if same else 0)
             end = int(np.searchsorted(its_lead, lead[k + len(strip) - 1] + np.sqrt(limit), "right"))
             for c in range(begin, end, COLUMNS):
                 distance = strip @ columns[:, c : min(end, c + COLUMNS)]
-                at = np.flatnonzero(distance <= limit)
+                at = _places(distance <= limit)
                 if len(at):
                     i, j = np.divmod(at, distance.shape[1])
                     i, j = order[k + i], other[c + j]
@@ -155,7 +164,7 @@ def compare(left: _Tile, right: _Tile, dim: int, threshold: float) -> Iterator[t
         np.fill_diagonal(near, False)
     for k in range(0, len(near), STRIP):
         strip = near[k : k + STRIP]
-        at = np.flatnonzero(strip)
+        at = _places(strip)
         if len(at) > strip.size // 16:
             at = at[(left.x[k : k + STRIP] @ right.x.T).ravel()[at] >= threshold]
             i, j = np.divmod(at, strip.shape[1])
